@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import lang_id, simhash, substring_dedup
+from . import lang_id, simhash, substring_dedup, topk
 
-MODULES = (simhash, substring_dedup, lang_id)
+MODULES = (simhash, substring_dedup, lang_id, topk)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in MODULES for name, q in m.ORACLE_SQL.items()}
