@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import lang_id, packing, simhash, substring_dedup, token_store, topk
+from . import lang_id, packing, sentencepiece_fst, simhash, substring_dedup, token_store, topk
 
-MODULES = (simhash, substring_dedup, packing, token_store, topk, lang_id)
+MODULES = (simhash, substring_dedup, packing, sentencepiece_fst, token_store, topk, lang_id)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in MODULES for name, q in m.ORACLE_SQL.items()}
