@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import html_extract, lang_id, packing, sentencepiece_fst, simhash, substring_dedup, token_store, topk, warc
+from . import fingerprints, html_extract, lang_id, packing, sentencepiece_fst, simhash, substring_dedup, token_store, topk, warc
 
-MODULES = (simhash, substring_dedup, warc, html_extract, packing, sentencepiece_fst, token_store, topk, lang_id)
+MODULES = (simhash, substring_dedup, warc, html_extract, packing, sentencepiece_fst, token_store, fingerprints, topk, lang_id)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in MODULES for name, q in m.ORACLE_SQL.items()}
