@@ -7,59 +7,99 @@ word's label marginals; a document's score for a language is the mean marginal o
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import table, text_slices
 
 UNKNOWN = "und"
 #: Bounds of the training sample: documents of each language, and words taken from each of them.
-TRAIN_DOCS = 400
-TRAIN_WORDS = 400
+TRAIN_DOCS = 250
+TRAIN_WORDS = 300
+#: Features are hashed into a table of 2**TABLE_BITS rows of label weights.
 TABLE_BITS = 18
 _MAX_CACHE = 400_000
 _SLICE = 1 << 22
-_LETTER = re.compile(r"[^\W\d_]")
-_WORD = re.compile(r"\S+")
-_EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
-
-
-def word_features(word: str) -> list[str]:
-    """Affix, n-gram and lexicon features of a token; none if it has no letter."""
-    w = _EDGE.sub("", word.lower())[:40]
-    if not w:
-        return []
-    out = ["=" + w]
-    for k in range(1, 4):
-        if len(w) >= k:
-            out += [f"<{w[:k]}", f">{w[-k:]}"]
-    padded = f"^{w}$"
-    out += [padded[i : i + 2] for i in range(len(padded) - 1)]
-    out += [padded[i : i + 3] for i in range(len(padded) - 2)]
-    return out
+_LETTERS: list[np.ndarray] = []
+
+
+def _letters() -> np.ndarray:
+    """Whether a code point is a letter, for all of them."""
+    if not _LETTERS:
+        _LETTERS.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
+    return _LETTERS[0]
+
+
+def _hash(x: np.ndarray, kind: int) -> np.ndarray:
+    x = (x + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature rows, word of each, whether a word has a letter) of lower-case words.
+
+    A word is taken from its first to its last letter, between marks for its ends. Its features are all character
+    2-grams and 3-grams, which with the marks include affixes of one and two letters, the first and last three letters, and the word itself.
+    """
+    none = np.zeros(0, np.int64)
+    lens = np.fromiter(map(len, words), np.int64, len(words))
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(codes):
+        return none, none, np.zeros(len(words), bool)
+    owner = np.repeat(np.arange(len(words)), lens)
+    at = np.flatnonzero(_letters()[codes])
+    lettered = np.zeros(len(words), bool)
+    lettered[owner[at]] = True
+    which = np.flatnonzero(lettered)
+    if not len(which):
+        return none, none, lettered
+    first, last = np.full(len(words), len(codes)), np.full(len(words), -1)
+    np.minimum.at(first, owner[at], at)
+    np.maximum.at(last, owner[at], at)
+    first, size = first[which], last[which] - first[which] + 1
+    # cores with an end mark on either side, one after the other
+    starts = np.cumsum(size + 2) - (size + 2)
+    own = np.repeat(which, size + 2)
+    place = np.arange(len(own)) - np.repeat(starts, size + 2)
+    inner = (place > 0) & (place <= np.repeat(size, size + 2))
+    c = np.where(place == 0, 1, 2).astype(np.uint64)
+    c[inner] = codes[(np.repeat(first, size + 2) + place - 1)[inner]]
+    two = c[:-1] << np.uint64(21) | c[1:]
+    three = two[:-1] << np.uint64(21) | c[2:]
+    same2, same3 = own[:-1] == own[1:], own[:-2] == own[2:]
+    long = size >= 3
+    four = lambda i: three[i] ^ (c[i + 3] << np.uint64(43))
+    whole = np.add.reduceat(_hash(c + place.astype(np.uint64) * np.uint64(0x1000003), 9), starts)
+    parts = [(_hash(two, 2)[same2], own[:-1][same2]), (_hash(three, 3)[same3], own[:-2][same3]), (_hash(four(starts[long]), 4), which[long]), (_hash(four((starts + size - 2)[long]), 5), which[long]), (_hash(whole, 6), which)]
+    rows = np.concatenate([p for p, _ in parts]) >> np.uint64(64 - TABLE_BITS)
+    return rows.astype(np.int64), np.concatenate([o for _, o in parts]), lettered
+
+
+def _words(text: str | None, limit: int | None = None) -> list[str]:
+    return text.lower().split()[:limit] if text else []
 
 
 class Crf:
-    """Weights of a trained field: a row of label weights per known feature, transitions, start weights."""
+    """Weights of a trained field: a row of label weights per hashed feature, transitions, start weights."""
 
-    def __init__(self, labels: list[str], index: dict[str, int], weights: np.ndarray, trans: np.ndarray, start: np.ndarray):
-        self.labels, self.index, self.weights, self.trans, self.start = labels, index, weights, trans, start
+    def __init__(self, labels: list[str], weights: np.ndarray, trans: np.ndarray, start: np.ndarray):
+        self.labels, self.weights, self.trans, self.start = labels, weights, trans, start
         self._of: dict[str, int] = {}
         self._emit = np.zeros((1024, len(labels)))
         self._letters = np.zeros(1024, bool)
 
     def __getstate__(self):
-        return (self.labels, self.index, self.weights, self.trans, self.start)
+        return (self.labels, self.weights, self.trans, self.start)
 
     def __setstate__(self, state):
         self.__init__(*state)
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        """Numbers of the words in the table of label weights, which grows with new words and is cleared when large."""
+        """Numbers of the words in the table of label weights, which grows with new words and starts afresh when large."""
         of = self._of
         new = set(words) - of.keys()
         if len(of) + len(new) > _MAX_CACHE:
@@ -69,22 +109,12 @@ class Crf:
             size = max(top, 2 * len(self._emit))
             self._emit = np.concatenate((self._emit, np.zeros((size - len(self._emit), len(self.labels)))))
             self._letters = np.concatenate((self._letters, np.zeros(size - len(self._letters), bool)))
-        get, n = self.index.get, len(of)
-        rows, owner = [], []
-        for w in new:
-            of[w] = n
-            found = [k for f in word_features(w) if (k := get(f)) is not None]
-            rows += found
-            owner += [n] * len(found)
-            self._letters[n] = bool(_LETTER.search(w))
-            n += 1
         if new:
-            lo = n - len(new)
-            add = np.zeros((len(new), len(self.labels)))
-            at = np.asarray(owner, np.int64) - lo
+            lo, new = len(of), list(new)
+            of.update(zip(new, range(lo, top), strict=True))
+            rows, owner, self._letters[lo:top] = word_features(new)
             for k in range(len(self.labels)):
-                add[:, k] = np.bincount(at, self.weights[rows, k], minlength=len(new)) if rows else 0
-            self._emit[lo:n] = add
+                self._emit[lo:top, k] = np.bincount(owner, self.weights[rows, k], minlength=len(new))
         return np.fromiter(map(of.__getitem__, words), np.int64, len(words))
 
     def marginals(self, chains: list[np.ndarray]) -> list[np.ndarray]:
@@ -121,7 +151,7 @@ class Crf:
         """(language, score) of each text; texts without a letter are ``und`` with score 0."""
         out: list = [(UNKNOWN, 0.0)] * len(texts)
         for a, z in text_slices([len(t or "") for t in texts], _SLICE):
-            words = [_WORD.findall(t) if t else [] for t in texts[a:z]]
+            words = [_words(t) for t in texts[a:z]]
             numbers = self.emissions([w for ws in words for w in ws])
             ends = np.cumsum([len(ws) for ws in words])
             chains = np.split(numbers, ends[:-1])
@@ -134,38 +164,24 @@ class Crf:
         return out
 
 
-def fit(samples: list[tuple[str, str]], epochs: int = 6, rate: float = 0.5, seed: int = 7, l2: float = 1e-6, words: int = TRAIN_WORDS, min_count: int = 3) -> Crf:
+def fit(samples: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5, seed: int = 7, l2: float = 1e-6, words: int = TRAIN_WORDS) -> Crf:
     """Train on (text, language) pairs. Chains join short segments of different texts, so that switches are seen.
 
     A sample with one language gives a field with one label; an empty sample gives one that answers ``und`` only.
     """
     labels = sorted({lang for _, lang in samples})
     if not labels:
-        return Crf([UNKNOWN], {}, np.zeros((1, 1)), np.zeros((1, 1)), np.zeros(1))
+        return Crf([UNKNOWN], np.zeros((1 << TABLE_BITS, 1)), np.zeros((1, 1)), np.zeros(1))
     rng = np.random.default_rng(seed)
     segments = []
-    counts: dict[str, int] = {}
     for text, lang in samples:
-        tokens = _WORD.findall(text)
-        tokens = tokens[: words]
-        at = 0
+        tokens, at = _words(text, words), 0
         while at < len(tokens):
             n = int(rng.integers(4, 40))
             segments.append((tokens[at : at + n], labels.index(lang)))
             at += n
-        for w in set(tokens):
-            for f in word_features(w):
-                counts[f] = counts.get(f, 0) + 1
-    index = {f: i for i, f in enumerate(sorted(f for f, c in counts.items() if c >= min_count))}
-    known: dict[str, np.ndarray] = {}
-
-    def features(w):
-        if w not in known:
-            known[w] = np.array([index[f] for f in word_features(w) if f in index], np.int64)
-        return known[w]
-
     n = len(labels)
-    weights, trans, start = np.zeros((len(index) + 1, n)), np.zeros((n, n)), np.zeros(n)
+    weights, trans, start = np.zeros((1 << TABLE_BITS, n)), np.zeros((n, n)), np.zeros(n)
     sq_w, sq_t, sq_s = (np.full(x.shape, 1e-2) for x in (weights, trans, start))
     for _ in range(epochs):
         perm = rng.permutation(len(segments))
@@ -178,9 +194,7 @@ def fit(samples: list[tuple[str, str]], epochs: int = 6, rate: float = 0.5, seed
             batch = chains[lo : lo + 64]
             tokens = [w for c in batch for ws, _ in c for w in ws]
             gold = [np.concatenate([np.full(len(ws), y) for ws, y in c]) for c in batch]
-            feats = [features(w) for w in tokens]
-            owner = np.repeat(np.arange(len(tokens)), [len(f) for f in feats])
-            flat = np.concatenate(feats) if feats else np.zeros(0, np.int64)
+            flat, owner, _ = word_features(tokens)
             emit = np.stack([np.bincount(owner, weights[flat, k], minlength=len(tokens)) for k in range(n)], axis=1)
             lens = [len(g) for g in gold]
             g_emit, g_trans, g_start = _gradient(emit, lens, gold, trans, start)
@@ -193,7 +207,7 @@ def fit(samples: list[tuple[str, str]], epochs: int = 6, rate: float = 0.5, seed
             for x, sq, g in ((trans, sq_t, g_trans / len(batch)), (start, sq_s, g_start / len(batch))):
                 sq += g * g
                 x += rate * 0.2 * g / np.sqrt(sq)
-    return Crf(labels, index, weights.astype(np.float32).astype(float), trans, start)
+    return Crf(labels, weights.astype(np.float32), trans, start)
 
 
 def _gradient(emit, lens, gold, trans, start):
@@ -246,16 +260,19 @@ def train(docs: DataFrame, docs_per_language: int = TRAIN_DOCS, words: int = TRA
     return fit(samples, words=words)
 
 
-def identify(spark: SparkSession, docs: DataFrame, model: Crf) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row, from the whole text alone."""
+def with_language(spark: SparkSession, docs: DataFrame, model: Crf) -> DataFrame:
+    """``docs`` with lang_pred and score, from the whole of column text alone."""
     sent = spark.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches):
         for b in batches:
-            found = sent.value.label_texts(b.column(1).to_pylist())
-            yield pa.record_batch([b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
+            found = sent.value.label_texts(b.column(at).to_pylist())
+            new = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+            yield pa.record_batch([*b.columns, *new], names=[*b.schema.names, "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.mapInArrow(run, schema)
 
 
 def language_id(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -264,7 +281,7 @@ def language_id(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Texts that are null or have no letter are ``und`` with score 0. Equal texts have equal predictions. Rows with a null doc_id or lang are labelled but
     not learned from; with nothing to learn from, all is ``und``. Empty tables give no rows; columns other than doc_id, text and lang are not read.
     """
-    out = identify(spark, docs, train(docs))
+    out = with_language(spark, docs.select("doc_id", "text"), train(docs))
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
