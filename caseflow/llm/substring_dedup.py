@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import Workspace, null_safe, table, text_slices
 
@@ -23,6 +24,8 @@ WINDOW = 20
 GRAM = 6
 #: Runs of one minimiser that are sorted in one task; the windows of more frequent minimisers are grouped one by one.
 BUCKET = 4000
+#: Length of a span that stands for all windows of a text.
+WHOLE = 1 << 30
 _SLICE = 1 << 20
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
@@ -113,38 +116,58 @@ def _find_runs(window: int, gram: int):
     return run
 
 
+def _halves(packed: bytes) -> tuple[int, int]:
+    """A 128-bit digest as two signed longs."""
+    h = xxhash.xxh3_128_intdigest(packed)
+    return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
+
+
+_PACKED = "doc_id long, th long, start long, n int, key long, low long, packed binary"
+
+
+def _packed_batch(out):
+    kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 2 + [pa.binary()]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "th", "start", "n", "key", "low", "packed"])
+
+
 def _pack(window: int):
-    """Rows of (doc_id, th, text, runs [(key, run, many)]) -> packed strings; ``many`` runs are cut into single windows."""
+    """Rows of (doc_id, th, text, runs [(key, run, many)]) -> packed strings; the key of ``many`` runs is a digest of all their words (low is set)."""
 
     def run(batches):
         for b in batches:
-            out = [[] for _ in range(6)]
+            out = [[] for _ in range(7)]
             size = 0
             texts = b.column(2)
             for i, (doc, th, runs) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 words = (texts[i].as_py() or "").encode("utf-8", "surrogatepass").split()
                 for r in runs:
-                    start, count = r["run"] >> 8, r["run"] & 255
-                    if r["many"]:
-                        for s in range(start, start + count):
-                            packed = b" ".join(words[s : s + window])
-                            h = xxhash.xxh3_128_intdigest(packed)
-                            row = (doc, th, s, (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), None)
-                            for c, v in zip(out, row, strict=True):
-                                c.append(v)
-                    else:
-                        packed = b" ".join(words[start : start + count + window - 1])
-                        size += len(packed)
-                        for c, v in zip(out, (doc, th, start, r["key"], None, packed), strict=True):
-                            c.append(v)
+                    start, n = r["run"] >> 8, (r["run"] & 255) + window - 1
+                    packed = b" ".join(words[start : start + n])
+                    size += len(packed)
+                    key, low = _halves(packed) if r["many"] else (r["key"], None)
+                    for c, v in zip(out, (doc, th, start, n, key, low, packed), strict=True):
+                        c.append(v)
                 if len(out[0]) > 20000 or size > 1 << 23:
                     yield _packed_batch(out)
-                    out, size = [[] for _ in range(6)], 0
+                    out, size = [[] for _ in range(7)], 0
             yield _packed_batch(out)
 
-    def _packed_batch(out):
-        kinds = [pa.int64()] * 5 + [pa.binary()]
-        return pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "th", "start", "key", "low", "packed"])
+    return run
+
+
+def _windows(window: int):
+    """(first occurrence, packed) of distinct runs -> a row for each window, with its digest."""
+
+    def run(batches):
+        for b in batches:
+            out = [[] for _ in range(7)]
+            for doc, th, start, packed in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                words = packed.split(b" ")
+                for j in range(len(words) - window + 1):
+                    row = (doc, th, start + j, window, *_halves(b" ".join(words[j : j + window])), None)
+                    for c, v in zip(out, row, strict=True):
+                        c.append(v)
+            yield _packed_batch(out)
 
     return run
 
@@ -183,74 +206,101 @@ def _count_bucket(window: int):
     return run
 
 
+def later_copies(ws: Workspace, docs: DataFrame) -> DataFrame:
+    """(doc_id, th) of the documents whose whole text another document before them has."""
+    texts = ws.save(docs.select("doc_id", "th", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest")), "texts")
+    first = texts.groupBy("digest").agg(F.min(F.struct("doc_id")).alias("f"), F.count("*").alias("c")).filter("c > 1")
+    first = ws.save(first.select("digest", F.col("f.doc_id").alias("first_id")), "first-texts")
+    return ws.save(texts.join(first, "digest").filter(~F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "th").distinct(), "copies")
+
+
 def repeated_spans(ws: Workspace, docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, th, spans) per document with repeated windows; ``docs``: doc_id long, th long, text. Spans may overlap."""
+    """(doc_id, th, spans) per document with repeated windows; ``docs``: doc_id long, th long, text. Spans may overlap.
+
+    Later copies of whole texts are marked at once, from their digests, and their runs are left out of the rest.
+    """
+    copies = later_copies(ws, docs)
     runs = ws.save(docs.mapInArrow(_find_runs(window, gram), "doc_id long, th long, key long, run long"), "runs")
-    often = ws.save(runs.groupBy("key").count().filter("count > 1"), "often")
-    left = runs.join(often, "key").select("doc_id", "th", F.struct("key", "run", (F.col("count") > bucket).alias("many")).alias("r"))
+    often = ws.save(runs.groupBy("key").count().filter("count > 1").select("key"), "often")
+    left = runs.join(often, "key")
+    left = ws.save(left.join(copies, null_safe(left, copies, _KEY), "left_anti").select("doc_id", "th", "key", "run"), "left")
+    ws.drop(runs, often)
+    often = ws.save(left.groupBy("key").count().filter("count > 1"), "often")
+    left = left.join(often, "key").select("doc_id", "th", F.struct("key", "run", (F.col("count") > bucket).alias("many")).alias("r"))
     left = left.groupBy("doc_id", "th").agg(F.collect_list("r").alias("runs"))
     packed = docs.join(left, null_safe(docs, left, _KEY)).select(docs.doc_id, docs.th, docs.text, left.runs)
-    packed = ws.save(packed.mapInArrow(_pack(window), "doc_id long, th long, start long, key long, low long, packed binary"), "packed")
-    ws.drop(runs, often)
+    packed = ws.save(packed.mapInArrow(_pack(window), _PACKED), "packed")
     order = ["doc_id", "th", "start"]
-    few = packed.filter("packed is not null").select(*order, "key", "packed").repartition("key").sortWithinPartitions("key", *order)
+    few = packed.filter("low is null").select(*order, "key", "packed").repartition("key").sortWithinPartitions("key", *order)
     marks = few.mapInArrow(_count_bucket(window), _MARK)
-    many = packed.filter("packed is null").drop("packed")
-    first = ws.save(many.groupBy("key", "low").agg(F.min(F.struct(*order)).alias("f"), F.count("*").alias("c")).filter("c > 1").drop("c"), "first")
-    again = many.join(first, ["key", "low"]).filter(~F.struct(*order).eqNullSafe(F.col("f")))
-    again = again.select("doc_id", "th", F.array(F.struct(F.col("start").cast("int").alias("s"), F.lit(window).alias("n"))).alias("spans"))
-    return marks.union(again).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    marks = marks.union(copies.select("doc_id", "th", F.array(F.struct(F.lit(0).alias("s"), F.lit(WHOLE).alias("n"))).alias("spans")))
+
+    # frequent minimisers: equal runs first, then the windows of the distinct runs that are left
+    many = packed.filter("low is not null")
+    place = F.struct(*order)
+    distinct = ws.save(many.groupBy("key", "low").agg(F.min(place).alias("f"), F.first("packed").alias("packed")), "distinct")
+    single = ws.save(distinct.select("f.*", "packed").mapInArrow(_windows(window), _PACKED), "windows")
+    for rows in (many, single):
+        first = rows.groupBy("key", "low").agg(F.min(place).alias("f"), F.count("*").alias("c")).filter("c > 1").drop("c")
+        again = rows.select(*order, "n", "key", "low").join(ws.save(first, "first"), ["key", "low"]).filter(~place.eqNullSafe(F.col("f")))
+        marks = marks.union(again.select("doc_id", "th", F.array(F.struct(F.col("start").cast("int").alias("s"), "n")).alias("spans")))
+    return marks.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def _cut(keep_text: bool):
+def _cut(window: int, keep_text: bool):
+    """(doc_id, text, spans, more ...) -> counts, digest and text of what is left."""
+
     def run(batches):
         for b in batches:
-            ids, total, removed, sha, kept = [], [], [], [], []
-            size = 0
-            for doc, text, spans in zip(*(b.column(i) for i in range(3)), strict=True):
-                words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
-                left, at, gone = [], 0, 0
-                for s, n in _merged([(x["s"], x["n"]) for x in spans.as_py() or ()]):
-                    left += words[at:s]
-                    at, gone = s + n, gone + n
-                left += words[at:]
-                out = b" ".join(left)
-                ids.append(doc)
-                total.append(len(words))
-                removed.append(gone)
-                sha.append(hashlib.sha256(out).hexdigest())
+            texts, spans, at = b.column(1), b.column(2), 0
+            while at < b.num_rows:
+                total, removed, sha, kept, size, first = [], [], [], [], 0, at
+                while at < b.num_rows and size < 1 << 23:
+                    text = texts[at].as_py()
+                    words = (text or "").encode("utf-8", "surrogatepass").split()
+                    left, word, gone = [], 0, 0
+                    marked = [(x["s"], min(x["n"], len(words))) for x in spans[at].as_py() or ()]
+                    for s, n in _merged(marked) if len(words) >= window else ():
+                        left += words[word:s]
+                        word, gone = s + n, gone + n
+                    left += words[word:]
+                    out = b" ".join(left)
+                    total.append(len(words))
+                    removed.append(gone)
+                    sha.append(hashlib.sha256(out).hexdigest())
+                    if keep_text:
+                        # untouched texts keep their white space
+                        kept.append(out.decode("utf-8", "surrogatepass") if gone else text)
+                        size += len(out)
+                    at += 1
+                part = b.slice(first, at - first)
+                cols = {"doc_id": part.column(0), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
                 if keep_text:
-                    # untouched texts keep their white space
-                    kept.append((text.as_py() if not gone else out.decode("utf-8", "surrogatepass")))
-                    size += len(out)
-                    if size > 1 << 23:
-                        yield _cut_batch(ids, total, removed, sha, kept)
-                        ids, total, removed, sha, kept, size = [], [], [], [], [], 0
-            yield _cut_batch(ids, total, removed, sha, kept)
-
-    def _cut_batch(ids, total, removed, sha, kept):
-        cols = {"doc_id": pa.array([x.as_py() for x in ids], pa.int64()), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
-        if keep_text:
-            cols["kept_text"] = pa.array(kept, pa.string())
-        return pa.record_batch(list(cols.values()), names=list(cols))
+                    cols["kept_text"] = pa.array(kept, pa.string())
+                cols |= dict(zip(b.schema.names[3:], part.columns[3:], strict=True))
+                yield pa.record_batch(list(cols.values()), names=list(cols))
 
     return run
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket: int = BUCKET, keep_text: bool = True) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) of every row: the text without the words of repeated windows.
+def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket: int = BUCKET, keep_text: bool = True, columns=()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256[, kept_text], columns...) of every row: the text without the words of repeated windows.
 
     A window repeats if its words also start earlier: in a smaller doc_id, or earlier in the same document. kept_text
     is the text itself where nothing was removed, else the words left, joined by one space. Null texts have no words (kept_text stays null),
     and documents shorter than a window lose nothing. A null doc_id comes before all others; of rows that share a doc_id, the text of smaller xxhash64 comes
-    first, and rows equal in both are one document that is listed again, so their results are equal. Empty tables give no rows; other columns are not read.
+    first, and rows equal in both are one document that is listed again, so their results are equal. Empty tables give no rows; of
+    other columns only ``columns`` are read and passed on (their names must differ from those of the result).
     """
     ws = Workspace(spark, "substring")
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    spans = repeated_spans(ws, keyed, window, gram, bucket)
-    spans = ws.save(spans, "spans")
-    joined = keyed.join(spans, null_safe(keyed, spans, _KEY), "left").select(keyed.doc_id, keyed.text, spans.spans)
-    return joined.mapInArrow(_cut(keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
+    spans = ws.save(repeated_spans(ws, keyed, window, gram, bucket), "spans")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text", *columns)
+    joined = rows.join(spans, null_safe(rows, spans, _KEY), "left").select(rows.doc_id, rows.text, spans.spans, *[rows[c] for c in columns])
+    kept = [StructField("kept_text", StringType())] if keep_text else []
+    more = [docs.schema[c] for c in columns]
+    schema = StructType([StructField("doc_id", LongType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType()), *kept, *more])
+    return joined.mapInArrow(_cut(window, keep_text), schema)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
