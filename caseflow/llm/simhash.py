@@ -44,14 +44,14 @@ def fingerprint(text: str | None, shingle: int = 4) -> bytes:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp long) of every row; the text is read once and not shuffled."""
+    """(doc_id, th, fp long) of every row, th a hash of the text; the text is read once and not shuffled."""
 
     def run(batches):
         for b in batches:
-            fps = [int.from_bytes(fingerprint(t.as_py(), shingle), "big", signed=True) for t in b.column(1)]
-            yield pa.record_batch([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = [int.from_bytes(fingerprint(t.as_py(), shingle), "big", signed=True) for t in b.column(2)]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fps, pa.int64())], names=["doc_id", "th", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def covering_masks(radius: int, copies: int = 1) -> list[int]:
@@ -139,6 +139,18 @@ def links(ws: Workspace, fps: DataFrame, radius: int = 4, copies: int = 1, bucke
     return small.union(chained.select("a", "b"))
 
 
+def _groups(ws: Workspace, docs: DataFrame, shingle: int, radius: int, copies: int, bucket: int) -> DataFrame:
+    """(doc_id, th, fp, component_id) of every row."""
+    fps = ws.save(fingerprints(docs, shingle), "fingerprints")
+    nodes = ws.save(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    found = ws.save(connected_components(ws, links(ws, nodes.select("fp"), radius, copies, bucket)), "components")
+    linked = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    linked = ws.save(linked, "linked")
+    least = ws.save(linked.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    of = ws.save(linked.join(least, "component").select("fp", "component", "component_id"), "labels")
+    return fps.join(of, "fp")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, radius: int = 4, copies: int = 1, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fingerprint hex, component_id): groups of documents joined by chains of fingerprints within ``radius`` bits.
 
@@ -146,19 +158,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, radi
     so repeated rows and copies never become pairs; every input row gives one row. A null doc_id gets its row and
     never becomes a component_id unless its group has no other. An empty table gives no rows; other columns are not read.
     """
-    ws = Workspace(spark, "simhash")
-    fps = ws.save(fingerprints(docs, shingle), "fingerprints")
-    nodes = ws.save(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    found = connected_components(ws, links(ws, nodes.select("fp"), radius, copies, bucket))
-    found = ws.save(found, "components")
-    linked = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    linked = ws.save(linked, "linked")
-    least = ws.save(linked.groupBy("component").agg(F.min("least").alias("component_id")), "least")
-    of = ws.save(linked.join(least, "component").select("fp", "component_id"), "labels")
-    out = fps.join(of, "fp")
+    out = _groups(Workspace(spark, "simhash"), docs, shingle, radius, copies, bucket)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def deduplicate(spark: SparkSession, docs: DataFrame, shingle: int = 4, radius: int = 4, copies: int = 1, bucket: int = BUCKET) -> DataFrame:
+    """The rows of ``docs`` (all columns), one of each group: that of the smallest doc_id (null last), then of the smallest hash of its text.
+
+    Of rows that share both, one stays.
+    """
+    ws = Workspace(spark, "simhash")
+    groups = ws.save(_groups(ws, docs, shingle, radius, copies, bucket), "groups")
+    rows = groups.groupBy("component", F.col("doc_id").isNull().alias("no_id"), "doc_id", "th").agg(F.count("*").alias("n"))
+    kept = rows.groupBy("component").agg(F.min(F.struct("no_id", "doc_id", "th", "n")).alias("k"))
+    kept = ws.save(kept.select(F.col("k.doc_id").alias("k_id"), F.col("k.th").alias("k_th"), F.col("k.n").alias("k_n")), "kept")
+    match = docs["doc_id"].eqNullSafe(kept["k_id"]) & (F.xxhash64(docs["text"]) == kept["k_th"])
+    out = docs.join(kept, match, "left_semi")
+    return out if kept.filter("k_n > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
