@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from caseflow.functions import roles
 from caseflow.functions import text as t
 from caseflow.operators import extract as x
+from caseflow.operators import portfolio
 from caseflow.plans import adapters as a
 
 _DIGITS = "regexp_replace(raw, '[^0-9]', '', 'g')"
@@ -103,7 +105,7 @@ def reference_backfill(spark, sf):
     c = a.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, F.lit(" ")).when(F.col("c_custkey") % 3 == 1, F.format_string("CL-LEGACY-%03d", F.col("c_custkey") - 1)).otherwise(F.format_string("CL-%03d", "c_custkey")).alias("reference"))
     taken = c.filter(F.trim("reference") != "").select(F.col("reference").alias("taken"))
     want = c.filter(F.trim("reference") == "").select("id", F.format_string("CL-LEGACY-%03d", "id").alias("base"))
-    tries = want.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda n: F.struct(n.alias("n"), F.concat(F.col("base"), F.expr("repeat('X', 0)"), F.repeat(F.lit("X"), n)).alias("r")))).alias("x")).select("id", "x.n", "x.r")
+    tries = want.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda n: F.struct(n.alias("n"), F.concat(F.col("base"), F.repeat(F.lit("X"), n)).alias("r")))).alias("x")).select("id", "x.n", "x.r")
     free = tries.join(taken, tries.r == taken.taken, "left_anti").groupBy("id").agg(F.min_by("r", "n").alias("reference"))
     return c.filter(F.trim("reference") != "").unionByName(free)
 
@@ -122,9 +124,7 @@ def storage_label(spark, sf):
 def validate_cases(spark, sf):
     c = a.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 10 == 0, F.lit(" ")).otherwise(F.col("c_name")).alias("title"), F.concat(F.lit("R-"), (F.col("c_custkey") % 100).cast("string")).alias("reference_id"), F.when(F.col("c_acctbal") < 0, "Severe").otherwise("High").alias("risk"))
     existing = a.table(spark, sf, "nation").select(F.concat(F.lit("R-"), F.col("n_nationkey").cast("string")).alias("reference_id"))
-    from caseflow.operators.portfolio import validate_cases as op
-
-    return op(c, existing).select("id", "risk", F.array_join("violations", ",").alias("violations"))
+    return portfolio.validate_cases(c, existing).select("id", "risk", F.array_join("violations", ",").alias("violations"))
 
 
 def snippets(spark, sf):
@@ -221,7 +221,7 @@ def _reports(spark, sf):
     p = a.table(spark, sf, "part")
     k = F.col("p_partkey")
     s = F.when(k % 4 == 0, F.format_string("Patrol logged KA%02dAB%04d on the road.", k % 100, k % 10000)).when(k % 4 == 1, F.concat(F.lit("It was seen near "), "p_brand", F.lit("."))).when(k % 4 == 2, F.concat(F.lit("Anna P. called Boris P. about "), "p_brand", F.lit(" on 9"), F.format_string("%09d", k), F.lit("."))).otherwise(F.concat(F.lit("An incident was reported at "), "p_brand", F.lit(".")))
-    w = F.row_number().over(__import__("pyspark.sql.window", fromlist=["Window"]).Window.partitionBy("p_size").orderBy("p_partkey"))
+    w = F.row_number().over(Window.partitionBy("p_size").orderBy("p_partkey"))
     return p.select(F.col("p_size").alias("file"), F.lit(0).cast("long").alias("case_id"), (w - 1).alias("pos"), s.alias("sentence"))
 
 

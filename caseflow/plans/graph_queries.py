@@ -216,8 +216,7 @@ def key_union(spark, sf):
 
 
 def orphan_entities(spark, sf):
-    rels = a.thin_relationships(spark, sf)
-    return a.entities(spark, sf).select("key").exceptAll(key_union(spark, sf)) if rels else None
+    return a.entities(spark, sf).select("key").exceptAll(key_union(spark, sf))
 
 
 def key_intersection(spark, sf):
