@@ -378,8 +378,13 @@ def made_page(rng: random.Random) -> tuple[Page, list[bool]]:
 
 def train(pages: DataFrame, max_pages: int = TRAIN_PAGES, max_chars: int = TRAIN_CHARS, made: int = MADE_PAGES) -> TreeModel:
     """Fit on made pages and on a bounded sample of the table: pages that mark their article themselves, in the order of a hash of their html."""
-    short = pages.select("html").filter((F.length("html") <= max_chars) & F.lower("html").rlike("<(article|main)[\\s>]"))
-    sample = [r[0] for r in short.select("html", F.xxhash64("html").alias("h")).orderBy("h").limit(max_pages).collect()]
+    short = pages.select("html").filter((F.length("html") <= max_chars) & F.lower("html").rlike("<(article|main)[\\s>]")).withColumn("h", F.xxhash64("html"))
+    # first the hashes alone, then the pages of these
+    chosen = [tuple(r) for r in short.select("h").distinct().orderBy("h").limit(max_pages).collect()]
+    sample = []
+    if chosen:
+        picked = pages.sparkSession.createDataFrame(chosen, "h long")
+        sample = [r.html for r in sorted(short.join(F.broadcast(picked), "h").groupBy("h").agg(F.min("html").alias("html")).collect(), key=lambda r: r.h)]
     rng = random.Random(17)
     return fit([made_page(rng) for _ in range(made)] + [x for s in sample if (x := label_page(s)) is not None])
 
