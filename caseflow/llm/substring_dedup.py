@@ -26,7 +26,7 @@ GRAM = 6
 BUCKET = 4000
 #: Length of a span that stands for all windows of a text.
 WHOLE = 1 << 30
-_SLICE = 1 << 20
+_SLICE = 1 << 19
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 
@@ -138,13 +138,16 @@ def _pack(window: int):
             out = [[] for _ in range(7)]
             size = 0
             texts = b.column(2)
-            for i, (doc, th, runs) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)):
+            lists = b.column(3)
+            ends, items = lists.offsets.to_numpy(), lists.values
+            keys, places, many = (items.field(n).to_numpy(zero_copy_only=False) for n in ("key", "run", "many"))
+            for i, (doc, th) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 words = (texts[i].as_py() or "").encode("utf-8", "surrogatepass").split()
-                for r in runs:
-                    start, n = r["run"] >> 8, (r["run"] & 255) + window - 1
+                for j in range(ends[i], ends[i + 1]):
+                    start, n = int(places[j]) >> 8, (int(places[j]) & 255) + window - 1
                     packed = b" ".join(words[start : start + n])
                     size += len(packed)
-                    key, low = _halves(packed) if r["many"] else (r["key"], None)
+                    key, low = _halves(packed) if many[j] else (int(keys[j]), None)
                     for c, v in zip(out, (doc, th, start, n, key, low, packed), strict=True):
                         c.append(v)
                 if len(out[0]) > 20000 or size > 1 << 23:
@@ -235,15 +238,18 @@ def repeated_spans(ws: Workspace, docs: DataFrame, window: int = WINDOW, gram: i
     marks = few.mapInArrow(_count_bucket(window), _MARK)
     marks = marks.union(copies.select("doc_id", "th", F.array(F.struct(F.lit(0).alias("s"), F.lit(WHOLE).alias("n"))).alias("spans")))
 
-    # frequent minimisers: equal runs first, then the windows of the distinct runs that are left
+    # frequent minimisers: equal runs first, then the windows of the distinct runs that are left. A document's runs (or windows)
+    # without those that come first of their kind are found by document, so that common runs are not joined one by one
     many = packed.filter("low is not null")
-    place = F.struct(*order)
+    place = F.struct(*order, "n")
     distinct = ws.save(many.groupBy("key", "low").agg(F.min(place).alias("f"), F.first("packed").alias("packed")), "distinct")
-    single = ws.save(distinct.select("f.*", "packed").mapInArrow(_windows(window), _PACKED), "windows")
-    for rows in (many, single):
-        first = rows.groupBy("key", "low").agg(F.min(place).alias("f"), F.count("*").alias("c")).filter("c > 1").drop("c")
-        again = rows.select(*order, "n", "key", "low").join(ws.save(first, "first"), ["key", "low"]).filter(~place.eqNullSafe(F.col("f")))
-        marks = marks.union(again.select("doc_id", "th", F.array(F.struct(F.col("start").cast("int").alias("s"), "n")).alias("spans")))
+    single = ws.save(distinct.select("f.doc_id", "f.th", "f.start", "packed").mapInArrow(_windows(window), _PACKED), "windows")
+    for rows, first in ((many, distinct), (single, single.groupBy("key", "low").agg(F.min(place).alias("f")))):
+        span = F.struct(F.col("start").cast("int").alias("s"), "n")
+        listed = lambda df, name: df.groupBy("doc_id", "th").agg(F.collect_list(span).alias(name))  # noqa: E731, B023
+        own, kept = listed(rows, "own"), ws.save(listed(first.select("f.*"), "kept"), "kept")
+        own = own.join(kept, null_safe(own, kept, _KEY), "left").select(own.doc_id, own.th, F.when(kept.kept.isNull(), own.own).otherwise(F.array_except(own.own, kept.kept)).alias("spans"))
+        marks = marks.union(own.filter("size(spans) > 0"))
     return marks.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
