@@ -7,7 +7,11 @@ import re
 from array import array
 
 #: Distinct pieces a worker keeps; the table starts afresh beyond it.
-CACHE = 500_000
+CACHE = 1_200_000
+#: First bytes of characters from U+0300 on: combining marks and all that composes with them are among these.
+_HIGH = bytes(range(0xCC, 0x100))
+#: Latin letters (but the one whose lower case has a mark of its own), then ASCII punctuation without apostrophes.
+_WORD_TAIL = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@[-`{-~]+)")
 _ONE_SPACE = re.compile(r"(?<! ) (?! )")
 _KEPT: dict[tuple[str, bool], "PieceEncoder"] = {}
 
@@ -27,8 +31,10 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
         self.spaces = spaces
+        self.lower = self.tokenizer.normalizer is not None and "Lowercase()" in str(self.tokenizer.normalizer)
         self.first: dict[str, bytes] = {}
         self.after: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     @staticmethod
     def of(file: str, spaces: bool) -> "PieceEncoder":
@@ -37,7 +43,16 @@ class PieceEncoder:
         return _KEPT[file, spaces]
 
     def _learn(self, table: dict[str, bytes], new: set[str], lead: str) -> None:
-        todo = list(new)
+        """Encode new pieces. Letters with punctuation after them are two pieces to these tokenizers, so each part is encoded once by itself."""
+        parts = [m.groups() for m in map(_WORD_TAIL.fullmatch, new) if m]
+        cores, tails = {c for c, _ in parts} - table.keys(), {t for _, t in parts} - self.tails.keys()
+        whole = [p for p in new if not _WORD_TAIL.fullmatch(p)]
+        self._library(table, list(cores.union(whole)), lead)
+        self._library(self.tails, list(tails), "")
+        for core, tail in parts:
+            table[core + tail] = table[core] + self.tails[tail]
+
+    def _library(self, table: dict[str, bytes], todo: list[str], lead: str) -> None:
         for a in range(0, len(todo), 8192):
             part = todo[a : a + 8192]
             for piece, e in zip(part, self.tokenizer.encode_batch_fast([lead + p for p in part], add_special_tokens=False), strict=True):
@@ -53,6 +68,7 @@ class PieceEncoder:
         for table, new, lead in ((self.first, first, ""), (self.after, after, " " if self.spaces else "")):
             if len(table) + len(new) > CACHE:
                 table.clear()
+                self.tails.clear()
                 new = ({p[0] for p in parts if p} if table is self.first else seen)
             self._learn(table, new, lead)
         get = self.after.__getitem__
@@ -63,6 +79,11 @@ class PieceEncoder:
     def _cut(self, text: str | None) -> list[str]:
         if not text:
             return []
+        if not self.spaces and self.lower:
+            # below U+0300 nothing is composed, so A-Z can be lowered first, and more pieces are equal
+            raw = text.encode("utf-8", "surrogatepass")
+            if raw.isascii() or len(raw.translate(None, _HIGH)) == len(raw):
+                text = raw.lower().decode("utf-8", "surrogatepass")
         return _ONE_SPACE.split(text) if self.spaces and "  " in text else text.split(" ")
 
 

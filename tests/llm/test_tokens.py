@@ -21,8 +21,8 @@ def plain(file, texts):
 @pytest.mark.parametrize("file,spaces", [(BYTE, True), (WORD, False)])
 def test_pieces_give_the_library_ids(spark, sf, file, spaces):
     rng = random.Random(4)
-    alphabet = [" ", "  ", "\n", "\t", "\xa0", "　", "a", "B", "é", "é", "'s", "'", "1", "22", "!", "<|endoftext|>", "̈", "中", "😀", "\r\n", "\x1c", "ß", "İ"]
-    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(4000)] + [None, "", " ", "   x", "x   "]
+    alphabet = [" ", "  ", "\n", "\t", "\xa0", "　", "a", "B", "é", "é", "'s", "'", "1", "22", "!", "<|endoftext|>", "̈", "中", "😀", "\r\n", "\x1c", "ß", "İ", "~", "~~", "Σ", "J̌"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(6000)] + [None, "", " ", "   x", "x   "]
     texts += [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     got = [np.frombuffer(b, "<u4").tolist() for b in PieceEncoder(file, spaces).encode(texts)]
     assert got == plain(file, texts)
