@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -251,12 +251,16 @@ def train(docs: DataFrame, docs_per_language: int = TRAIN_DOCS, words: int = TRA
     """Fit on at most ``docs_per_language`` labelled documents a language outside the held-out fold, chosen by a hash of their
     ids, and the first ``words`` words of each: a bounded sample that alone reaches the driver."""
     fold = docs.select("doc_id", "text", "lang").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    langs = [r[0] for r in fold.select("lang").distinct().orderBy("lang").limit(1000).collect()]
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ids = fold.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct().withColumn("n", F.row_number().over(order))
+    # first the ids alone, then the texts of these: the tasks' candidates would else be whole texts
+    chosen = ids.filter(F.col("n") <= docs_per_language).select("lang", "doc_id").collect()
+    if not chosen:
+        return fit([])
+    picked = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], "lang string, doc_id long")
     text = F.substring_index(F.regexp_replace("text", r"\s+", " "), " ", words)
-    samples = []
-    for lang in langs:
-        part = fold.filter(F.col("lang") == lang).select(F.xxhash64("doc_id").alias("h"), "doc_id", "text")
-        samples += [(r[0], lang) for r in part.orderBy("h", "doc_id").limit(docs_per_language).select(text.alias("t")).collect()]
+    rows = fold.join(F.broadcast(picked), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min(text).alias("t")).collect()
+    samples = [(r.t, r.lang) for r in sorted(rows, key=lambda r: (r.lang, r.doc_id))]
     return fit(samples, words=words)
 
 
