@@ -89,7 +89,8 @@ class Transducer:
                 self.byte[int(p[3:5], 16)] = i
         #: pieces that the merges can make; the longest
         self.id = {p: i for i, (p, _, kind) in enumerate(pieces) if kind == self.NORMAL and self.merge(p) == [p]}
-        self.longest = max(map(len, self.id), default=1)
+        #: beginnings of pieces: states of the piece transducer before a piece is complete
+        self.heads = {p[:k] for p in self.id for k in range(1, len(p) + 1)}
         self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.id)
         self.arcs: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
@@ -116,25 +117,22 @@ class Transducer:
 
         All paths to a position end in the same piece, the one its prefix's segmentation ends in, so a position is one lattice state.
         """
-        n, ids, arcs = len(s), self.id, self.arcs
-        best, last, back = [float("inf")] * (n + 1), [None] * (n + 1), [0] * (n + 1)
+        n, ids, heads, arcs, score, inf = len(s), self.id, self.heads, self.arcs, self.score, float("inf")
+        best, last, back = [inf] * (n + 1), [None] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
         for i in range(n):
-            if best[i] == float("inf"):
+            if best[i] == inf:
                 continue
             before = last[i]
-            some = False
-            for j in range(i + 1, min(n, i + self.longest) + 1):
+            free = before is None or type(before) is bytes
+            for j in range(i + 1, n + 1):
                 p = s[i:j]
-                if p in ids:
-                    some = some or j == i + 1
-                    if before is None or type(before) is bytes:
-                        ok = True
-                    else:
-                        ok = arcs[before, p] if (before, p) in arcs else self.arc(before, p)
-                    if ok and (w := best[i] - self.score[p]) < best[j]:
-                        best[j], last[j], back[j] = w, p, i
-            if not some and best[i] + FALLBACK < best[i + 1]:
+                if p not in heads:
+                    break
+                # a position that is reached has its only piece already
+                if best[j] == inf and p in ids and (free or (arcs[before, p] if (before, p) in arcs else self.arc(before, p))):
+                    best[j], last[j], back[j] = best[i] - score[p], p, i
+            if s[i] not in ids and best[i] + FALLBACK < best[i + 1]:
                 best[i + 1], last[i + 1], back[i + 1] = best[i] + FALLBACK, s[i].encode("utf-8", "surrogatepass"), i
         out, i = [], n
         while i:
