@@ -25,6 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+_WORKER: dict = {}
+
+
+def keep_one(key, make):
+    """What ``make`` gives, kept by this Python worker for later tasks; what another operator had it keep is let go."""
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = make()
+    return _WORKER[key]
+
+
 class Workspace:
     """Intermediate tables of one run, written under the shared folder so that lost executors cost no lineage."""
 

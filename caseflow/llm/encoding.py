@@ -6,14 +6,15 @@ import os
 import re
 from array import array
 
+from .common import keep_one
+
 #: Distinct pieces a worker keeps; the table starts afresh beyond it.
-CACHE = 1_200_000
+CACHE = 800_000
 #: First bytes of characters from U+0300 on: combining marks and all that composes with them are among these.
 _HIGH = bytes(range(0xCC, 0x100))
 #: Latin letters (but the one whose lower case has a mark of its own), then ASCII punctuation without apostrophes.
 _WORD_TAIL = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@[-`{-~]+)")
 _ONE_SPACE = re.compile(r"(?<! ) (?! )")
-_KEPT: dict[tuple[str, bool], "PieceEncoder"] = {}
 
 
 class PieceEncoder:
@@ -38,9 +39,7 @@ class PieceEncoder:
 
     @staticmethod
     def of(file: str, spaces: bool) -> "PieceEncoder":
-        if (file, spaces) not in _KEPT:
-            _KEPT[file, spaces] = PieceEncoder(file, spaces)
-        return _KEPT[file, spaces]
+        return keep_one(("pieces", file, spaces), lambda: PieceEncoder(file, spaces))
 
     def _learn(self, table: dict[str, bytes], new: set[str], lead: str) -> None:
         """Encode new pieces. Letters with punctuation after them are two pieces to these tokenizers, so each part is encoded once by itself."""

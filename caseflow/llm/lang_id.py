@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import table, text_slices
+from .common import keep_one, table, text_slices
 
 UNKNOWN = "und"
 #: Bounds of the training sample: documents of each language, and words taken from each of them.
@@ -271,8 +271,11 @@ def with_language(spark: SparkSession, docs: DataFrame, model: Crf) -> DataFrame
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches):
+        # a copy with word tables of its own, which go with the task
+        model = Crf(*sent.value.__getstate__())
+        keep_one("languages", dict)
         for b in batches:
-            found = sent.value.label_texts(b.column(at).to_pylist())
+            found = model.label_texts(b.column(at).to_pylist())
             new = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.record_batch([*b.columns, *new], names=[*b.schema.names, "lang_pred", "score"])
 

@@ -17,7 +17,7 @@ from array import array
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, text_slices
+from .common import keep_one, table, text_slices
 
 SPACE = "▁"
 #: Weight of a character that is written as bytes, above any path of pieces.
@@ -182,13 +182,8 @@ class Transducer:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-_COMPILED: dict[str, Transducer] = {}
-
-
 def compiled(file: str) -> Transducer:
-    if file not in _COMPILED:
-        _COMPILED[file] = Transducer(file)
-    return _COMPILED[file]
+    return keep_one(("transducer", file), lambda: Transducer(file))
 
 
 def encode_decode(docs: DataFrame, model: str) -> DataFrame:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, connected_components, table
+from .common import Workspace, connected_components, keep_one, table
 
 BITS = 64
 SEED = 42
@@ -47,6 +47,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(doc_id, th, fp long) of every row, th a hash of the text; the text is read once and not shuffled."""
 
     def run(batches):
+        keep_one("simhash", dict)
         for b in batches:
             fps = [int.from_bytes(fingerprint(t.as_py(), shingle), "big", signed=True) for t in b.column(2)]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(fps, pa.int64())], names=["doc_id", "th", "fp"])

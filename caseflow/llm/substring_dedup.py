@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import Workspace, null_safe, table, text_slices
+from .common import Workspace, keep_one, null_safe, table, text_slices
 
 WINDOW = 20
 GRAM = 6
@@ -106,6 +106,7 @@ def _mark_batch(ids, ths, spans):
 
 def _find_runs(window: int, gram: int):
     def run(batches):
+        keep_one("substring_dedup", dict)
         for b in batches:
             texts = _bytes(b.column(2))
             for a, z in text_slices([len(t) for t in texts], _SLICE):
