@@ -163,13 +163,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, radi
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(spark: SparkSession, docs: DataFrame, shingle: int = 4, radius: int = 4, copies: int = 1, bucket: int = BUCKET) -> DataFrame:
-    """The rows of ``docs`` (all columns), one of each group: that of the smallest doc_id (null last), then of the smallest hash of its text.
-
-    Of rows that share both, one stays.
-    """
-    ws = Workspace(spark, "simhash")
-    groups = ws.save(_groups(ws, docs, shingle, radius, copies, bucket), "groups")
+def keep_least(ws: Workspace, docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are the least of their component; groups: (doc_id, th, component) of every row."""
+    groups = ws.save(groups, "groups")
     rows = groups.groupBy("component", F.col("doc_id").isNull().alias("no_id"), "doc_id", "th").agg(F.count("*").alias("n"))
     kept = rows.groupBy("component").agg(F.min(F.struct("no_id", "doc_id", "th", "n")).alias("k"))
     kept = ws.save(kept.select(F.col("k.doc_id").alias("k_id"), F.col("k.th").alias("k_th"), F.col("k.n").alias("k_n")), "kept")
@@ -178,6 +174,15 @@ def deduplicate(spark: SparkSession, docs: DataFrame, shingle: int = 4, radius:
     return out if kept.filter("k_n > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
 
 
+def deduplicate(spark: SparkSession, docs: DataFrame, shingle: int = 4, radius: int = 4, copies: int = 1, bucket: int = BUCKET) -> DataFrame:
+    """The rows of ``docs`` (all columns), one of each group: that of the smallest doc_id (null last), then of the smallest hash of its text.
+
+    Of rows that share both, one stays.
+    """
+    ws = Workspace(spark, "simhash")
+    return keep_least(ws, docs, _groups(ws, docs, shingle, radius, copies, bucket))
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
