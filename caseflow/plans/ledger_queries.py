@@ -246,21 +246,29 @@ def json_envelope(spark, sf):
     return files.envelope(_json_files(spark, sf)).select("file", "name", "value").filter("name <> 'data'")
 
 
+#: Lines of a text file that ``text_scan`` writes.
+LINES = 10_000
+
+
 def text_scan(spark, sf):
     path = files.work_dir(spark, "text")
     c = a.table(spark, sf, "conversations")
+    # written as the scan's tasks come, in files of at most LINES lines
     lines = c.select((F.col("conv_id") % 6).alias("part"), F.regexp_replace("text", "\\s+", " ").alias("value"))
-    lines.repartition("part").write.partitionBy("part").text(path)
+    lines.write.partitionBy("part").option("maxRecordsPerFile", LINES).text(path)
     df = files.read_text(spark, path)
     return df.select(F.regexp_extract("file", "part=([0-9]+)", 1).cast("long").alias("part"), F.length(F.regexp_replace("content", "\n", "")).alias("n")).groupBy("part").agg(F.sum("n").alias("chars"))
 
 
-def size_limit(spark, sf):
+def size_limit(spark, sf, max_bytes=files.MAX_BYTES):
+    """Parts of the documents, a document a file, and how many of them have a hash for every file; a file over the limit leaves its part without."""
     path = files.work_dir(spark, "binary")
     d = a.table(spark, sf, "documents").select((F.col("doc_id") % 8).alias("part"), F.col("text").alias("value"))
-    d.repartition("part").write.partitionBy("part").text(path)
-    df = files.read_binary(spark, path)
-    return ledger.fingerprints(df).agg(F.count("*").alias("files"), F.count_if(F.length("sha256") == 64).alias("hashed"))
+    d.write.partitionBy("part").option("maxRecordsPerFile", 1).text(path)
+    part = F.regexp_extract("path", "part=([^/]+)", 1).alias("part")
+    done = ledger.fingerprints(files.read_binary(spark, path, max_bytes)).select(part, (F.length("sha256") == 64).alias("hashed"))
+    over = files.oversized(spark, path, max_bytes).select(part, F.lit(False).alias("hashed"))
+    return done.union(over).groupBy("part").agg(F.every("hashed").alias("hashed")).agg(F.count("*").alias("files"), F.count_if("hashed").alias("hashed"))
 
 
 def file_classify(spark, sf):

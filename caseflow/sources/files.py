@@ -54,6 +54,11 @@ def read_binary(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> D
     return spark.read.format("binaryFile").load(path).filter(F.col("length") <= max_bytes).select("path", "length", "content")
 
 
+def oversized(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path, length) of the files that ``read_binary`` rejects; contents are not loaded."""
+    return spark.read.format("binaryFile").load(path).filter(F.col("length") > max_bytes).select("path", "length")
+
+
 def _is(v: Column, kind: str) -> Column:
     return F.schema_of_variant(v).startswith(kind)
 
