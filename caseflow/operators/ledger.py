@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ ROLE_ALIASES = {"admin": "Admin", "administrator": "Admin", "investigator": "Inv
 BY_ID = ("EVIDENCE_DOWNLOADED", "EVIDENCE_INTEGRITY_CHECK", "EVIDENCE_ACCESS_DENIED", "EVIDENCE_ACCESS_REJECTED")
 BY_NAME = ("EVIDENCE_INGESTED", "EVIDENCE_INGEST_FAILED", "LEGACY_EVIDENCE_FINGERPRINTED")
 GENESIS = "GENESIS"
+#: Stands for what a block's body gets later.
+MARK = "5f2c0e6b9d7a4c1e8b3fd0a617c25e94"
 
 
 def iso_micros(ts: Column) -> Column:
@@ -30,20 +35,36 @@ def block_body(created_at: Column, event_type: Column, index: Column, payload: C
 def append_blocks(events: DataFrame) -> DataFrame:
     """(chain_id, block_index, id, event_type, payload, created_at, previous_hash, block_hash).
 
-    events: (chain_id, id, ts, event_type, payload). A chain is one list in order of id, since each hash needs the one before; chains run in
-    parallel, so a chain should be a case or a user.
+    events: (chain_id, id, ts, event_type, payload). A chain is read in order of id by one task, since each hash needs the one before; only the last
+    hash and index are held. Chains run in parallel, so a chain should be a case or a user.
     """
-    rows = F.array_sort(F.collect_list(F.struct("id", iso_micros(F.col("ts")).alias("created_at"), "event_type", "payload")))
-    start = F.struct(F.lit(GENESIS).alias("last"), F.array().cast("array<string>").alias("hashes"))
-
-    def step(s, e):
-        h = F.sha2(block_body(e.created_at, e.event_type, F.size(s.hashes), e.payload, s.last), 256)
-        return F.struct(h.alias("last"), F.concat(s.hashes, F.array(h)).alias("hashes"))
-
-    chains = events.groupBy("chain_id").agg(rows.alias("rows")).withColumn("hashes", F.aggregate("rows", start, step).hashes)
-    out = chains.select("chain_id", "hashes", F.posexplode("rows").alias("block_index", "r"))
-    prev = F.when(F.col("block_index") == 0, F.lit(GENESIS)).otherwise(F.try_element_at("hashes", F.col("block_index")))
-    return out.select("chain_id", "block_index", "r.id", "r.event_type", "r.payload", "r.created_at", prev.alias("previous_hash"), F.try_element_at("hashes", F.col("block_index") + 1).alias("block_hash"))
+    created = iso_micros(F.col("ts")).alias("created_at")
+    rows = events.select("chain_id", "id", created, "event_type", "payload")
+    mark = F.lit(MARK)
+    body = F.split(block_body(F.col("created_at"), F.col("event_type"), mark, mark, mark), MARK)
+    parts = rows.select("*", body[0].alias("head"), F.concat(body[1], "payload", body[2]).alias("middle"), body[3].alias("tail"))
+
+    def run(batches):
+        chain, index, last = (), 0, GENESIS
+        for b in batches:
+            out = []
+            for c, head, middle, tail in zip(*(b.column(n).to_pylist() for n in ("chain_id", "head", "middle", "tail")), strict=True):
+                if (c,) != chain:
+                    chain, index, last = (c,), 0, GENESIS
+                before = last
+                known = None not in (head, middle, tail, before)
+                last = hashlib.sha256(f"{head}{index}{middle}{before}{tail}".encode()).hexdigest() if known else None
+                out.append((index, before, last))
+                index += 1
+            found = [pa.array([o[k] for o in out], t) for k, t in ((0, pa.int32()), (1, pa.string()), (2, pa.string()))]
+            kept = [b.column(n) for n in ("chain_id", "id", "event_type", "payload", "created_at")]
+            yield pa.record_batch([kept[0], found[0], *kept[1:], *found[1:]], names=names)
+
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    names = ["chain_id", "block_index", "id", "event_type", "payload", "created_at", "previous_hash", "block_hash"]
+    schema = ", ".join(f"{n} {kind.get(n, 'int' if n == 'block_index' else 'string')}" for n in names)
+    order = ["chain_id", "id", "created_at", "event_type", "payload"]
+    return parts.repartition("chain_id").sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def verify_chains(blocks: DataFrame) -> DataFrame:
