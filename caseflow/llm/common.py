@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,13 +32,23 @@ _WORKER: dict = {}
 
 
 def keep_one(key, make):
-    """What ``make`` gives, kept by this Python worker for later tasks; what another operator had it keep is let go."""
+    """What ``make`` gives, kept by this Python worker for later tasks; what another operator had it keep is let go, back to the system."""
     if key not in _WORKER:
-        _WORKER.clear()
+        if _WORKER:
+            _WORKER.clear()
+            give_back()
         _WORKER[key] = make()
     return _WORKER[key]
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Workspace:
     """Intermediate tables of one run, written under the shared folder so that lost executors cost no lineage."""
 
@@ -85,6 +98,11 @@ def text_slices(sizes: list[int], limit: int):
         yield start, len(sizes)
 
 
+def slices_of(texts: pa.Array, limit: int):
+    """``text_slices`` of a column of texts, by their bytes."""
+    return text_slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), limit)
+
+
 def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected edge list (a long, b long); component is the least node.
 

@@ -1,28 +1,94 @@
-"""Encoding of whole texts by a public tokenizer, each distinct piece of text between spaces once per worker."""
+"""Encoding of whole texts by a public tokenizer: each distinct piece of text between spaces once, the rest in arrays."""
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from .common import keep_one
 
-#: Distinct pieces a worker keeps; the table starts afresh beyond it.
-CACHE = 800_000
-#: First bytes of characters from U+0300 on: combining marks and all that composes with them are among these.
-_HIGH = bytes(range(0xCC, 0x100))
-#: Latin letters (but the one whose lower case has a mark of its own), then ASCII punctuation without apostrophes.
-_WORD_TAIL = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@[-`{-~]+)")
+#: Bytes of pieces and ids that each of a table's two generations keeps, about.
+KEEP_BYTES = 48 << 20
+#: What an entry costs besides its text and its ids, about.
+_ENTRY = 200
+#: Characters of text that are encoded at a time, about.
+SLICE = 1 << 23
+#: Begins a piece that no space comes before. Texts that hold it are cut at spaces only.
+GLUE = "\x01"
+# a Latin letter (but the one whose lower case has a mark of its own), then ASCII punctuation without apostrophes
+_LETTER_MARK = "([A-Za-zÀ-ÖØ-öø-įı-ɏ])([!-&(-/:-@[-`{-~])"
+# a single line end between characters that are neither white space nor compose with others
+_LINE_END = "([!-~À-ɏ])(\n)([!-~À-ɏ])"
 _ONE_SPACE = re.compile(r"(?<! ) (?! )")
+_WORD = {s: re.compile(f"{lead}[A-Za-zÀ-ÖØ-öø-įı-ɏ]+") for s, lead in ((False, ""), (True, " "))}
+#: Words in a line for the library.
+_LINE = 128
+
+
+class Recent(dict):
+    """A table of bytes by text in two generations: when the younger one is full it becomes the older, so what is used often stays."""
+
+    def __init__(self, limit: int = KEEP_BYTES):
+        super().__init__()
+        self.limit, self.size, self.older = limit, 0, {}
+
+    def keep(self, key: str, value: bytes) -> None:
+        if self.size > self.limit:
+            self.older = dict(self)
+            self.clear()
+            self.size = 0
+        self[key] = value
+        self.size += len(key) + len(value) + _ENTRY
+
+    def fill(self, keys: list[str], make) -> list[bytes]:
+        """The values of all ``keys``; ``make`` gives those of a list of unknown ones."""
+        out = list(map(self.get, keys))
+        missing = [i for i, v in enumerate(out) if v is None]
+        older, new = self.older, []
+        for i in missing:
+            if (v := older.get(keys[i])) is not None:
+                out[i] = v
+            else:
+                new.append(i)
+        made = make([keys[i] for i in new]) if new else []
+        for i, v in zip(new, made, strict=True):
+            out[i] = v
+        for i in missing:
+            self.keep(keys[i], out[i])
+        return out
+
+
+def gather(pool: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, bounds) of the pool's entries in the order of ``codes``, one after the other; entry i lies between bounds[i] and bounds[i + 1]."""
+    taken = pa.array(pool, pa.large_binary()).take(pa.array(codes))
+    _, offsets, data = taken.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[: len(codes) + 1] // 4
+    return np.frombuffer(data, "<u4") if data else np.zeros(0, "<u4"), bounds
+
+
+def joined_lists(texts: pa.Array, split: pa.Array, odd: np.ndarray, cut) -> pa.Array:
+    """``split`` with the rows numbered ``odd`` cut by the Python function instead."""
+    if not len(odd):
+        return split
+    own = pa.array([cut(texts[int(i)].as_py()) for i in odd], split.type)
+    place = np.arange(len(split))
+    place[odd] = len(split) + np.arange(len(odd))
+    return pa.concat_arrays([split, own]).take(pa.array(place))
 
 
 class PieceEncoder:
-    """ids of a text as little-endian unsigned 32-bit bytes, equal to the library's ids of the whole text.
+    """ids of whole texts, equal to the library's (add_special_tokens=False).
 
-    ``spaces`` is true for byte-level vocabularies that keep white space: a single space between two
-    other characters always begins a new piece there, so the text is cut before it and the space stays with what follows. False
-    is for vocabularies that drop white space. Special tokens' strings are ordinary text.
+    Texts are cut where a vocabulary's own rules always cut: before punctuation that follows a letter, and ``spaces`` tells how at
+    white space. True is for byte-level vocabularies that keep it: a single space between two other characters begins a
+    new piece and stays with what follows, and line ends are pieces of their own. False is for vocabularies that drop white space.
+    The strings of special tokens become their ids, as in the library.
     """
 
     def __init__(self, file: str, spaces: bool):
@@ -30,60 +96,100 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
         self.spaces = spaces
-        self.lower = self.tokenizer.normalizer is not None and "Lowercase()" in str(self.tokenizer.normalizer)
-        self.first: dict[str, bytes] = {}
-        self.after: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        #: strings of special tokens; texts that hold one are cut at spaces only
+        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] or [GLUE]
+        plain = not any(m.isalpha() for m in self.marks)
+        self.lower = plain and self.tokenizer.normalizer is not None and "Lowercase()" in str(self.tokenizer.normalizer)
+        # ids at the edge of a word: with the mark for a space before it, or for its end
+        size, end = self.tokenizer.get_vocab_size(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        marks = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        edge = np.array([m.startswith("Ġ") if spaces else bool(end) and m.endswith(end) for m in marks])
+        self.edge = edge if plain and edge.any() else None
+        self.first, self.after = Recent(), Recent()
 
     @staticmethod
     def of(file: str, spaces: bool) -> "PieceEncoder":
         return keep_one(("pieces", file, spaces), lambda: PieceEncoder(file, spaces))
 
-    def _learn(self, table: dict[str, bytes], new: set[str], lead: str) -> None:
-        """Encode new pieces. Letters with punctuation after them are two pieces to these tokenizers, so each part is encoded once by itself."""
-        parts = [m.groups() for m in map(_WORD_TAIL.fullmatch, new) if m]
-        cores, tails = {c for c, _ in parts} - table.keys(), {t for _, t in parts} - self.tails.keys()
-        whole = [p for p in new if not _WORD_TAIL.fullmatch(p)]
-        self._library(table, list(cores.union(whole)), lead)
-        self._library(self.tails, list(tails), "")
-        for core, tail in parts:
-            table[core + tail] = table[core] + self.tails[tail]
-
-    def _library(self, table: dict[str, bytes], todo: list[str], lead: str) -> None:
-        for a in range(0, len(todo), 8192):
-            part = todo[a : a + 8192]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast([lead + p for p in part], add_special_tokens=False), strict=True):
-                table[piece] = array("I", e.ids).tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [self._cut(t) for t in texts]
-        first = {p[0] for p in parts if p} - self.first.keys() if self.spaces else set()
-        seen = set()
-        for p in parts:
-            seen.update(p)
-        after = seen - self.after.keys()
-        for table, new, lead in ((self.first, first, ""), (self.after, after, " " if self.spaces else "")):
-            if len(table) + len(new) > CACHE:
-                table.clear()
-                self.tails.clear()
-                new = ({p[0] for p in parts if p} if table is self.first else seen)
-            self._learn(table, new, lead)
-        get = self.after.__getitem__
+    @property
+    def largest_id(self) -> int:
+        """The largest id, those of special tokens among them."""
+        return self.tokenizer.get_vocab_size() - 1
+
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        out = []
+        for a in range(0, len(pieces), 8192):
+            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces[a : a + 8192], add_special_tokens=False)]
+        return out
+
+    def _library(self, pieces: list[str]) -> list[bytes]:
+        """ids of every piece. Latin words go to the library many in a line, and the marks of word starts or ends in the vocabulary part them again."""
+        if self.edge is None:
+            return self._each(pieces)
+        words = [i for i, p in enumerate(pieces) if _WORD[self.spaces].fullmatch(p)]
+        out: list = [None] * len(pieces)
+        lines = [("" if self.spaces else " ").join([pieces[i] for i in words[a : a + _LINE]]) for a in range(0, len(words), _LINE)]
+        for a in range(0, len(lines), 64):
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(lines[a : a + 64], add_special_tokens=False)])
+            part = words[a * _LINE : (a + 64) * _LINE]
+            edges = np.flatnonzero(self.edge[ids])
+            if len(edges) != len(part):
+                raise ValueError("the vocabulary has no mark at one end of a word")
+            ends = (np.append(edges[1:], len(ids)) if self.spaces else edges + 1) * 4
+            raw = ids.tobytes()
+            at = 0
+            for i, z in zip(part, ends.tolist(), strict=True):
+                out[i] = raw[at:z]
+                at = z
+        rest = [i for i, v in enumerate(out) if v is None]
+        for i, v in zip(rest, self._each([pieces[i] for i in rest]), strict=True):
+            out[i] = v
+        return out
+
+    def _cut(self, texts: pa.Array) -> pa.Array:
+        odd = functools.reduce(pc.or_, [pc.match_substring(texts, m) for m in self.marks])
+        if self.spaces:
+            odd = pc.or_(odd, pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, GLUE)))
+            marked = pc.replace_substring_regex(texts, _LETTER_MARK, rf"\1 {GLUE}\2")
+            marked = pc.replace_substring_regex(marked, _LINE_END, rf"\1 {GLUE}\2 {GLUE}\3")
+        else:
+            marked = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), _LETTER_MARK, r"\1 \2")
+        return joined_lists(texts, pc.split_pattern(marked, " "), np.flatnonzero(odd.to_numpy(zero_copy_only=False)), self._spaces if self.spaces else lambda t: t.split(" "))
+
+    @staticmethod
+    def _spaces(text: str) -> list[str]:
+        """The text cut at its single spaces; a piece that begins with the glue itself is left on the one before it."""
+        out = []
+        for p in _ONE_SPACE.split(text):
+            if out and p[:1] == GLUE:
+                out[-1] += " " + p
+            else:
+                out.append(p)
+        return out
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): ids of text i, with the end id if one is given, are ids[offsets[i]:offsets[i + 1]]; null texts are empty."""
+        texts = pc.fill_null(texts, "")
+        cut = self._cut(texts)
+        bounds = cut.offsets.to_numpy().astype(np.int64)
+        known = cut.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        bounds -= bounds[0]
+        codes, pieces = known.indices.to_numpy().copy(), known.dictionary.to_pylist()
         if self.spaces:
-            return [self.first[p[0]] + b"".join(map(get, p[1:])) if p else b"" for p in parts]
-        return [b"".join(map(get, p)) for p in parts]
-
-    def _cut(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        if not self.spaces and self.lower:
-            # below U+0300 nothing is composed, so A-Z can be lowered first, and more pieces are equal
-            raw = text.encode("utf-8", "surrogatepass")
-            if raw.isascii() or len(raw.translate(None, _HIGH)) == len(raw):
-                text = raw.lower().decode("utf-8", "surrogatepass")
-        return _ONE_SPACE.split(text) if self.spaces and "  " in text else text.split(" ")
+            pool = self.after.fill(pieces, lambda new: self._library([p[1:] if p[:1] == GLUE else " " + p for p in new]))
+            # the first piece of a text has no space before it
+            starts, which = np.unique(codes[bounds[:-1]], return_inverse=True)
+            codes[bounds[:-1]] = len(pool) + which
+            pool += self.first.fill([pieces[i] for i in starts], self._library)
+        else:
+            pool = self.after.fill([p.lower() if p.isascii() and p.isalpha() else p for p in pieces] if self.lower else pieces, self._library)
+        if end_id is not None:
+            codes = np.insert(codes, bounds[1:], len(pool))
+            pool.append(array("I", [end_id]).tobytes())
+            bounds = bounds + np.arange(len(bounds))
+        ids, ends = gather(pool, codes)
+        return ids, ends[bounds]
 
 
 assert array("I").itemsize == 4

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, table, text_slices
-from .encoding import PieceEncoder
+from .common import Workspace, slices_of, table
+from .encoding import SLICE, PieceEncoder
 
 WINDOW = 2048
 #: Pieces that are packed together, about.
@@ -82,18 +82,17 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int
 
     def run(batches):
         encoder = PieceEncoder.of(tokenizer, spaces)
-        end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for a, z in text_slices([len(t or "") for t in texts], 1 << 22):
-                out = [[] for _ in range(5)]
-                for doc, raw in zip(ids[a:z], encoder.encode(texts[a:z]), strict=True):
-                    raw += end
-                    for at in range(0, len(raw), 4 * window):
-                        piece = raw[at : at + 4 * window]
-                        for c, v in zip(out, (doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(raw) // 4), strict=True):
-                            c.append(v)
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            for a, z in slices_of(b.column(1), SLICE):
+                ids, bounds = encoder.encode(b.column(1)[a:z], end_id)
+                tokens = np.diff(bounds)
+                pieces = -(-tokens // window)
+                of = np.repeat(np.arange(z - a), pieces)
+                start = window * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+                length = np.minimum(window, tokens[of] - start)
+                raw, at = memoryview(ids).cast("B"), 4 * (bounds[of] + start)
+                crc = [zlib.crc32(raw[i:j]) for i, j in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+                yield pa.record_batch([b.column(0)[a:z].take(pa.array(of)), *(pa.array(c, pa.int64()) for c in (start, length, crc, tokens[of]))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, _PIECE)
 
