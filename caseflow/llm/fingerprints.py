@@ -94,7 +94,7 @@ def with_next(ws: Workspace, docs: DataFrame, bin_chars: int = BIN_CHARS) -> Dat
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sizes = rows.select("doc_id", F.length("text").alias("size"))
     total = sizes.agg(F.sum(F.col("size").cast("double"))).first()[0] or 0
-    cuts = range_cuts(sizes, "doc_id", "size", int(max(bin_chars, total / MAX_BINS)))
+    cuts = range_cuts(ws.save(sizes, 'sizes'), "doc_id", "size", int(max(bin_chars, total / MAX_BINS))).starts
     rows = rows.withColumn("bin", _bin("doc_id", cuts)).withColumn("th", F.xxhash64("text"))
     # at most one row a bin, and bins are bounded by MAX_BINS (cuts of a target's worth each)
     heads = rows.groupBy("bin").agg(F.max(F.struct("doc_id", F.bitwise_not("th").alias("not_th"))).alias("h")).collect()

@@ -3,66 +3,117 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bins of the first histogram. Shards at most, about: beyond it they grow with the input, so what the driver holds doesn't.
 BINS = 4096
+MAX_SHARDS = 1 << 16
 
 
-def range_cuts(sizes: DataFrame, id_col: str, size_col: str, target: int) -> list[int]:
-    """Ascending lower ends of id ranges (the first is open below) that hold about ``target`` of summed size each.
+@dataclass
+class Cuts:
+    """Shards by id: range i begins at starts[i - 1] (range 0 is open below) and has parts[i] shards; null ids have ``null_parts`` of their own, before all others.
 
-    Histograms of at most BINS bins reach the driver; bins that are too heavy are cut finer until they are light or one id wide.
+    A range of several shards holds one id; its rows are dealt by a hash of theirs, in ascending order.
     """
-    lo, hi, total = sizes.agg(F.min(id_col), F.max(id_col), F.sum(F.col(size_col).cast("double"))).first()
-    if lo is None or (total or 0) <= target:
-        return []
-    todo, light = [(lo, hi)], []
+
+    starts: list[int] = field(default_factory=list)
+    parts: list[int] = field(default_factory=lambda: [1])
+    null_parts: int = 0
+
+    @property
+    def first(self) -> np.ndarray:
+        return self.null_parts + np.concatenate(([0], np.cumsum(self.parts)[:-1]))
+
+    @property
+    def shards(self) -> int:
+        return max(1, self.null_parts + sum(self.parts))
+
+
+def range_cuts(sizes: DataFrame, id_col: str, size_col: str, target: int) -> Cuts:
+    """Ranges of ids that hold about ``target`` of summed size each.
+
+    Level by level, all ranges that are too heavy are cut into finer bins by one job, until they are light or one id wide: seven jobs or
+    fewer for any number of shards, and the driver meets a few sums for each shard. ``sizes`` is read once a level.
+    """
+    none = F.col(id_col).isNull()
+    lo, hi, total, null_total, nulls = sizes.agg(F.min(id_col), F.max(id_col), F.sum(F.col(size_col).cast("double")), F.sum(F.when(none, F.col(size_col)).cast("double")), F.count_if(none)).first()
+    target = max(target, (total or 0) / MAX_SHARDS)
+    # no more than there are rows: a row stays whole
+    pieces = lambda s, rows: max(1, min(rows, int(-(-s // target))))
+    cuts = Cuts(null_parts=pieces(null_total or 0, nulls) if nulls else 0)
+    if lo is None or total <= target:
+        return cuts
+    light: list[tuple[int, int, float, int]] = []  # (first id, first id after it, size, rows)
+    offset = lambda start, width: F.floor((F.col("i").cast("decimal(38,0)") - start) / width).cast("long")
+    wide = -(-(hi - lo + 1) // BINS)
+    todo = [(lo, hi, wide)]
+    rows = sizes.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(size_col).cast("double").alias("s"), F.lit(0).cast("long").alias("range"))
+    rows = rows.withColumn("bin", offset(F.lit(lo), F.lit(wide)))
     while todo:
-        fine = []
-        for a, z in todo:
-            width = max(1, -(-(z - a + 1) // max(2, BINS // len(todo))))
-            i = F.col(id_col)
-            rows = sizes.filter(i.between(a, z)).groupBy(F.floor((i.cast("decimal(38,0)") - F.lit(a)) / F.lit(width)).cast("long").alias("bin")).agg(F.sum(F.col(size_col).cast("double")).alias("s")).collect()
-            for r in rows:
-                start = a + r.bin * width
-                if r.s > target and width > 1:
-                    fine.append((start, min(z, start + width - 1)))
-                else:
-                    light.append((start, r.s))
-        # ranges are few: each holds over one target's worth
-        todo = fine
-    cuts, held = [], 0.0
-    for start, s in sorted(light):
-        if held and held + s > target:
-            cuts.append(int(start))
+        heavy, after = [], []
+        for r in rows.groupBy("range", "bin").agg(F.sum("s").alias("s"), F.count("*").alias("n")).collect():
+            a, z, width = todo[r.range]
+            start = a + r.bin * width
+            stop = min(z, start + width - 1)
+            if r.s > target and stop > start:
+                finer = -(-(stop - start + 1) // min(BINS, max(4, 4 * pieces(r.s, r.n))))
+                heavy.append((r.range, r.bin, len(after), start, str(finer)))
+                after.append((start, stop, finer))
+            else:
+                light.append((start, stop + 1, r.s, r.n))
+        todo = after
+        if heavy:
+            # a heavy bin holds over one target's worth, so these are MAX_SHARDS rows or fewer
+            known = sizes.sparkSession.createDataFrame(heavy, "range long, bin long, finer_range long, start long, width string")
+            rows = rows.join(F.broadcast(known), ["range", "bin"]).select("i", "s", F.col("finer_range").alias("range"), offset(F.col("start"), F.col("width").cast("decimal(38,0)")).alias("bin"))
+    held, starts, parts = 0.0, [], [1]
+    for k, (start, stop, s, n) in enumerate(sorted(light)):
+        alone = s > target
+        if k and (alone or parts[-1] > 1 or held + s > target):
+            starts.append(start)
+            parts.append(1)
             held = 0.0
+        if alone:
+            parts[-1] = pieces(s, n)
         held += s
-    return cuts
+    return Cuts(starts, parts, cuts.null_parts)
+
+
+def part_of(hashed: Column, parts: Column) -> Column:
+    """Which of ``parts`` equal stretches of the signed 64-bit numbers a hash lies in."""
+    return F.least(parts - 1, F.floor((hashed.cast("double") / F.lit(2.0**64) + 0.5) * parts)).cast("int")
 
 
-def with_shard(df: DataFrame, id_col: str, cuts: list[int]) -> DataFrame:
-    """``df`` with column shard: the number of cuts at or below the id; a null id is in shard 0."""
-    sent = df.sparkSession.sparkContext.broadcast(np.array(cuts, np.int64))
+def with_place(df: DataFrame, id_col: str, cuts: Cuts) -> DataFrame:
+    """``df`` with column place: the number of the id's first shard and how many it has."""
+    if not cuts.starts and not cuts.null_parts:
+        return df.withColumn("place", F.struct(F.lit(0).alias("first"), F.lit(cuts.parts[0]).alias("parts")))
+    sent = df.sparkSession.sparkContext.broadcast((np.array(cuts.starts, np.int64), cuts.first.astype(np.int32), np.array(cuts.parts, np.int32)))
 
-    @F.pandas_udf("int")
-    def shard(ids):
-        known = ids.notna().to_numpy()
-        out = np.zeros(len(ids), np.int32)
-        out[known] = np.searchsorted(sent.value, ids[known].to_numpy().astype(np.int64), side="right")
+    @F.pandas_udf("first int, parts int")
+    def place(ids):
         import pandas as pd
 
-        return pd.Series(out)
+        starts, first, parts = sent.value
+        at = np.searchsorted(starts, ids.to_numpy().astype(np.int64), side="right")
+        return pd.DataFrame({"first": first[at], "parts": parts[at]})
 
-    if not cuts:
-        return df.withColumn("shard", F.lit(0))
     # a long goes to pandas as a double where nulls are among the values, so nulls are sent as 0 and set back
-    number = shard(F.coalesce(F.col(id_col), F.lit(0)))
-    return df.withColumn("shard", F.when(F.col(id_col).isNull(), F.lit(0)).otherwise(number))
+    known = place(F.coalesce(F.col(id_col), F.lit(0).cast("long")))
+    none = F.struct(F.lit(0).alias("first"), F.lit(max(1, cuts.null_parts)).alias("parts"))
+    return df.withColumn("place", known).withColumn("place", F.when(F.col(id_col).isNull(), none).otherwise(F.col("place")))
+
+
+def with_shard(df: DataFrame, id_col: str, hash_col: str, cuts: Cuts) -> DataFrame:
+    """``df`` with column shard. Ascending shards hold ascending (null first, id, hash)."""
+    return with_place(df, id_col, cuts).withColumn("shard", F.col("place.first") + part_of(F.col(hash_col), F.col("place.parts"))).drop("place")
 
 
 def by_shard(df: DataFrame, shards: int, *order: str) -> DataFrame:

@@ -13,12 +13,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, table, text_slices
-from .encoding import PieceEncoder
-from .sharding import SharedFile, by_shard, open_shared, range_cuts, with_shard
+from .common import Workspace, slices_of, table
+from .encoding import SLICE, PieceEncoder
+from .sharding import Cuts, SharedFile, by_shard, open_shared, range_cuts, with_place, with_shard
 
 #: Characters of text in a shard, about.
 SHARD_CHARS = 1 << 24
@@ -136,25 +136,33 @@ class ShardReader:
 _MANIFEST = "shard int, n_docs long, n_tokens long, payload_bytes long"
 
 
-def write_tokens(ws: Workspace, docs: DataFrame, folder: str, tokenizer: str, end_id: int, spaces: bool = True, width: int = 2, shard_chars: int = SHARD_CHARS):
-    """Write shards of ascending doc_id ranges; returns (manifest rows by shard, cuts). A shard counts once its manifest row is there."""
-    sizes = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("size"))
+def write_tokens(ws: Workspace, docs: DataFrame, folder: str, tokenizer: str, end_id: int, spaces: bool = True, width: int | None = None, shard_chars: int = SHARD_CHARS) -> tuple[DataFrame, Cuts]:
+    """Write shards of ascending doc_id ranges; returns (manifest: one row a shard, cuts). A shard counts once its manifest row is there.
+
+    ``width`` is the number of bytes of an id: 2, or 4 where an id passes 65,535; a width that is too small raises an error.
+    """
+    from tokenizers import Tokenizer
+
+    largest = max(end_id, Tokenizer.from_file(tokenizer).get_vocab_size() - 1)
+    width = width or (2 if largest < 1 << 16 else 4)
+    if largest >= 1 << (8 * width):
+        raise ValueError(f"ids up to {largest} don't fit {width} bytes")
+    sizes = ws.save(docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("size")), "sizes")
     cuts = range_cuts(sizes, "doc_id", "size", shard_chars)
-    rows = with_shard(docs.select("doc_id", "text"), "doc_id", cuts).select("shard", "doc_id", F.xxhash64("text").alias("th"), "text")
+    rows = with_shard(docs.select("doc_id", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th")), "doc_id", "th", cuts).select("shard", "doc_id", "th", "text")
 
     def run(batches):
         encoder = PieceEncoder.of(tokenizer, spaces)
-        end = np.array([end_id], "<u4").tobytes()
-        shard, out, ids, lens = None, None, [], []
+        shard, out, keys, lens = None, None, [], []
 
         def close():
-            keys = np.concatenate(ids) if ids else np.zeros(0)
-            null = np.array([k is None for k in keys], bool)
-            values = np.array([0 if k is None else k for k in keys], np.int64)
+            ids = pa.chunked_array(keys, pa.int64())
+            null = ids.is_null().to_numpy()
+            values = ids.fill_null(0).to_numpy()
             new = np.concatenate(([True], (np.diff(values) != 0) | (np.diff(null.astype(np.int8)) != 0)))
             first = np.flatnonzero(new)
             count = np.diff(np.concatenate((first, [len(values)])))
-            offsets = np.concatenate(([0], np.cumsum(lens)))
+            offsets = np.concatenate(([0], np.cumsum(np.concatenate(lens))))
             n = out.commit()
             idx = SharedFile(folder, f"shard-{shard:06d}.idx")
             idx.write(index_bytes(values[first], null[first], first, count, offsets, width))
@@ -162,64 +170,60 @@ def write_tokens(ws: Workspace, docs: DataFrame, folder: str, tokenizer: str, en
             return pa.record_batch([pa.array([shard], pa.int32()), pa.array([len(values)]), pa.array([int(offsets[-1])]), pa.array([n])], names=["shard", "n_docs", "n_tokens", "payload_bytes"])
 
         for b in batches:
-            shards, texts = b.column(0).to_pylist(), b.column(3).to_pylist()
-            keys = np.array(b.column(1).to_pylist() + [None], object)[:-1]
-            for a, z in text_slices([len(t or "") for t in texts], 1 << 22):
-                coded = encoder.encode(texts[a:z])
-                for i, raw in zip(range(a, z), coded, strict=True):
-                    if shards[i] != shard:
+            shards = b.column(0).to_numpy()
+            for lo, hi in slices_of(b.column(3), SLICE):
+                edges = np.flatnonzero(np.diff(shards[lo:hi])) + 1 + lo
+                for a, z in zip([lo, *edges.tolist()], [*edges.tolist(), hi], strict=True):
+                    if shards[a] != shard:
                         if out:
                             yield close()
-                        shard, ids, lens = shards[i], [], []
+                        shard, keys, lens = int(shards[a]), [], []
                         out = SharedFile(folder, f"shard-{shard:06d}.bin")
-                    data = np.frombuffer(raw + end, "<u4")
-                    out.write(data.astype("<u2").tobytes() if width == 2 else data.tobytes())
-                    ids.append(keys[i : i + 1])
-                    lens.append(len(data))
+                    ids, bounds = encoder.encode(b.column(3)[a:z], end_id)
+                    out.write((ids.astype("<u2") if width == 2 else ids).tobytes())
+                    keys.append(b.column(1)[a:z])
+                    lens.append(np.diff(bounds))
         if out:
             yield close()
 
-    parts = by_shard(rows, len(cuts) + 1, "doc_id", "th")
-    manifest = ws.save(parts.mapInArrow(run, _MANIFEST), "manifest")
-    return sorted((r.asDict() for r in manifest.dropDuplicates(["shard"]).collect()), key=lambda r: r["shard"]), cuts
+    manifest = ws.save(by_shard(rows, cuts.shards, "doc_id", "th").mapInArrow(run, _MANIFEST), "manifest")
+    return manifest.dropDuplicates(["shard"]), cuts
 
 
-def read_tokens(keys: DataFrame, folder: str, manifest: list[dict], cuts: list[int]) -> DataFrame:
+def read_tokens(keys: DataFrame, folder: str, manifest: DataFrame, cuts: Cuts) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document with a key of ``keys`` (doc_id long), from the files alone.
 
-    Each distinct key is looked up once, in the shard of its range; unknown keys give no row.
+    Each distinct key is looked up once in each shard of its range; unknown keys give no row.
     """
-    base, total = {}, 0
-    for r in manifest:
-        base[r["shard"]] = total
-        total += r["n_tokens"]
+    # one row a shard, and shards are bounded (MAX_SHARDS)
+    base = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")
+    bases = F.broadcast(manifest.select("shard", base))
 
     def run(batches):
         shard, reader = None, None
         for b in batches:
             out = [[], [], [], []]
-            shards = np.array(b.column(0).to_pylist(), np.int64)
-            ids = b.column(1).to_pylist()
+            shards, base = b.column(0).to_numpy(), b.column(2).to_numpy()
+            ids = b.column(1)
+            null, values = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
             for s in np.unique(shards):
-                if s not in base:
-                    continue
                 if s != shard:
                     shard, reader = s, ShardReader(folder, int(s))
                 rows = np.flatnonzero(shards == s)
-                null = np.array([ids[i] is None for i in rows], bool)
-                values = np.array([ids[i] or 0 for i in rows], np.int64)
-                for i, first, count in zip(rows, *reader.places(values, null), strict=True):
+                for i, first, count in zip(rows.tolist(), *(c.tolist() for c in reader.places(values[rows], null[rows])), strict=True):
                     for d in range(first, first + count):
                         found = reader.ids(d)
-                        for c, v in zip(out, (ids[i], base[s] + int(reader.offsets[d]), len(found), zlib.crc32(found.astype("<u4").tobytes())), strict=True):
+                        for c, v in zip(out, (None if null[i] else int(values[i]), int(base[i]) + int(reader.offsets[d]), len(found), zlib.crc32(found.astype("<u4").tobytes())), strict=True):
                             c.append(v)
             yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    routed = with_shard(keys.select("doc_id").distinct(), "doc_id", cuts).select("shard", "doc_id")
-    return by_shard(routed, len(cuts) + 1, "doc_id").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    placed = with_place(keys.select("doc_id").distinct(), "doc_id", cuts)
+    routed = placed.select("doc_id", F.explode(F.sequence(F.col("place.first"), F.col("place.first") + F.col("place.parts") - 1)).alias("shard"))
+    known = routed.join(bases, "shard").select("shard", "doc_id", "base")
+    return by_shard(known, cuts.shards, "doc_id").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_store(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2, spaces: bool = True, width: int = 2, shard_chars: int = SHARD_CHARS) -> DataFrame:
+def token_store(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2, spaces: bool = True, width: int | None = None, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """Encode every whole text (null: empty), append ``end_id``, write the shards and read every document back by its key.
 
     start counts the ids of all documents before it in ascending doc_id order. A null doc_id comes first and is a key of its own; rows that

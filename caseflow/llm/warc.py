@@ -29,8 +29,9 @@ _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name s
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _record_id(page_id, ordinal: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'page:{page_id}:{ordinal}')}>"
+def _record_id(page_id, digest: str, ordinal: int) -> str:
+    """The id of the ordinal-th record of a page id with a payload."""
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'page:{page_id}:{digest}:{ordinal}')}>"
 
 
 def _header_value(url: str | None, page_id) -> str:
@@ -49,7 +50,7 @@ def warc_record(page_id, url: str | None, payload: bytes, refers_to=None, revisi
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {_record_id(page_id, ordinal)}",
+        f"WARC-Record-ID: {_record_id(page_id, digest, ordinal)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {_header_value(url, page_id)}",
         f"WARC-Payload-Digest: {digest}",
@@ -60,7 +61,7 @@ def warc_record(page_id, url: str | None, payload: bytes, refers_to=None, revisi
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to, 0)}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to, digest, 0)}"]
         if refers_to is not None:
             head.append(f"X-Refers-To-Page-Id: {refers_to}")
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -120,8 +121,8 @@ def read_records(raw):
 _MANIFEST = "shard int, name string, records long, bytes long, first_page long, last_page long"
 
 
-def write_warc(ws: Workspace, pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, min_revisit: int = 0) -> DataFrame:
-    """Write all pages (page_id, url, html) to ``folder``; the manifest table: one row a file.
+def write_warc(ws: Workspace, pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, min_revisit: int = 0) -> tuple[DataFrame, str, int]:
+    """Write all pages (page_id, url, html) to ``folder``; returns (manifest table: one row a file, folder, number of shards).
 
     The response among rows of equal payloads of at least ``min_revisit`` bytes is that with the smallest page_id (null is larger than
     all); of rows that share this page_id too, the first written. Null html is an empty payload.
@@ -134,38 +135,35 @@ def write_warc(ws: Workspace, pages: DataFrame, folder: str, shard_bytes: int =
     cuts = range_cuts(small.withColumn("size", F.col("size") + 500), "page_id", "size", shard_bytes)
     text = pages.select("page_id", F.sha1(html.cast("binary")).alias("digest"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), "url", html.alias("html"))
     marks = refers.select("page_id", "digest", F.lit(0).alias("kind"), "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
-    rows = with_shard(text.unionByName(marks), "page_id", cuts).select("shard", "page_id", "digest", "kind", "refers_to", "url", "html")
+    rows = with_shard(text.unionByName(marks).withColumn("th", F.xxhash64("digest")), "page_id", "th", cuts).select("th", "shard", "page_id", "digest", "kind", "refers_to", "url", "html")
 
     def run(batches):
         shard, out, name, seq, stats = None, None, None, 0, None
-        group, refers_to, marked, ordinal, same_page = None, None, False, 0, 0
+        group, refers_to, marked, ordinal = None, None, False, 0
 
         def close():
             size = out.commit()
             return pa.record_batch([pa.array([shard], pa.int32()), pa.array([name]), pa.array([stats[0]]), pa.array([size]), pa.array([stats[1]], pa.int64()), pa.array([stats[2]], pa.int64())], names=["shard", "name", "records", "bytes", "first_page", "last_page"])
 
-        page = object()
         for b in batches:
             for i in range(b.num_rows):
-                s, page_id, digest, kind = (b.column(k)[i].as_py() for k in range(4))
+                s, page_id, digest, kind = (b.column(k)[i].as_py() for k in range(1, 5))
                 if s != shard:
                     if out:
                         yield close()
-                    shard, out, seq, page = s, None, 0, object()
+                    shard, out, seq = s, None, 0
                 if (page_id, digest) != group:
                     group, marked, refers_to, ordinal = (page_id, digest), False, None, 0
                 if kind == 0:
-                    marked, refers_to = True, b.column(4)[i].as_py()
+                    marked, refers_to = True, b.column(5)[i].as_py()
                     continue
-                if page_id != page:
-                    page, same_page = page_id, 0
                 if out is None:
                     name = f"pages-{shard:06d}-{seq:04d}.warc.gz"
                     out, stats, seq = SharedFile(folder, name), [0, page_id, page_id], seq + 1
                 revisit = marked and (ordinal > 0 or refers_to != page_id)
-                payload = b.column(6)[i].as_py().encode("utf-8", "surrogatepass")
-                out.write(gzip_member(warc_record(page_id, b.column(5)[i].as_py(), payload, refers_to, revisit, same_page)))
-                ordinal, same_page = ordinal + 1, same_page + 1
+                payload = b.column(7)[i].as_py().encode("utf-8", "surrogatepass")
+                out.write(gzip_member(warc_record(page_id, b.column(6)[i].as_py(), payload, refers_to, revisit, ordinal)))
+                ordinal += 1
                 stats[0], stats[2] = stats[0] + 1, page_id
                 if out.size >= file_bytes:
                     yield close()
@@ -173,14 +171,14 @@ def write_warc(ws: Workspace, pages: DataFrame, folder: str, shard_bytes: int =
         if out:
             yield close()
 
-    parts = by_shard(rows, len(cuts) + 1, "page_id", "digest", "kind", "url")
-    return ws.save(parts.mapInArrow(run, _MANIFEST), "manifest").dropDuplicates(["name"])
+    parts = by_shard(rows, cuts.shards, "page_id", "th", "digest", "kind", "url")
+    return ws.save(parts.mapInArrow(run, _MANIFEST), "manifest").dropDuplicates(["name"]), folder, cuts.shards
 
 
-def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
+def read_warc(manifest: DataFrame, folder: str, tasks: int) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record of the manifest's files.
 
-    A response's digest is computed from its payload and must equal its header; a revisit's length and digest are those that its headers state.
+    The files of a shard are read by one of ``tasks`` tasks. A response's digest is computed from its payload and must equal its header; a revisit's length and digest are those that its headers state.
     """
 
     def run(batches):
@@ -201,7 +199,8 @@ def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    files = manifest.select("name").repartition("name")
+    # an explicit number of partitions: names are small, and adaptive execution would put them all into one
+    files = manifest.select("name", "shard").repartitionById(tasks, F.col("shard"))
     return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
@@ -213,7 +212,7 @@ def warc_round_trip(spark: SparkSession, pages: DataFrame, shard_bytes: int = SH
     """
     ws = Workspace(spark, "warc")
     folder = f"{ws.root}/archives"
-    return read_warc(write_warc(ws, pages, folder, shard_bytes, file_bytes), folder)
+    return read_warc(*write_warc(ws, pages, folder, shard_bytes, file_bytes))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

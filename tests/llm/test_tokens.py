@@ -3,10 +3,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from caseflow.llm import packing, sharding, token_store
+from caseflow.llm import encoding, packing, sharding, token_store
 from caseflow.llm.encoding import PieceEncoder
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -14,18 +16,34 @@ BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path
 
 def plain(file, texts):
     t = Tokenizer.from_file(file)
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("file,spaces", [(BYTE, True), (WORD, False)])
 def test_pieces_give_the_library_ids(spark, sf, file, spaces):
     rng = random.Random(4)
-    alphabet = [" ", "  ", "\n", "\t", "\xa0", "　", "a", "B", "é", "é", "'s", "'", "1", "22", "!", "<|endoftext|>", "̈", "中", "😀", "\r\n", "\x1c", "ß", "İ", "~", "~~", "Σ", "J̌"]
+    alphabet = [" ", "  ", "\n", "\t", "\xa0", "　", "a", "B", "é", "é", "'s", "'", "1", "22", "!", "<|endoftext|>", "̈", "中", "😀", "\r\n", "\x1c", "ß", "İ", "~", "~~", "Σ", "J̌", "\x01", "a.", "b,c", ".\n", "\nx", "\n\n", "<|endoftext|>", "<|STARTOFTEXT|>"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(6000)] + [None, "", " ", "   x", "x   "]
     texts += [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
-    got = [np.frombuffer(b, "<u4").tolist() for b in PieceEncoder(file, spaces).encode(texts)]
-    assert got == plain(file, texts)
+    encoder = PieceEncoder(file, spaces)
+    for at in range(0, len(texts), 997):
+        ids, bounds = encoder.encode(pa.array(texts[at : at + 997], pa.string()), 7)
+        got = [ids[a:z].tolist() for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+        for text, a, z in zip(texts[at : at + 997], got, plain(file, texts[at : at + 997]), strict=True):
+            assert a == [*z, 7], repr(text)[:200]
+
+
+@pytest.mark.parametrize("file,spaces,text,special", [(BYTE, True, "hello <|endoftext|> world<|endoftext|>x <|ENDOFTEXT|>", 50256), (WORD, False, "hello <|startoftext|> World<|endoftext|>x <|ENDOFTEXT|>", 49407)])
+def test_strings_of_special_tokens_have_the_ids_that_the_library_gives(file, spaces, text, special):
+    ids, _ = PieceEncoder(file, spaces).encode(pa.array([text]))
+    assert ids.tolist() == plain(file, [text])[0] and special in ids
+
+
+def test_a_full_table_keeps_what_is_used():
+    table = encoding.Recent(limit=5000)
+    for k in range(500):
+        assert table.fill(["often", f"w{k}"], lambda new: [p.encode() for p in new]) == [b"often", f"w{k}".encode()]
+    assert len(table) + len(table.older) < 80 and ("often" in table or "often" in table.older)
 
 
 def test_perfect_hash_is_minimal_and_tells_foreign_keys():
@@ -65,7 +83,55 @@ def test_store_nulls_repeats_and_unknown_keys(spark):
 def test_cuts_do_not_depend_on_partitions(spark):
     df = spark.range(1000).selectExpr("id * id * id as doc_id", "10 as size").union(spark.range(1).selectExpr("9000000000000000000", "10"))
     a = sharding.range_cuts(df, "doc_id", "size", 500)
-    assert a == sharding.range_cuts(df.repartition(7), "doc_id", "size", 500) and 20 <= len(a) <= 45
+    assert a == sharding.range_cuts(df.repartition(7), "doc_id", "size", 500) and 20 <= a.shards <= 45
+
+
+def jobs_of(spark, call):
+    spark.sparkContext.setJobGroup("cuts", "cuts")
+    call()
+    n = len(spark.sparkContext.statusTracker().getJobIdsForGroup("cuts"))
+    spark.sparkContext.setJobGroup("", "")
+    return n
+
+
+def test_cuts_take_as_many_jobs_for_many_shards_as_for_few(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BINS", 16)
+    df = spark.range(20000).selectExpr("id * 3 as doc_id", "10 as size")
+    found = {}
+    for shards in (40, 400, 2000):
+        n = jobs_of(spark, lambda: found.__setitem__(shards, sharding.range_cuts(df, "doc_id", "size", 200000 // shards)))  # noqa: B023
+        assert n <= 40, (shards, n)
+        sizes = sharding.with_shard(df.withColumn("h", F.xxhash64("doc_id")), "doc_id", "h", found[shards]).groupBy("shard").count().collect()
+        assert shards <= found[shards].shards <= 3 * shards and max(r["count"] for r in sizes) * 10 <= 200000 // shards
+
+
+def test_shards_are_bounded_by_number(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MAX_SHARDS", 10)
+    df = spark.range(5000).selectExpr("id as doc_id", "100 as size")
+    assert sharding.range_cuts(df, "doc_id", "size", 100).shards <= 30
+
+
+def test_one_id_and_null_ids_are_dealt_over_shards(spark):
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 5L, id)) as doc_id", "10 as size", "xxhash64(id) as h")
+    cuts = sharding.range_cuts(df, "doc_id", "size", 1000)
+    assert cuts.null_parts == 10 and 11 in cuts.parts
+    rows = sharding.with_shard(df, "doc_id", "h", cuts).collect()
+    by = sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))
+    assert [r.shard for r in by] == sorted(r.shard for r in rows) and max(r.shard for r in rows) < cuts.shards
+
+
+def test_store_of_hot_keys(spark):
+    docs = spark.range(300).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 5L, id)) as doc_id", "concat('word ', id) as text")
+    rows = sorted(token_store.token_store(spark, docs, BYTE, shard_chars=100).collect(), key=lambda r: r.start)
+    assert len(rows) == 300 and [r.start for r in rows] == np.concatenate(([0], np.cumsum([r.n_tokens for r in rows])[:-1])).tolist()
+    assert [r.doc_id for r in rows] == [None] * 100 + sorted(r.doc_id for r in docs.filter("doc_id is not null").collect())
+
+
+def test_ids_that_do_not_fit_their_width_raise(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    assert token_store.token_store(spark, docs, BYTE, end_id=70000).collect()[0].n_tokens == 2
+    with pytest.raises(ValueError):
+        token_store.token_store(spark, docs, BYTE, end_id=70000, width=2)
 
 
 def slow_bfd(lengths, cap):

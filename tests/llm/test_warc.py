@@ -38,13 +38,31 @@ def test_files_are_the_same_for_other_partitions(spark, tmp_path):
     seen = []
     for n, df in enumerate((pages, pages.repartition(9))):
         folder = f"file://{tmp_path}/{n}"
-        warc.write_warc(Workspace(spark, "t"), df, folder, shard_bytes=30000, file_bytes=2000).count()
+        warc.write_warc(Workspace(spark, "t"), df, folder, shard_bytes=30000, file_bytes=2000)[0].count()
         files = sorted((tmp_path / str(n)).iterdir())
         assert not [f for f in files if f.name.endswith(".tmp")]
         seen.append([(f.name, f.read_bytes()) for f in files])
     assert seen[0] == seen[1] and len(seen[0]) > 3
 
 
+def test_archives_are_read_by_as_many_tasks_as_shards(spark, tmp_path):
+    pages = spark.range(300).selectExpr("id as page_id", "concat('http://x/', id) as url", "repeat(cast(id as string), 200) as html")
+    manifest, folder, shards = warc.write_warc(Workspace(spark, "t"), pages, f"file://{tmp_path}", shard_bytes=30000)
+    read = warc.read_warc(manifest, folder, shards)
+    assert shards > 4 and read.rdd.getNumPartitions() == shards
+    assert read.selectExpr("spark_partition_id() as p").distinct().count() > 2
+
+
+def test_rows_of_one_page_id_are_dealt_over_shards(spark, tmp_path):
+    pages = spark.range(400).selectExpr("if(id % 2 = 0, null, 7L) as page_id", "'u' as url", "repeat(cast(id % 50 as string), 100) as html")
+    manifest, folder, shards = warc.write_warc(Workspace(spark, "t"), pages, f"file://{tmp_path}", shard_bytes=8000)
+    rows = warc.read_warc(manifest, folder, shards).collect()
+    assert shards >= 20 and manifest.count() >= 20
+    # null ids hold the even payloads, 7 the odd ones; each of the 50 payloads has one response
+    assert len(rows) == 400 and sum(r.record_type == "response" for r in rows) == 50
+    assert {r.payload_digest for r in rows} == {digest(str(k) * 100) for k in range(50)}
+
+
 def test_one_record_by_hand():
     raw = warc.gzip_member(warc.warc_record(5, "http://x/\r\ny z", b"<p>")) + warc.gzip_member(warc.warc_record(6, None, b"<p>", 5, True))
     (h, block), (r, empty) = warc.read_records(io.BytesIO(raw))
