@@ -7,6 +7,7 @@ and down the tree (sum-product) give exact marginals, both for training, by grad
 
 from __future__ import annotations
 
+import functools
 import html as htmllib
 import math
 import random
@@ -26,26 +27,42 @@ MADE_PAGES = 400
 # HTML element classes (fixed values of the language)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style template noscript iframe svg canvas object textarea title select audio video xmp".split())
+_CODE = frozenset("script style".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var math mi mn mo picture map output".split())
 _NO_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "body": ("head",)}
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "tbody": ("table",), "body": ("html",)}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I | re.S)
+# Tags as the HTML standard reads them: a quote opens a value only after an equals sign, and a value without quotes may hold some.
+# The first pattern takes tags of the usual kind at once; no pattern goes back over what it has matched.
+_PLAIN_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:\s++[^\s"'<>/=]++(?:=(?:"[^"]*+"|'[^']*+'|[^\s"'<>=`]++))?)*+\s*+/?)>""")
+_TAG_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+_NAME = re.compile(r"[\s/]*+(=?[^\s/>=]*+)\s*+")
+_EQUALS = re.compile(r"=\s*+")
+_BARE = re.compile(r"[^\s>]*+")
+_COMMENT_END = re.compile(r"--!?>")
+_ATTR = re.compile(r"""([^\s/=]++)(?:\s*+=\s*+("[^"]*+"?|'[^']*+'?|[^\s]*+))?""")
+_SHOWN = frozenset("class id role style hidden aria-hidden itemprop".split())
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+@functools.cache
+def _closer(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I)
+
+
 class Page:
     """Nodes in page order, parents first. kind[n] is the element's (tag, attributes) or None for a run of text."""
 
     def __init__(self, source: str):
         self.parent, self.kind, self.text, self.linked = [-1], [("#root", "")], [None], [0]
         stack = [("#root", 0)]  # (tag, block node)
+        places: dict[str, list[int]] = {}  # where in the stack each open tag stands
+        blocks = [0]  # where those that are no inline elements stand
         run: list[str] = []
         links = link_depth = 0
         pos, end = 0, len(source)
-        closers: dict[str, re.Pattern] = {}
+        never: set[str] = set()  # quotes and end tags that don't come again
 
         def flush():
             nonlocal run, links
@@ -56,38 +73,85 @@ class Page:
                 run = []
             links = 0
 
+        def open_(tag: str, node: int):
+            if tag not in _INLINE:
+                blocks.append(len(stack))
+            places.setdefault(tag, []).append(len(stack))
+            stack.append((tag, node))
+
         def close(to: int):
             nonlocal link_depth
-            for tag, _ in stack[to:]:
-                if tag == "a":
-                    link_depth = max(0, link_depth - 1)
-            if any(t not in _INLINE for t, _ in stack[to:]):
+            if blocks[-1] >= to:
                 flush()
-            del stack[to:]
+            while len(stack) > to:
+                tag, _ = stack.pop()
+                places[tag].pop()
+                link_depth -= tag == "a"
+                if blocks[-1] == len(stack):
+                    blocks.pop()
+
+        def last(tags) -> int:
+            return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+        def slow_tag(at: int) -> int:
+            """Where the attributes after ``at`` end (the place of their >), or -1. A value whose quote is never closed ends at the next >."""
+            while True:
+                m = _NAME.match(source, at)
+                at = m.end()
+                if at >= end:
+                    return -1
+                if m[1] and (e := _EQUALS.match(source, at)):
+                    at, q = e.end(), source[e.end() : e.end() + 1]
+                    if q in ('"', "'"):
+                        close_at = -1 if q in never else source.find(q, at + 1)
+                        if close_at < 0:
+                            never.add(q)
+                            return source.find(">", at)
+                        at = close_at + 1
+                    elif q != ">":
+                        at = _BARE.match(source, at).end()
+                if source[at : at + 1] == ">":
+                    return at
+                if not m[1] and source[at : at + 1] not in ("/", "="):
+                    at += 1
 
         while pos < end:
-            m = _TOKEN.search(source, pos)
-            piece = source[pos : m.start()] if m else source[pos:]
-            if piece:
-                run.append(piece)
+            lt = source.find("<", pos)
+            if lt < 0:
+                lt = end
+            if lt > pos:
+                run.append(source[pos:lt])
                 if link_depth:
-                    links += len(piece)
-            if not m:
+                    links += lt - pos
+            if lt == end:
                 break
-            pos = m.end()
-            if m[2] is None:
+            if m := _PLAIN_TAG.match(source, lt):
+                ending, tag, attributes, pos = m[1], m[2].lower(), m[3], m.end()
+            elif m := _TAG_NAME.match(source, lt):
+                ending, tag = source[lt + 1] == "/", m[1].lower()
+                stop = slow_tag(m.end())
+                if stop < 0:
+                    break  # the page ends inside a tag
+                attributes, pos = source[m.end() : stop], stop + 1
+            elif source.startswith("<!--", lt):
+                # a comment may be empty and end at once, as in <!--> and <!--->
+                short = next((k for k in (5, 6) if source.startswith("<!--" + "-" * (k - 5) + ">", lt)), 0)
+                m = None if short else _COMMENT_END.search(source, lt + 4)
+                pos = lt + short if short else m.end() if m else end
+                continue
+            elif source[lt + 1 : lt + 2] in ("!", "?", "/"):
+                stop = source.find(">", lt)
+                pos = stop + 1 if stop >= 0 else end
+                continue
+            else:
+                run.append("<")
+                pos = lt + 1
                 continue
-            tag = m[2].lower()
-            if m[1]:
+            if ending:
                 if tag == "br":
                     run.append(" ")
-                    continue
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        close(k)
-                        break
-                    if tag in _INLINE and stack[k][0] not in _INLINE:
-                        break
+                elif (at := last((tag,))) and (tag not in _INLINE or at > blocks[-1]):
+                    close(at)
                 continue
             if tag in _VOID:
                 if tag in _INLINE or tag in ("br", "wbr", "img"):
@@ -96,33 +160,30 @@ class Page:
                     flush()
                 continue
             if tag in _RAW:
-                if m[3].rstrip().endswith("/") and tag == "svg":
+                if attributes.rstrip().endswith("/") and tag == "svg":
                     continue
-                c = closers.get(tag) or closers.setdefault(tag, re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I))
-                done = c.search(source, pos)
-                pos = done.end() if done else end
+                done = None if tag in never else _closer(tag).search(source, pos)
+                if done:
+                    pos = done.end()
+                else:
+                    never.add(tag)
+                    if tag in _CODE:
+                        break  # code up to the end of the page
                 run.append(" ")
                 continue
             if tag in _INLINE:
-                stack.append((tag, stack[-1][1]))
+                open_(tag, stack[-1][1])
                 link_depth += tag == "a"
                 continue
-            if tag in _NO_P:
-                self._imply(stack, close, ("p",), ())
+            if tag in _NO_P and stack[blocks[-1]][0] == "p":
+                close(blocks[-1])
             if tag in _CLOSES:
-                self._imply(stack, close, _CLOSES[tag], _SCOPE[tag])
+                while (at := last(_CLOSES[tag])) > last(_SCOPE[tag]):
+                    close(at)
             flush()
-            stack.append((tag, self._add(stack[-1][1], (tag, m[3]), None, 0)))
+            open_(tag, self._add(stack[-1][1], (tag, attributes), None, 0))
         flush()
 
-    @staticmethod
-    def _imply(stack, close, tags, scope):
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                close(k)
-            elif stack[k][0] in scope or (not scope and stack[k][0] not in _INLINE):
-                break
-
     def _add(self, parent, kind, text, linked) -> int:
         self.parent.append(parent)
         self.kind.append(kind)
@@ -131,10 +192,14 @@ class Page:
         return len(self.parent) - 1
 
 
+def shown_attributes(attributes: str) -> list[tuple[str, str]]:
+    """(name, value) of the attributes that tell what an element is for."""
+    return [(n, v.strip("\"'")) for n, v in ((n.lower(), v) for n, v in _ATTR.findall(attributes)) if n in _SHOWN]
+
+
 def element_features(tag: str, attributes: str) -> list[str]:
     out = ["bias", f"tag={tag}"]
-    for name, value in _ATTR.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
+    for name, value in shown_attributes(attributes):
         if name in ("hidden", "aria-hidden"):
             out += ["hidden"] * (value.lower() != "false")
         elif name == "style":
@@ -293,7 +358,7 @@ def label_page(source: str) -> tuple[Page, list[bool]] | None:
         if page.kind[n] is not None:
             tag, attributes = page.kind[n]
             inside[n] = inside[n] or tag in ("article", "main")
-            words = " ".join(w for name, w in _ATTR.findall(attributes) if name.lower() in ("class", "id", "role"))
+            words = " ".join(w for name, w in shown_attributes(attributes) if name in ("class", "id", "role"))
             out[n] = out[n] or (tag in _PARTS and not (tag == "header" and inside[up])) or bool(_WORDS.search(words))
     if not any(inside):
         return None

@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import pytest
 
@@ -84,3 +85,53 @@ def test_nulls_broken_markup_repeats_and_empty(spark, model):
     assert sorted((r.page_id, r.text[:9]) for r in got if r.page_id in (1, 4)) == [(1, ""), (1, "a b c d."), (4, "word word")]
     assert he.extract(spark, pages.limit(0), model).count() == 0
     assert he.op4_html_extract
+
+
+def runs(source):
+    return [x for x in he.Page(source).text if x]
+
+
+@pytest.mark.parametrize(
+    "source,want",
+    [
+        ("<p data-x=it's>Hello world. It's fine</p><p>second</p>", ["Hello world. It's fine", "second"]),
+        ("<!--><p>Hello</p>", ["Hello"]),
+        ("<!---><p>Hello</p>", ["Hello"]),
+        ("<!-- a -- > <p>in</p> --><p>out</p>", ["out"]),
+        ('<a href="x>foo', ["foo"]),
+        ('<p title="a>b">x</p>', ["x"]),
+        ("<select><p>rest</p>", ["rest"]),
+        ("<title>x<p>rest</p>", ["x", "rest"]),
+        ("<script>if (a<b) {}</script>t<script>never closed <p>x</p>", ["t"]),
+        ("a < b <p>c</p>", ["a < b", "c"]),
+        ('<p a="1"b="2" =x>z</p>', ["z"]),
+        ("<div><b>x<div>y</b>z</div>w</div>", ["x", "yz", "w"]),
+        ("<table><tr><td>1<td>2<tr><td>3</table>", ["1", "2", "3"]),
+        ("x<p a", ["x"]),
+    ],
+)
+def test_broken_markup(source, want):
+    assert runs(source) == want
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["<div></foo>" * 180000, "<b><div>" + "<i>" * 100000 + "</b>" * 100000, "<div>" * 100000 + "<li>" * 100000, '<a href="x>' * 180000, "<select>" * 200000, "<!--" * 400000, "<p " + "a=b " * 500000 + "<", "<table>" * 50000 + "<td>" * 200000],
+    ids=["unmatched", "inline", "implied", "quotes", "unclosed", "comments", "attributes", "cells"],
+)
+def test_broken_markup_takes_linear_time(source):
+    start = time.time()
+    runs(source)
+    assert time.time() - start < 20
+
+
+def test_held_out_pages_without_article_elements(model):
+    rng, hit, got, want = random.Random(991), 0, 0, 0
+    pages = [he.made_page(rng) for _ in range(300)]
+    pages = [(p, y) for p, y in pages if not any(k and k[0] in ("article", "main") for k in p.kind)]
+    assert len(pages) > 100
+    for page, y in pages:
+        for text, x, label in zip(page.text, model.marginals(page), y, strict=True):
+            if text is not None:
+                got, want, hit = got + len(text) * (x > 0.5), want + len(text) * label, hit + len(text) * (label and x > 0.5)
+    assert hit / got > 0.97 and hit / want > 0.97
