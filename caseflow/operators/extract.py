@@ -28,8 +28,8 @@ _ANCHOR = 6
 
 
 def first_wins(entities: DataFrame, by=("file", "key"), ordinal: str = "ordinal") -> DataFrame:
-    """The first entity of every key; attributes of later ones are dropped."""
-    rest = [c for c in entities.columns if c not in (*by, ordinal)]
+    """The first entity of every key, with its ordinal; attributes of later ones are dropped."""
+    rest = [c for c in entities.columns if c not in by]
     return entities.groupBy(*by).agg(F.min_by(F.struct(*rest), ordinal).alias("e")).select(*by, "e.*")
 
 
@@ -40,7 +40,8 @@ def _col(df: DataFrame, name: str | None) -> Column:
 def _ends(rows: DataFrame, label: str) -> DataFrame:
     """The two entities of every row (file, ordinal, a, b)."""
     pair = F.explode(F.array(F.struct((F.col("ordinal") * 2).alias("o"), F.col("a").alias("v")), F.struct((F.col("ordinal") * 2 + 1).alias("o"), F.col("b").alias("v"))))
-    e = rows.select("file", pair.alias("p")).select("file", F.col("p.o").alias("ordinal"), F.col("p.v").alias("name"))
+    # values are merged as they stand first, by a plain minimum, so that keys are made and structs compared once a value
+    e = rows.select("file", pair.alias("p")).groupBy("file", F.col("p.v").alias("name")).agg(F.min("p.o").alias("ordinal"))
     return first_wins(e.withColumns({"label": F.lit(label), "key": t.canonical_key(F.lit(label), F.col("name"))}))
 
 
@@ -95,9 +96,9 @@ def master_entities(rows: DataFrame) -> DataFrame:
 
 
 def master_lookup(entities: DataFrame) -> DataFrame:
-    """(file, value, key): names and identifiers in lower case; of several the last key in order."""
+    """(file, value, key): names and identifiers in lower case; of several entities the last one in order (``ordinal``)."""
     ident = F.lower(F.regexp_replace("key", "^[^:]*:", ""))
-    return entities.select("file", F.explode(F.array(F.lower("name"), ident)).alias("value"), "key").groupBy("file", "value").agg(F.max("key").alias("key"))
+    return entities.select("file", F.explode(F.array(F.lower("name"), ident)).alias("value"), "key", "ordinal").groupBy("file", "value").agg(F.max_by("key", "ordinal").alias("key"))
 
 
 def master_relations(rows: DataFrame, lookup: DataFrame) -> DataFrame:
@@ -170,7 +171,10 @@ def sentences(docs: DataFrame, text: str = "content") -> DataFrame:
 
 def sentence_mentions(sents: DataFrame, names: DataFrame) -> DataFrame:
     """(file, pos, key, label, rank): known names in order of their id, then phones, then vehicles, each once a sentence."""
-    known = sents.join(F.broadcast(names.select("case_id", F.col("id").alias("o"), "key", "label", F.lower("name").alias("low"))), "case_id").filter(F.contains(F.lower("sentence"), F.col("low")))
+    listed = names.select("case_id", F.col("id").alias("o"), "key", "label", "name")
+    # each sentence is a text of its own; the dictionary is broadcast or joined by letter groups, by its size
+    found = dictionary_mentions(sents.select(F.struct("file", "pos").alias("file"), "case_id", "sentence"), listed, "sentence")
+    known = found.select("file.file", "file.pos", "key").join(sents.select("file", "pos", "case_id"), ["file", "pos"]).join(listed, ["case_id", "key"])
     known = known.select("file", "pos", F.struct(F.lit(0).alias("kind"), "o").alias("order"), "key", "label")
     listed = []
     for kind, (f, label) in enumerate(((phones, "PhoneNumber"), (vehicles, "Vehicle")), 1):
@@ -219,6 +223,12 @@ def carried_vehicles(sents: DataFrame) -> DataFrame:
     return found.filter("vehicle IS NOT NULL").select("file", "pos", "vehicle")
 
 
+def case_nodes(cases: DataFrame) -> DataFrame:
+    """The CASE entity of every case (file, case_ref, title); its name is the title, or the reference where there is none."""
+    name = F.coalesce(F.nullif(t.clean(F.col("title")), F.lit("")), F.col("case_ref"))
+    return cases.select("file", F.concat(F.lit("CASE:"), "case_ref").alias("key"), F.lit("Case").alias("label"), name.alias("name"))
+
+
 def backbone(entities: DataFrame, edges: DataFrame, case_key: Column) -> DataFrame:
     """PART_OF_CASE edges of persons, incidents and of entities without another edge in the batch."""
     touched = edges.filter("relation <> 'PART_OF_CASE'").select("file", F.explode(F.array("source", "target")).alias("key")).distinct()

@@ -58,6 +58,34 @@ def reach_pairs(adj: DataFrame, hops: int = 3) -> DataFrame:
     return seen.select("case_id", F.col("a").alias("key"), F.col("b").alias("reached"))
 
 
+def reach_counts(adj: DataFrame, hops: int = 3, peers: DataFrame | None = None) -> DataFrame:
+    """(case_id, key, reach): how many other keys (of ``peers``, if given) are reached within ``hops``.
+
+    The pairs of ``reach_pairs`` are never made: keys are numbered so that those of a case are neighbours, what a key reaches is a
+    set of 64-bit words, and a hop is one join and one OR by (key, word), combined before the shuffle. Only new bits go on.
+    """
+    word, bit = (lambda c: F.expr(f"shiftright({c}, 6)")), (lambda c: F.expr(f"shiftleft(1L, int({c} & 63))"))
+    nodes = adj.select("case_id", "key").distinct().repartitionByRange("case_id", "key").sortWithinPartitions("case_id", "key")
+    nodes = cut(nodes.withColumn("n", F.monotonically_increasing_id()))
+    ends = adj.select("case_id", "key", "other").distinct()
+    ends = ends.join(nodes.withColumnRenamed("n", "a"), ["case_id", "key"]).join(nodes.select("case_id", F.col("key").alias("other"), F.col("n").alias("b")), ["case_id", "other"])
+    step = cut(ends.select("a", "b"))
+    frontier = cut(step.groupBy("a", word("b").alias("w")).agg(F.bit_or(bit("b")).alias("bits")))
+    seen = frontier
+    for _ in range(hops - 1):
+        onward = step.join(frontier.withColumnRenamed("a", "b"), "b").groupBy("a", "w").agg(F.bit_or("bits").alias("bits"))
+        new = onward.join(seen.withColumnRenamed("bits", "old"), ["a", "w"], "left").select("a", "w", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long")))).alias("bits"))
+        frontier = cut(new.filter("bits <> 0"))
+        seen = cut(seen.unionByName(frontier).groupBy("a", "w").agg(F.bit_or("bits").alias("bits")))
+    own = F.when(F.col("w") == word("a"), F.bitwise_not(bit("a"))).otherwise(F.lit(-1).cast("long"))
+    bits = F.col("bits").bitwiseAND(own)
+    if peers is not None:
+        known = nodes.join(peers.select("case_id", "key").distinct(), ["case_id", "key"]).groupBy(word("n").alias("w")).agg(F.bit_or(bit("n")).alias("mask"))
+        seen, bits = seen.join(known, "w"), bits.bitwiseAND(F.col("mask"))
+    counts = seen.groupBy("a").agg(F.sum(F.bit_count(bits)).alias("reach"))
+    return nodes.join(counts, nodes.n == counts.a).select("case_id", "key", "reach")
+
+
 def shortest_paths(pairs: DataFrame, rels: DataFrame, max_hops: int = 5, exclude=()) -> DataFrame:
     """(pair_id, hops, path, relations) for pairs (pair_id, case_id, source, target) that are connected within ``max_hops``.
 
@@ -139,6 +167,60 @@ def connections(rels: DataFrame, entities: DataFrame) -> DataFrame:
     return b.join(names, "other")
 
 
+def sorted_connections(rels: DataFrame, entities: DataFrame) -> DataFrame:
+    """All dossier rows with their place: by lower name, relation, other key, time, direction and amount, for each entity of a case."""
+    w = Window.partitionBy("case_id", "key").orderBy(F.lower("other_name"), "relation", "other", "timestamp", "direction", "amount")
+    return connections(rels, entities).withColumn("place", F.row_number().over(w))
+
+
+def dossier(rels: DataFrame, entities: DataFrame, scored: DataFrame) -> DataFrame:
+    """A row an entity of a case: its cases in all, connections by direction, degree, risk, band and factors. Entities outside the case give no row.
+
+    scored: what ``risk.entity_risk`` gives. Connections themselves: ``sorted_connections``.
+    """
+    inside = members(rels, entities)
+    home = inside.groupBy("key").agg(F.array_sort(F.collect_set("case_id")).alias("cases"))
+    seen = connections(rels, entities).groupBy("case_id", "key").agg(F.count("*").alias("connections"), F.count_if(F.col("direction") == "OUTGOING").alias("outgoing"))
+    named = entities.groupBy("key").agg(F.min_by(F.struct("label", "name"), "id").alias("e")).select("key", "e.*")
+    out = inside.join(named, "key").join(home, "key").join(seen, ["case_id", "key"], "left").join(scored.select("case_id", "key", "degree", "score", "band", "factors"), ["case_id", "key"], "left")
+    return out.fillna(0, ["connections", "outgoing", "degree"])
+
+
+def with_endpoints(rels: DataFrame, entities: DataFrame) -> DataFrame:
+    """``rels`` with name and label of both ends; an end that is no entity is shown by its key, as an Entity."""
+    out = rels
+    for side in ("source", "target"):
+        e = entities.select(F.col("key").alias(side), F.col("name").alias(f"{side}_name"), F.col("label").alias(f"{side}_label"))
+        out = out.join(e, side, "left")
+    for side in ("source", "target"):
+        out = out.withColumns({f"{side}_name": F.coalesce(f"{side}_name", side), f"{side}_label": F.coalesce(f"{side}_label", F.lit("Entity"))})
+    return out
+
+
+def distinct_edges(rels: DataFrame) -> DataFrame:
+    """The first row (by id) of each (case_id, source, target, relation, timestamp), without self edges."""
+    on = ["case_id", "source", "target", "relation", "timestamp"]
+    rest = [c for c in rels.columns if c not in on]
+    return rels.filter("source <> target").groupBy(*on).agg(F.min_by(F.struct(*rest), "id").alias("r")).select(*on, "r.*")
+
+
+def remap(rels: DataFrame, to: DataFrame) -> DataFrame:
+    """Endpoints renamed by (key, to); edges that become self edges go, repeats merge, and a missing relation is RELATED_TO."""
+    out = rels
+    for side in ("source", "target"):
+        out = out.join(to.select(F.col("key").alias(side), F.col("to").alias(f"new_{side}")), side, "left").withColumn(side, F.coalesce(f"new_{side}", side))
+    return out.select("case_id", "source", "target", F.coalesce("relation", F.lit("RELATED_TO")).alias("relation"), "timestamp").filter("source <> target").distinct()
+
+
+def payload(rels: DataFrame, entities: DataFrame, scored: DataFrame):
+    """(nodes, edges) to draw: every member of a case with name, risk and band, and every edge between two of them."""
+    nodes = members(rels, entities).join(entities.groupBy("key").agg(F.min_by(F.struct("label", "name"), "id").alias("e")).select("key", "e.*"), "key")
+    nodes = nodes.join(scored.select("case_id", "key", F.col("score").alias("risk"), "band"), ["case_id", "key"], "left")
+    keys = nodes.select("case_id", "key")
+    edges = rels.join(keys.withColumnRenamed("key", "source"), ["case_id", "source"], "left_semi").join(keys.withColumnRenamed("key", "target"), ["case_id", "target"], "left_semi")
+    return nodes, edges.select("case_id", "id", "source", "target", t.edge_label(F.col("relation"), F.col("amount"), F.col("timestamp")).alias("label"), "timestamp", "amount")
+
+
 def top_by_degree(rels: DataFrame, k: int = 10) -> DataFrame:
     w = Window.partitionBy("case_id").orderBy(F.desc("degree"), "key")
     return degrees(rels).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -67,6 +67,13 @@ def append_blocks(events: DataFrame) -> DataFrame:
     return parts.repartition("chain_id").sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
+def audit_blocks(audit: DataFrame):
+    """(blocks, security events) of audit rows (id, ts, username, action, resource, severity): every row becomes a block of its user's chain, and those with a severity a security event too."""
+    named = F.to_json(F.struct(F.col("action"), F.col("id").alias("audit_id"), F.col("resource"), F.col("severity")), {"ignoreNullFields": "false"})
+    blocks = append_blocks(audit.select(F.col("username").alias("chain_id"), "id", "ts", F.lit("AUDIT_EVENT").alias("event_type"), named.alias("payload")))
+    return blocks, audit.filter("severity IS NOT NULL").select("id", "ts", "username", "action", "resource", "severity")
+
+
 def verify_chains(blocks: DataFrame) -> DataFrame:
     """(chain_id, valid, checked_blocks, first_bad): dense indexes, links and hashes of every chain; all hashes are recomputed in parallel."""
     w = Window.partitionBy("chain_id").orderBy("block_index")
@@ -92,6 +99,16 @@ def missing_fingerprints(documents: DataFrame, integrity: DataFrame) -> DataFram
     return documents.join(integrity.select("document_id"), "document_id", "left_anti")
 
 
+def backfill_fingerprints(documents: DataFrame, integrity: DataFrame, stored: DataFrame) -> DataFrame:
+    """Integrity rows (document_id, sha256, size, stored_path, status) for documents that have none, hashed from their files (document_id, path, content).
+
+    A document without a file gets a row without a hash, with status MISSING.
+    """
+    lost = missing_fingerprints(documents, integrity).select("document_id")
+    hashed = stored.select("document_id", F.col("path").alias("stored_path"), F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size"))
+    return lost.join(hashed, "document_id", "left").select("document_id", "sha256", "size", "stored_path", F.when(F.col("sha256").isNull(), "MISSING").otherwise("VERIFIED").alias("status"))
+
+
 def audit_trail(documents: DataFrame, audit: DataFrame) -> DataFrame:
     """(document_id, audit_id): events of a document by its id, or by its filename unless the detail names another case."""
     by_id = documents.select("document_id", F.col("document_id").cast("string").alias("resource")).join(audit.filter(F.col("action").isin(*BY_ID)), "resource").select("document_id", F.col("id").alias("audit_id"))
@@ -130,9 +147,17 @@ def rate_limited(failures: DataFrame, limit: int = 5, seconds: int = 300) -> Dat
 
 
 def provenance(documents: DataFrame, integrity: DataFrame, trail: DataFrame) -> DataFrame:
-    """(document_id, steps): case, document, hash, integrity and audit steps with their status."""
+    """(document_id, steps): case, document, storage, hash, integrity and audit steps, each (step, status, detail)."""
     n = trail.groupBy("document_id").agg(F.count("*").alias("events"))
-    d = documents.join(integrity.select("document_id", "sha256", "status"), "document_id", "left").join(n, "document_id", "left")
-    step = lambda name, ok: F.concat(F.lit(name + ":"), F.when(ok, "OK").otherwise("MISSING"))
-    steps = F.array(step("CASE", F.col("case_id").isNotNull()), step("DOCUMENT", F.lit(True)), step("HASH", F.col("sha256").isNotNull()), F.concat(F.lit("INTEGRITY:"), F.coalesce("status", F.lit("NOT_CHECKED"))), step("AUDIT", F.coalesce(F.col("events") > 0, F.lit(False))))
+    d = documents.join(integrity.select("document_id", "sha256", "status", "stored_path"), "document_id", "left").join(n, "document_id", "left")
+    step = lambda name, detail, status=None: F.struct(F.lit(name).alias("step"), (F.when(F.col(detail).isNotNull(), "OK").otherwise("MISSING") if status is None else status).alias("status"), F.col(detail).cast("string").alias("detail"))
+    steps = F.array(step("CASE", "case_id"), step("DOCUMENT", "filename", F.lit("OK")), step("STORAGE", "stored_path"), step("HASH", "sha256"), step("INTEGRITY", "status", F.coalesce("status", F.lit("NOT_CHECKED"))), step("AUDIT", "events"))
     return d.select("document_id", steps.alias("steps"))
+
+
+def document_register(documents: DataFrame, cases: DataFrame, integrity: DataFrame, chunks: DataFrame, newest: int = 50) -> DataFrame:
+    """The ``newest`` documents with case reference, integrity status, and whether they have chunks in the index."""
+    d = documents.orderBy(F.desc("document_id")).limit(newest).select("document_id", "case_id", "filename")
+    indexed = chunks.select("document_id").distinct().withColumn("indexed", F.lit(True))
+    out = d.join(cases.select("case_id", "reference_id"), "case_id", "left").join(integrity.select("document_id", "status"), "document_id", "left").join(indexed, "document_id", "left")
+    return out.select("document_id", "filename", "reference_id", F.coalesce("status", F.lit("NOT_CHECKED")).alias("status"), F.coalesce("indexed", F.lit(False)).alias("rag_indexed"))

@@ -43,9 +43,9 @@ def signals(entities: DataFrame, rels: DataFrame | None = None, fill_only: bool
 
 
 def resolve(existing: DataFrame, incoming: DataFrame, existing_rels: DataFrame | None = None, incoming_rels: DataFrame | None = None) -> DataFrame:
-    """(id, verdict, candidate_id, detail) of every incoming entity.
+    """(id, verdict, candidate_id, detail, name_agrees) of every incoming entity.
 
-    EXACT_MATCH by a shared identifier (for others than persons: by equal normalised identity), the candidate of the least id; NEW_ENTITY if only a
+    ``detail`` lists the kinds that match or conflict; ``name_agrees`` tells for a match by identifiers whether the names are equal too. EXACT_MATCH by a shared identifier (for others than persons: by equal normalised identity), the candidate of the least id; NEW_ENTITY if only a
     namesake with a conflicting identifier is there; AMBIGUOUS if a namesake has nothing to compare; else NEW_ENTITY.
     """
     c = F.col
@@ -54,6 +54,7 @@ def resolve(existing: DataFrame, incoming: DataFrame, existing_rels: DataFrame |
     old_s = signals(existing.filter(person), existing_rels)
     old = old_s.withColumnRenamed("id", "cand")
     strong = inc_s.join(old, ["case_id", "label", "kind", "value"]).groupBy("id", "cand").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("detail"))
+    named = lambda df, i: df.filter(person).select(c("id").alias(i), t.name(c("name")).alias(f"{i}_name"))
 
     names = lambda df, i: df.filter(person).select("case_id", F.lower("label").alias("label"), t.name(c("name")).alias("n"), c("id").alias(i)).filter("n <> ''")
     same = names(incoming, "id").join(names(existing, "cand"), ["case_id", "label", "n"]).select("id", "cand").join(strong, ["id", "cand"], "left_anti")
@@ -65,11 +66,14 @@ def resolve(existing: DataFrame, incoming: DataFrame, existing_rels: DataFrame |
 
     ident = lambda df, i: df.filter(~person).select("case_id", F.lower("label").alias("label"), t.identity(c("label"), F.coalesce(F.nullif("name", F.lit("")), c("key"))).alias("v"), c("id").alias(i)).filter("v <> ''")
     other = ident(incoming, "id").join(ident(existing, "cand"), ["case_id", "label", "v"]).select("id", "cand", F.lit(1).alias("rank"), F.lit("identity").alias("detail"))
-    found = strong.select("id", "cand", F.lit(1).alias("rank"), "detail").unionByName(other)
-    found = found.unionByName(weak.select("id", "cand", F.when(c("detail").isNotNull(), 2).otherwise(3).alias("rank"), F.coalesce("detail", F.lit("name")).alias("detail")))
-    best = found.groupBy("id").agg(F.min(F.struct("rank", "cand", "detail")).alias("b"))
+    agrees = F.coalesce((c("id_name") == c("cand_name")) & (c("id_name") != ""), F.lit(False))
+    strong = strong.join(named(incoming, "id"), "id").join(named(existing, "cand"), "cand")
+    none = F.lit(None).cast("boolean").alias("agrees")
+    found = strong.select("id", "cand", F.lit(1).alias("rank"), "detail", agrees.alias("agrees")).unionByName(other.withColumn("agrees", none))
+    found = found.unionByName(weak.select("id", "cand", F.when(c("detail").isNotNull(), 2).otherwise(3).alias("rank"), F.coalesce("detail", F.lit("name")).alias("detail"), none))
+    best = found.groupBy("id").agg(F.min(F.struct("rank", "cand", "detail", "agrees")).alias("b"))
     verdict = F.when(c("b.rank") == 1, "EXACT_MATCH").when(c("b.rank") == 3, "AMBIGUOUS").otherwise("NEW_ENTITY")
-    return incoming.select("id").join(best, "id", "left").select("id", verdict.alias("verdict"), F.when(c("b.rank") == 1, c("b.cand")).alias("candidate_id"), F.coalesce("b.detail", F.lit("")).alias("detail"))
+    return incoming.select("id").join(best, "id", "left").select("id", verdict.alias("verdict"), F.when(c("b.rank") == 1, c("b.cand")).alias("candidate_id"), F.coalesce("b.detail", F.lit("")).alias("detail"), c("b.agrees").alias("name_agrees"))
 
 
 def batch_groups(incoming: DataFrame, rels: DataFrame | None = None) -> DataFrame:
@@ -94,12 +98,16 @@ def batch_groups(incoming: DataFrame, rels: DataFrame | None = None) -> DataFram
 
 
 def merge(existing: DataFrame, incoming: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """``existing`` with missing attributes filled from its matches, in order of their ids; no stated attribute is changed."""
-    hit = incoming.join(verdicts.filter("candidate_id IS NOT NULL").select("id", "candidate_id"), "id")
-    new = hit.groupBy("candidate_id").agg(*[F.min_by(F.nullif(k, F.lit("")), F.when(F.coalesce(k, F.lit("")) != "", F.col("id"))).alias(f"new_{k}") for k in KINDS], F.count("*").alias("merged"))
+    """``existing`` with missing attributes filled from its matches, in order of their ids and normalised; no stated attribute is changed.
+
+    merged counts the matches; status is MERGED where there is one, and reason lists what matched, first match first.
+    """
+    hit = incoming.join(verdicts.filter("candidate_id IS NOT NULL").select("id", "candidate_id", "detail"), "id")
+    value = {k: F.nullif(_normal(k, F.col(k)), F.lit("")) for k in KINDS}
+    new = hit.groupBy("candidate_id").agg(*[F.min_by(v, F.when(v.isNotNull(), F.col("id"))).alias(f"new_{k}") for k, v in value.items()], F.count("*").alias("merged"), F.min_by("detail", "id").alias("reason"))
     out = existing.join(new, existing.id == new.candidate_id, "left")
     keep = [c for c in existing.columns if c not in KINDS]
-    return out.select(*keep, *[F.coalesce(F.nullif(k, F.lit("")), f"new_{k}").alias(k) for k in KINDS], F.coalesce("merged", F.lit(0)).alias("merged"))
+    return out.select(*keep, *[F.coalesce(F.nullif(k, F.lit("")), f"new_{k}").alias(k) for k in KINDS], F.coalesce("merged", F.lit(0)).alias("merged"), F.when(F.col("merged") > 0, "MERGED").otherwise("UNCHANGED").alias("status"), F.coalesce("reason", F.lit("")).alias("reason"))
 
 
 def scoped_key(key: Column, case_id: Column, name: Column, seed: Column) -> Column:

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions import text as t
+from caseflow.operators import graph
+from caseflow.operators.work import cut
 
-# fixed values: dimension, stop words and cue lists
+# fixed values: dimension, stop words and cue lists; relations of two intents
 DIM = 128
 STOP_WORDS = ("the", "is", "at", "which", "on", "what", "where", "who", "when", "why", "how", "a", "an", "and", "or", "in", "to", "for", "of", "with", "by", "from", "as", "about", "this", "that", "these", "those", "it", "its", "are", "was", "were")
 INTENTS = (
@@ -16,14 +18,20 @@ INTENTS = (
     ("COMMUNICATION", ("communication", "phone calls", "call activity", "phone network", "calls")),
     ("FINANCIAL", ("transaction", "financial", "money transfer", "fund transfer", "transferred", "bank activity")),
 )
+COMMUNICATION, FINANCIAL = ("CALL_MADE_TO", "CONTACTED"), ("TRANSFERRED_FUNDS_TO",)
 
 
 def sliding_chunks(docs: DataFrame, size: int = 500, overlap: int = 100) -> DataFrame:
     """(document_id, case_id, chunk_index, chunk): windows of characters over the whole content, blank ones left out."""
     step = max(50, size - overlap)
     text = t.strip(F.regexp_replace(F.coalesce("content", F.lit("")), "\r\n|\r", "\n"))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(step))
-    parts = F.filter(F.transform(starts, lambda i: t.strip(F.substring(text, i, F.lit(size)))), lambda c: c != "")
+
+    def cut(whole: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(whole), F.lit(1)), F.lit(step))
+        return F.filter(F.transform(starts, lambda i: t.strip(F.substring(whole, i, F.lit(size)))), lambda c: c != "")
+
+    # the clean text is bound by a lambda, so it is made once a document and not once a chunk
+    parts = F.flatten(F.transform(F.array(text), cut))
     return docs.select("document_id", "case_id", F.posexplode(parts).alias("chunk_index", "chunk"))
 
 
@@ -110,22 +118,22 @@ def hybrid_retrieval(questions: DataFrame, chunks: DataFrame, k: int = 4) -> Dat
 def keyword_search(questions: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     """(question_id, rank, document_id, score): how many words of the question (repeats counted) a document of the case contains; none is left out."""
     words = F.filter(F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) >= 3)
-    q = questions.select("question_id", "case_id", words.alias("words"))
-    d = docs.select("document_id", "case_id", F.lower("content").alias("low"))
-    s = q.join(d, "case_id").select("question_id", "document_id", F.size(F.filter("words", lambda x: F.contains(F.col("low"), x))).alias("score")).filter("score > 0")
+    asked = questions.select("question_id", "case_id", F.explode(words).alias("word")).groupBy("case_id", "question_id", "word").agg(F.count("*").alias("n"))
+    # a word is looked for once in each text of a case, however many questions have it
+    lists = asked.groupBy("case_id").agg(F.collect_set("word").alias("words"))
+    low = docs.select("document_id", "case_id", F.lower("content").alias("low")).join(lists, "case_id")
+    found = low.select("document_id", "case_id", F.explode(_contained(F.col("low"), F.col("words"))).alias("word"))
+    s = found.join(asked, ["case_id", "word"]).groupBy("question_id", "document_id").agg(F.sum("n").cast("int").alias("score"))
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "document_id")
     return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def intent(question: Column) -> Column:
-    q = t.squeeze(F.lower(question))
-    out = None
-    for name, cues in INTENTS:
-        cond = F.lit(False)
-        for c in cues:
-            cond = cond | F.contains(q, F.lit(c))
-        out = F.when(cond, name) if out is None else out.when(cond, name)
-    return out.otherwise("SEARCH")
+def _contained(low: Column, words: Column) -> Column:
+    """The words that occur in a text anywhere. Those that are one of the text's own runs of letters and digits are found by a set; only the rest is scanned for."""
+    own = F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)))
+    whole = F.array_intersect(words, own)
+    inside = F.filter(F.array_except(words, own), lambda w: F.contains(low, w))
+    return F.concat(whole, inside)
 
 
 def evidence_gate(hits: DataFrame, k: int = 3) -> DataFrame:
@@ -135,11 +143,23 @@ def evidence_gate(hits: DataFrame, k: int = 3) -> DataFrame:
     return good.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
-def grounded_context(questions: DataFrame, gated: DataFrame, chunks: DataFrame) -> DataFrame:
-    """A row a question: its sources in order with previews of 250 characters, or the refusal mode."""
-    rows = gated.join(chunks.select("chunk_id", F.substring("chunk", 1, 250).alias("preview")), "chunk_id")
-    got = rows.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("place", "chunk_id", "score", "preview"))).alias("sources"))
-    out = questions.select("question_id").join(got, "question_id", "left")
+def grounded_context(questions: DataFrame, gated: DataFrame, chunks: DataFrame, documents: DataFrame, mentions: DataFrame, scored: DataFrame, rels: DataFrame, max_edges: int = 15) -> DataFrame:
+    """A row a question: its sources (file, section, score, preview of 250 characters) in order, mentioned entities with their risk in the case, and
+    the first ``max_edges`` edges (by id) that touch these; or the refusal mode.
+
+    chunks: (chunk_id, document_id, chunk_index, chunk), documents: (document_id, filename), mentions: (question_id, case_id, key).
+    """
+    named = chunks.select("chunk_id", "document_id", (F.col("chunk_index") + 1).alias("section"), F.substring("chunk", 1, 250).alias("preview")).join(documents.select("document_id", "filename"), "document_id")
+    got = gated.join(named, "chunk_id").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("place", "chunk_id", "document_id", "filename", "section", "score", "preview"))).alias("sources"))
+    risks = mentions.join(scored.select("case_id", "key", "score", "band"), ["case_id", "key"], "left")
+    who = risks.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("key", "score", "band"))).alias("entities"))
+    ends = [mentions.select("question_id", "case_id", F.col("key").alias(side)).join(rels.select("case_id", "source", "target", "id", "relation"), ["case_id", side]).select("question_id", "id", "source", "target", "relation") for side in ("source", "target")]
+    first = ends[0].unionByName(ends[1]).distinct().withColumn("n", F.row_number().over(Window.partitionBy("question_id").orderBy("id"))).filter(F.col("n") <= max_edges)
+    edges = first.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("id", "source", "relation", "target"))).alias("edges"))
+    out = questions.select("question_id").join(got, "question_id", "left").join(who, "question_id", "left").join(edges, "question_id", "left")
+    for name in ("entities", "edges"):
+        kind = out.schema[name].dataType.simpleString()
+        out = out.withColumn(name, F.when(F.col("sources").isNull(), F.array().cast(kind)).otherwise(F.coalesce(name, F.array().cast(kind))))
     return out.withColumn("mode", F.when(F.col("sources").isNull(), "NO_EVIDENCE").otherwise("GROUNDED")).withColumn("confidence", F.when(F.col("sources").isNull(), 0.5).otherwise(0.85))
 
 
@@ -167,6 +187,80 @@ def question_mentions(questions: DataFrame, entities: DataFrame) -> DataFrame:
     return exact.unionByName(a.join(b, ["case_id", "w"]).select("question_id", "key")).distinct()
 
 
+def assistant_mentions(questions: DataFrame, entities: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(question_id, case_id, key): entities whose name (three characters or more) or key (four) a question contains; without any, those whose
+    name (four) or key (five) one of its first two retrieved chunks contains. chunks: (question_id, rank, chunk).
+
+    Names are looked for among the words that texts and names share, so no text meets every name of its case.
+    """
+    asked = questions.select("question_id", "case_id", F.lower("question").alias("text"))
+    direct = _named(asked, entities, 3, 4)
+    open_ = asked.select("question_id", "case_id").join(direct.select("question_id").distinct(), "question_id", "left_anti")
+    first = chunks.filter("rank <= 2").select("question_id", F.lower("chunk").alias("text")).join(open_, "question_id")
+    return direct.unionByName(_named(first, entities, 4, 5)).distinct()
+
+
+def _named(texts: DataFrame, entities: DataFrame, name_length: int, key_length: int) -> DataFrame:
+    """(question_id, case_id, key) of entities whose name or key stands in a text (question_id, case_id, text). A phrase's first three characters are
+    joined with those of the text's positions, and what meets is compared whole."""
+    e = entities.select("case_id", "key", F.explode(F.array(F.struct(F.lower("name").alias("p"), F.lit(name_length).alias("least")), F.struct(F.lower("key").alias("p"), F.lit(key_length).alias("least")))).alias("x"))
+    phrases = e.select("case_id", "key", F.col("x.p").alias("phrase")).filter(F.length("x.p") >= F.col("x.least")).distinct()
+    heads = phrases.select("case_id", F.substring("phrase", 1, 3).alias("head")).distinct()
+    at = F.expr("array_distinct(transform(sequence(1, greatest(length(text) - 2, 1)), i -> substring(text, i, 3)))")
+    met = texts.select("question_id", "case_id", "text", F.explode(at).alias("head")).join(heads, ["case_id", "head"], "left_semi")
+    near = met.join(phrases.withColumn("head", F.substring("phrase", 1, 3)), ["case_id", "head"])
+    return near.filter(F.contains("text", "phrase")).select("question_id", "case_id", "key").distinct()
+
+
+def intent(question: Column, entity: Column | None = None, document: Column | None = None) -> Column:
+    """The first intent whose cue a question has: SUMMARY, MOST_CONNECTED, COMMUNICATION, FINANCIAL; then ENTITY or DOCUMENT where the question names one (boolean columns), else SEARCH."""
+    q = t.squeeze(F.lower(question))
+    out = None
+    for name, cues in INTENTS:
+        cond = F.lit(False)
+        for c in cues:
+            cond = cond | F.contains(q, F.lit(c))
+        out = F.when(cond, name) if out is None else out.when(cond, name)
+    for name, flag in (("ENTITY", entity), ("DOCUMENT", document)):
+        if flag is not None:
+            out = out.when(F.coalesce(flag, F.lit(False)), name)
+    return out.otherwise("SEARCH")
+
+
+def answers(questions: DataFrame, entities: DataFrame, documents: DataFrame, rels: DataFrame, scored: DataFrame, k: int = 5) -> DataFrame:
+    """(question_id, intent, place, item, value): what each question asks for, at most ``k`` rows of each.
+
+    SUMMARY: counts of entities, relationships and documents of its case. MOST_CONNECTED: entities by degree. COMMUNICATION and FINANCIAL: newest edges of these kinds.
+    ENTITY: the named entities by risk. DOCUMENT: documents whose file name the question contains. SEARCH: documents by keyword score.
+    """
+    mentioned = _named(questions.select("question_id", "case_id", F.lower("question").alias("text")), entities, 3, 4)
+    files = documents.select("case_id", F.col("filename").alias("key"), F.col("filename").alias("name"))
+    filed = _named(questions.select("question_id", "case_id", F.lower("question").alias("text")), files, 3, 3).withColumnRenamed("key", "filename")
+    q = questions.join(mentioned.select("question_id", F.lit(True).alias("has_entity")).distinct(), "question_id", "left").join(filed.select("question_id", F.lit(True).alias("has_file")).distinct(), "question_id", "left")
+    q = cut(q.select("question_id", "case_id", "question", intent(F.col("question"), F.col("has_entity"), F.col("has_file")).alias("intent")))
+    of = lambda name: q.filter(F.col("intent") == name).select("question_id", "case_id")
+
+    def listed(name, rows, item, value, *order):
+        """``rows`` of cases in order, the first k of each case, for every question of the intent in it."""
+        first = rows.withColumn("place", F.row_number().over(Window.partitionBy("case_id").orderBy(*order))).filter(F.col("place") <= k)
+        return of(name).join(first, "case_id").select("question_id", F.lit(name).alias("intent"), "place", item.alias("item"), value.cast("string").alias("value"))
+
+    c = F.col
+    counts = [df.groupBy("case_id").agg(F.count("*").alias("n")).select("case_id", F.lit(i).alias("i"), F.lit(name).alias("what"), "n") for i, (name, df) in enumerate((("entities", graph.members(rels, entities)), ("relationships", rels), ("documents", documents)))]
+    out = listed("SUMMARY", counts[0].union(counts[1]).union(counts[2]), c("what"), c("n"), "i")
+    out = out.unionByName(listed("MOST_CONNECTED", graph.degrees(rels), c("key"), c("degree"), F.desc("degree"), "key"))
+    shown = F.concat_ws(" -> ", "source", "target")
+    for name, kinds in (("COMMUNICATION", COMMUNICATION), ("FINANCIAL", FINANCIAL)):
+        out = out.unionByName(listed(name, rels.filter(c("relation").isin(*kinds)), shown, c("relation"), F.desc_nulls_last("timestamp"), "id"))
+    by_risk = mentioned.join(of("ENTITY").select("question_id"), "question_id").join(scored.select("case_id", "key", "score"), ["case_id", "key"], "left")
+    ranked = by_risk.withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc_nulls_last("score"), "key"))).filter(c("place") <= k)
+    out = out.unionByName(ranked.select("question_id", F.lit("ENTITY").alias("intent"), "place", c("key").alias("item"), c("score").cast("string").alias("value")))
+    named = filed.join(of("DOCUMENT").select("question_id"), "question_id").withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy("filename"))).filter(c("place") <= k)
+    out = out.unionByName(named.select("question_id", F.lit("DOCUMENT").alias("intent"), "place", c("filename").alias("item"), F.lit(None).cast("string").alias("value")))
+    hits = keyword_search(q.filter("intent = 'SEARCH'").select("question_id", "case_id", "question"), documents, k).join(documents.select("document_id", "filename"), "document_id")
+    return out.unionByName(hits.select("question_id", F.lit("SEARCH").alias("intent"), c("rank").alias("place"), c("filename").alias("item"), c("score").cast("string").alias("value")))
+
+
 def edge_subset(rels: DataFrame, keys: DataFrame) -> DataFrame:
     """Edges that touch a key (case_id, key), once each."""
     s, d = keys.withColumnRenamed("key", "source"), keys.withColumnRenamed("key", "target")

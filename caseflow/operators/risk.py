@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions import text as t
@@ -49,7 +49,7 @@ def measures(rels: DataFrame, peers: DataFrame, hops: int = 3) -> DataFrame:
     adj = graph.adjacency(rels)
     peers = peers.filter(~t.is_case_node(F.col("key"))).select("case_id", "key").distinct()
     counts = peers.groupBy("case_id").agg(F.count("*").alias("peers"))
-    reached = graph.reach_pairs(adj, hops).join(peers.withColumnRenamed("key", "reached"), ["case_id", "reached"], "left_semi").groupBy("case_id", "key").agg(F.count("*").alias("reach"))
+    reached = graph.reach_counts(adj, hops, peers)
     out = peers.join(counts, "case_id").join(graph.connectivity(adj), ["case_id", "key"], "left").join(exposure(rels), ["case_id", "key"], "left").join(reached, ["case_id", "key"], "left")
     return out.fillna(0, ["degree", "counterparties", "relation_types", "repeats", "reach"]).fillna(0.0, ["exposure"])
 
@@ -65,6 +65,24 @@ def entity_risk(rels: DataFrame, peers: DataFrame, config: RiskConfig | None = N
     return out.withColumn("score", total(c("factors"))).withColumn("band", t.risk_band(c("score")))
 
 
+def leaderboard(scored: DataFrame, sort: str = "riskDesc", bucket: str | None = None, k: int | None = None) -> DataFrame:
+    """Scored entities of a case in order, with their rank: by risk either way, by degree, or by name or key; ``bucket`` keeps HIGH, MODERATE or LOW risks."""
+    c = F.col
+    out = scored if bucket is None else scored.filter({"HIGH": c("score") >= 70, "MODERATE": (c("score") >= 40) & (c("score") < 70), "LOW": c("score") < 40}[bucket])
+    name = F.lower("name") if "name" in scored.columns else c("key")
+    order = {"riskDesc": [F.desc("score")], "riskAsc": [c("score")], "relsDesc": [F.desc("degree")], "nameAsc": [name]}[sort]
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy(*order, "key")))
+    return out if k is None else out.filter(c("rank") <= k)
+
+
+def report(rels: DataFrame, entities: DataFrame, cases: DataFrame, config: RiskConfig | None = None):
+    """(entity report, case report) of all cases: case scores with their membership edges counted apart and the declared label (``risk`` of cases) beside the computed band."""
+    scored = entity_risk(rels, graph.members(rels, entities), config)
+    apart = rels.groupBy("case_id").agg(F.count_if(t.is_investigative(F.col("relation"))).alias("investigative_edges"), F.count_if(~t.is_investigative(F.col("relation"))).alias("membership_edges"))
+    out = cases.select("case_id", F.col("risk").alias("declared")).join(case_risk(rels, scored, config), "case_id", "left").join(apart, "case_id", "left")
+    return scored, out.fillna(0, ["entities", "linked_entities", "internal_edges", "investigative_edges", "membership_edges"]).fillna(0.0, ["score"])
+
+
 def case_risk(rels: DataFrame, scored: DataFrame, config: RiskConfig | None = None) -> DataFrame:
     """Every case's factors, score and band from the scores of its peers and its internal edges."""
     config = config or RiskConfig()

@@ -22,9 +22,8 @@ def entities(spark, sf_dir) -> DataFrame:
     return c.unionByName(s)
 
 
-def _trades(spark, sf_dir, where=None) -> DataFrame:
+def _trades(spark, sf_dir) -> DataFrame:
     li, o, c = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
-    li = li.filter(where) if where is not None else li
     return li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
 
 
@@ -45,11 +44,6 @@ def relationships(spark, sf_dir) -> DataFrame:
     return _edges(_trades(spark, sf_dir), F.when(flag == "R", "RETURNED_TO").when(flag == "A", "ACCEPTED_FROM").otherwise("ORDERED_FROM"))
 
 
-def thin_relationships(spark, sf_dir) -> DataFrame:
-    """The returned large lines: a sparse graph for reach and paths."""
-    return _edges(_trades(spark, sf_dir, (F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 45)), F.col("o_orderpriority"))
-
-
 def documents(spark, sf_dir) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 25).alias("case_id"), F.format_string("doc_%d.txt", "doc_id").alias("filename"), F.col("text").alias("content"), "source", "lang", "n_chars")
@@ -72,14 +66,16 @@ ENTITIES_SQL = """entities AS (SELECT c_custkey AS id, 'CUSTOMER:' || c_custkey
 UNION ALL SELECT s_suppkey + 1000000000, 'SUPPLIER:' || s_suppkey, 'Organization', s_name, s_nationkey::BIGINT FROM supplier)"""
 
 
-def _edges_sql(name: str, relation: str, where: str) -> str:
+def _edges_sql(name: str, relation: str) -> str:
     return f"""{name} AS (SELECT c_nationkey::BIGINT AS case_id, 'CUSTOMER:' || c_custkey AS source, 'SUPPLIER:' || l_suppkey AS target, {relation} AS relation,
 strftime(l_shipdate, '%Y-%m-%d') AS timestamp, l_extendedprice AS amount, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')) AS id
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE {where})"""
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
 
 
-RELATIONSHIPS_SQL = _edges_sql("rel", "CASE l_returnflag WHEN 'R' THEN 'RETURNED_TO' WHEN 'A' THEN 'ACCEPTED_FROM' ELSE 'ORDERED_FROM' END", "true")
-THIN_SQL = _edges_sql("rel", "o_orderpriority", "l_returnflag = 'R' AND l_quantity >= 45")
+RELATIONSHIPS_SQL = _edges_sql("rel", "CASE l_returnflag WHEN 'R' THEN 'RETURNED_TO' WHEN 'A' THEN 'ACCEPTED_FROM' ELSE 'ORDERED_FROM' END")
 DOCUMENTS_SQL = "docs AS (SELECT doc_id AS document_id, doc_id % 25 AS case_id, printf('doc_%d.txt', doc_id) AS filename, text AS content, source, lang, n_chars FROM documents)"
 QUESTIONS_SQL = "questions AS (SELECT conv_id * 1000 + turn AS question_id, conv_id % 25 AS case_id, text AS question FROM conversations WHERE role = 'user')"
 LOG_SQL = "log AS (SELECT event_id AS id, ts, printf('user%d', user_id) AS username, printf('10.0.0.%d', user_id % 256) AS ip, event_type AS action, value, props FROM events)"
+_WS = "chr(32) || chr(9) || chr(10) || chr(13)"
+CHUNKS_SQL = f"""chunks AS (SELECT document_id * 1000000000 + row_number() OVER (PARTITION BY document_id ORDER BY i) - 1 AS chunk_id, document_id, case_id, (row_number() OVER (PARTITION BY document_id ORDER BY i) - 1)::INTEGER AS chunk_index, trim(substr(t, i, 500), {_WS}) AS chunk FROM
+(SELECT *, unnest(range(1, greatest(length(t), 1) + 1, 400)) AS i FROM (SELECT document_id, case_id, trim(content, {_WS}) AS t FROM docs)) WHERE trim(substr(t, i, 500), {_WS}) <> '')"""

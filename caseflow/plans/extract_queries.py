@@ -10,6 +10,7 @@ from caseflow.functions import text as t
 from caseflow.operators import extract as x
 from caseflow.operators import portfolio
 from caseflow.plans import adapters as a
+from caseflow.sources import files
 
 _DIGITS = "regexp_replace(raw, '[^0-9]', '', 'g')"
 
@@ -92,7 +93,7 @@ def row_projections(spark, sf):
 
 
 def display_label(spark, sf):
-    r = a.thin_relationships(spark, sf)
+    r = a.relationships(spark, sf)
     return r.select("id", t.edge_label(F.concat(F.lit("SENT_TO_"), "relation"), F.lit(None).cast("double"), F.concat("timestamp", F.lit("T10:00:00"))).alias("label"), t.direction(F.col("source"), F.lit("CUSTOMER:1")).alias("direction"))
 
 
@@ -103,11 +104,7 @@ def canonical_json(spark, sf):
 def reference_backfill(spark, sf):
     """Blank references become CL-LEGACY-nnn, with X's until unique."""
     c = a.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, F.lit(" ")).when(F.col("c_custkey") % 3 == 1, F.format_string("CL-LEGACY-%03d", F.col("c_custkey") - 1)).otherwise(F.format_string("CL-%03d", "c_custkey")).alias("reference"))
-    taken = c.filter(F.trim("reference") != "").select(F.col("reference").alias("taken"))
-    want = c.filter(F.trim("reference") == "").select("id", F.format_string("CL-LEGACY-%03d", "id").alias("base"))
-    tries = want.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda n: F.struct(n.alias("n"), F.concat(F.col("base"), F.repeat(F.lit("X"), n)).alias("r")))).alias("x")).select("id", "x.n", "x.r")
-    free = tries.join(taken, tries.r == taken.taken, "left_anti").groupBy("id").agg(F.min_by("r", "n").alias("reference"))
-    return c.filter(F.trim("reference") != "").unionByName(free)
+    return portfolio.backfill_references(c.select(F.col("id").alias("case_id"), F.col("reference").alias("reference_id"))).select(F.col("case_id").alias("id"), F.col("reference_id").alias("reference"))
 
 
 def table_filter(spark, sf):
@@ -133,12 +130,19 @@ def snippets(spark, sf):
 
 
 def header_roles(spark, sf):
-    """Roles that header names of the tables' projections get; one row a role."""
-    calls = ["Call_ID", "Caller", "Receiver", "Date", "Time", "Duration_Seconds", "Cell_Tower", "Case_ID"]
-    money = ["Transaction_ID", "Sender_Account", "Receiver_Account", "Amount_INR", "Date", "Time", "Reference", "Case_ID"]
-    found = [(kind, r, c) for kind, cols, f in (("CDR", calls, roles.call_roles), ("FINANCIAL", money, roles.transfer_roles)) for r, c in f(cols).found.items() if roles.record_kind(cols) == kind]
-    used = a.table(spark, sf, "orders").agg(F.count("*").alias("rows"))
-    return spark.createDataFrame(found, "kind string, role string, column string").join(F.broadcast(used))
+    """Roles that the columns of written call and transfer files get, by the headers that a scan of them finds; one row a role and column, with how many values it has."""
+    out = None
+    for kind, df, find in (("CDR", _calls(spark, sf), roles.call_roles), ("FINANCIAL", _transfers(spark, sf), roles.transfer_roles)):
+        path = files.work_dir(spark, "headers")
+        df.drop("file", "ordinal").repartition(4).write.csv(path, header=True)
+        read = files.read_csv(spark, path)
+        columns = [c for c in read.columns if c != "file"]
+        if roles.record_kind(columns) != kind:
+            raise ValueError(f"headers of {kind} records are not seen as such")
+        pairs = [F.struct(F.lit(r).alias("role"), F.lit(c).alias("column"), F.col(c).alias("v")) for r, c in find(columns).found.items() if c]
+        part = read.select(F.explode(F.array(*pairs)).alias("x")).groupBy(F.lit(kind).alias("kind"), "x.role", "x.column").agg(F.count_if(F.col("x.v") != "").alias("rows"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _calls(spark, sf):
@@ -155,9 +159,13 @@ def cdr_extract(spark, sf):
     return n.join(e, "file")
 
 
-def transfer_extract(spark, sf):
+def _transfers(spark, sf):
     li = a.table(spark, sf, "lineitem")
-    df = li.select((F.col("l_orderkey") % 6).alias("file"), F.col("l_orderkey").alias("ordinal"), F.concat(F.lit("ACC"), F.col("l_suppkey").cast("string")).alias("Sender_Account"), F.concat(F.lit(" ACC"), F.col("l_partkey").cast("string")).alias("Receiver_Account"), F.concat(F.lit("INR "), F.col("l_quantity").cast("string")).alias("Amount_INR"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("Date"))
+    return li.select((F.col("l_orderkey") % 6).alias("file"), F.col("l_orderkey").alias("ordinal"), F.concat(F.lit("ACC"), F.col("l_suppkey").cast("string")).alias("Sender_Account"), F.concat(F.lit(" ACC"), F.col("l_partkey").cast("string")).alias("Receiver_Account"), F.concat(F.lit("INR "), F.col("l_quantity").cast("string")).alias("Amount_INR"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("Date"))
+
+
+def transfer_extract(spark, sf):
+    df = _transfers(spark, sf)
     ents, edges = x.transfers(df, roles.transfer_roles(df.columns[2:]))
     n = ents.groupBy("file").agg(F.count("*").alias("entities"))
     return edges.groupBy("file", "source").agg(F.count("*").alias("edges"), F.sum(F.col("amount").cast("decimal(28,2)")).cast("double").alias("total"), F.max("timestamp").alias("last")).join(n, "file")
@@ -176,7 +184,7 @@ def master_entities(spark, sf):
 
 
 def master_lookup(spark, sf):
-    return x.master_lookup(x.master_entities(_master(spark, sf))).groupBy("file").agg(F.count("*").alias("values"), F.count_distinct("key").alias("keys"))
+    return x.master_lookup(x.master_entities(_master(spark, sf)))
 
 
 def master_relations(spark, sf):
@@ -195,8 +203,10 @@ def _files(spark, sf):
 
 
 def phone_mentions(spark, sf):
-    d = a.table(spark, sf, "documents")
-    return d.select("doc_id", F.explode(x.phones(F.col("text"))).alias("phone")).distinct()
+    """Phones in the documents, a third of which end in one."""
+    d, k = a.table(spark, sf, "documents"), F.col("doc_id")
+    text = F.when(k % 3 == 0, F.concat("text", F.when(k % 2 == 0, F.lit(" tel. +91-")).otherwise(F.lit(" no ")), (F.lit(7000000000) + k).cast("string"), F.lit("."))).otherwise(F.col("text"))
+    return d.select("doc_id", F.explode(x.phones(text)).alias("phone")).distinct()
 
 
 def pattern_mentions(spark, sf):
@@ -251,7 +261,8 @@ _MASTER = """m AS (SELECT c_custkey % 4 AS file, c_custkey AS ordinal, 'P' || c_
 CASE WHEN c_custkey % 2 = 0 THEN (9000000000 + c_custkey % 40)::VARCHAR END AS phone, CASE WHEN c_custkey % 5 = 0 THEN 'City ' || (c_custkey % 7) END AS location, CASE WHEN c_custkey % 4 = 0 THEN 'KNOWS' END AS relation, 'P' || (c_custkey - 4) AS related FROM customer),
 own AS (SELECT *, CASE c_custkey_kind WHEN 0 THEN 'PERSON:' || name WHEN 1 THEN 'PERSON:' || id ELSE 'ACCOUNT:' || id END AS key FROM (SELECT *, ordinal % 3 AS c_custkey_kind FROM m)),
 e AS (SELECT DISTINCT file, label, key, name FROM (SELECT file, CASE c_custkey_kind WHEN 2 THEN 'BankAccount' ELSE 'Person' END AS label, key, name FROM own UNION ALL SELECT file, 'PhoneNumber', 'PHONE:' || phone, phone FROM m WHERE phone IS NOT NULL UNION ALL SELECT file, 'Location', 'LOCATION:' || location, location FROM m WHERE location IS NOT NULL)),
-look AS (SELECT file, value, max(key) AS key FROM (SELECT file, lower(name) AS value, key FROM e UNION ALL SELECT file, lower(regexp_replace(key, '^[^:]*:', '')), key FROM e) GROUP BY ALL),
+firsts AS (SELECT file, key, min(o) AS o FROM (SELECT file, key, ordinal * 5 AS o FROM own UNION ALL SELECT file, 'PHONE:' || phone, ordinal * 5 + 1 FROM m WHERE phone IS NOT NULL UNION ALL SELECT file, 'LOCATION:' || location, ordinal * 5 + 4 FROM m WHERE location IS NOT NULL) GROUP BY ALL),
+look AS (SELECT file, value, arg_max(key, o) AS key FROM (SELECT file, lower(name) AS value, key, o FROM e JOIN firsts USING (file, key) UNION ALL SELECT file, lower(regexp_replace(key, '^[^:]*:', '')), key, o FROM firsts) GROUP BY ALL),
 stated AS (SELECT DISTINCT m.file, s.key AS source, d.key AS target, relation FROM m JOIN look s ON m.file = s.file AND s.value = lower(m.id) JOIN look d ON m.file = d.file AND d.value = lower(m.related) WHERE relation IS NOT NULL AND s.key <> d.key)"""
 _REPORTS = """s AS (SELECT p_size AS file, (row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1)::INTEGER AS pos, p_partkey AS k, p_brand AS brand FROM part)"""
 
@@ -272,7 +283,7 @@ replace(upper(trim(raw)), ' ', '_') AS counted, regexp_replace(upper(raw), '[^A-
     "canonical_entities": "SELECT c_custkey, 'PERSON:' || c_name AS person, CASE WHEN c_mktsegment <> 'BUILDING' THEN 'SEGMENT:' || c_mktsegment END AS segment FROM customer",
     "member_predicates": f"WITH {a.RELATIONSHIPS_SQL} SELECT case_id, count(*) FILTER (amount > 60000) AS case_ends, count(*) FILTER (amount <= 50000) AS investigative FROM rel GROUP BY case_id",
     "row_projections": f"WITH {a.ENTITIES_SQL} SELECT key, CASE WHEN id % 4 <> 0 THEN name ELSE key END AS display, 'CL ' || id AS title FROM entities",
-    "display_label": f"WITH {a.THIN_SQL} SELECT id, 'SENT TO ' || replace(relation, '_', ' ') || ' | ' || timestamp AS label, CASE WHEN source = 'CUSTOMER:1' THEN 'OUTGOING' ELSE 'INCOMING' END AS direction FROM rel",
+    "display_label": f"WITH {a.RELATIONSHIPS_SQL} SELECT id, 'SENT TO ' || replace(relation, '_', ' ') || ' | ' || timestamp AS label, CASE WHEN source = 'CUSTOMER:1' THEN 'OUTGOING' ELSE 'INCOMING' END AS direction FROM rel",
     "canonical_json": """SELECT n_nationkey, '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' AS json FROM nation""",
     "reference_backfill": "WITH r AS (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN printf('CL-LEGACY-%03d', c_custkey - 1) ELSE printf('CL-%03d', c_custkey) END AS reference FROM customer) SELECT id, coalesce(reference, CASE WHEN printf('CL-LEGACY-%03d', id) IN (SELECT reference FROM r WHERE reference IS NOT NULL) THEN printf('CL-LEGACY-%03dX', id) ELSE printf('CL-LEGACY-%03d', id) END) AS reference FROM r",
     "table_filter": f"WITH {a.ENTITIES_SQL} SELECT key FROM entities WHERE label = 'Person' AND (lower(name) LIKE '%er#00000001%' OR lower(key) LIKE '%er#00000001%')",
@@ -281,14 +292,14 @@ replace(upper(trim(raw)), ' ', '_') AS counted, regexp_replace(upper(raw), '[^A-
 SELECT id, CASE WHEN odd THEN 'Medium' ELSE 'High' END AS risk, array_to_string(list_filter([CASE WHEN untitled THEN 'title' END, CASE WHEN id % 100 < 25 THEN 'duplicate' WHEN row_number() OVER (PARTITION BY r ORDER BY id) > 1 THEN 'repeated' END], lambda x: x IS NOT NULL), ',') AS violations FROM c""",
     "snippets": f"""WITH {a.DOCUMENTS_SQL}, t AS (SELECT document_id, {_SQUEEZE.format("coalesce(content, '')")} AS t FROM docs), p AS (SELECT document_id, t, CASE WHEN instr(lower(t), 'that') > 0 THEN instr(lower(t), 'that') WHEN instr(lower(t), 'with') > 0 THEN instr(lower(t), 'with') WHEN instr(lower(t), 'from') > 0 THEN instr(lower(t), 'from') END AS pl FROM t)
 SELECT document_id, CASE WHEN pl IS NULL THEN substr(t, 1, 800) ELSE substr(t, greatest(pl - 300, 1), least(pl - 1, 300) + 700) END AS snippet FROM p""",
-    "header_roles": "SELECT kind, role, col AS \"column\", (SELECT count(*) FROM orders) AS rows FROM (VALUES ('CDR', 'source', 'Caller'), ('CDR', 'target', 'Receiver'), ('CDR', 'time', 'Time'), ('FINANCIAL', 'source', 'Sender_Account'), ('FINANCIAL', 'target', 'Receiver_Account'), ('FINANCIAL', 'amount', 'Amount_INR'), ('FINANCIAL', 'time', 'Time')) v(kind, role, col)",
+    "header_roles": "SELECT kind, role, col AS \"column\", rows FROM (SELECT 'CDR' AS kind, unnest(['source', 'target', 'time']) AS role, unnest(['Caller', 'Receiver', 'Time']) AS col, unnest([count(*) FILTER (o_custkey % 11 <> 0), count(*) FILTER (((o_orderkey * 31) % 1000) % 11 <> 0), count(*)]) AS rows FROM orders UNION ALL SELECT 'FINANCIAL', unnest(['source', 'target', 'amount', 'time']), unnest(['Sender_Account', 'Receiver_Account', 'Amount_INR', 'Date']), count(*) FROM lineitem)",
     "cdr_extract": f"WITH {_CALLS}, n AS (SELECT file, count(DISTINCT v) AS entities, min('PHONE:' || v) AS first_key FROM (SELECT file, unnest([a, b]) AS v FROM good) GROUP BY file), e AS (SELECT file, count(*) AS edges, min(timestamp) AS first_time, count(DISTINCT a) AS sources FROM good GROUP BY file) SELECT * FROM n JOIN e USING (file)",
     "transfer_extract": "WITH r AS (SELECT l_orderkey % 6 AS file, 'ACCOUNT:ACC' || l_suppkey AS source, 'ACCOUNT:ACC' || l_partkey AS target, l_quantity AS amount, strftime(l_shipdate, '%Y-%m-%d') AS t FROM lineitem), n AS (SELECT file, count(DISTINCT v) AS entities FROM (SELECT file, unnest([source, target]) AS v FROM r) GROUP BY file) SELECT file, source, count(*) AS edges, sum(amount::DECIMAL(28,2))::DOUBLE AS total, max(t) AS last, any_value(entities) AS entities FROM r JOIN n USING (file) GROUP BY file, source",
     "master_entities": f"WITH {_MASTER} SELECT file, label, count(DISTINCT key) AS entities, min(key) AS first_key FROM e GROUP BY ALL",
-    "master_lookup": f"WITH {_MASTER} SELECT file, count(*) AS values, count(DISTINCT key) AS keys FROM look GROUP BY file",
+    "master_lookup": f"WITH {_MASTER} SELECT * FROM look",
     "master_relations": f"WITH {_MASTER} SELECT file, relation, count(*) AS edges, min(source) AS first_source FROM stated GROUP BY ALL",
     "master_links": f"WITH {_MASTER}, l AS (SELECT file, key AS source, 'PHONE:' || phone AS target, 'USES_PHONE' AS relation FROM own WHERE c_custkey_kind < 2 AND phone IS NOT NULL UNION SELECT file, key, 'LOCATION:' || location, 'LOCATED_AT' FROM own WHERE c_custkey_kind < 2 AND location IS NOT NULL) SELECT file, relation, count(*) AS edges, min(source) AS first_source FROM l WHERE (file, source, target) NOT IN (SELECT (file, source, target) FROM stated) GROUP BY ALL",
-    "phone_mentions": r"SELECT DISTINCT doc_id, right(p, 10) AS phone FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\+?\d+')) AS p FROM documents) WHERE regexp_full_match(p, '\+?[6-9]\d{9}') OR regexp_full_match(p, '\+91[6-9]\d{9}')",
+    "phone_mentions": r"SELECT DISTINCT doc_id, right(p, 10) AS phone FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\+?\d+')) AS p FROM documents) WHERE regexp_full_match(p, '\+?[6-9]\d{9}') OR regexp_full_match(p, '\+91[6-9]\d{9}') UNION SELECT doc_id, (7000000000 + doc_id)::VARCHAR FROM documents WHERE doc_id % 3 = 0",
     "pattern_mentions": "WITH g AS (SELECT l_orderkey AS file, count(*) AS n, min(l_partkey) AS p, max(l_suppkey) AS s FROM lineitem GROUP BY ALL) SELECT file, 'Vehicle' AS label, printf('VEHICLE:KA%02dAB%04d', n, p % 10000) AS key FROM g UNION ALL SELECT file, 'BankAccount', printf('ACCOUNT:ACC%05d', s) FROM g UNION ALL SELECT file, 'PhoneNumber', 'PHONE:' || (9000000000 + p) FROM g",
     "dictionary_mentions": "SELECT DISTINCT doc_id AS file, 'ITEM:' || item_id AS key FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text)) WHERE length(b.text) > 0",
     "sentence_split": r"SELECT doc_id AS file, count(*) AS sentences, max(length(s))::INTEGER AS longest FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM documents) GROUP BY doc_id",

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from caseflow.functions import text as t
-from caseflow.operators import ledger, resolve
+from caseflow.functions import roles
+from caseflow.operators import cascade, extract, ledger, portfolio, resolve, retrieval
 from caseflow.plans import adapters as a
-from caseflow.plans.adapters import DOCUMENTS_SQL, LOG_SQL, RELATIONSHIPS_SQL
+from caseflow.plans.adapters import CHUNKS_SQL, DOCUMENTS_SQL, LOG_SQL, RELATIONSHIPS_SQL
 from caseflow.sources import files
 from caseflow.streaming import streams
 
@@ -24,22 +25,41 @@ def _people(spark, sf):
 
 
 def _split(spark, sf):
-    p = _people(spark, sf)
-    return p.filter("id % 2 = 0"), p.filter("id % 2 = 1")
+    """(existing, incoming): of each case every other person."""
+    p, side = _people(spark, sf), F.floor(F.col("id") / 4) % 2
+    return p.filter(side == 0), p.filter(side == 1)
+
 
+def _contacts(spark, sf):
+    """Edges that link persons to phones, accounts and vehicles; some persons have two phones."""
+    k = F.col("c_custkey")
+    person = F.concat(F.lit("PERSON:"), k.cast("string"))
+    phone = lambda n: F.concat(F.lit("PHONE:"), (F.lit(9000000000) + (k + n) % 29).cast("string"))
+    edge = lambda cond, n, a, b: F.when(cond, F.struct(F.format_string("%08d-%d", k, F.lit(n)).alias("id"), a.alias("source"), b.alias("target")))
+    made = F.array(edge(k % 6 == 1, 1, person, phone(0)), edge(k % 12 == 1, 2, phone(1), person), edge(k % 6 == 2, 3, person, F.concat(F.lit("ACCOUNT:acc-"), (k % 31).cast("string"))), edge(k % 6 == 3, 4, F.format_string("VEHICLE:KA01AB%04d", k % 43), person))
+    return a.table(spark, sf, "customer").select((k % 4).alias("case_id"), F.explode(F.array_compact(made)).alias("e")).select("case_id", "e.id", "e.source", "e.target")
 
-_PEOPLE = """p AS (SELECT c_custkey % 4 AS case_id, c_custkey AS id, CASE WHEN c_custkey % 10 = 9 THEN 'location' ELSE 'person' END AS label, 'name ' || (c_custkey % 37) AS n,
+
+_PEOPLE = """p AS (SELECT c_custkey % 4 AS case_id, c_custkey AS id, (c_custkey // 4) % 2 = 1 AS inc, CASE WHEN c_custkey % 10 = 9 THEN 'location' ELSE 'person' END AS label, 'name ' || (c_custkey % 37) AS n,
 CASE WHEN c_custkey % 3 = 0 THEN (9000000000 + c_custkey % 29)::VARCHAR END AS phone, CASE WHEN c_custkey % 5 < 2 THEN 'm' || (c_custkey % 41) || '@x.org' END AS email, CASE WHEN c_custkey % 7 = 0 THEN 'ID-' || (c_custkey % 53) END AS identifier FROM customer),
-pairs AS (SELECT i.id, e.id AS cand, i.label, i.n = e.n AS same, coalesce(i.phone = e.phone, false) AS s1, coalesce(i.email = e.email, false) AS s2, coalesce(i.identifier = e.identifier, false) AS s3,
- i.phone IS NOT NULL AND e.phone IS NOT NULL AS c1, i.email IS NOT NULL AND e.email IS NOT NULL AS c2, i.identifier IS NOT NULL AND e.identifier IS NOT NULL AS c3
- FROM p i JOIN p e ON i.case_id = e.case_id AND i.label = e.label AND i.id % 2 = 1 AND e.id % 2 = 0 AND (i.n = e.n OR i.phone = e.phone OR i.email = e.email OR i.identifier = e.identifier)),
-v AS (SELECT id, cand, CASE WHEN label <> 'person' THEN CASE WHEN same THEN 1 END WHEN s1 OR s2 OR s3 THEN 1 WHEN same AND (c1 OR c2 OR c3) THEN 2 WHEN same THEN 3 END AS rank,
- CASE WHEN label <> 'person' THEN 'identity' WHEN s1 OR s2 OR s3 THEN concat_ws(',', CASE WHEN s2 THEN 'email' END, CASE WHEN s3 THEN 'identifier' END, CASE WHEN s1 THEN 'phone' END) WHEN c1 THEN 'phone' WHEN c2 THEN 'email' WHEN c3 THEN 'identifier' ELSE 'name' END AS detail FROM pairs),
-best AS (SELECT * FROM v WHERE rank IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank, cand) = 1)"""
+own AS (SELECT * FROM (SELECT case_id, id, inc, unnest(['phone', 'email', 'identifier']) AS kind, unnest([phone, email, identifier]) AS value FROM p WHERE label = 'person') WHERE value IS NOT NULL),
+links AS (SELECT c_custkey AS id, 'phone' AS kind, (9000000000 + c_custkey % 29)::VARCHAR AS value, 1 AS o FROM customer WHERE c_custkey % 6 = 1 UNION ALL SELECT c_custkey, 'phone', (9000000000 + (c_custkey + 1) % 29)::VARCHAR, 2 FROM customer WHERE c_custkey % 12 = 1
+ UNION ALL SELECT c_custkey, 'account', 'ACC' || (c_custkey % 31), 3 FROM customer WHERE c_custkey % 6 = 2 UNION ALL SELECT c_custkey, 'vehicle', printf('KA01AB%04d', c_custkey % 43), 4 FROM customer WHERE c_custkey % 6 = 3),
+far AS (SELECT p.case_id, p.id, p.inc, kind, value, o FROM links JOIN p USING (id) WHERE label = 'person'),
+isig AS (SELECT case_id, id, kind, value FROM own WHERE inc UNION SELECT case_id, id, kind, arg_min(value, o) FROM far WHERE inc AND (id, kind) NOT IN (SELECT (id, kind) FROM own) GROUP BY ALL),
+esig AS (SELECT case_id, id, kind, value FROM own WHERE NOT inc UNION SELECT case_id, id, kind, value FROM far WHERE NOT inc),
+strong AS (SELECT i.id, e.id AS cand, string_agg(DISTINCT i.kind, ',' ORDER BY i.kind) AS detail FROM isig i JOIN esig e ON i.case_id = e.case_id AND i.kind = e.kind AND i.value = e.value GROUP BY ALL),
+same AS (SELECT i.id, e.id AS cand, i.label FROM p i JOIN p e ON i.case_id = e.case_id AND i.label = e.label AND i.n = e.n AND i.inc AND NOT e.inc),
+clash AS (SELECT s.id, s.cand, min(list_position(['phone', 'email', 'account', 'vehicle', 'identifier'], i.kind)) AS k FROM same s JOIN isig i ON i.id = s.id JOIN esig e ON e.id = s.cand AND e.kind = i.kind GROUP BY ALL),
+v AS (SELECT s.id, s.cand, 1 AS rank, detail, x.n = y.n AS agrees FROM strong s JOIN p x ON x.id = s.id JOIN p y ON y.id = s.cand
+ UNION ALL SELECT id, cand, 1, 'identity', NULL FROM same WHERE label <> 'person'
+ UNION ALL SELECT s.id, s.cand, CASE WHEN k IS NULL THEN 3 ELSE 2 END, coalesce((['phone', 'email', 'account', 'vehicle', 'identifier'])[k], 'name'), NULL FROM same s LEFT JOIN clash USING (id, cand) WHERE label = 'person' AND (s.id, s.cand) NOT IN (SELECT (id, cand) FROM strong)),
+best AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank, cand) = 1)"""
 
 
 def resolve_entities(spark, sf):
-    return resolve.resolve(*_split(spark, sf))
+    rels = _contacts(spark, sf)
+    return resolve.resolve(*_split(spark, sf), rels, rels)
 
 
 def resolve_verdicts(spark, sf):
@@ -48,8 +68,8 @@ def resolve_verdicts(spark, sf):
 
 def merge_attributes(spark, sf):
     old, new = _split(spark, sf)
-    out = resolve.merge(old, new, resolve.resolve(old, new))
-    return out.select("id", "merged", F.coalesce(t.phone(F.col("phone")), F.lit("")).alias("phone"), F.coalesce(t.email(F.col("email")), F.lit("")).alias("email"))
+    out = resolve.merge(old, new, resolve_entities(spark, sf))
+    return out.select("id", "merged", "status", "reason", F.coalesce(t.phone(F.col("phone")), F.lit("")).alias("phone"), F.coalesce(t.email(F.col("email")), F.lit("")).alias("email"))
 
 
 def scoped_keys(spark, sf):
@@ -107,10 +127,11 @@ def ledger_anchor(spark, sf):
 
 
 def audit_to_ledger(spark, sf):
-    """Audit rows as ledger blocks, and those with a severity as security events."""
-    e = a.log_events(spark, sf).withColumn("severity", F.when(F.col("action") == "error", "WARNING"))
-    kinds = F.array_compact(F.array(F.lit("LEDGER"), F.when(F.col("severity").isNotNull(), "SECURITY")))
-    return e.select("id", F.explode(kinds).alias("kind"), "severity")
+    """Audit rows as blocks of their users' ledgers, and those with a severity as security events."""
+    e = a.log_events(spark, sf).withColumns({"severity": F.when(F.col("action") == "error", "WARNING"), "resource": F.col("ip")})
+    blocks, security = ledger.audit_blocks(e)
+    out = blocks.select("id", F.lit("LEDGER").alias("kind"), F.col("block_index").cast("long").alias("block_index"), F.sha2("payload", 256).alias("payload_sha256"), F.lit(None).cast("string").alias("severity"))
+    return out.unionByName(security.select("id", F.lit("SECURITY").alias("kind"), F.lit(None).cast("long").alias("block_index"), F.lit(None).cast("string").alias("payload_sha256"), "severity"))
 
 
 def _audit(spark, sf):
@@ -147,27 +168,40 @@ def verify_evidence(spark, sf):
 
 
 def missing_fingerprints(spark, sf):
-    return ledger.missing_fingerprints(a.documents(spark, sf), _integrity(spark, sf)).select("document_id", "filename")
+    """Documents without an integrity row, hashed from their files; every ninth file is gone."""
+    d = a.documents(spark, sf)
+    stored = d.filter("document_id % 9 <> 8").select("document_id", F.concat(F.lit("store/"), F.col("document_id").cast("string")).alias("path"), F.col("content").cast("binary").alias("content"))
+    return ledger.backfill_fingerprints(d, _integrity(spark, sf), stored)
 
 
 def provenance_steps(spark, sf):
     d = a.documents(spark, sf)
     out = ledger.provenance(d, _integrity(spark, sf), ledger.audit_trail(d, _audit(spark, sf)))
-    return out.select("document_id", F.array_join("steps", ",").alias("steps"))
+    return out.select("document_id", F.array_join(F.transform("steps", lambda s: F.concat(s.step, F.lit(":"), s.status)), ",").alias("steps"), F.concat_ws("/", F.expr("steps[2].detail"), F.expr("steps[5].detail")).alias("details"))
 
 
 def document_register(spark, sf):
     """The 50 newest documents with case reference, integrity status and whether they are indexed."""
-    d = a.documents(spark, sf).orderBy(F.desc("document_id")).limit(50)
-    out = d.join(a.cases(spark, sf).select("case_id", "reference_id"), "case_id", "left").join(_integrity(spark, sf).select("document_id", "status"), "document_id", "left")
-    return out.select("document_id", "filename", "reference_id", F.coalesce("status", F.lit("NOT_CHECKED")).alias("status"), (F.length("content") > 0).alias("rag_indexed"))
+    d = a.documents(spark, sf)
+    indexed = retrieval.sliding_chunks(d).filter("document_id % 4 <> 0")
+    return ledger.document_register(d, a.cases(spark, sf), _integrity(spark, sf), indexed)
 
 
 def delete_document(spark, sf):
-    d, i = a.documents(spark, sf), _integrity(spark, sf)
-    gone = d.filter("document_id % 10 = 7 AND case_id = 7").select("document_id")
-    left, hashes = d.join(gone, "document_id", "left_anti"), i.join(gone, "document_id", "left_anti")
-    return left.groupBy("case_id").agg(F.count("*").alias("documents")).join(hashes.join(d.select("document_id", "case_id"), "document_id").groupBy("case_id").agg(F.count("*").alias("hashes")), "case_id", "left").fillna(0)
+    """What users' requests to delete a document (some of another case, some of none) do to every table."""
+    d, req = a.documents(spark, sf), a.table(spark, sf, "events").select(F.col("user_id").alias("document_id"), F.when(F.col("event_id") % 3 == 0, F.lit(None)).otherwise(F.col("event_id") % 25).alias("case_id"))
+    chunks = retrieval.sliding_chunks(d).select("document_id", "case_id", "chunk_index")
+    return cascade.delete_documents(req, d, _integrity(spark, sf), chunks)[0]
+
+
+def delete_document_rest(spark, sf):
+    """Rows of every table that are left after these requests."""
+    d, req = a.documents(spark, sf), a.table(spark, sf, "events").select(F.col("user_id").alias("document_id"), F.lit(None).cast("long").alias("case_id"))
+    chunks = retrieval.sliding_chunks(d).select("document_id", "case_id", "chunk_index")
+    _, *left = cascade.delete_documents(req, d, _integrity(spark, sf), chunks)
+    docs, hashes, rest = (df.agg(F.count("*").alias(n)) for df, n in zip(left, ("documents", "integrity_rows", "chunks"), strict=True))
+    # three frames of one row each
+    return docs.join(F.broadcast(hashes)).join(F.broadcast(rest))
 
 
 def authorize_actions(spark, sf):
@@ -188,10 +222,8 @@ def rate_limit(spark, sf):
 
 
 def security_overview(spark, sf):
-    i = _integrity(spark, sf)
-    one = i.agg(F.count("*").alias("total"), F.count_if(F.col("stored_path").isNotNull()).alias("verified"))
-    log = a.log_events(spark, sf).agg(F.count_if(F.col("action") == "error").alias("failed_logins"))
-    return one.join(F.broadcast(log)).withColumn("state", F.when(F.col("total") == F.col("verified"), "SECURE").otherwise("REVIEW"))
+    log = a.log_events(spark, sf).withColumn("action", F.when(F.col("action") == "error", "LOGIN_FAILED").otherwise(F.col("action")))
+    return portfolio.security_overview(verify_evidence(spark, sf), log, file_classify(spark, sf).withColumnRenamed("category", "verdict"))
 
 
 def top_logs(spark, sf):
@@ -234,11 +266,25 @@ def json_records(spark, sf):
 
 def ingest_report(spark, sf):
     f = _json_files(spark, sf)
-    return files.ingest_report(f, *files.json_records(f))
+    good, bad = files.json_records(f)
+    # every record gives an entity, and one of more than an owner an edge
+    owner = F.try_variant_get("record", "$.owner", "string")
+    made = files.extracted_counts(good.select("file"), good.filter(owner.isNull()).select("file"))
+    return files.ingest_report(f, good, bad, made).select("file", "ok", "records", "entities", "relationships", F.length("sha256").alias("hash_length"), "error")
+
+
+def field_union(spark, sf):
+    good, _ = files.json_records(_json_files(spark, sf))
+    return files.field_union(good).select("file", F.array_join("fields", ",").alias("fields"))
+
+
+def text_metadata(spark, sf):
+    m = files.text_metadata(a.documents(spark, sf).select(F.col("document_id").alias("file"), F.repeat("content", 40).alias("content")))
+    return m.select("file", "chars", F.length("content").cast("long").alias("kept"), F.length("preview").cast("long").alias("preview"))
 
 
 def json_flatten(spark, sf):
-    good, _ = files.json_records(_json_files(spark, sf).filter("file % 5 < 3"))
+    good, _ = files.json_records(_json_files(spark, sf))
     return files.json_fields(good, "record", ["file", "row"]).groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("value").alias("distinct_values"))
 
 
@@ -289,12 +335,23 @@ def table_sinks(spark, sf):
 
 
 def scoped_scan(spark, sf):
-    return a.relationships(spark, sf).filter("case_id = 7").groupBy("source").agg(F.count("*").alias("edges"))
+    """The edges as a table of cases, one case of it, and all."""
+    path = files.work_dir(spark, "cases")
+    files.write_cases(a.relationships(spark, sf), path)
+    parts = [files.read_case(spark, path, case).groupBy("source").agg(F.count("*").alias("edges")).select(F.lit(name).alias("scope"), "source", "edges") for name, case in (("case 7", 7), ("all", None))]
+    return parts[0].unionByName(parts[1])
 
 
 def file_counts(spark, sf):
-    e = a.entities(spark, sf).withColumn("file", F.col("id") % 6)
-    return e.groupBy("file", "label").agg(F.count("*").alias("entities"))
+    """Entities and relationships that come of each file of call records."""
+    df = _call_records(spark, sf)
+    return files.extracted_counts(*extract.calls(df, roles.call_roles(df.columns), "Date"))
+
+
+def _call_records(spark, sf):
+    o = a.table(spark, sf, "orders")
+    num = lambda c: F.when(c % 11 == 0, F.lit("nan")).otherwise((F.lit(9000000000) + c).cast("string"))
+    return o.select((F.col("o_orderkey") % 25).alias("case_id"), (F.col("o_orderkey") % 100).alias("file"), F.col("o_orderkey").alias("ordinal"), num(F.col("o_custkey") % 200).alias("Caller"), num((F.col("o_orderkey") * 31) % 1000).alias("Receiver"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("Date"), F.lit("20:40:00").alias("Time"))
 
 
 def tumbling_activity(spark, sf):
@@ -315,32 +372,42 @@ def _streamed(spark, df, name, operate):
 
 
 def stream_dedup(spark, sf):
-    r = a.thin_relationships(spark, sf).withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    r = a.relationships(spark, sf).withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
     r = r.unionByName(r.filter("amount > 30000"))
     return _streamed(spark, r, "dedup", streams.dedup_edges).groupBy("case_id", "relation").agg(F.count("*").alias("edges"))
 
 
 def stream_ingest(spark, sf):
-    """Arriving edges, batch by batch, into a degree table."""
+    """Arriving call records, batch by batch: extracted, resolved against what is known, and added."""
     src = files.work_dir(spark, "ingest")
-    r = a.thin_relationships(spark, sf)
+    r = _call_records(spark, sf)
     r.repartition(4).write.parquet(f"{src}/in")
+    handle = streams.call_evidence(spark, src, roles.call_roles(r.columns), "Date")
+    streams.ingest(streams.read_stream(spark, f"{src}/in", r.schema, 2), handle, f"{src}/state")
+    entities, edges = (spark.read.parquet(f"{src}/{n}").groupBy("case_id").agg(F.count("*").alias(n)) for n in ("entities", "edges"))
+    return entities.join(edges, "case_id")
 
-    def handle(batch, batch_id):
-        batch.select("case_id", F.explode(F.array("source", "target")).alias("key")).groupBy("case_id", "key").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{src}/out/batch={batch_id}")
 
-    streams.ingest(streams.read_stream(spark, f"{src}/in", r.schema, 2), handle, f"{src}/state")
-    return spark.read.parquet(f"{src}/out").groupBy("case_id", "key").agg(F.sum("n").alias("degree"))
+def failure_alerts(spark, sf):
+    """Failed events as they arrive, in sliding windows; the last state of every window that alerts."""
+    src = files.work_dir(spark, "alerts")
+    log = a.log_events(spark, sf).filter("action = 'error'").select("ts", "ip", "id")
+    log.repartition(4).write.parquet(f"{src}/in")
+    out = streams.failure_alerts(streams.read_stream(spark, f"{src}/in", log.schema), 3, "12 hours", "1 hour")
+    handle = lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{src}/out/batch={batch_id}")
+    streams.ingest(out, handle, f"{src}/state", "update")
+    found = spark.read.schema("start timestamp, ip string, failures long, batch long").parquet(f"{src}/out")
+    return found.groupBy(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "ip").agg(F.max("failures").alias("failures"))
 
 
-QUERIES = {f.__name__: f for f in (resolve_entities, resolve_verdicts, merge_attributes, scoped_keys, edge_upsert, batch_groups, chain_append, chain_verify, ledger_lag, ledger_anchor, audit_to_ledger, audit_trail, evidence_hash, verify_evidence, missing_fingerprints, provenance_steps, document_register, delete_document, authorize_actions, scope_check, rate_limit, security_overview, top_logs, newest_documents, csv_records, document_metadata, json_records, ingest_report, json_flatten, json_envelope, text_scan, size_limit, file_classify, table_sinks, scoped_scan, file_counts, tumbling_activity, session_activity, stream_dedup, stream_ingest)}
+QUERIES = {f.__name__: f for f in (field_union, text_metadata, delete_document_rest, failure_alerts, resolve_entities, resolve_verdicts, merge_attributes, scoped_keys, edge_upsert, batch_groups, chain_append, chain_verify, ledger_lag, ledger_anchor, audit_to_ledger, audit_trail, evidence_hash, verify_evidence, missing_fingerprints, provenance_steps, document_register, delete_document, authorize_actions, scope_check, rate_limit, security_overview, top_logs, newest_documents, csv_records, document_metadata, json_records, ingest_report, json_flatten, json_envelope, text_scan, size_limit, file_classify, table_sinks, scoped_scan, file_counts, tumbling_activity, session_activity, stream_dedup, stream_ingest)}
 
 _INTEGRITY = "integ AS (SELECT doc_id AS document_id, CASE WHEN doc_id % 6 = 4 THEN sha256('other') ELSE sha256(text) END AS sha256, CASE WHEN doc_id % 6 = 3 THEN NULL ELSE 'store/' || doc_id END AS stored_path FROM documents WHERE doc_id % 6 <> 5)"
 
 ORACLE_SQL = {
-    "resolve_entities": f"WITH {_PEOPLE} SELECT p.id, CASE rank WHEN 1 THEN 'EXACT_MATCH' WHEN 3 THEN 'AMBIGUOUS' ELSE 'NEW_ENTITY' END AS verdict, CASE WHEN rank = 1 THEN cand END AS candidate_id, coalesce(detail, '') AS detail FROM p LEFT JOIN best USING (id) WHERE p.id % 2 = 1",
-    "resolve_verdicts": f"WITH {_PEOPLE} SELECT CASE rank WHEN 1 THEN 'EXACT_MATCH' WHEN 3 THEN 'AMBIGUOUS' ELSE 'NEW_ENTITY' END AS verdict, coalesce(detail, '') AS detail, count(*) AS entities FROM p LEFT JOIN best USING (id) WHERE p.id % 2 = 1 GROUP BY ALL",
-    "merge_attributes": f"WITH {_PEOPLE}, m AS (SELECT cand, count(*) AS merged, arg_min(phone, p.id) FILTER (phone IS NOT NULL) AS phone, arg_min(email, p.id) FILTER (email IS NOT NULL) AS email FROM best JOIN p USING (id) WHERE rank = 1 GROUP BY cand) SELECT p.id, coalesce(merged, 0)::BIGINT AS merged, coalesce(p.phone, m.phone, '') AS phone, coalesce(p.email, m.email, '') AS email FROM p LEFT JOIN m ON p.id = m.cand WHERE p.id % 2 = 0",
+    "resolve_entities": f"WITH {_PEOPLE} SELECT p.id, CASE rank WHEN 1 THEN 'EXACT_MATCH' WHEN 3 THEN 'AMBIGUOUS' ELSE 'NEW_ENTITY' END AS verdict, CASE WHEN rank = 1 THEN cand END AS candidate_id, coalesce(detail, '') AS detail, agrees AS name_agrees FROM p LEFT JOIN best USING (id) WHERE inc",
+    "resolve_verdicts": f"WITH {_PEOPLE} SELECT CASE rank WHEN 1 THEN 'EXACT_MATCH' WHEN 3 THEN 'AMBIGUOUS' ELSE 'NEW_ENTITY' END AS verdict, coalesce(detail, '') AS detail, count(*) AS entities FROM p LEFT JOIN best USING (id) WHERE inc GROUP BY ALL",
+    "merge_attributes": f"WITH {_PEOPLE}, m AS (SELECT cand, count(*) AS merged, arg_min(detail, p.id) AS reason, arg_min(phone, p.id) FILTER (phone IS NOT NULL) AS phone, arg_min(email, p.id) FILTER (email IS NOT NULL) AS email FROM best JOIN p USING (id) WHERE rank = 1 GROUP BY cand) SELECT p.id, coalesce(merged, 0)::BIGINT AS merged, CASE WHEN merged > 0 THEN 'MERGED' ELSE 'UNCHANGED' END AS status, coalesce(reason, '') AS reason, coalesce(p.phone, m.phone, '') AS phone, coalesce(p.email, m.email, '') AS email FROM p LEFT JOIN m ON p.id = m.cand WHERE NOT inc",
     "scoped_keys": "WITH p AS (SELECT c_custkey AS id, c_custkey % 4 AS c, 'PERSON:' || c_custkey AS key, 'NAME' || (c_custkey % 37) AS n FROM customer) SELECT id, CASE WHEN id % 3 = 0 THEN 'PERSON:C' || c || '_' || substr(n, 1, 12) || '_' || upper(substr(sha256(c || '~' || key || '~' || id), 1, 6)) ELSE key END AS key FROM p WHERE id % 2 = 1",
     "edge_upsert": f"WITH {RELATIONSHIPS_SQL}, r AS (SELECT case_id, source, target, relation, CASE WHEN amount > 1000 THEN timestamp END AS timestamp, amount FROM rel) SELECT case_id, relation, count(*) AS edges FROM (SELECT case_id, source, target, relation, timestamp FROM r WHERE amount >= 20000 EXCEPT SELECT case_id, source, target, relation, timestamp FROM r WHERE amount < 30000) GROUP BY ALL",
     "batch_groups": f"""WITH RECURSIVE {_PEOPLE}, n AS (SELECT case_id, id, unnest(['p' || phone, 'e' || email, 'i' || identifier]) AS v FROM p WHERE label = 'person'), l AS (SELECT DISTINCT x.id AS a, y.id AS b FROM n x JOIN n y ON x.case_id = y.case_id AND x.v = y.v),
@@ -349,35 +416,39 @@ r AS (SELECT id AS a, id AS b FROM p WHERE label = 'person' UNION SELECT r.a, l.
     "chain_verify": f"WITH RECURSIVE {_CHAIN}, c AS (SELECT chain_id, count(*) AS n, regexp_extract(chain_id, '\\d+')::INTEGER AS k FROM b GROUP BY ALL) SELECT chain_id, NOT (k % 3 = 0 AND k % 5 < n) AS valid, CASE WHEN k % 3 = 0 AND k % 5 < n THEN k % 5 + 1 ELSE n END::BIGINT AS checked_blocks FROM c",
     "ledger_lag": f"WITH {LOG_SQL} SELECT id, username, lag(action, 1, 'GENESIS') OVER (PARTITION BY username ORDER BY id) AS previous FROM log",
     "ledger_anchor": f"WITH {LOG_SQL} SELECT id AS audit_id, CASE WHEN action <> 'error' THEN row_number() OVER (PARTITION BY username ORDER BY id) - 1 END AS block_index FROM log",
-    "audit_to_ledger": f"WITH {LOG_SQL} SELECT id, 'LEDGER' AS kind, CASE WHEN action = 'error' THEN 'WARNING' END AS severity FROM log UNION ALL SELECT id, 'SECURITY', 'WARNING' FROM log WHERE action = 'error'",
+    "audit_to_ledger": f"""WITH {LOG_SQL} SELECT id, 'LEDGER' AS kind, row_number() OVER (PARTITION BY username ORDER BY id) - 1 AS block_index, sha256('{{"action":"' || action || '","audit_id":' || id || ',"resource":"' || ip || '","severity":' || CASE WHEN action = 'error' THEN '"WARNING"' ELSE 'null' END || '}}') AS payload_sha256, NULL AS severity FROM log UNION ALL SELECT id, 'SECURITY', NULL, NULL, 'WARNING' FROM log WHERE action = 'error'""",
     "audit_trail": f"WITH {DOCUMENTS_SQL}, {_TRAIL} SELECT * FROM trail",
     "evidence_hash": "SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text))::BIGINT AS size FROM documents",
     "verify_evidence": f"WITH {_INTEGRITY} SELECT document_id, CASE WHEN stored_path IS NULL THEN 'INVALID_PATH' WHEN document_id % 6 = 2 THEN 'MISSING' WHEN document_id % 6 = 4 THEN 'TAMPERED' ELSE 'VERIFIED' END AS status FROM integ",
-    "missing_fingerprints": f"WITH {DOCUMENTS_SQL} SELECT document_id, filename FROM docs WHERE document_id % 6 = 5",
-    "provenance_steps": f"WITH {DOCUMENTS_SQL}, {_TRAIL}, {_INTEGRITY} SELECT document_id, 'CASE:OK,DOCUMENT:OK,' || CASE WHEN document_id % 6 = 5 THEN 'HASH:MISSING,INTEGRITY:NOT_CHECKED' ELSE 'HASH:OK,INTEGRITY:VERIFIED' END || CASE WHEN document_id IN (SELECT document_id FROM trail) THEN ',AUDIT:OK' ELSE ',AUDIT:MISSING' END AS steps FROM docs",
-    "document_register": f"WITH {DOCUMENTS_SQL} SELECT document_id, filename, printf('CL-%03d', case_id) AS reference_id, CASE WHEN document_id % 6 = 5 THEN 'NOT_CHECKED' ELSE 'VERIFIED' END AS status, length(content) > 0 AS rag_indexed FROM docs ORDER BY document_id DESC LIMIT 50",
-    "delete_document": f"WITH {DOCUMENTS_SQL}, l AS (SELECT * FROM docs WHERE NOT (document_id % 10 = 7 AND case_id = 7)) SELECT case_id, count(*) AS documents, count(*) FILTER (document_id % 6 <> 5) AS hashes FROM l GROUP BY ALL",
+    "missing_fingerprints": f"WITH {DOCUMENTS_SQL} SELECT document_id, CASE WHEN document_id % 9 <> 8 THEN sha256(content) END AS sha256, CASE WHEN document_id % 9 <> 8 THEN octet_length(encode(content))::BIGINT END AS size, CASE WHEN document_id % 9 <> 8 THEN 'store/' || document_id END AS stored_path, CASE WHEN document_id % 9 <> 8 THEN 'VERIFIED' ELSE 'MISSING' END AS status FROM docs WHERE document_id % 6 = 5",
+    "provenance_steps": f"WITH {DOCUMENTS_SQL}, {_TRAIL}, {_INTEGRITY}, n AS (SELECT document_id, count(*) AS events FROM trail GROUP BY ALL) SELECT document_id, 'CASE:OK,DOCUMENT:OK,' || CASE WHEN document_id % 6 IN (3, 5) THEN 'STORAGE:MISSING,' ELSE 'STORAGE:OK,' END || CASE WHEN document_id % 6 = 5 THEN 'HASH:MISSING,INTEGRITY:NOT_CHECKED' ELSE 'HASH:OK,INTEGRITY:VERIFIED' END || CASE WHEN events IS NOT NULL THEN ',AUDIT:OK' ELSE ',AUDIT:MISSING' END AS steps, concat_ws('/', CASE WHEN document_id % 6 NOT IN (3, 5) THEN 'store/' || document_id END, events) AS details FROM docs LEFT JOIN n USING (document_id)",
+    "document_register": f"WITH {DOCUMENTS_SQL}, {CHUNKS_SQL}, c AS (SELECT DISTINCT document_id FROM chunks WHERE document_id % 4 <> 0) SELECT document_id, filename, printf('CL-%03d', case_id) AS reference_id, CASE WHEN document_id % 6 = 5 THEN 'NOT_CHECKED' ELSE 'VERIFIED' END AS status, document_id IN (FROM c) AS rag_indexed FROM docs ORDER BY document_id DESC LIMIT 50",
+    "delete_document": f"WITH {DOCUMENTS_SQL}, {CHUNKS_SQL}, q AS (SELECT DISTINCT user_id AS document_id, CASE WHEN event_id % 3 <> 0 THEN event_id % 25 END AS case_id FROM events), r AS (SELECT q.document_id, q.case_id, CASE WHEN d.document_id IS NULL THEN 'NOT_FOUND' WHEN q.case_id IS NULL OR q.case_id = d.case_id THEN 'DELETED' ELSE 'MISMATCH' END AS verdict FROM q LEFT JOIN docs d USING (document_id)), c AS (SELECT document_id, count(*) AS n FROM chunks GROUP BY ALL) SELECT r.*, CASE WHEN verdict = 'DELETED' AND document_id % 6 <> 5 THEN 1 ELSE 0 END::BIGINT AS integrity_rows, CASE WHEN verdict = 'DELETED' THEN coalesce(n, 0) ELSE 0 END::BIGINT AS chunks FROM r LEFT JOIN c USING (document_id)",
+    "delete_document_rest": f"WITH {DOCUMENTS_SQL}, {CHUNKS_SQL}, u AS (SELECT DISTINCT user_id FROM events) SELECT (SELECT count(*) FROM docs WHERE document_id NOT IN (FROM u)) AS documents, (SELECT count(*) FROM docs WHERE document_id % 6 <> 5 AND document_id NOT IN (FROM u)) AS integrity_rows, (SELECT count(*) FROM chunks WHERE document_id NOT IN (FROM u)) AS chunks",
+    "field_union": "SELECT user_id AS file, CASE WHEN user_id % 5 = 3 THEN 'n,owner' ELSE 'event_id,event_type,more' END AS fields FROM events WHERE user_id % 5 < 4 GROUP BY user_id",
+    "text_metadata": "SELECT doc_id AS file, (40 * length(text))::BIGINT AS chars, least(100000, 40 * length(text))::BIGINT AS kept, least(50000, 40 * length(text))::BIGINT AS preview FROM documents",
+    "failure_alerts": f"WITH {LOG_SQL}, w AS (SELECT ip, date_trunc('hour', ts) - to_hours(j::INTEGER) AS start FROM log, (SELECT unnest(range(0, 12)) AS j) WHERE action = 'error') SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, ip, count(*) AS failures FROM w GROUP BY ALL HAVING count(*) >= 3",
     "authorize_actions": "SELECT event_id, CASE WHEN event_type = 'error' THEN 'DENIED' WHEN user_id % 5 = 0 THEN 'ALLOWED' WHEN user_id % 5 = 1 THEN CASE WHEN event_type = 'view' THEN 'DENIED' ELSE 'ALLOWED' END WHEN user_id % 5 = 2 THEN CASE WHEN event_type = 'purchase' THEN 'DENIED' ELSE 'ALLOWED' END ELSE 'DENIED' END AS verdict FROM events",
     "scope_check": f"WITH {DOCUMENTS_SQL} SELECT event_id AS request_id, CASE WHEN d.document_id IS NULL THEN 'NOT_FOUND' WHEN event_id % 4 = 0 OR event_id % 25 = d.case_id THEN 'OK' ELSE 'DENIED' END AS verdict FROM events LEFT JOIN (FROM docs WHERE document_id % 3 <> 0) d ON user_id = d.document_id",
     "rate_limit": f"WITH {LOG_SQL}, c AS (SELECT id, ip, count(*) OVER (PARTITION BY ip ORDER BY epoch_us(ts) RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW) AS recent FROM log) SELECT * FROM c WHERE recent >= 3",
-    "security_overview": f"WITH {_INTEGRITY} SELECT count(*) AS total, count(stored_path) AS verified, (SELECT count(*) FROM events WHERE event_type = 'error') AS failed_logins, CASE WHEN count(*) = count(stored_path) THEN 'SECURE' ELSE 'REVIEW' END AS state FROM integ",
+    "security_overview": f"WITH {_INTEGRITY} SELECT count(*) AS integrity_total, count(*) FILTER (document_id % 6 < 2) AS verified, CASE WHEN count(*) = count(*) FILTER (document_id % 6 < 2) THEN 'SECURE' ELSE 'REVIEW' END AS state, (SELECT count(*) FROM events WHERE event_type = 'error') AS failed_logins, (SELECT count(*) FROM part WHERE p_partkey % 6 IN (2, 5)) AS blocked_files FROM integ",
     "top_logs": f"WITH {LOG_SQL} SELECT id, username, action FROM log ORDER BY id DESC LIMIT 100",
     "newest_documents": f"WITH {DOCUMENTS_SQL} SELECT document_id, case_id, filename FROM docs ORDER BY document_id DESC LIMIT 50",
     "csv_records": "SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE trim(o_orderpriority) END AS o_orderpriority, 'a \"quoted\", text ' || o_custkey AS note FROM orders",
     "document_metadata": """WITH o AS (SELECT o_orderkey % 3 AS file, o_orderkey AS k, '{"o_orderkey":"' || o_orderkey || '","o_orderpriority":"' || CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE o_orderpriority END || '"}' AS r FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY k) AS i, count(*) OVER (PARTITION BY file) AS rows FROM o)
 SELECT file, any_value(rows) AS rows, '[' || string_agg(r, ',' ORDER BY i) || ']' AS preview FROM n WHERE i <= 10 GROUP BY file""",
     "json_records": "SELECT user_id AS file, CASE WHEN user_id % 5 = 3 THEN 1 ELSE count(*) END::BIGINT AS records FROM events WHERE user_id % 5 < 4 GROUP BY user_id",
-    "ingest_report": "SELECT user_id AS file, user_id % 5 <> 4 AS ok, CASE user_id % 5 WHEN 4 THEN 0 WHEN 3 THEN 1 ELSE count(*) END::BIGINT AS records, CASE WHEN user_id % 5 = 4 THEN CASE WHEN user_id % 2 = 0 THEN 'not an object or an array of objects' ELSE 'not JSON' END END AS error FROM events GROUP BY user_id",
-    "json_flatten": "WITH e AS (SELECT * FROM events WHERE user_id % 5 < 3) SELECT 'event_id' AS name, count(*) AS n, count(DISTINCT event_id) AS distinct_values FROM e UNION ALL SELECT 'event_type', count(event_type), count(DISTINCT event_type) FROM e UNION ALL SELECT 'more_value', count(value), count(DISTINCT value) FROM e UNION ALL SELECT 'more_in_raw', count(props), count(DISTINCT props) FROM e HAVING count(props) > 0",
+    "ingest_report": "SELECT user_id AS file, user_id % 5 <> 4 AS ok, CASE user_id % 5 WHEN 4 THEN 0 WHEN 3 THEN 1 ELSE count(*) END::BIGINT AS records, CASE user_id % 5 WHEN 4 THEN 0 WHEN 3 THEN 1 ELSE count(*) END::BIGINT AS entities, CASE WHEN user_id % 5 > 2 THEN 0 ELSE count(*) END::BIGINT AS relationships, 64 AS hash_length, CASE WHEN user_id % 5 = 4 THEN CASE WHEN user_id % 2 = 0 THEN 'not an object or an array of objects' ELSE 'not JSON' END END AS error FROM events GROUP BY user_id",
+    "json_flatten": "WITH e AS (SELECT * FROM events WHERE user_id % 5 < 3), o AS (SELECT user_id, count(*) AS n FROM events WHERE user_id % 5 = 3 GROUP BY ALL) SELECT 'event_id' AS name, count(*) AS n, count(DISTINCT event_id) AS distinct_values FROM e UNION ALL SELECT 'event_type', count(event_type), count(DISTINCT event_type) FROM e UNION ALL SELECT 'more_value', count(value), count(DISTINCT value) FROM e UNION ALL SELECT 'more_in_raw', count(props), count(DISTINCT props) FROM e HAVING count(props) > 0 UNION ALL SELECT 'owner', count(*), count(DISTINCT user_id) FROM o HAVING count(*) > 0 UNION ALL SELECT 'n', count(*), count(DISTINCT n) FROM o HAVING count(*) > 0",
     "json_envelope": "WITH u AS (SELECT user_id AS file, count(*) AS n FROM events GROUP BY ALL) SELECT file, 'owner' AS name, file::VARCHAR AS value FROM u WHERE file % 5 IN (0, 3) UNION ALL SELECT file, 'kind', 'log' FROM u WHERE file % 5 = 0 UNION ALL SELECT file, 'kind', 'v1' FROM u WHERE file % 5 = 2 UNION ALL SELECT file, 'n', n::VARCHAR FROM u WHERE file % 5 = 3",
     "text_scan": r"SELECT conv_id % 6 AS part, sum(length(regexp_replace(text, '\s+', ' ', 'g')))::BIGINT AS chars FROM conversations GROUP BY ALL",
     "size_limit": "SELECT count(DISTINCT doc_id % 8) AS files, count(DISTINCT doc_id % 8) AS hashed FROM documents",
     "file_classify": "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '.csv' WHEN 1 THEN '.txt' WHEN 2 THEN '.exe' WHEN 3 THEN '.json' WHEN 4 THEN '.pdf' ELSE '' END AS extension, CASE p_partkey % 6 WHEN 0 THEN 'STRUCTURED' WHEN 3 THEN 'STRUCTURED' WHEN 1 THEN 'UNSTRUCTURED' WHEN 4 THEN 'UNSTRUCTURED' ELSE 'BLOCKED' END AS category FROM part",
     "table_sinks": f"WITH {a.ENTITIES_SQL} SELECT count(*) FILTER (case_id = 1) AS case_1, count(*) FILTER (case_id = 1) AS replaced, count(*) AS everything FROM entities",
-    "scoped_scan": f"WITH {RELATIONSHIPS_SQL} SELECT source, count(*) AS edges FROM rel WHERE case_id = 7 GROUP BY ALL",
-    "file_counts": f"WITH {a.ENTITIES_SQL} SELECT id % 6 AS file, label, count(*) AS entities FROM entities GROUP BY ALL",
+    "scoped_scan": f"WITH {RELATIONSHIPS_SQL} SELECT 'case 7' AS scope, source, count(*) AS edges FROM rel WHERE case_id = 7 GROUP BY ALL UNION ALL SELECT 'all', source, count(*) FROM rel GROUP BY ALL",
+    "file_counts": "WITH c AS (SELECT o_orderkey % 25 AS case_id, o_orderkey % 100 AS file, 'PHONE:' || (9000000000 + o_custkey % 200) AS a, 'PHONE:' || (9000000000 + (o_orderkey * 31) % 1000) AS b, strftime(o_orderdate, '%Y-%m-%d') || ' 20:40:00' AS ts FROM orders WHERE (o_custkey % 200) % 11 <> 0 AND ((o_orderkey * 31) % 1000) % 11 <> 0), e AS (SELECT file, count(DISTINCT k) AS entities FROM (SELECT file, unnest([a, b]) AS k FROM c) GROUP BY file), r AS (SELECT file, count(*) AS relationships FROM c GROUP BY file) SELECT * FROM e JOIN r USING (file)",
     "tumbling_activity": f"WITH {LOG_SQL} SELECT strftime(ts, '%Y-%m-%d') AS start, action, count(*) AS events FROM log GROUP BY ALL",
     "session_activity": f"WITH {LOG_SQL}, g AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 6 HOUR, true) AS new FROM log WINDOW w AS (PARTITION BY username ORDER BY ts)), s AS (SELECT *, sum(new::INTEGER) OVER (PARTITION BY username ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, username, count(*) AS events FROM s GROUP BY username, k",
-    "stream_dedup": f"WITH {a.THIN_SQL} SELECT case_id, relation, count(*) AS edges FROM (SELECT DISTINCT case_id, source, target, relation, timestamp FROM rel) GROUP BY ALL",
-    "stream_ingest": f"WITH {a.THIN_SQL} SELECT case_id, key, count(*) AS degree FROM (SELECT case_id, unnest([source, target]) AS key FROM rel) GROUP BY ALL",
+    "stream_dedup": f"WITH {RELATIONSHIPS_SQL} SELECT case_id, relation, count(*) AS edges FROM (SELECT DISTINCT case_id, source, target, relation, timestamp FROM rel) GROUP BY ALL",
+    "stream_ingest": "WITH c AS (SELECT o_orderkey % 25 AS case_id, o_orderkey % 100 AS file, 'PHONE:' || (9000000000 + o_custkey % 200) AS a, 'PHONE:' || (9000000000 + (o_orderkey * 31) % 1000) AS b, strftime(o_orderdate, '%Y-%m-%d') || ' 20:40:00' AS ts FROM orders WHERE (o_custkey % 200) % 11 <> 0 AND ((o_orderkey * 31) % 1000) % 11 <> 0), e AS (SELECT case_id, count(DISTINCT k) AS entities FROM (SELECT case_id, unnest([a, b]) AS k FROM c) GROUP BY case_id), r AS (SELECT case_id, count(*) AS edges FROM (SELECT DISTINCT case_id, a, b, ts FROM c WHERE a <> b) GROUP BY case_id) SELECT * FROM e JOIN r USING (case_id)",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions import text as t
+from caseflow.operators.work import cut
 
 # fixed values: extensions, limits and record containers
 STRUCTURED = (".csv", ".xlsx", ".xls", ".json")
@@ -63,23 +64,32 @@ def _is(v: Column, kind: str) -> Column:
     return F.schema_of_variant(v).startswith(kind)
 
 
-def _unwrap(v: Column, depth: int) -> Column:
-    """Records of a JSON object: the first container of objects, looked for in nested objects as well; else the object itself."""
+def _container(v: Column) -> Column:
+    """(rows, inner) of the first container key of an object that holds a list of objects or another object; nulls if there is none."""
     out = []
     for name in CONTAINERS:
         inner = F.try_variant_get(v, f"$.{name}", "variant")
         rows = F.try_variant_get(v, f"$.{name}", "array<variant>")
         listed = F.when((F.size(rows) > 0) & F.forall(rows, lambda r: _is(r, "OBJECT")), rows)
-        out.append(F.coalesce(listed, F.when(_is(inner, "OBJECT"), _unwrap(inner, depth - 1))) if depth > 1 else listed)
-    return F.coalesce(*out, F.array(v))
+        nested = F.when(_is(inner, "OBJECT"), inner)
+        out.append(F.when(listed.isNotNull() | nested.isNotNull(), F.struct(listed.alias("rows"), nested.alias("inner"))))
+    return F.coalesce(*out)
 
 
-def json_records(files: DataFrame, depth: int = 2):
-    """(records, rejects): (file, row, record variant) of good files and (file, error) of the others; one bad file stops no other."""
-    v = F.try_parse_json("content")
+def json_records(files: DataFrame):
+    """(records, rejects): (file, row, record variant) of good files and (file, error) of the others; one bad file stops no other.
+
+    Containers are followed from object to object at any depth, one round of all files a level.
+    """
     whole = F.try_variant_get(F.col("v"), "$", "array<variant>")
-    rows = F.when(_is(F.col("v"), "OBJECT"), _unwrap(F.col("v"), depth)).when(F.forall(whole, lambda r: _is(r, "OBJECT")), whole)
-    parsed = files.select("file", v.alias("v")).select("file", "v", rows.alias("rows"))
+    listed = F.when(~_is(F.col("v"), "OBJECT") & F.forall(whole, lambda r: _is(r, "OBJECT")), whole)
+    top = files.select("file", F.try_parse_json("content").alias("v")).select("file", "v", listed.alias("rows"))
+    object_ = F.coalesce(_is(F.col("v"), "OBJECT"), F.lit(False))
+    parsed, cur = top.filter(~object_), cut(top.filter(object_).select("file", "v"))
+    while not cur.isEmpty():
+        step = cur.withColumn("c", _container(F.col("v")))
+        parsed = parsed.unionByName(step.filter("c.inner IS NULL").select("file", "v", F.coalesce("c.rows", F.array("v")).alias("rows")))
+        cur = cut(step.filter("c.inner IS NOT NULL").select("file", F.col("c.inner").alias("v")))
     records = parsed.filter("size(rows) > 0").select("file", F.posexplode("rows").alias("row", "record"))
     error = F.when(F.col("v").isNull(), "not JSON").when(F.col("rows").isNull(), "not an object or an array of objects").otherwise("no records")
     return records, parsed.filter("rows IS NULL OR size(rows) = 0").select("file", error.alias("error"))
@@ -116,11 +126,36 @@ def document_metadata(records: DataFrame, columns: list[str]) -> DataFrame:
     return records.groupBy("file").agg(F.count("*").alias("rows")).join(preview, "file")
 
 
-def ingest_report(files: DataFrame, good: DataFrame, rejects: DataFrame) -> DataFrame:
-    """A row a file: good ones with their counts, rejected ones with their error."""
+def field_union(records: DataFrame) -> DataFrame:
+    """(file, fields): names of the fields of a file's records (file, row, record variant) in the order in which they are first met; within a record by name, as variants keep them."""
+    view = f"records_{uuid.uuid4().hex}"
+    records.createOrReplaceTempView(view)
+    met = records.sparkSession.sql(f"SELECT file, row, e.key AS name FROM {view}, LATERAL variant_explode(record) AS e")
+    records.sparkSession.catalog.dropTempView(view)
+    first = met.groupBy("file", "name").agg(F.min("row").alias("row"))
+    return first.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "name"))), lambda x: x["name"]).alias("fields"))
+
+
+def text_metadata(files: DataFrame) -> DataFrame:
+    """(file, chars, content, preview) of texts (file, content): length of the whole, and what a register keeps of it."""
+    c = F.coalesce("content", F.lit(""))
+    return files.select("file", F.length(c).cast("long").alias("chars"), F.substring(c, 1, CONTENT_CHARS).alias("content"), F.substring(c, 1, PREVIEW_CHARS).alias("preview"))
+
+
+def extracted_counts(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """(file, entities, relationships) that were made of each file."""
+    e, r = entities.groupBy("file").agg(F.count("*").alias("entities")), edges.groupBy("file").agg(F.count("*").alias("relationships"))
+    return e.join(r, "file", "full").fillna(0, ["entities", "relationships"])
+
+
+def ingest_report(files: DataFrame, good: DataFrame, rejects: DataFrame, extracted: DataFrame | None = None) -> DataFrame:
+    """A row a file (file, content): SHA-256, good ones with their counts (of records, and of what ``extracted_counts`` tells), rejected ones with their error."""
     counts = good.groupBy("file").agg(F.count("*").alias("records"))
-    out = files.select("file").join(counts, "file", "left").join(rejects, "file", "left")
-    return out.select("file", (F.col("error").isNull() & F.col("records").isNotNull()).alias("ok"), F.coalesce("records", F.lit(0)).alias("records"), "error")
+    out = files.select("file", F.sha2("content", 256).alias("sha256")).join(counts, "file", "left").join(rejects, "file", "left")
+    made = [F.lit(0).cast("long").alias(n) for n in ("entities", "relationships")]
+    if extracted is not None:
+        out, made = out.join(extracted, "file", "left"), [F.coalesce(n, F.lit(0)).alias(n) for n in ("entities", "relationships")]
+    return out.select("file", (F.col("error").isNull() & F.col("records").isNotNull()).alias("ok"), F.coalesce("records", F.lit(0)).alias("records"), *made, "sha256", "error")
 
 
 def write_cases(df: DataFrame, path: str) -> None:

@@ -53,7 +53,16 @@ def test_query(spark, duck, name):
     assert want or name in ALLOWED_EMPTY
 
 
-ALLOWED_EMPTY = {"graph_filter", "orphan_entities", "phone_mentions"}
+ALLOWED_EMPTY = {"orphan_entities"}
+
+
+def test_resolution_has_something_to_decide(spark):
+    """Every verdict, matches with and without an equal name, and several kinds of conflict."""
+    found = registry.QUERIES["resolve_entities"](spark, "/root/testdata/sf0.01").collect()
+    assert {r.verdict for r in found} == {"EXACT_MATCH", "AMBIGUOUS", "NEW_ENTITY"}
+    assert {r.name_agrees for r in found if r.verdict == "EXACT_MATCH"} == {True, False, None}
+    assert {"phone", "account", "vehicle", "identity"} <= {r.detail for r in found if r.verdict == "EXACT_MATCH"}
+    assert len({r.detail for r in found if r.verdict == "NEW_ENTITY"}) >= 3 and any(r.verdict == "AMBIGUOUS" and r.detail == "name" for r in found)
 
 
 def test_every_oracle_has_a_query():
