@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import keep_one, table, text_slices
+from .common import keep_one, table, text_slices, tidy
 
 UNKNOWN = "und"
 #: Bounds of the training sample: documents of each language, and words taken from each of them.
@@ -21,8 +22,9 @@ TRAIN_DOCS = 250
 TRAIN_WORDS = 300
 #: Features are hashed into a table of 2**TABLE_BITS rows of label weights.
 TABLE_BITS = 18
-_MAX_CACHE = 400_000
-_SLICE = 1 << 22
+#: Words whose numbers are kept, and bytes of text that are labelled at a time.
+_MAX_CACHE = 200_000
+_SLICE = 1 << 20
 _LETTERS: list[np.ndarray] = []
 
 
@@ -99,18 +101,18 @@ class Crf:
         self.__init__(*state)
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        """Numbers of the words in the table of label weights, which grows with new words and starts afresh when large."""
+        """Numbers of distinct words in the table of label weights, which grows with new words and starts afresh when large."""
         of = self._of
-        new = set(words) - of.keys()
+        new = [w for w in words if w not in of]
         if len(of) + len(new) > _MAX_CACHE:
             of.clear()
-            new = set(words)
+            new = words
         if (top := len(of) + len(new)) > len(self._emit):
             size = max(top, 2 * len(self._emit))
             self._emit = np.concatenate((self._emit, np.zeros((size - len(self._emit), len(self.labels)))))
             self._letters = np.concatenate((self._letters, np.zeros(size - len(self._letters), bool)))
         if new:
-            lo, new = len(of), list(new)
+            lo = len(of)
             of.update(zip(new, range(lo, top), strict=True))
             rows, owner, self._letters[lo:top] = word_features(new)
             for k in range(len(self.labels)):
@@ -147,20 +149,26 @@ class Crf:
             out[i] = gamma[offsets[j] : offsets[j + 1]]
         return out
 
-    def label_texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """(language, score) of each text; texts without a letter are ``und`` with score 0."""
+    def label_texts(self, texts: pa.Array | list[str | None]) -> list[tuple[str, float]]:
+        """(language, score) of each text; texts without a letter are ``und`` with score 0.
+
+        Texts of like length are labelled together, so that a step of forward-backward has many chains; distinct words are looked up once.
+        """
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         out: list = [(UNKNOWN, 0.0)] * len(texts)
-        for a, z in text_slices([len(t or "") for t in texts], _SLICE):
-            words = [_words(t) for t in texts[a:z]]
-            numbers = self.emissions([w for ws in words for w in ws])
-            ends = np.cumsum([len(ws) for ws in words])
-            chains = np.split(numbers, ends[:-1])
+        sizes = pc.binary_length(texts).to_numpy()
+        order = np.argsort(sizes, kind="stable")
+        for a, z in text_slices(sizes[order].tolist(), _SLICE):
+            words = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(texts.take(pa.array(order[a:z])))))
+            known = words.flatten().dictionary_encode()
+            numbers = self.emissions(known.dictionary.to_pylist())[known.indices.to_numpy()]
+            chains = np.split(numbers, words.offsets.to_numpy()[1:-1])
             for k, (chain, g) in enumerate(zip(chains, self.marginals(chains), strict=True)):
                 lettered = self._letters[chain]
                 if lettered.any():
                     mean = g[lettered].mean(axis=0)
                     best = int(mean.argmax())
-                    out[a + k] = (self.labels[best], float(min(1.0, mean[best])))
+                    out[order[a + k]] = (self.labels[best], float(min(1.0, mean[best])))
         return out
 
 
@@ -252,7 +260,11 @@ def train(docs: DataFrame, docs_per_language: int = TRAIN_DOCS, words: int = TRA
     ids, and the first ``words`` words of each: a bounded sample that alone reaches the driver."""
     fold = docs.select("doc_id", "text", "lang").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = fold.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct().withColumn("n", F.row_number().over(order))
+    ids = fold.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct()
+    # a language's smallest hashes lie under a threshold that its own count gives, with room to spare, so few rows of it meet in one task
+    share = F.least(F.lit(1.0), F.lit(8.0 * (docs_per_language + 32)) / F.col("size"))
+    few = ids.join(ids.groupBy("lang").agg(F.count("*").alias("size")), "lang")
+    ids = few.filter(F.col("h").cast("double") / F.lit(2.0**64) + 0.5 <= share).withColumn("n", F.row_number().over(order))
     # first the ids alone, then the texts of these: the tasks' candidates would else be whole texts
     chosen = ids.filter(F.col("n") <= docs_per_language).select("lang", "doc_id").collect()
     if not chosen:
@@ -274,8 +286,8 @@ def with_language(spark: SparkSession, docs: DataFrame, model: Crf) -> DataFrame
         # a copy with word tables of its own, which go with the task
         model = Crf(*sent.value.__getstate__())
         keep_one("languages", dict)
-        for b in batches:
-            found = model.label_texts(b.column(at).to_pylist())
+        for b in tidy(batches):
+            found = model.label_texts(b.column(at))
             new = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.record_batch([*b.columns, *new], names=[*b.schema.names, "lang_pred", "score"])
 
