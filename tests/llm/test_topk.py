@@ -60,3 +60,29 @@ def test_nulls_ties_small_and_clashing_columns(spark):
     half, one = 512 * 1024, 1024 * 1024
     assert got == [(100, 1, 1, half), (100, 2, 2, half), (100, 3, 2, half), (200, 1, 1, -half), (200, 2, 2, -half), (200, 3, 2, -half)] and one
     assert topk.top_k(spark, v.limit(0), v.limit(0)).count() == 0
+
+
+def test_blocks_are_pruned_by_floors_and_results_stay_whole(spark):
+    """Far clusters: most pairs of blocks are never searched, and the result equals brute force."""
+    rng = np.random.default_rng(8)
+    centres = np.eye(16) * 900
+    x = np.floor((centres[rng.integers(0, 16, 1600)] + rng.normal(size=(1600, 16)) * 5)).astype(int)
+    df = spark.createDataFrame([(int(i), [int(c) for c in v]) for i, v in enumerate(x)], "vec_id long, v array<long>").repartition(5)
+    queries = df.filter("vec_id % 20 = 0")
+    got = sorted(tuple(r) for r in topk.top_k(spark, df, queries, k=10, block=100, query_block=20).collect())
+    assert got == brute(np.arange(1600), x, np.arange(0, 1600, 20), 10)
+    ws = topk.Workspace(spark, "t")
+    of = {16: topk.fit_centres(df, 16, 16)}
+    data = topk._packed(ws, topk._with_cell(df, of), 100, "d")
+    asked = topk._packed(ws, topk._with_cell(queries, of), 20, "q").withColumnsRenamed({"block": "qblock", "ids": "qids", "x": "qx"})
+    bounds = topk.block_pairs(asked, data).cache()
+    kth = {q: min(s for i, r, _, s in got if r == 10 and i == q) for q in range(0, 1600, 20)}
+    worst = [(r.qblock, 16, float(min(kth[int(i)] for i in np.frombuffer(r.qids, np.int64)))) for r in asked.collect()]
+    left = topk.open_pairs(bounds, spark.createDataFrame(worst, "qblock long, dim int, worst double")).count()
+    assert left < 0.3 * bounds.count()
+
+
+def test_products_that_are_not_exact_raise(spark):
+    df = spark.createDataFrame([(0, [10**9, 1]), (1, [10**9, 2])], "vec_id long, v array<long>")
+    with pytest.raises(Exception, match="2\\*\\*53"):
+        topk.top_k(spark, df, df).collect()
