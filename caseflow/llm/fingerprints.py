@@ -1,9 +1,10 @@
 """Document fingerprints as invertible Bloom lookup sketches of hashed paragraphs, in DataFrame and SQL functions only.
 
-A sketch has three tables of cells; a paragraph's 40-bit digest falls on one cell of each, which sums a count, the digests
-and their check values. Sketches of two versions subtract cell by cell, which leaves the paragraphs that differ. A cell that holds one
-digest alone (however often) shows it; taking it off its other cells uncovers more, until all cells are zero. If that fails, the
-pair's paragraphs are dealt by digest into as many small sketches as they need, and blocks that fail again into larger ones.
+A text's paragraphs (sentences and lines) are dealt by digest into blocks, and each block is a small sketch: three tables of cells. A
+paragraph's 40-bit digest falls on one cell of each table, which sums a count, the digests and their check values. A cell that holds one
+digest alone (however often) shows it; taking it off its other cells uncovers more, until all are zero: peeling. A block that can't be
+peeled is made again with larger tables, so a fingerprint gives back its own paragraphs. Two fingerprints subtract cell by cell, which leaves
+what differs; where that can't be peeled, both blocks are made again larger from their own paragraphs. Nothing but fingerprints enters a likeness.
 """
 
 from __future__ import annotations
@@ -14,23 +15,26 @@ from pyspark.sql import functions as F
 from .common import Workspace, table
 from .sharding import range_cuts
 
-#: Cells in each of a sketch's three tables; the cells of a block's later attempts.
-WIDTH = 8
-LATER = (16, 32)
-#: Paragraphs of both versions in a block of a larger sketch, about.
-LOAD = 6
+#: Ends of paragraphs: line ends, and blanks after the end of a sentence.
+ENDS = r"\n|(?<=[.!?]) "
+#: Cells in each of a block's three tables, the next ones for blocks that can't be peeled; paragraphs of a block, about.
+WIDTHS = (8, 16, 32, 64, 256, 1024)
+LOAD = 12
 #: Characters of text in a bin of neighbouring documents, about, and the most bins.
 BIN_CHARS = 1 << 20
 MAX_BINS = 16384
 _INNER = 128
+_CELLS = "array<struct<c: bigint, k: bigint, x: bigint>>"
+_BLOCK = f"struct<w: int, cells: {_CELLS}, d: array<struct<k: bigint, c: bigint>>>"
 
 
-def _digest(x: str) -> str:
-    return f"shiftrightunsigned(xxhash64({x}), 24)"
+def digests_sql(text: str) -> str:
+    """40-bit digests of a text's paragraphs."""
+    return f"transform(split({text}, r'{ENDS}', -1), p -> shiftrightunsigned(xxhash64(p), 24))"
 
 
 def _check(k: str) -> str:
-    return f"shiftrightunsigned(xxhash64({k}, 1), 24)"
+    return f"shiftrightunsigned(xxhash64({k}, 1), 40)"
 
 
 def _bind(value: str, name: str, body: str) -> str:
@@ -38,40 +42,95 @@ def _bind(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _hit(h: str, i: str, width: int) -> str:
-    """Whether cell number i is one of the three cells of a digest with hash h."""
+def _placed(k: str, c: str, width: int) -> str:
+    """A digest with its count, check value and the numbers of its three cells."""
     bits = width.bit_length() - 1
-    return f"(shiftrightunsigned({h}, {bits} * int({i} div {width})) & {width - 1}) = {i} % {width}"
+    at = ", ".join(f"'p{t}', int(shiftrightunsigned(h, {bits * t}) & {width - 1}) + {t * width}" for t in range(3))
+    return _bind(f"xxhash64({k}, {width})", "h", f"named_struct('k', {k}, 'c', {c}, 'x', {_check(k)}, {at})")
 
 
-def sketch_sql(entries: str, width: int = WIDTH, seed: int = 0) -> str:
+def cells_sql(entries: str, width: int) -> str:
     """Cells (c, k, x) of an array of (k digest, c count); the sketch is the same in any order of the array."""
-    full = f"transform({entries}, e -> named_struct('c', e.c, 'k', e.k, 'x', {_check('e.k')}, 'h', xxhash64(e.k, {2 + seed})))"
-    add = f"IF({_hit('y.h', 'i', width)}, named_struct('c', a.c + y.c, 'k', a.k + y.c * y.k, 'x', a.x + y.c * y.x), a)"
+    add = "IF(y.p0 = i OR y.p1 = i OR y.p2 = i, named_struct('c', a.c + y.c, 'k', a.k + y.c * y.k, 'x', a.x + y.c * y.x), a)"
     cells = f"transform(sequence(0, {3 * width - 1}), i -> aggregate(ys, named_struct('c', 0L, 'k', 0L, 'x', 0L), (a, y) -> {add}))"
-    return _bind(full, "ys", cells)
+    return _bind(f"transform({entries}, e -> {_placed('e.k', 'e.c', width)})", "ys", cells)
 
 
-def peel_sql(cells: str, width: int = WIDTH, seed: int = 0) -> str:
-    """Number of paragraphs (repeats counted) that a difference of sketches holds; null if it cannot be peeled whole."""
+def peel_sql(cells: str, width: int, most: str) -> str:
+    """(k, c) of all digests that cells hold, ``most`` at most; null if they cannot be peeled whole."""
     pure = f"IF(c.c = 0, false, c.k % c.c = 0 AND c.x = c.c * {_check('(c.k div c.c)')})"
-    found = f"transform(slice(filter(s.cells, c -> {pure}), 1, 1), c -> named_struct('c', c.c, 'k', c.k, 'x', c.x, 'h', xxhash64(c.k div c.c, {2 + seed})))"
-    off = f"IF({_hit('p.h', 'i', width)}, named_struct('c', c.c - p.c, 'k', c.k - p.k, 'x', c.x - p.x), c)"
-    step = f"aggregate({found}, s, (t, p) -> named_struct('cells', transform(t.cells, (c, i) -> {off}), 'd', t.d + abs(p.c)))"
-    run = f"aggregate(sequence(1, {3 * width}), named_struct('cells', {cells}, 'd', 0L), (s, r) -> {step})"
-    return _bind(run, "z", "IF(forall(z.cells, c -> c.c = 0 AND c.k = 0 AND c.x = 0), z.d, CAST(NULL AS BIGINT))")
+    found = f"transform(slice(filter(s.cells, c -> {pure}), 1, 1), c -> {_placed('(c.k div c.c)', 'c.c', width)})"
+    off = "IF(i = y.p0 OR i = y.p1 OR i = y.p2, named_struct('c', c.c - y.c, 'k', c.k - y.c * y.k, 'x', c.x - y.c * y.x), c)"
+    step = f"aggregate({found}, s, (t, y) -> named_struct('cells', transform(t.cells, (c, i) -> {off}), 'd', concat(t.d, array(named_struct('k', y.k, 'c', y.c)))))"
+    start = f"named_struct('cells', {cells}, 'd', CAST(array() AS array<struct<k: bigint, c: bigint>>))"
+    run = f"aggregate(sequence(1, greatest(1, {most})), {start}, (s, r) -> {step})"
+    return _bind(run, "z", "IF(forall(z.cells, c -> c.c = 0 AND c.k = 0 AND c.x = 0), z.d, NULL)")
 
 
-def _ones(digests: str) -> str:
-    return f"transform({digests}, k -> named_struct('k', k, 'c', 1L))"
+def block_sql(entries: str) -> str:
+    """The smallest sketch of a block's (k, c) that can be peeled: (w, cells, d paragraphs as peeled)."""
+    tries = [_bind(cells_sql(entries, w), "cs", _bind(peel_sql("cs", w, f"size({entries})"), "f", f"IF(f IS NULL, CAST(NULL AS {_BLOCK}), named_struct('w', {w}, 'cells', cs, 'd', f))")) for w in WIDTHS]
+    return f"coalesce({', '.join(tries)}, raise_error('a block of a fingerprint cannot be peeled'))"
 
 
-def _hex(cells: str) -> str:
-    return f"array_join(transform({cells}, c -> concat_ws('.', lower(hex(c.c)), lower(hex(c.k)), lower(hex(c.x)))), ' ')"
+def sketch_sql(entries: str, bits: str) -> str:
+    """A fingerprint of 2**bits blocks from an array of (k, c); entries are dealt in two rounds, so that long texts cost little more than in proportion."""
+    low = f"({bits} div 2)"
+    dealt = f"transform({entries}, e -> named_struct('k', e.k, 'c', e.c, 'b', int(xxhash64(e.k, 7) & (shiftleft(1, {bits}) - 1))))"
+    first = f"transform(sequence(0, shiftleft(1, {low}) - 1), g -> filter(es, e -> (e.b & (shiftleft(1, {low}) - 1)) = g))"
+    second = f"transform(sequence(0, shiftleft(1, {bits} - {low}) - 1), j -> filter(gs, e -> shiftright(e.b, {low}) = j))"
+    blocks = f"flatten(transform({first}, gs -> {second}))"
+    return _bind(dealt, "es", f"transform({blocks}, bs -> {block_sql('bs')})")
 
 
-def _minus(a: str, b: str) -> str:
-    return f"zip_with({a}, {b}, (p, q) -> named_struct('c', p.c - q.c, 'k', p.k - q.k, 'x', p.x - q.x))"
+def bits_sql(n: str) -> str:
+    """Blocks of a text of n paragraphs, as a power of two."""
+    return f"int(greatest(0, ceil(log2({n} / {LOAD}.0))))"
+
+
+def text_sketch_sql(digests: str) -> str:
+    return sketch_sql(f"transform({digests}, k -> named_struct('k', k, 'c', 1L))", bits_sql(f"size({digests})"))
+
+
+def _difference(p: str, q: str) -> str:
+    """Paragraphs (repeats counted) that differ between two blocks."""
+    tries = []
+    for w in WIDTHS:
+        a, b = (f"IF({x}.w = {w}, {x}.cells, {cells_sql(f'{x}.d', w)})" for x in (p, q))
+        minus = f"zip_with({a}, {b}, (m, n) -> named_struct('c', m.c - n.c, 'k', m.k - n.k, 'x', m.x - n.x))"
+        peeled = _bind(peel_sql(minus, w, f"size({p}.d) + size({q}.d)"), "f", "IF(f IS NULL, CAST(NULL AS BIGINT), aggregate(f, 0L, (t, e) -> t + abs(e.c)))")
+        tries.append(f"IF({w} < greatest({p}.w, {q}.w), CAST(NULL AS BIGINT), {peeled})")
+    return f"IF({p}.cells = {q}.cells, 0L, coalesce({', '.join(tries)}, raise_error('blocks of two fingerprints cannot be told apart')))"
+
+
+def _larger(sketch: str, other: str) -> str:
+    """``sketch`` with as many blocks as ``other`` where that has more, made again from its own paragraphs."""
+    again = sketch_sql(f"flatten(transform({sketch}, b -> b.d))", f"int(log2(size({other})))")
+    return f"IF(size({sketch}) >= size({other}), {sketch}, {again})"
+
+
+def difference_sql(a: str, b: str) -> str:
+    return f"aggregate(zip_with({a}, {b}, (p, q) -> {_difference('p', 'q')}), 0L, (t, d) -> t + d)"
+
+
+def count_sql(sketch: str) -> str:
+    """Paragraphs that a fingerprint holds, repeats counted."""
+    return f"aggregate({sketch}, 0L, (t, b) -> t + aggregate(b.d, 0L, (u, e) -> u + e.c))"
+
+
+def hex_sql(sketch: str) -> str:
+    """A fingerprint as text: blocks parted by bars, a block's cells by blanks; empty cells are left blank."""
+    cell = "IF(c.c = 0 AND c.k = 0 AND c.x = 0, '', concat_ws('.', lower(hex(c.c)), lower(hex(c.k)), lower(hex(c.x))))"
+    return f"array_join(transform({sketch}, b -> array_join(transform(b.cells, c -> {cell}), ' ')), '|')"
+
+
+def parse_sql(text: str) -> str:
+    """The blocks of a fingerprint that is given as text (see ``hex_sql``)."""
+    num = lambda i: f"CAST(conv(split(t, '[.]')[{i}], 16, -10) AS BIGINT)"
+    cells = f"transform(split(b, ' ', -1), t -> IF(t = '', named_struct('c', 0L, 'k', 0L, 'x', 0L), named_struct('c', {num(0)}, 'k', {num(1)}, 'x', {num(2)})))"
+    peeled = ", ".join(f"IF(size(cs) = {3 * w}, {peel_sql('cs', w, 'size(cs)')}, NULL)" for w in WIDTHS)
+    block = f"named_struct('w', int(size(cs) div 3), 'cells', cs, 'd', coalesce({peeled}))"
+    return f"transform(split({text}, '[|]'), b -> {_bind(cells, 'cs', block)})"
 
 
 def _bin(id_col: str, cuts: list[int]) -> Column:
@@ -87,78 +146,48 @@ def _bin(id_col: str, cuts: list[int]) -> Column:
 
 
 def with_next(ws: Workspace, docs: DataFrame, bin_chars: int = BIN_CHARS) -> DataFrame:
-    """(row long, doc_id, text, digests, next_text, next_digests): every document with the one after it in descending doc_id, the last with the first.
+    """(doc_id, text, fp_a, next_text, fp_n): every document and its fingerprint with those of the one after it in descending doc_id, the last with the first.
 
     Documents are dealt into bins of neighbouring ids and sorted there, so the text moves once; a bin's last document meets a copy of the next bin's first.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sizes = rows.select("doc_id", F.length("text").alias("size"))
+    sizes = ws.save(rows.select("doc_id", F.length("text").alias("size")), "sizes")
     total = sizes.agg(F.sum(F.col("size").cast("double"))).first()[0] or 0
-    cuts = range_cuts(ws.save(sizes, 'sizes'), "doc_id", "size", int(max(bin_chars, total / MAX_BINS))).starts
-    rows = rows.withColumn("bin", _bin("doc_id", cuts)).withColumn("th", F.xxhash64("text"))
-    # at most one row a bin, and bins are bounded by MAX_BINS (cuts of a target's worth each)
-    heads = rows.groupBy("bin").agg(F.max(F.struct("doc_id", F.bitwise_not("th").alias("not_th"))).alias("h")).collect()
-    bins = sorted(r["bin"] for r in heads)
-    before = {b: bins[i - 1] for i, b in enumerate(bins)}
-    head_rows = [(r.h.doc_id, ~r.h.not_th, r["bin"], before_of) for r in heads for before_of in [next(b for b in bins if before[b] == r["bin"])]]
-    sent = F.broadcast(ws.spark.createDataFrame(head_rows, "h_id long, h_th long, h_bin int, to int")) if head_rows else None
-    rows = rows.withColumn("copy", F.lit(0))
-    if sent is not None:
-        match = F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("th") == F.col("h_th")) & (F.col("bin") == F.col("h_bin"))
-        copies = rows.join(sent, match).select("doc_id", "text", F.col("to").alias("bin"), "th", F.lit(1).alias("copy"))
-        rows = rows.unionByName(copies)
-    rows = rows.withColumn("digests", F.expr(f"transform(split(text, '\\n', -1), p -> {_digest('p')})"))
+    cuts = range_cuts(sizes, "doc_id", "size", int(max(bin_chars, total / MAX_BINS))).starts
+    rows = rows.withColumn("bin", _bin("doc_id", cuts)).withColumns({"th": F.xxhash64("text"), "copy": F.lit(0)})
+    # one row a bin, and bins are bounded by MAX_BINS (cuts of a target's worth each): these are ordered in one window and broadcast
+    heads = ws.save(rows.groupBy("bin").agg(F.max(F.struct("doc_id", F.bitwise_not("th").alias("not_th"))).alias("h")), "heads")
+    around = F.coalesce(F.lead("bin").over(Window.orderBy("bin")), F.min("bin").over(Window.partitionBy()))
+    heads = heads.select(F.col("h.doc_id").alias("h_id"), F.bitwise_not("h.not_th").alias("h_th"), F.col("bin").alias("h_bin"), around.alias("to"))
+    match = F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("th") == F.col("h_th")) & (F.col("bin") == F.col("h_bin"))
+    copies = rows.join(F.broadcast(heads), match).select("doc_id", "text", F.col("to").alias("bin"), "th", F.lit(1).alias("copy")).dropDuplicates(["bin"])
+    # the text alone moves; fingerprints are made where the window finds them
+    rows = rows.unionByName(copies).repartition("bin").withColumn("fp_a", F.expr(_bind(digests_sql("text"), "ks", text_sketch_sql("ks"))))
     order = Window.partitionBy("bin").orderBy("copy", F.desc_nulls_last("doc_id"), "th")
-    out = rows.withColumns({"next_text": F.lead("text").over(order), "next_digests": F.lead("digests").over(order), "pos": F.row_number().over(order)})
-    return out.filter("copy = 0").select((F.col("bin").cast("long") * (1 << 40) + F.col("pos")).alias("row"), "doc_id", "text", "digests", "next_text", "next_digests")
-
-
-def _differences(pairs: DataFrame) -> DataFrame:
-    """(row, pair, d) for pairs (row, pair, a digests, b digests) whose small sketches could not be peeled."""
-    blocks = "greatest(1, int(ceil((size(a) + size(b)) / %d)))" % LOAD
-    one = lambda col, sign: F.transform(col, lambda k: F.struct(k.alias("k"), F.lit(sign).alias("s")))
-    dealt = pairs.select("row", "pair", F.expr(blocks).alias("blocks"), F.explode(F.concat(one("a", True), one("b", False))).alias("e"))
-    dealt = dealt.select("row", "pair", F.expr("int(pmod(xxhash64(e.k, 99), blocks))").alias("block"), F.col("e.k").alias("k"), F.col("e.s").alias("s"))
-    # a row's paragraphs meet in one task; repeats are counted before they are listed
-    dealt = dealt.repartition("row")
-    counted = dealt.groupBy("row", "pair", "block", "k").agg(F.count_if("s").alias("n_a"), F.count_if(~F.col("s")).alias("n_b"))
-    listed = counted.groupBy("row", "pair", "block").agg(F.collect_list(F.struct("k", "n_a", "n_b")).alias("ks"))
-    tries = []
-    for seed, width in enumerate((WIDTH, *LATER), 10):
-        a, b = (f"transform(ks, e -> named_struct('k', e.k, 'c', e.{n}))" for n in ("n_a", "n_b"))
-        tries.append(peel_sql(_minus(sketch_sql(a, width, seed), sketch_sql(b, width, seed)), width, seed))
-    exact = "aggregate(ks, 0L, (t, e) -> t + abs(e.n_a - e.n_b))"
-    return listed.groupBy("row", "pair").agg(F.sum(F.expr(f"coalesce({', '.join(tries)}, {exact})")).alias("d"))
+    out = rows.withColumns({"next_text": F.lead("text").over(order), "fp_n": F.lead("fp_a").over(order)})
+    return out.filter("copy = 0").select("doc_id", "text", "fp_a", "next_text", "fp_n")
 
 
 def fingerprint_pairs(spark: SparkSession, docs: DataFrame, bin_chars: int = BIN_CHARS) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
-    The likeness of two texts is the number of paragraphs (lines) they share over that of both together, repeats counted, from the paragraphs that
-    differ between their fingerprints. Null texts are empty: one empty paragraph. Rows may share an id (a hash of the text
+    The likeness of two texts is the number of paragraphs (sentences and lines) they share over that of both together, repeats counted, from what
+    their fingerprints tell. Null texts are empty: one empty paragraph. Rows may share an id (a hash of the text
     orders them) and null ids come last; a single row is its own next document. Empty tables give no rows; other columns are not read. A text may hold
     one paragraph up to 2**22 times.
     """
     ws = Workspace(spark, "fingerprints")
     rows = with_next(ws, docs, bin_chars)
     half = "int(length(text) div 2)"
-    rows = rows.select("row", "doc_id", F.length("text").cast("long").alias("n_chars"), F.expr(f"concat(substring(text, 1, length(text) - {half}), substring(next_text, 1, {half}))").alias("edited"), F.col("digests").alias("a"), F.col("next_digests").alias("n"))
-    rows = rows.select("row", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", F.expr(f"transform(split(edited, '\\n', -1), p -> {_digest('p')})").alias("e"), "n")
-    rows = rows.withColumns({"cells_a": F.expr(sketch_sql(_ones("a"))), "cells_e": F.expr(sketch_sql(_ones("e"))), "cells_n": F.expr(sketch_sql(_ones("n")))})
-    few = f"aggregate(slice(q, 1, {WIDTH}), 0L, (t, c) -> t + abs(c.c)) <= {2 * WIDTH}"
-    small = lambda b: F.expr(_bind(_minus("cells_a", b), "q", f"IF({few}, {peel_sql('q')}, CAST(NULL AS BIGINT))"))
-    rows = rows.select("row", "doc_id", "n_chars", "edited_sha256", F.expr(_hex("cells_a")).alias("fingerprint"), F.expr(_hex("cells_e")).alias("edited_fingerprint"), "a", "e", "n", small("cells_e").alias("d_e"), small("cells_n").alias("d_n"))
-    rows = ws.save(rows, "sketches")
-    left = rows.filter("d_e IS NULL").select("row", F.lit("e").alias("pair"), "a", F.col("e").alias("b"))
-    left = left.unionByName(rows.filter("d_n IS NULL").select("row", F.lit("n").alias("pair"), "a", F.col("n").alias("b")))
-    more = _differences(left).groupBy("row").agg(F.max(F.expr("IF(pair = 'e', d, NULL)")).alias("more_e"), F.max(F.expr("IF(pair = 'n', d, NULL)")).alias("more_n"))
-    out = rows.join(more, "row", "left")
-
-    def likeness(b: str, d: str, later: str) -> Column:
-        both, diff = F.expr(f"size(a) + size({b})"), F.coalesce(d, later)
-        return ((both - diff) / (both + diff)).cast("double")
-
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("e", "d_e", "more_e").alias("near_edited"), likeness("n", "d_n", "more_n").alias("near_next"))
+    edited = F.expr(f"concat(substring(text, 1, length(text) - {half}), substring(next_text, 1, {half}))").alias("edited")
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited, "fp_a", "fp_n")
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp_a", F.expr(_bind(digests_sql("edited"), "ks", text_sketch_sql("ks"))).alias("fp_e"), "fp_n")
+
+    # a step a projection: the analyzer resolves only so many nested lambdas at a time
+    rows = rows.withColumns({name: F.expr(_larger(*pair)) for name, pair in {"a_e": ("fp_a", "fp_e"), "e_a": ("fp_e", "fp_a"), "a_n": ("fp_a", "fp_n"), "n_a": ("fp_n", "fp_a")}.items()})
+    rows = rows.withColumns({"d_e": F.expr(difference_sql("a_e", "e_a")), "d_n": F.expr(difference_sql("a_n", "n_a")), **{f"count_{c}": F.expr(count_sql(f"fp_{c}")) for c in "aen"}})
+    likeness = lambda b: ((F.col("count_a") + F.col(f"count_{b}") - F.col(f"d_{b}")) / (F.col("count_a") + F.col(f"count_{b}") + F.col(f"d_{b}"))).cast("double")
+    return rows.select("doc_id", "n_chars", "edited_sha256", F.expr(hex_sql("fp_a")).alias("fingerprint"), F.expr(hex_sql("fp_e")).alias("edited_fingerprint"), likeness("e").alias("near_edited"), likeness("n").alias("near_next"))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,16 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from caseflow.llm import fingerprints as fp
 
 
 def likeness(a, b):
-    a, b = Counter(a.split("\n")), Counter(b.split("\n"))
+    a, b = (Counter(re.split(fp.ENDS, x)) for x in (a, b))
     return (a & b).total() / (a | b).total()
 
 
@@ -71,3 +73,25 @@ def test_nulls_ties_single_rows_and_clashing_columns(spark):
     one = fp.fingerprint_pairs(spark, docs.filter("doc_id = 9")).collect()
     assert [(r.near_edited, r.near_next) for r in one] == [(1.0, 1.0)]
     assert fp.fingerprint_pairs(spark, docs.limit(0)).count() == 0
+
+
+def test_published_fingerprints_alone_give_the_likeness(spark, sf):
+    """The likeness again from the two strings; and one changed cell is seen."""
+    rows = fp.op8_fingerprints(spark, sf).select("doc_id", "fingerprint", "edited_fingerprint", "near_edited")
+    a, b = fp._bind(fp.parse_sql("fingerprint"), "x", "x"), fp._bind(fp.parse_sql("edited_fingerprint"), "x", "x")
+    parsed = rows.select("doc_id", "near_edited", F.expr(a).alias("one"), F.expr(b).alias("two"))
+    parsed = parsed.select("doc_id", "near_edited", F.expr(fp._larger("one", "two")).alias("one"), F.expr(fp._larger("two", "one")).alias("two"))
+    got = parsed.select("near_edited", F.expr(fp.difference_sql("one", "two")).alias("d"), F.expr(f"{fp.count_sql('one')} + {fp.count_sql('two')}").alias("n")).collect()
+    assert all((r.n - r.d) / (r.n + r.d) == pytest.approx(r.near_edited) for r in got) and len({r.d for r in got}) > 3
+    damaged = rows.select(F.expr("regexp_replace(fingerprint, '^([ |]*)1[.]', '$12.')").alias("fingerprint")).select(F.expr(f"exists({fp.parse_sql('fingerprint')}, b -> b.d IS NULL)").alias("lost"))
+    assert damaged.filter("lost").count() > 0
+
+
+def test_blocks_that_cannot_be_peeled_grow(spark):
+    """Many paragraphs in one block: the sketch takes a larger width, still gives all of them back, and a smaller one fails."""
+    for n in (1, 10, 40, 150):
+        entries = spark.range(n).agg(F.collect_list(F.struct(F.expr("shiftrightunsigned(xxhash64(id), 24)").alias("k"), F.lit(2).cast("long").alias("c"))).alias("es"))
+        r = entries.select("es", F.expr(fp.block_sql("es")).alias("b"), F.expr(fp.peel_sql(fp.cells_sql("es", 8), 8, "size(es)")).alias("small")).first()
+        assert sorted((x.k, x.c) for x in r.b.d) == sorted((x.k, x.c) for x in r.es)
+        assert (n <= 10) == (r.b.w == 8) or r.b.w == 16 and n == 10
+        assert n <= 10 or r.small is None
