@@ -1,28 +1,37 @@
 """SentencePiece encoding and decoding as weighted finite-state transduction.
 
-Three transducers are compiled from a model file: the normaliser (dummy prefix, escaped spaces), the pieces, and
-byte fallback for characters without a piece. The pieces of a merge model form a transducer whose state is the piece that was
-written last: an arc (a, b) exists if the model's merges over the string ab leave exactly a and b, and a sequence of
-pieces is the model's own segmentation if and only if all its neighbours have such arcs. Composed with an input this gives a lattice over positions; its
-shortest path in the tropical semiring (least sum of weights: negated scores, and a penalty for each fallback character) is the encoding.
+Three transducers are compiled from a model file: the normaliser (dummy prefix, escaped and squeezed spaces), the pieces, and
+byte fallback for characters without a piece. An input is composed with the normaliser, and what comes out with the union of the other two; the composition
+is a lattice of (position, last piece), made as far as the search goes. Its shortest path in the tropical semiring (least sum of weights) is the encoding.
+
+A piece weighs its negated score in unigram models (of paths of equal weight the library's single precision may take another one). In merge models a piece weighs by the piece before it: nothing if the model's merges over both leave
+just these two, and BREAK if they don't. A sequence of pieces is the model's own segmentation if and only if all its neighbours are such
+pairs, so that one path, and no other, weighs nothing but its fallbacks.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
+import struct
 import zlib
 from array import array
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import keep_one, table, text_slices
+from .common import keep_one, slices_of, table, tidy
+from .encoding import SLICE, Recent, gather, joined_lists
 
 SPACE = "▁"
-#: Weight of a character that is written as bytes, above any path of pieces.
-FALLBACK = 1e9
-CACHE = 500_000
+#: Weights in merge models: of neighbours that the model would not leave so, above any number of fallbacks; of a fallback character.
+BREAK, FALLBACK = 1e9, 1.0
+#: In unigram models a fallback character weighs so much more than the lightest score (a fixed value of the library).
+UNKNOWN = 10.0
+ARCS = 300_000
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -54,15 +63,38 @@ def _fields(b: bytes):
         yield tag >> 3, v
 
 
+class Normaliser:
+    """A sequential transducer over characters: arcs[state][space?] is (output, next state), None as output is the character itself; ends[state] is written at the end.
+
+    States: 0 nothing written yet, 1 inside, 2 a space is held back (only where spaces are squeezed).
+    """
+
+    def __init__(self, prefix: bool, squeeze: bool):
+        lead = SPACE if prefix else ""
+        if squeeze:
+            self.arcs = (((lead, None, 1), ("", "", 0)), (("", None, 1), ("", "", 2)), ((SPACE, None, 1), ("", "", 2)))
+        else:
+            self.arcs = (((lead, None, 1), (lead, SPACE, 1)), (("", None, 1), ("", SPACE, 1)))
+
+    def compose(self, text: str, state: int = 0) -> str:
+        """The output side of the composition with an input; a mark for a space in the text counts as a space where spaces are squeezed."""
+        out, arcs = [], self.arcs
+        held = len(arcs) == 3
+        for c in text:
+            before, own, state = arcs[state][c == " " or (held and c == SPACE)]
+            out.append(before)
+            out.append(c if own is None else own)
+        return "".join(out)
+
+
 class Transducer:
-    """The compiled model. Only merge (BPE) models with an identity character map and byte fallback are taken."""
+    """The compiled model: merge (BPE) or unigram, with an identity character map and byte fallback."""
 
-    # fixed values of the model format: piece types, model type, defaults
-    NORMAL, BYTE, BPE = 1, 6, 2
+    # fixed values of the model format: piece types, model types
+    NORMAL, BYTE, UNIGRAM, BPE = 1, 6, 1, 2
+    _PLAIN = (1, 2, 3, 6)
 
     def __init__(self, file: str):
-        import struct
-
         with open(file, "rb") as f:
             raw = f.read()
         pieces, trainer, normalizer = [], {}, {}
@@ -74,26 +106,26 @@ class Transducer:
                 trainer = dict(_fields(v))
             elif n == 3:
                 normalizer = dict(_fields(v))
-        if trainer.get(3, 1) != self.BPE or not trainer.get(35, 0) or normalizer.get(2, b""):
-            raise ValueError("a merge model with byte fallback and an identity character map is needed")
+        kind = trainer.get(3, self.UNIGRAM)
+        if kind not in (self.BPE, self.UNIGRAM) or not trainer.get(35, 0) or normalizer.get(2, b"") or not normalizer.get(5, 1) or any(p[2] not in self._PLAIN for p in pieces):
+            raise ValueError("a merge or unigram model with byte fallback, escaped spaces, an identity character map and no pieces of a user's is needed")
+        self.merges = kind == self.BPE
         self.prefix = bool(normalizer.get(3, 1))
-        self.squeeze = bool(normalizer.get(4, 1))
-        if not normalizer.get(5, 1):
-            raise ValueError("a model that escapes white space is needed")
+        self.normaliser = Normaliser(self.prefix, bool(normalizer.get(4, 1)))
         self.text = [p[0] for p in pieces]
         self.types = [p[2] for p in pieces]
         self.score = {p[0]: p[1] for p in pieces if p[2] == self.NORMAL}
         self.byte = [0] * 256
-        for i, (p, _, kind) in enumerate(pieces):
-            if kind == self.BYTE:
+        for i, (p, _, t) in enumerate(pieces):
+            if t == self.BYTE:
                 self.byte[int(p[3:5], 16)] = i
-        #: pieces that the merges can make; the longest
-        self.id = {p: i for i, (p, _, kind) in enumerate(pieces) if kind == self.NORMAL and self.merge(p) == [p]}
-        #: beginnings of pieces: states of the piece transducer before a piece is complete
+        #: pieces that can come out; beginnings of pieces: states before a piece is complete
+        self.id = {p: i for i, (p, _, t) in enumerate(pieces) if t == self.NORMAL and (not self.merges or self.merge(p) == [p])}
         self.heads = {p[:k] for p in self.id for k in range(1, len(p) + 1)}
         self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.id)
-        self.arcs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.fallback = FALLBACK if self.merges else UNKNOWN - min(self.score.values(), default=0.0)
+        self.arcs: dict[tuple[str, str], float] = {}
+        self.known = Recent()
 
     def merge(self, s: str) -> list[str]:
         """The model's merges over a short string, best score first, leftmost among equals."""
@@ -105,70 +137,87 @@ class Transducer:
             i = min(found)[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    def arc(self, a: str, b: str) -> bool:
-        if (a, b) not in self.arcs:
-            if len(self.arcs) > CACHE:
+    def weight(self, before: str | None, piece: str) -> float:
+        """The tropical weight of the arc that writes ``piece`` (a piece, or a character without one) after ``before``."""
+        known = self.arcs.get((before, piece))
+        if known is None:
+            if len(self.arcs) > ARCS:
                 self.arcs.clear()
-            self.arcs[a, b] = self.merge(a + b) == [a, b]
-        return self.arcs[a, b]
-
-    def shortest_path(self, s: str) -> list[str | bytes]:
-        """Pieces (or the bytes of a fallback character) on the least path through the lattice of a normalised string.
-
-        All paths to a position end in the same piece, the one its prefix's segmentation ends in, so a position is one lattice state.
-        """
-        n, ids, heads, arcs, score, inf = len(s), self.id, self.heads, self.arcs, self.score, float("inf")
-        best, last, back = [inf] * (n + 1), [None] * (n + 1), [0] * (n + 1)
-        best[0] = 0.0
-        for i in range(n):
-            if best[i] == inf:
+            known = 0.0 if piece in self.id else self.fallback
+            if not self.merges:
+                known -= self.score.get(piece, 0.0) if piece in self.id else 0.0
+            elif before is not None and self.merge(before + piece) != [before, piece]:
+                known += BREAK
+            self.arcs[before, piece] = known
+        return known
+
+    def shortest_path(self, s: str) -> list[str]:
+        """Pieces (and characters without one) on the path of the least weight through the lattice of a normalised string; the lattice grows by its lightest state, the farthest among equals."""
+        n, ids, heads, arcs = len(s), self.id, self.heads, self.arcs
+        best: dict[tuple[int, str | None], float] = {(0, None): 0.0}
+        back: dict[tuple[int, str | None], tuple[int, str | None]] = {}
+        heap: list[tuple[float, int, str | None]] = [(0.0, 0, None)]
+        while True:
+            d, left, last = heapq.heappop(heap)
+            i = -left
+            state = (i, last if self.merges or i == 0 else "")
+            if d > best[state]:
                 continue
-            before = last[i]
-            free = before is None or type(before) is bytes
+            if i == n:
+                break
             for j in range(i + 1, n + 1):
                 p = s[i:j]
                 if p not in heads:
-                    break
-                # a position that is reached has its only piece already
-                if best[j] == inf and p in ids and (free or (arcs[before, p] if (before, p) in arcs else self.arc(before, p))):
-                    best[j], last[j], back[j] = best[i] - score[p], p, i
-            if s[i] not in ids and best[i] + FALLBACK < best[i + 1]:
-                best[i + 1], last[i + 1], back[i + 1] = best[i] + FALLBACK, s[i].encode("utf-8", "surrogatepass"), i
-        out, i = [], n
-        while i:
-            out.append(last[i])
-            i = back[i]
+                    if j > i + 1:
+                        break
+                elif p not in ids and j > i + 1:
+                    continue
+                # a single character without a piece is written as bytes
+                w = arcs.get((state[1], p))
+                w = d + (self.weight(state[1], p) if w is None else w)
+                to = (j, p if self.merges else "")
+                if w < best.get(to, BIG):
+                    best[to] = w
+                    back[to] = (*state, p)
+                    heapq.heappush(heap, (w, -j, to[1]))
+        out = []
+        while state[0]:
+            *state, p = back[tuple(state)]
+            out.append(p)
         return out[::-1]
 
     def _ids(self, run: str) -> bytes:
         out = array("I")
         for p in self.shortest_path(run):
-            if type(p) is bytes:
-                out.extend(self.byte[c] for c in p)
-            else:
+            if p in self.id:
                 out.append(self.id[p])
+            else:
+                out.extend(self.byte[c] for c in p.encode("utf-8", "surrogatepass"))
         return out.tobytes()
 
-    def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text.replace(SPACE, " ")).strip(" ")
-        if not text:
-            return ""
-        return SPACE * self.prefix + text.replace(" ", SPACE)
+    def _runs(self, text: str) -> list[str]:
+        """The normalised text in parts that no piece crosses."""
+        s = self.normaliser.compose(text)
+        return _RUNS.findall(s) if self.cuts else [s] if s else []
 
     def encode(self, text: str | None) -> bytes:
-        """ids as little-endian unsigned 32-bit bytes. Runs between spaces are encoded once each, as no piece crosses their edge."""
-        s = self.normalise(text or "")
-        if not self.cuts:
-            return self._ids(s)
-        known, out = self.known, []
-        if len(known) > CACHE:
-            known.clear()
-        for run in _RUNS.findall(s):
-            if (b := known.get(run)) is None:
-                b = known[run] = self._ids(run)
-            out.append(b)
-        return b"".join(out)
+        """ids as little-endian unsigned 32-bit bytes."""
+        return b"".join(map(self._ids, self._runs(text or "")))
+
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds): ids of text i are ids[bounds[i]:bounds[i + 1]]. Parts between spaces are encoded once each."""
+        texts = pc.fill_null(texts, "")
+        plain = pc.split_pattern(texts, " ")
+        # where single spaces part words, a part follows a space, and so does the first by the dummy prefix
+        odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, SPACE)), pc.or_(pc.starts_with(texts, " "), pc.or_(pc.ends_with(texts, " "), pc.or_(pc.equal(texts, ""), pc.match_substring(texts, _WHOLE)))))
+        odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False)) if self.prefix and self.cuts else np.arange(len(texts))
+        cut = joined_lists(texts, plain, odd, lambda t: [_WHOLE + r for r in self._runs(t)])
+        bounds = cut.offsets.to_numpy().astype(np.int64)
+        known = cut.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        compose = self.normaliser.compose
+        make = lambda new: [self._ids(p[1:] if p[:1] == _WHOLE else compose(" " + p if len(self.normaliser.arcs) == 2 else p, int(len(self.normaliser.arcs) == 2))) for p in new]
+        ids, ends = gather(self.known.fill(known.dictionary.to_pylist(), make), known.indices.to_numpy())
+        return ids, ends[bounds - bounds[0]]
 
     def decode(self, ids) -> str:
         """The inverse: pieces and bytes back to text, without the dummy prefix."""
@@ -182,6 +231,11 @@ class Transducer:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
+BIG = float("inf")
+#: Begins a part that is normalised already.
+_WHOLE = "\x01"
+
+
 def compiled(file: str) -> Transducer:
     return keep_one(("transducer", file), lambda: Transducer(file))
 
@@ -196,17 +250,18 @@ def encode_decode(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches):
         t = compiled(model)
-        pieces = [p.replace(SPACE, " ").encode() if k == t.NORMAL else bytes([int(p[3:5], 16)]) if k == t.BYTE else b"" for p, k in zip(t.text, t.types, strict=True)]
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for a, z in text_slices([len(x or "") for x in texts], 1 << 22):
-                n, crc, sha, same = [], [], [], []
-                for text in texts[a:z]:
-                    raw = t.encode(text)
-                    back = b"".join(map(pieces.__getitem__, memoryview(raw).cast("I")))
-                    back = back[1:] if t.prefix and back[:1] == b" " else back
-                    n.append(len(raw) // 4)
-                    crc.append(zlib.crc32(raw))
+        pieces = pa.array([p.replace(SPACE, " ").encode() if k == t.NORMAL else bytes([int(p[3:5], 16)]) if k == t.BYTE else b"" for p, k in zip(t.text, t.types, strict=True)], pa.large_binary())
+        sizes = pc.binary_length(pieces).to_numpy()
+        for b in tidy(batches):
+            for a, z in slices_of(b.column(1), SLICE):
+                texts = b.column(1)[a:z]
+                ids, bounds = t.encode_texts(texts)
+                _, _, written = pieces.take(pa.array(ids)).buffers() if len(ids) else (None, None, None)
+                written, ends = memoryview(written or b""), np.concatenate(([0], np.cumsum(sizes[ids])))[bounds]
+                raw, n, crc, sha, same = memoryview(ids).cast("B"), np.diff(bounds), [], [], []
+                for text, i, j, x, y in zip(texts.to_pylist(), (4 * bounds[:-1]).tolist(), (4 * bounds[1:]).tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    back = bytes(written[x + (t.prefix and written[x : x + 1] == b" ") : y])
+                    crc.append(zlib.crc32(raw[i:j]))
                     sha.append(hashlib.sha256(back).hexdigest())
                     same.append(back == (text or "").encode("utf-8", "surrogatepass"))
                 cols = [b.column(0)[a:z], pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())]

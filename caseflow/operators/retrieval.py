@@ -119,23 +119,17 @@ def keyword_search(questions: DataFrame, docs: DataFrame, k: int = 5) -> DataFra
     """(question_id, rank, document_id, score): how many words of the question (repeats counted) a document of the case contains; none is left out."""
     words = F.filter(F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) >= 3)
     asked = questions.select("question_id", "case_id", F.explode(words).alias("word")).groupBy("case_id", "question_id", "word").agg(F.count("*").alias("n"))
-    # a word is looked for once in each text of a case, however many questions have it
-    lists = asked.groupBy("case_id").agg(F.collect_set("word").alias("words"))
-    low = docs.select("document_id", "case_id", F.lower("content").alias("low")).join(lists, "case_id")
-    found = low.select("document_id", "case_id", F.explode(_contained(F.col("low"), F.col("words"))).alias("word"))
+    # a word of letters and digits occurs in a text where one of the text's own runs of these holds it; which runs hold which words is found once for all texts
+    runs = docs.select("document_id", "case_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9]{3,}"), F.lit(0)))).alias("run"))
+    words = asked.select("word").distinct().withColumn("head", F.substring("word", 1, 3))
+    heads = F.expr("array_distinct(transform(sequence(1, length(run) - 2), i -> substring(run, i, 3)))")
+    holds = runs.select("run").distinct().select("run", F.explode(heads).alias("head")).join(words, "head").filter(F.contains("run", "word")).select("run", "word").distinct()
+    found = runs.join(holds, "run").select("document_id", "case_id", "word").join(asked.select("case_id", "word").distinct(), ["case_id", "word"]).distinct()
     s = found.join(asked, ["case_id", "word"]).groupBy("question_id", "document_id").agg(F.sum("n").cast("int").alias("score"))
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "document_id")
     return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _contained(low: Column, words: Column) -> Column:
-    """The words that occur in a text anywhere. Those that are one of the text's own runs of letters and digits are found by a set; only the rest is scanned for."""
-    own = F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)))
-    whole = F.array_intersect(words, own)
-    inside = F.filter(F.array_except(words, own), lambda w: F.contains(low, w))
-    return F.concat(whole, inside)
-
-
 def evidence_gate(hits: DataFrame, k: int = 3) -> DataFrame:
     """Retrieved rows that bear on the question, the first ``k`` of each, with a confidence."""
     good = hits.filter(((F.col("hits") > 0) & (F.col("score") >= 0.12)) | (F.col("score") >= 0.40))
