@@ -29,6 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _WORKER: dict = {}
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def keep_one(key, make):
@@ -44,9 +45,15 @@ def keep_one(key, make):
 def give_back() -> None:
     """Return freed memory of this worker to the system, where the C library can."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def tidy(batches):
+    """The batches one by one; memory that the work on one took goes back to the system before the next comes."""
+    for b in batches:
+        yield b
+        give_back()
 
 
 class Workspace:
@@ -107,8 +114,8 @@ def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected edge list (a long, b long); component is the least node.
 
     Alternating large-star and small-star rounds: every round is one aggregation and one join on
-    tables in the shared folder, so a hub's rows can be split by adaptive skew handling, and only a count and
-    a checksum of the edges reach the driver. Self edges are ignored, repeated edges count once.
+    tables in the shared folder, so a hub's rows can be split by adaptive skew handling, and only whether the edges
+    are stars reaches the driver. Self edges are ignored, repeated edges count once.
     """
     def star(e: DataFrame, large: bool) -> DataFrame:
         a, b = F.col("a"), F.col("b")
@@ -123,13 +130,13 @@ def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
         ws.drop(least)
         return out
 
-    def mark(e: DataFrame):
-        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.shiftright(F.xxhash64("b", "a"), 24))).first())
+    def settled(e: DataFrame) -> bool:
+        """Whether every node has one edge to a smaller one, or is such a smaller one that has none itself: stars around least nodes."""
+        ends = e.select(F.col("a").alias("x"), F.lit(1).alias("up")).union(e.select("b", F.lit(0)))
+        return ends.groupBy("x").agg(F.sum("up").alias("up"), F.min("up").alias("low")).filter("up > 1 OR (up = 1 AND low = 0)").isEmpty()
 
     cur = ws.save(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    while (now := mark(cur)) != before:
-        before = now
+    while not settled(cur):
         big = star(cur, True)
         ws.drop(cur)
         cur = star(big, False)

@@ -14,11 +14,11 @@ import pyarrow.compute as pc
 from .common import keep_one
 
 #: Bytes of pieces and ids that each of a table's two generations keeps, about.
-KEEP_BYTES = 48 << 20
+KEEP_BYTES = 32 << 20
 #: What an entry costs besides its text and its ids, about.
 _ENTRY = 200
 #: Characters of text that are encoded at a time, about.
-SLICE = 1 << 23
+SLICE = 1 << 22
 #: Begins a piece that no space comes before. Texts that hold it are cut at spaces only.
 GLUE = "\x01"
 # a Latin letter (but the one whose lower case has a mark of its own), then ASCII punctuation without apostrophes

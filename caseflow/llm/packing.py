@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, slices_of, table
+from .common import Workspace, slices_of, table, tidy
 from .encoding import SLICE, PieceEncoder
 
 WINDOW = 2048
@@ -82,7 +82,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int
 
     def run(batches):
         encoder = PieceEncoder.of(tokenizer, spaces)
-        for b in batches:
+        for b in tidy(batches):
             for a, z in slices_of(b.column(1), SLICE):
                 ids, bounds = encoder.encode(b.column(1)[a:z], end_id)
                 tokens = np.diff(bounds)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import Workspace, keep_one, null_safe, table, text_slices
+from .common import Workspace, keep_one, null_safe, table, text_slices, tidy
 
 WINDOW = 20
 GRAM = 6
@@ -107,7 +107,7 @@ def _mark_batch(ids, ths, spans):
 def _find_runs(window: int, gram: int):
     def run(batches):
         keep_one("substring_dedup", dict)
-        for b in batches:
+        for b in tidy(batches):
             texts = _bytes(b.column(2))
             for a, z in text_slices([len(t) for t in texts], _SLICE):
                 text, start, count, key = super_kmers(texts[a:z], window, gram)
@@ -135,7 +135,7 @@ def _pack(window: int):
     """Rows of (doc_id, th, text, runs [(key, run, many)]) -> packed strings; the key of ``many`` runs is a digest of all their words (low is set)."""
 
     def run(batches):
-        for b in batches:
+        for b in tidy(batches):
             out = [[] for _ in range(7)]
             size = 0
             texts = b.column(2)
@@ -163,7 +163,7 @@ def _windows(window: int):
     """(first occurrence, packed) of distinct runs -> a row for each window, with its digest."""
 
     def run(batches):
-        for b in batches:
+        for b in tidy(batches):
             out = [[] for _ in range(7)]
             for doc, th, start, packed in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 words = packed.split(b" ")
@@ -181,7 +181,7 @@ def _count_bucket(window: int):
 
     def run(batches):
         key, seen, whole = None, set(), set()
-        for b in batches:
+        for b in tidy(batches):
             ids, ths, spans = [], [], []
             for doc, th, start, k, packed in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if k != key:
@@ -258,7 +258,7 @@ def _cut(window: int, keep_text: bool):
     """(doc_id, text, spans, more ...) -> counts, digest and text of what is left."""
 
     def run(batches):
-        for b in batches:
+        for b in tidy(batches):
             texts, spans, at = b.column(1), b.column(2), 0
             while at < b.num_rows:
                 total, removed, sha, kept, size, first = [], [], [], [], 0, at

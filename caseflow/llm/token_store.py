@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, slices_of, table
+from .common import Workspace, slices_of, table, tidy
 from .encoding import SLICE, PieceEncoder
 from .sharding import Cuts, SharedFile, by_shard, open_shared, range_cuts, with_place, with_shard
 
@@ -169,7 +169,7 @@ def write_tokens(ws: Workspace, docs: DataFrame, folder: str, tokenizer: str, en
             idx.commit()
             return pa.record_batch([pa.array([shard], pa.int32()), pa.array([len(values)]), pa.array([int(offsets[-1])]), pa.array([n])], names=["shard", "n_docs", "n_tokens", "payload_bytes"])
 
-        for b in batches:
+        for b in tidy(batches):
             shards = b.column(0).to_numpy()
             for lo, hi in slices_of(b.column(3), SLICE):
                 edges = np.flatnonzero(np.diff(shards[lo:hi])) + 1 + lo
@@ -201,7 +201,7 @@ def read_tokens(keys: DataFrame, folder: str, manifest: DataFrame, cuts: Cuts) -
 
     def run(batches):
         shard, reader = None, None
-        for b in batches:
+        for b in tidy(batches):
             out = [[], [], [], []]
             shards, base = b.column(0).to_numpy(), b.column(2).to_numpy()
             ids = b.column(1)
