@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from .common import keep_one
 
 #: Bytes of pieces and ids that each of a table's two generations keeps, about.
-KEEP_BYTES = 32 << 20
+KEEP_BYTES = 24 << 20
 #: What an entry costs besides its text and its ids, about.
 _ENTRY = 200
 #: Characters of text that are encoded at a time, about.

@@ -1,7 +1,7 @@
 """Language identification of code-switched text by a linear-chain conditional random field over words.
 
 Every word of a text is labelled. Its features are affixes, character n-grams and a lexicon entry (the word
-itself if it was frequent in training); label-to-label transitions are learned with them. Forward-backward gives each
+itself, hashed as all features are: a word that training never met has a weight of nothing there, unless it shares a row); label-to-label transitions are learned with them. Forward-backward gives each
 word's label marginals; a document's score for a language is the mean marginal of that label over its words with a letter.
 """
 
@@ -23,8 +23,10 @@ TRAIN_WORDS = 300
 #: Features are hashed into a table of 2**TABLE_BITS rows of label weights.
 TABLE_BITS = 18
 #: Words whose numbers are kept, and bytes of text that are labelled at a time.
-_MAX_CACHE = 200_000
+_MAX_CACHE = 120_000
 _SLICE = 1 << 20
+#: A word is familiar if training met more than this part of its features.
+FAMILIAR = 0.7
 _LETTERS: list[np.ndarray] = []
 
 
@@ -86,16 +88,18 @@ def _words(text: str | None, limit: int | None = None) -> list[str]:
 
 
 class Crf:
-    """Weights of a trained field: a row of label weights per hashed feature, transitions, start weights."""
+    """Weights of a trained field: a row of label weights per hashed feature, transitions, start weights; and which features training met."""
 
-    def __init__(self, labels: list[str], weights: np.ndarray, trans: np.ndarray, start: np.ndarray):
+    def __init__(self, labels: list[str], weights: np.ndarray, trans: np.ndarray, start: np.ndarray, met: np.ndarray | None = None):
         self.labels, self.weights, self.trans, self.start = labels, weights, trans, start
+        self.met = np.zeros(len(weights), bool) if met is None else met
+        self._familiar = np.zeros(1024, bool)
         self._of: dict[str, int] = {}
         self._emit = np.zeros((1024, len(labels)))
         self._letters = np.zeros(1024, bool)
 
     def __getstate__(self):
-        return (self.labels, self.weights, self.trans, self.start)
+        return (self.labels, self.weights, self.trans, self.start, self.met)
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -111,10 +115,12 @@ class Crf:
             size = max(top, 2 * len(self._emit))
             self._emit = np.concatenate((self._emit, np.zeros((size - len(self._emit), len(self.labels)))))
             self._letters = np.concatenate((self._letters, np.zeros(size - len(self._letters), bool)))
+            self._familiar = np.concatenate((self._familiar, np.zeros(size - len(self._familiar), bool)))
         if new:
             lo = len(of)
             of.update(zip(new, range(lo, top), strict=True))
             rows, owner, self._letters[lo:top] = word_features(new)
+            self._familiar[lo:top] = np.bincount(owner, self.met[rows], minlength=len(new)) > FAMILIAR * np.maximum(1, np.bincount(owner, minlength=len(new)))
             for k in range(len(self.labels)):
                 self._emit[lo:top, k] = np.bincount(owner, self.weights[rows, k], minlength=len(new))
         return np.fromiter(map(of.__getitem__, words), np.int64, len(words))
@@ -150,12 +156,16 @@ class Crf:
         return out
 
     def label_texts(self, texts: pa.Array | list[str | None]) -> list[tuple[str, float]]:
-        """(language, score) of each text; texts without a letter are ``und`` with score 0.
+        """(language, score) of each text; texts without a letter are ``und`` with score 0."""
+        return [x[:2] for x in self.judge_texts(texts)]
+
+    def judge_texts(self, texts: pa.Array | list[str | None]) -> list[tuple[str, float, float]]:
+        """(language, score, familiar) of each text; familiar is the share of its words with a letter whose features are mostly such as training met, whatever the languages.
 
         Texts of like length are labelled together, so that a step of forward-backward has many chains; distinct words are looked up once.
         """
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
-        out: list = [(UNKNOWN, 0.0)] * len(texts)
+        out: list = [(UNKNOWN, 0.0, 0.0)] * len(texts)
         sizes = pc.binary_length(texts).to_numpy()
         order = np.argsort(sizes, kind="stable")
         for a, z in text_slices(sizes[order].tolist(), _SLICE):
@@ -168,7 +178,7 @@ class Crf:
                 if lettered.any():
                     mean = g[lettered].mean(axis=0)
                     best = int(mean.argmax())
-                    out[order[a + k]] = (self.labels[best], float(min(1.0, mean[best])))
+                    out[order[a + k]] = (self.labels[best], float(min(1.0, mean[best])), float(self._familiar[chain][lettered].mean()))
         return out
 
 
@@ -188,7 +198,7 @@ def fit(samples: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5, seed
             n = int(rng.integers(4, 40))
             segments.append((tokens[at : at + n], labels.index(lang)))
             at += n
-    n = len(labels)
+    n, met = len(labels), np.zeros(1 << TABLE_BITS, bool)
     weights, trans, start = np.zeros((1 << TABLE_BITS, n)), np.zeros((n, n)), np.zeros(n)
     sq_w, sq_t, sq_s = (np.full(x.shape, 1e-2) for x in (weights, trans, start))
     for _ in range(epochs):
@@ -208,6 +218,7 @@ def fit(samples: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5, seed
             g_emit, g_trans, g_start = _gradient(emit, lens, gold, trans, start)
             g_emit /= len(batch)
             used, inverse = np.unique(flat, return_inverse=True)
+            met[used] = True
             gw = np.stack([np.bincount(inverse, g_emit[owner, k], minlength=len(used)) for k in range(n)], axis=1)
             gw -= l2 * weights[used]
             sq_w[used] += gw * gw
@@ -215,7 +226,7 @@ def fit(samples: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5, seed
             for x, sq, g in ((trans, sq_t, g_trans / len(batch)), (start, sq_s, g_start / len(batch))):
                 sq += g * g
                 x += rate * 0.2 * g / np.sqrt(sq)
-    return Crf(labels, weights.astype(np.float32), trans, start)
+    return Crf(labels, weights.astype(np.float32), trans, start, met)
 
 
 def _gradient(emit, lens, gold, trans, start):
@@ -277,19 +288,19 @@ def train(docs: DataFrame, docs_per_language: int = TRAIN_DOCS, words: int = TRA
 
 
 def with_language(spark: SparkSession, docs: DataFrame, model: Crf) -> DataFrame:
-    """``docs`` with lang_pred and score, from the whole of column text alone."""
+    """``docs`` with lang_pred, score and familiar, from the whole of column text alone."""
     sent = spark.sparkContext.broadcast(model)
     at = docs.columns.index("text")
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("familiar", DoubleType())])
 
     def run(batches):
         # a copy with word tables of its own, which go with the task
         model = Crf(*sent.value.__getstate__())
         keep_one("languages", dict)
         for b in tidy(batches):
-            found = model.label_texts(b.column(at))
-            new = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.record_batch([*b.columns, *new], names=[*b.schema.names, "lang_pred", "score"])
+            found = model.judge_texts(b.column(at))
+            new = [pa.array([x[0] for x in found], pa.string()), *(pa.array([x[k] for x in found], pa.float64()) for k in (1, 2))]
+            yield pa.record_batch([*b.columns, *new], names=[*b.schema.names, "lang_pred", "score", "familiar"])
 
     return docs.mapInArrow(run, schema)
 
