@@ -31,7 +31,9 @@ SPACE = "▁"
 BREAK, FALLBACK = 1e9, 1.0
 #: In unigram models a fallback character weighs so much more than the lightest score (a fixed value of the library).
 UNKNOWN = 10.0
-ARCS = 300_000
+#: Bytes of words and ids that each of a table's two generations keeps, about; weights that are kept.
+KNOWN_BYTES = 96 << 20
+ARCS = 600_000
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -125,7 +127,7 @@ class Transducer:
         self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.id)
         self.fallback = FALLBACK if self.merges else UNKNOWN - min(self.score.values(), default=0.0)
         self.arcs: dict[tuple[str, str], float] = {}
-        self.known = Recent()
+        self.known = Recent(KNOWN_BYTES)
 
     def merge(self, s: str) -> list[str]:
         """The model's merges over a short string, best score first, leftmost among equals."""
