@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ BITS = 64
 #: Vectors that a rotation is fitted on, rounds of the fit, and lengths of vectors that get a fitted one (others take the first rotation of the fit).
 SAMPLE, ROUNDS, LENGTHS = 8192, 40, 16
 #: Keys of a vector in one table, on average over the sample, at most: parts are made shorter until this holds.
-KEYS = 24
+KEYS = 12
 #: Entries of a bucket that one task looks at by code; in larger buckets all are compared by cosine.
 BUCKET = 4096
 #: Members of a block, for comparison by cosine.
@@ -182,34 +183,40 @@ def candidates(ws: Workspace, found: DataFrame, apart: dict[int, int], bucket: i
     sizes = ws.save(found.groupBy(*_BUCKETS).agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     met = found.join(sizes, _BUCKETS)
 
-    def run(batches):
-        group, codes, nodes = None, [], []
-
-        def close():
-            c = np.array(codes, np.int64).view(np.uint64)
-            limit = apart.get(group[1], BITS)
-            step = max(1, (1 << 20) // max(1, len(c)))
-            near = np.concatenate([(np.bitwise_count(c[a : a + step, None] ^ c[None, :]) <= limit).sum(axis=1) > 1 for a in range(0, len(c), step)])
-            return [(*group, n) for n, ok in zip(nodes, near.tolist(), strict=True) if ok]
+    def near(t: pa.Table) -> pa.Table:
+        """Of whole buckets, in order: the entries with another one near. Entries a place, two places, ... apart are compared at once, while any bucket is so large."""
+        edge = np.zeros(t.num_rows, bool)
+        for c in _BUCKETS:
+            col = t.column(c).combine_chunks()
+            edge[1:] |= pc.not_equal(col[1:], col[:-1]).to_numpy(zero_copy_only=False)
+        group = np.cumsum(edge)
+        code, limit = t.column("code").to_numpy().view(np.uint64), np.full(t.num_rows, BITS)
+        dims = t.column("dim").to_numpy()
+        for dim in np.unique(dims):
+            limit[dims == dim] = apart.get(int(dim), BITS)
+        some, at, d = np.zeros(t.num_rows, bool), np.arange(t.num_rows), 1
+        while len(at := at[at + d < t.num_rows]) and len(at := at[group[at] == group[at + d]]):
+            ok = at[np.bitwise_count(code[at] ^ code[at + d]) <= limit[at]]
+            some[ok] = some[ok + d] = True
+            d += 1
+        return t.drop_columns("code").filter(pa.array(some))
 
-        def batch(out):
-            return pa.record_batch([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=[*_BUCKETS, "node"])
-
-        kinds = None
+    def run(batches):
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            kinds = [b.schema.field(i).type for i in (0, 1, 2, 3, 5)]
-            out = []
-            for *k, code, node in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if k != group:
-                    if len(nodes) > 1:
-                        out += close()
-                    group, codes, nodes = k, [], []
-                codes.append(code)
-                nodes.append(node)
-            if out:
-                yield batch(out)
-        if len(nodes) > 1 and (out := close()):
-            yield batch(out)
+            last = [b.column(c)[-1] for c in _BUCKETS]
+            if held and all(held[0].column(c)[0] == x for c, x in zip(_BUCKETS, last, strict=True)):
+                held.append(b)  # one bucket still
+                continue
+            # where the last bucket of the batch begins
+            same = np.ones(b.num_rows, bool)
+            for c, x in zip(_BUCKETS, last, strict=True):
+                same &= pc.equal(b.column(c), x).to_numpy(zero_copy_only=False)
+            start = int(same.argmax())
+            yield from near(pa.Table.from_batches([*held, b.slice(0, start)])).to_batches()
+            held = [b.slice(start)]
+        if held:
+            yield from near(pa.Table.from_batches(held)).to_batches()
 
     kind = found.schema["label"].dataType.simpleString()
     small = met.filter(F.col("n") <= bucket).select(*_BUCKETS, "code", "node").repartition(*_BUCKETS).sortWithinPartitions(*_BUCKETS)
