@@ -15,13 +15,13 @@ from caseflow.streaming import streams
 
 
 def _people(spark, sf):
-    """Customers as persons with identifiers that some of them share."""
+    """Customers as persons with identifiers, most of them shared by several."""
     k = F.col("c_custkey")
     one = lambda cond, v: F.when(cond, v).otherwise(F.lit(""))
     return a.table(spark, sf, "customer").select(
         (k % 4).alias("case_id"), k.alias("id"), F.concat(F.lit("PERSON:"), k.cast("string")).alias("key"), F.when(k % 10 == 9, "Location").otherwise("Person").alias("label"),
-        F.concat(F.lit("Name "), (k % 37).cast("string")).alias("name"), one(k % 3 == 0, F.concat(F.lit("+91 "), (F.lit(9000000000) + k % 29).cast("string"))).alias("phone"), one(k % 5 < 2, F.concat(F.lit("M"), (k % 41).cast("string"), F.lit("@X.org "))).alias("email"),
-        F.lit("").alias("account"), F.lit(None).cast("string").alias("vehicle"), one(k % 7 == 0, F.concat(F.lit("id-"), (k % 53).cast("string"))).alias("identifier"))
+        F.concat(F.lit("Name "), (k % 37).cast("string")).alias("name"), one(k % 3 == 0, F.concat(F.lit("+91 "), (F.lit(9000000000) + F.when(k % 11 == 0, 1_000_000 + k).otherwise(k % 29)).cast("string"))).alias("phone"), one(k % 5 < 2, F.concat(F.lit("M"), F.when(k % 11 == 5, 1000 + k).otherwise(k % 41).cast("string"), F.lit("@X.org "))).alias("email"),
+        F.lit("").alias("account"), F.lit(None).cast("string").alias("vehicle"), one(k % 7 == 0, F.concat(F.lit("id-"), (k % F.when(k % 2 == 0, 37).otherwise(53)).cast("string"))).alias("identifier"))
 
 
 def _split(spark, sf):
@@ -41,7 +41,7 @@ def _contacts(spark, sf):
 
 
 _PEOPLE = """p AS (SELECT c_custkey % 4 AS case_id, c_custkey AS id, (c_custkey // 4) % 2 = 1 AS inc, CASE WHEN c_custkey % 10 = 9 THEN 'location' ELSE 'person' END AS label, 'name ' || (c_custkey % 37) AS n,
-CASE WHEN c_custkey % 3 = 0 THEN (9000000000 + c_custkey % 29)::VARCHAR END AS phone, CASE WHEN c_custkey % 5 < 2 THEN 'm' || (c_custkey % 41) || '@x.org' END AS email, CASE WHEN c_custkey % 7 = 0 THEN 'ID-' || (c_custkey % 53) END AS identifier FROM customer),
+CASE WHEN c_custkey % 3 = 0 THEN (9000000000 + CASE WHEN c_custkey % 11 = 0 THEN 1000000 + c_custkey ELSE c_custkey % 29 END)::VARCHAR END AS phone, CASE WHEN c_custkey % 5 < 2 THEN 'm' || CASE WHEN c_custkey % 11 = 5 THEN 1000 + c_custkey ELSE c_custkey % 41 END || '@x.org' END AS email, CASE WHEN c_custkey % 7 = 0 THEN 'ID-' || (c_custkey % CASE WHEN c_custkey % 2 = 0 THEN 37 ELSE 53 END) END AS identifier FROM customer),
 own AS (SELECT * FROM (SELECT case_id, id, inc, unnest(['phone', 'email', 'identifier']) AS kind, unnest([phone, email, identifier]) AS value FROM p WHERE label = 'person') WHERE value IS NOT NULL),
 links AS (SELECT c_custkey AS id, 'phone' AS kind, (9000000000 + c_custkey % 29)::VARCHAR AS value, 1 AS o FROM customer WHERE c_custkey % 6 = 1 UNION ALL SELECT c_custkey, 'phone', (9000000000 + (c_custkey + 1) % 29)::VARCHAR, 2 FROM customer WHERE c_custkey % 12 = 1
  UNION ALL SELECT c_custkey, 'account', 'ACC' || (c_custkey % 31), 3 FROM customer WHERE c_custkey % 6 = 2 UNION ALL SELECT c_custkey, 'vehicle', printf('KA01AB%04d', c_custkey % 43), 4 FROM customer WHERE c_custkey % 6 = 3),
@@ -72,9 +72,28 @@ def merge_attributes(spark, sf):
     return out.select("id", "merged", "status", "reason", F.coalesce(t.phone(F.col("phone")), F.lit("")).alias("phone"), F.coalesce(t.email(F.col("email")), F.lit("")).alias("email"))
 
 
+def resolve_arrivals(spark, sf):
+    """Verdicts of a batch whose rows are candidates for the rows after them."""
+    rels = _contacts(spark, sf)
+    return resolve.arrive(*_split(spark, sf), rels, rels)
+
+
+def arrived_entities(spark, sf):
+    """The entity table after that batch."""
+    old, new = _split(spark, sf)
+    return resolve.after_arrival(old, new, resolve_arrivals(spark, sf)).select("side", "id", "key", "merged", "status", *resolve.KINDS)
+
+
 def scoped_keys(spark, sf):
-    p = _people(spark, sf)
-    return resolve.new_keys(p.filter("id % 2 = 1"), p.filter("id % 3 = 0"))
+    """Keys of a batch; some rows have no case, no name, a name with underscores and marks, or a key without a prefix."""
+    k = F.col("id")
+    p = _people(spark, sf).withColumns({
+        "case_id": F.when(k % 5 == 0, F.lit(None)).otherwise(F.col("case_id")),
+        "name": F.when(k % 7 == 0, F.lit(None)).when(k % 7 == 1, F.format_string("A_b c-%d", k)).when(k % 7 == 2, "").otherwise(F.col("name")),
+        "key": F.when(k % 4 == 1, F.concat(F.lit("K"), k.cast("string"))).otherwise(F.col("key"))})
+    # every tenth row comes a second time, later
+    p = p.unionByName(p.filter("id % 10 = 3").withColumn("id", k + 1_000_000_000))
+    return resolve.new_keys(p.filter("id % 2 = 1"), p.filter("id % 3 = 0 AND id < 1000000000"))
 
 
 def edge_upsert(spark, sf):
@@ -400,7 +419,7 @@ def failure_alerts(spark, sf):
     return found.groupBy(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "ip").agg(F.max("failures").alias("failures"))
 
 
-QUERIES = {f.__name__: f for f in (field_union, text_metadata, delete_document_rest, failure_alerts, resolve_entities, resolve_verdicts, merge_attributes, scoped_keys, edge_upsert, batch_groups, chain_append, chain_verify, ledger_lag, ledger_anchor, audit_to_ledger, audit_trail, evidence_hash, verify_evidence, missing_fingerprints, provenance_steps, document_register, delete_document, authorize_actions, scope_check, rate_limit, security_overview, top_logs, newest_documents, csv_records, document_metadata, json_records, ingest_report, json_flatten, json_envelope, text_scan, size_limit, file_classify, table_sinks, scoped_scan, file_counts, tumbling_activity, session_activity, stream_dedup, stream_ingest)}
+QUERIES = {f.__name__: f for f in (field_union, text_metadata, delete_document_rest, failure_alerts, resolve_entities, resolve_verdicts, resolve_arrivals, arrived_entities, merge_attributes, scoped_keys, edge_upsert, batch_groups, chain_append, chain_verify, ledger_lag, ledger_anchor, audit_to_ledger, audit_trail, evidence_hash, verify_evidence, missing_fingerprints, provenance_steps, document_register, delete_document, authorize_actions, scope_check, rate_limit, security_overview, top_logs, newest_documents, csv_records, document_metadata, json_records, ingest_report, json_flatten, json_envelope, text_scan, size_limit, file_classify, table_sinks, scoped_scan, file_counts, tumbling_activity, session_activity, stream_dedup, stream_ingest)}
 
 _INTEGRITY = "integ AS (SELECT doc_id AS document_id, CASE WHEN doc_id % 6 = 4 THEN sha256('other') ELSE sha256(text) END AS sha256, CASE WHEN doc_id % 6 = 3 THEN NULL ELSE 'store/' || doc_id END AS stored_path FROM documents WHERE doc_id % 6 <> 5)"
 
@@ -408,7 +427,10 @@ ORACLE_SQL = {
     "resolve_entities": f"WITH {_PEOPLE} SELECT p.id, CASE rank WHEN 1 THEN 'EXACT_MATCH' WHEN 3 THEN 'AMBIGUOUS' ELSE 'NEW_ENTITY' END AS verdict, CASE WHEN rank = 1 THEN cand END AS candidate_id, coalesce(detail, '') AS detail, agrees AS name_agrees FROM p LEFT JOIN best USING (id) WHERE inc",
     "resolve_verdicts": f"WITH {_PEOPLE} SELECT CASE rank WHEN 1 THEN 'EXACT_MATCH' WHEN 3 THEN 'AMBIGUOUS' ELSE 'NEW_ENTITY' END AS verdict, coalesce(detail, '') AS detail, count(*) AS entities FROM p LEFT JOIN best USING (id) WHERE inc GROUP BY ALL",
     "merge_attributes": f"WITH {_PEOPLE}, m AS (SELECT cand, count(*) AS merged, arg_min(detail, p.id) AS reason, arg_min(phone, p.id) FILTER (phone IS NOT NULL) AS phone, arg_min(email, p.id) FILTER (email IS NOT NULL) AS email FROM best JOIN p USING (id) WHERE rank = 1 GROUP BY cand) SELECT p.id, coalesce(merged, 0)::BIGINT AS merged, CASE WHEN merged > 0 THEN 'MERGED' ELSE 'UNCHANGED' END AS status, coalesce(reason, '') AS reason, coalesce(p.phone, m.phone, '') AS phone, coalesce(p.email, m.email, '') AS email FROM p LEFT JOIN m ON p.id = m.cand WHERE NOT inc",
-    "scoped_keys": "WITH p AS (SELECT c_custkey AS id, c_custkey % 4 AS c, 'PERSON:' || c_custkey AS key, 'NAME' || (c_custkey % 37) AS n FROM customer) SELECT id, CASE WHEN id % 3 = 0 THEN 'PERSON:C' || c || '_' || substr(n, 1, 12) || '_' || upper(substr(sha256(c || '~' || key || '~' || id), 1, 6)) ELSE key END AS key FROM p WHERE id % 2 = 1",
+    "scoped_keys": """WITH c AS (SELECT c_custkey AS k, c_custkey AS id FROM customer UNION ALL SELECT c_custkey, c_custkey + 1000000000 FROM customer WHERE c_custkey % 10 = 3),
+p AS (SELECT id, CASE WHEN k % 5 = 0 THEN '0' ELSE (k % 4)::VARCHAR END AS c, CASE WHEN k % 4 = 1 THEN 'K' || k ELSE 'PERSON:' || k END AS key, CASE WHEN k % 7 = 0 THEN 'ENTITY' WHEN k % 7 = 1 THEN 'A_BC' || k WHEN k % 7 = 2 THEN '' ELSE 'NAME' || (k % 37) END AS n FROM c),
+t AS (SELECT key FROM p WHERE id % 3 = 0 AND id < 1000000000)
+SELECT id, CASE WHEN key IN (SELECT key FROM t) OR id > min(id) OVER (PARTITION BY key) THEN CASE WHEN key LIKE 'K%' THEN 'ENTITY' ELSE 'PERSON' END || ':C' || c || '_' || substr(n, 1, 12) || '_' || upper(substr(sha256(c || '~' || key || '~' || id), 1, 6)) ELSE key END AS key FROM p WHERE id % 2 = 1""",
     "edge_upsert": f"WITH {RELATIONSHIPS_SQL}, r AS (SELECT case_id, source, target, relation, CASE WHEN amount > 1000 THEN timestamp END AS timestamp, amount FROM rel) SELECT case_id, relation, count(*) AS edges FROM (SELECT case_id, source, target, relation, timestamp FROM r WHERE amount >= 20000 EXCEPT SELECT case_id, source, target, relation, timestamp FROM r WHERE amount < 30000) GROUP BY ALL",
     "batch_groups": f"""WITH RECURSIVE {_PEOPLE}, n AS (SELECT case_id, id, unnest(['p' || phone, 'e' || email, 'i' || identifier]) AS v FROM p WHERE label = 'person'), l AS (SELECT DISTINCT x.id AS a, y.id AS b FROM n x JOIN n y ON x.case_id = y.case_id AND x.v = y.v),
 r AS (SELECT id AS a, id AS b FROM p WHERE label = 'person' UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a AS id, min(b) AS group_id FROM r GROUP BY a""",
