@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from caseflow.functions import text as t
 from caseflow.functions.roles import Roles
+from caseflow.operators.patterns import phrases_in
 
 # fixed values: patterns of mentions and cues
 PHONE = r"(?<!\d)(?:\+91[\s-]?)?[6-9]\d{9}(?!\d)"
@@ -22,9 +23,6 @@ SIGHTING = r"(?i)\b(observed near|observed at|seen near|seen at|saw .* near|saw
 PERSON_SIGHTING = r"(?i)\b(seen near|seen at|saw .* near|saw .* at|seeing .* near|seeing .* at|observed near|observed at|located at|located near|present at|described as .* near|described as .* at)\b"
 INCIDENT = r"(?i)\b(incident|occurred|reported)\b"
 
-#: Names up to which a dictionary is broadcast against the texts; larger ones are joined by their first letters.
-BROADCAST_NAMES = 2000
-_ANCHOR = 6
 
 
 def first_wins(entities: DataFrame, by=("file", "key"), ordinal: str = "ordinal") -> DataFrame:
@@ -144,24 +142,13 @@ def pattern_mentions(docs: DataFrame, text: str = "content") -> DataFrame:
     return docs.select("file", F.explode(found).alias("m")).select("file", "m.label", "m.name", t.canonical_key(F.col("m.label"), F.col("m.name")).alias("key"))
 
 
-def dictionary_mentions(docs: DataFrame, names: DataFrame, text: str = "content", limit: int = BROADCAST_NAMES) -> DataFrame:
+def dictionary_mentions(docs: DataFrame, names: DataFrame, text: str = "content", **sizes) -> DataFrame:
     """(file, key) for every known name (case_id, key, name) that occurs in a text of its case (file, case_id, text), in any letter case.
 
-    A dictionary of up to ``limit`` names is broadcast. A larger one is joined by case and by a name's first letters, which are
-    looked up among the letter groups of the text; names shorter than such a group are few and are broadcast as well.
+    Names of any number and length go through automata (see ``patterns.phrases_in``, which takes ``sizes``).
     """
-    low = names.select("case_id", "key", F.lower("name").alias("low")).filter("length(low) > 0")
-    body = docs.select("file", "case_id", F.lower(text).alias("body"))
-    if low.limit(limit + 1).count() <= limit:
-        return body.join(F.broadcast(low), (body.case_id == low.case_id) & F.contains("body", "low")).select("file", "key").distinct()
-    short = low.filter(F.length("low") < _ANCHOR)
-    anchors = low.filter(F.length("low") >= _ANCHOR).withColumn("anchor", F.substring("low", 1, _ANCHOR))
-    groups = F.expr(f"array_distinct(transform(sequence(1, greatest(length(body) - {_ANCHOR - 1}, 1)), i -> substring(body, i, {_ANCHOR})))")
-    # only letter groups that begin a name go on to the join with the names
-    starts = anchors.select("case_id", "anchor").distinct()
-    near = body.select("file", "case_id", F.explode(groups).alias("anchor")).join(starts, ["case_id", "anchor"], "left_semi").join(anchors, ["case_id", "anchor"]).select("file", "case_id", "key", "low")
-    out = near.join(body, ["file", "case_id"]).filter(F.contains("body", "low")).select("file", "key")
-    return out.unionByName(body.join(short, "case_id").filter(F.contains("body", "low")).select("file", "key")).distinct()
+    phrases = names.select("case_id", "key", F.lower("name").alias("phrase"))
+    return phrases_in(docs.select(F.col("file").alias("id"), "case_id", F.lower(text).alias("text")), phrases, **sizes).select(F.col("id").alias("file"), "key").distinct()
 
 
 def sentences(docs: DataFrame, text: str = "content") -> DataFrame:
@@ -172,7 +159,7 @@ def sentences(docs: DataFrame, text: str = "content") -> DataFrame:
 def sentence_mentions(sents: DataFrame, names: DataFrame) -> DataFrame:
     """(file, pos, key, label, rank): known names in order of their id, then phones, then vehicles, each once a sentence."""
     listed = names.select("case_id", F.col("id").alias("o"), "key", "label", "name")
-    # each sentence is a text of its own; the dictionary is broadcast or joined by letter groups, by its size
+    # each sentence is a text of its own
     found = dictionary_mentions(sents.select(F.struct("file", "pos").alias("file"), "case_id", "sentence"), listed, "sentence")
     known = found.select("file.file", "file.pos", "key").join(sents.select("file", "pos", "case_id"), ["file", "pos"]).join(listed, ["case_id", "key"])
     known = known.select("file", "pos", F.struct(F.lit(0).alias("kind"), "o").alias("order"), "key", "label")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from caseflow.functions import text as t
 from caseflow.operators import graph
+from caseflow.operators.patterns import phrases_in
+from caseflow.operators.ranked import best_chunks
 from caseflow.operators.work import cut
 
 # fixed values: dimension, stop words and cue lists; relations of two intents
@@ -102,17 +104,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def hybrid_retrieval(questions: DataFrame, chunks: DataFrame, k: int = 4) -> DataFrame:
-    """(question_id, rank, chunk_id, score): cosine of hashed vectors plus a tenth for each query word in the chunk (0.3 at most), within a case.
+    """(question_id, rank, chunk_id, hits, score): cosine of hashed vectors plus a tenth for each query word in the chunk (0.3 at most), within a case.
 
     questions: (question_id, case_id, question), chunks: (chunk_id, case_id, chunk).
     """
-    q = questions.join(hash_vectors(questions, "question_id", "question").withColumnRenamed("v", "qv"), "question_id").withColumn("words", query_words(F.col("question")))
-    c = chunks.join(hash_vectors(chunks, "chunk_id", "chunk").withColumnRenamed("v", "cv"), "chunk_id").withColumn("low", F.lower("chunk"))
-    hits = F.size(F.filter("words", lambda w: F.contains(F.col("low"), w)))
-    s = q.join(c, "case_id").withColumn("hits", hits)
-    score = F.greatest(F.lit(0.0), cosine(F.col("qv"), F.col("cv")) + F.least(F.lit(0.3), F.col("hits") / 10.0))
-    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
-    return s.select("question_id", "chunk_id", "hits", t.rounded(score, 4).alias("score")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    q = questions.join(hash_vectors(questions, "question_id", "question"), "question_id").withColumn("words", query_words(F.col("question")))
+    c = chunks.join(hash_vectors(chunks, "chunk_id", "chunk"), "chunk_id").withColumn("low", F.lower("chunk"))
+    return best_chunks(q, c, k)
 
 
 def keyword_search(questions: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
@@ -173,7 +171,7 @@ def question_mentions(questions: DataFrame, entities: DataFrame) -> DataFrame:
     """(question_id, key): entities of the case whose name or key a question contains; without any, those that share a word of four letters or more."""
     q = questions.select("question_id", "case_id", F.lower("question").alias("q"))
     e = entities.select("case_id", "key", F.lower("name").alias("name"), F.lower("key").alias("low"))
-    exact = q.join(e, "case_id").filter(F.contains("q", "name") | F.contains("q", "low")).select("question_id", "key")
+    exact = _named(q.withColumnRenamed("q", "text"), entities, 1, 1).select("question_id", "key")
     left = q.join(exact.select("question_id").distinct(), "question_id", "left_anti")
     words = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(c, F.lit(r"(?U)\w+"), F.lit(0)), lambda w: F.length(w) >= 4))
     a = left.select("question_id", "case_id", F.explode(words(F.col("q"))).alias("w"))
@@ -184,8 +182,6 @@ def question_mentions(questions: DataFrame, entities: DataFrame) -> DataFrame:
 def assistant_mentions(questions: DataFrame, entities: DataFrame, chunks: DataFrame) -> DataFrame:
     """(question_id, case_id, key): entities whose name (three characters or more) or key (four) a question contains; without any, those whose
     name (four) or key (five) one of its first two retrieved chunks contains. chunks: (question_id, rank, chunk).
-
-    Names are looked for among the words that texts and names share, so no text meets every name of its case.
     """
     asked = questions.select("question_id", "case_id", F.lower("question").alias("text"))
     direct = _named(asked, entities, 3, 4)
@@ -195,15 +191,10 @@ def assistant_mentions(questions: DataFrame, entities: DataFrame, chunks: DataFr
 
 
 def _named(texts: DataFrame, entities: DataFrame, name_length: int, key_length: int) -> DataFrame:
-    """(question_id, case_id, key) of entities whose name or key stands in a text (question_id, case_id, text). A phrase's first three characters are
-    joined with those of the text's positions, and what meets is compared whole."""
+    """(question_id, case_id, key) of entities whose name or key, of the given lengths at least, stands in a text (question_id, case_id, text)."""
     e = entities.select("case_id", "key", F.explode(F.array(F.struct(F.lower("name").alias("p"), F.lit(name_length).alias("least")), F.struct(F.lower("key").alias("p"), F.lit(key_length).alias("least")))).alias("x"))
-    phrases = e.select("case_id", "key", F.col("x.p").alias("phrase")).filter(F.length("x.p") >= F.col("x.least")).distinct()
-    heads = phrases.select("case_id", F.substring("phrase", 1, 3).alias("head")).distinct()
-    at = F.expr("array_distinct(transform(sequence(1, greatest(length(text) - 2, 1)), i -> substring(text, i, 3)))")
-    met = texts.select("question_id", "case_id", "text", F.explode(at).alias("head")).join(heads, ["case_id", "head"], "left_semi")
-    near = met.join(phrases.withColumn("head", F.substring("phrase", 1, 3)), ["case_id", "head"])
-    return near.filter(F.contains("text", "phrase")).select("question_id", "case_id", "key").distinct()
+    phrases = e.filter(F.length("x.p") >= F.col("x.least")).select("case_id", "key", F.col("x.p").alias("phrase"))
+    return phrases_in(texts.select(F.col("question_id").alias("id"), "case_id", "text"), phrases).withColumnRenamed("id", "question_id")
 
 
 def intent(question: Column, entity: Column | None = None, document: Column | None = None) -> Column:

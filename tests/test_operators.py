@@ -116,11 +116,11 @@ def test_statement_extraction(spark):
     }
 
 
-@pytest.mark.parametrize("limit", [0, 2000])
-def test_dictionary_of_any_size(spark, limit):
+@pytest.mark.parametrize("chars", [3, 1 << 20])
+def test_dictionary_of_any_size(spark, chars):
     docs = spark.createDataFrame([(1, 1, "The Raocorp WAREHOUSE seven"), (2, 1, "nothing"), (3, 2, "warehouse Seven"), (4, 1, None)], "file long, case_id long, content string")
     names = spark.createDataFrame([(1, "a", "Rao"), (1, "b", "Warehouse Seven"), (2, "c", "zzzzzzz")], "case_id long, key string, name string")
-    assert sorted((r.file, r.key) for r in extract.dictionary_mentions(docs, names, limit=limit).collect()) == [(1, "a"), (1, "b")]
+    assert sorted((r.file, r.key) for r in extract.dictionary_mentions(docs, names, shard_chars=chars, block_chars=chars).collect()) == [(1, "a"), (1, "b")]
 
 
 def test_header_roles():
