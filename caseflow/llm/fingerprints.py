@@ -1,6 +1,6 @@
 """Document fingerprints as invertible Bloom lookup sketches of hashed paragraphs, in DataFrame and SQL functions only.
 
-A text's paragraphs (lines, and runs of sentences) are dealt by digest into blocks, and each block is a small sketch: three tables of cells. A
+A text's paragraphs (lines, runs of sentences, and stretches of long ones that have neither) are dealt by digest into blocks, and each block is a small sketch: three tables of cells. A
 paragraph's 40-bit digest falls on one cell of each table, which sums a count, the digests and their check values. A cell that holds one
 digest alone (however often) shows it; taking it off its other cells uncovers more, until all are zero: peeling. A block that can't be
 peeled is made again with larger tables, so a fingerprint gives back its own paragraphs. Two fingerprints subtract cell by cell, which leaves
@@ -13,9 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, table
-from .sharding import range_cuts
+from .sharding import Cuts, part_of, range_cuts
 
 #: Ends of paragraphs: line ends, and blanks between sentences where the next begins with one of five letters (about a fourth of them, wherever the text is cut).
+#: What is longer than LONG code points after that, in any script, ends after every four code points whose hash is 0 modulo STRETCH as well, so that where it ends depends on what stands there.
+LONG, STRETCH = 1024, 256
+#: A paragraph's repeats in a cell: sums stay below 2**63.
+MANY = 1 << 20
 ENDS = r"\n|(?<=[.!?]) (?=[A-E])"
 #: Cells in each of a block's three tables, the next ones for blocks that can't be peeled; paragraphs of a block, about.
 WIDTHS = (8, 16, 32, 64, 256, 1024)
@@ -32,7 +36,19 @@ _BLOCK = f"struct<w: int, cells: {_CELLS}, d: array<struct<k: bigint, c: bigint>
 
 def digests_sql(text: str) -> str:
     """40-bit digests of a text's paragraphs."""
-    return f"transform(split({text}, r'{ENDS}', -1), p -> shiftrightunsigned(xxhash64(p), 24))"
+    digest = lambda p: f"shiftrightunsigned(xxhash64({p}), 24)"
+    here = f"(xxhash64(concat(cs[i - 3], cs[i - 2], cs[i - 1], c)) & {STRETCH - 1}) = 0"
+    ends = f"filter(transform(cs, (c, i) -> IF(i < 3, 0, IF({here}, i + 1, 0))), x -> x > 0 AND x < size(cs))"
+    parts = f"transform(sequence(0, size(bs) - 2), j -> {digest("array_join(slice(cs, bs[j] + 1, bs[j + 1] - bs[j]), '')")})"
+    stretches = _bind("regexp_extract_all(p, '(?s).', 0)", "cs", _bind(f"concat(array(0), {ends}, array(size(cs)))", "bs", parts))
+    return f"flatten(transform(split({text}, r'{ENDS}', -1), p -> IF(length(p) <= {LONG}, array({digest('p')}), {stretches})))"
+
+
+def counted_sql(digests: str) -> str:
+    """(k digest, c count) of the distinct ones of an array of digests, by digest."""
+    last = "filter(transform(ks, (k, i) -> IF(i = size(ks) - 1, named_struct('k', k, 'i', i), IF(ks[i + 1] <> k, named_struct('k', k, 'i', i), NULL))), e -> e IS NOT NULL)"
+    counted = "transform(ls, (e, j) -> named_struct('k', e.k, 'c', CAST(IF(j = 0, e.i + 1, e.i - ls[j - 1].i) AS BIGINT)))"
+    return _bind(f"array_sort({digests})", "ks", _bind(last, "ls", counted))
 
 
 def _check(k: str) -> str:
@@ -74,9 +90,10 @@ def peel_sql(cells: str, width: int, most: str) -> str:
 
 
 def block_sql(entries: str) -> str:
-    """The smallest sketch of a block's (k, c) that can be peeled: (w, cells, d paragraphs as peeled)."""
+    """The smallest sketch of a block's (k, c) that can be peeled: (w, cells, d paragraphs as peeled). Where none can, or one paragraph is there over MANY times, w is 0 and the cells list the paragraphs."""
     tries = [_bind(cells_sql(entries, w), "cs", _bind(peel_sql("cs", w, f"size({entries})"), "f", f"IF(f IS NULL, CAST(NULL AS {_BLOCK}), named_struct('w', {w}, 'cells', cs, 'd', f))")) for w in WIDTHS]
-    return f"coalesce({', '.join(tries)}, raise_error('a block of a fingerprint cannot be peeled'))"
+    listed = f"named_struct('w', 0, 'cells', transform({entries}, e -> named_struct('c', e.c, 'k', e.k, 'x', 0L)), 'd', transform({entries}, e -> named_struct('k', e.k, 'c', e.c)))"
+    return f"IF(exists({entries}, e -> e.c > {MANY}), {listed}, coalesce({', '.join(tries)}, {listed}))"
 
 
 def sketch_sql(entries: str, bits: str) -> str:
@@ -90,12 +107,12 @@ def sketch_sql(entries: str, bits: str) -> str:
 
 
 def bits_sql(n: str) -> str:
-    """Blocks of a text of n paragraphs, as a power of two."""
+    """Blocks of a text of n distinct paragraphs, as a power of two."""
     return f"int(greatest(0, ceil(log2({n} / {LOAD}.0))))"
 
 
 def text_sketch_sql(digests: str) -> str:
-    return sketch_sql(f"transform({digests}, k -> named_struct('k', k, 'c', 1L))", bits_sql(f"size({digests})"))
+    return _bind(counted_sql(digests), "ds", sketch_sql("ds", bits_sql("size(ds)")))
 
 
 def _difference(p: str, q: str) -> str:
@@ -106,7 +123,10 @@ def _difference(p: str, q: str) -> str:
         minus = f"zip_with({a}, {b}, (m, n) -> named_struct('c', m.c - n.c, 'k', m.k - n.k, 'x', m.x - n.x))"
         peeled = _bind(peel_sql(minus, w, f"size({p}.d) + size({q}.d)"), "f", "IF(f IS NULL, CAST(NULL AS BIGINT), aggregate(f, 0L, (t, e) -> t + abs(e.c)))")
         tries.append(f"IF({w} < greatest({p}.w, {q}.w), CAST(NULL AS BIGINT), {peeled})")
-    return f"IF({p}.cells = {q}.cells, 0L, coalesce({', '.join(tries)}, raise_error('blocks of two fingerprints cannot be told apart')))"
+    of = lambda x: f"aggregate({x}.d, 0L, (t, e) -> IF(e.k = k, t + e.c, t))"
+    listed = f"aggregate(array_distinct(transform(concat({p}.d, {q}.d), e -> e.k)), 0L, (u, k) -> u + abs({of(p)} - {of(q)}))"
+    sketched = f"coalesce({', '.join(tries)}, {listed})"
+    return f"IF({p}.cells = {q}.cells, 0L, IF({p}.w = 0 OR {q}.w = 0, {listed}, {sketched}))"
 
 
 def _larger(sketch: str, other: str) -> str:
@@ -125,21 +145,22 @@ def count_sql(sketch: str) -> str:
 
 
 def hex_sql(sketch: str) -> str:
-    """A fingerprint as text: blocks parted by bars, a block's cells by blanks; empty cells are left blank."""
+    """A fingerprint as text: blocks parted by bars, a block's cells by blanks; empty cells are left blank. A block that lists its paragraphs begins with an exclamation mark."""
     cell = "IF(c.c = 0 AND c.k = 0 AND c.x = 0, '', concat_ws('.', lower(hex(c.c)), lower(hex(c.k)), lower(hex(c.x))))"
-    return f"array_join(transform({sketch}, b -> array_join(transform(b.cells, c -> {cell}), ' ')), '|')"
+    return f"array_join(transform({sketch}, b -> concat(IF(b.w = 0, '!', ''), array_join(transform(b.cells, c -> {cell}), ' '))), '|')"
 
 
 def parse_sql(text: str) -> str:
     """The blocks of a fingerprint that is given as text (see ``hex_sql``)."""
     num = lambda i: f"CAST(conv(split(t, '[.]')[{i}], 16, -10) AS BIGINT)"
-    cells = f"transform(split(b, ' ', -1), t -> IF(t = '', named_struct('c', 0L, 'k', 0L, 'x', 0L), named_struct('c', {num(0)}, 'k', {num(1)}, 'x', {num(2)})))"
+    cells = f"transform(split(ltrim('!', b), ' ', -1), t -> IF(t = '', named_struct('c', 0L, 'k', 0L, 'x', 0L), named_struct('c', {num(0)}, 'k', {num(1)}, 'x', {num(2)})))"
     peeled = ", ".join(f"IF(size(cs) = {3 * w}, {peel_sql('cs', w, 'size(cs)')}, NULL)" for w in WIDTHS)
-    block = f"named_struct('w', int(size(cs) div 3), 'cells', cs, 'd', coalesce({peeled}))"
+    listed = "transform(cs, c -> named_struct('k', c.k, 'c', c.c))"
+    block = f"IF(startswith(b, '!'), named_struct('w', 0, 'cells', cs, 'd', {listed}), named_struct('w', int(size(cs) div 3), 'cells', cs, 'd', coalesce({peeled})))"
     return f"transform(split({text}, '[|]'), b -> {_bind(cells, 'cs', block)})"
 
 
-def _bin(id_col: str, cuts: list[int]) -> Column:
+def _range_of(id_col: str, cuts: list[int]) -> Column:
     """Number of cuts at or below the id (0 for null), found in two steps."""
     if not cuts:
         return F.lit(0)
@@ -151,6 +172,19 @@ def _bin(id_col: str, cuts: list[int]) -> Column:
     return F.coalesce(outer * _INNER + F.size(F.filter(F.element_at(inner, outer + 1), at)), F.lit(0))
 
 
+def _bin(id_col: str, hash_col: str, cuts: Cuts) -> Column:
+    """The bin of a row: ascending ones hold ascending (null first, id, hash). An id of more than a bin's worth of text has several, by ranges of the hash."""
+    at = _range_of(id_col, cuts.starts)
+    hot = [(r, n) for r, n in enumerate(cuts.parts) if n > 1]
+    first, parts = at + cuts.null_parts, F.lit(1)
+    if hot:
+        listed = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(n).alias("n")) for r, n in hot])
+        first = first + F.aggregate(F.filter(listed, lambda x: x.r < at), F.lit(0), lambda t, x: t + x.n - 1)
+        parts = F.aggregate(F.filter(listed, lambda x: x.r == at), parts, lambda t, x: x.n)
+    out = first + part_of(F.col(hash_col), parts)
+    return F.when(F.col(id_col).isNull(), part_of(F.col(hash_col), F.lit(max(1, cuts.null_parts)))).otherwise(out) if cuts.null_parts else out
+
+
 def with_next(ws: Workspace, docs: DataFrame, bin_chars: int = BIN_CHARS) -> DataFrame:
     """(doc_id, text, fp_a, next_text, fp_n): every document and its fingerprint with those of the one after it in descending doc_id, the last with the first.
 
@@ -159,17 +193,18 @@ def with_next(ws: Workspace, docs: DataFrame, bin_chars: int = BIN_CHARS) -> Dat
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sizes = ws.save(rows.select("doc_id", F.length("text").alias("size")), "sizes")
     total = sizes.agg(F.sum(F.col("size").cast("double"))).first()[0] or 0
-    cuts = range_cuts(sizes, "doc_id", "size", int(max(bin_chars, total / MAX_BINS))).starts
-    rows = rows.withColumn("bin", _bin("doc_id", cuts)).withColumns({"th": F.xxhash64("text"), "copy": F.lit(0)})
+    cuts = range_cuts(sizes, "doc_id", "size", int(max(bin_chars, total / MAX_BINS)))
+    rows = rows.withColumns({"th": F.xxhash64("text"), "copy": F.lit(0)})
+    rows = rows.withColumn("bin", _bin("doc_id", "th", cuts))
     # one row a bin, and bins are bounded by MAX_BINS (cuts of a target's worth each): these are ordered in one window and broadcast
-    heads = ws.save(rows.groupBy("bin").agg(F.max(F.struct("doc_id", F.bitwise_not("th").alias("not_th"))).alias("h")), "heads")
+    heads = ws.save(rows.groupBy("bin").agg(F.max(F.struct("doc_id", "th")).alias("h")), "heads")
     around = F.coalesce(F.lead("bin").over(Window.orderBy("bin")), F.min("bin").over(Window.partitionBy()))
-    heads = heads.select(F.col("h.doc_id").alias("h_id"), F.bitwise_not("h.not_th").alias("h_th"), F.col("bin").alias("h_bin"), around.alias("to"))
+    heads = heads.select(F.col("h.doc_id").alias("h_id"), F.col("h.th").alias("h_th"), F.col("bin").alias("h_bin"), around.alias("to"))
     match = F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("th") == F.col("h_th")) & (F.col("bin") == F.col("h_bin"))
     copies = rows.join(F.broadcast(heads), match).select("doc_id", "text", F.col("to").alias("bin"), "th", F.lit(1).alias("copy")).dropDuplicates(["bin"])
     # the text alone moves; fingerprints are made where the window finds them
     rows = rows.unionByName(copies).repartition("bin").withColumn("fp_a", F.expr(_bind(digests_sql("text"), "ks", text_sketch_sql("ks"))))
-    order = Window.partitionBy("bin").orderBy("copy", F.desc_nulls_last("doc_id"), "th")
+    order = Window.partitionBy("bin").orderBy("copy", F.desc_nulls_last("doc_id"), F.desc("th"))
     out = rows.withColumns({"next_text": F.lead("text").over(order), "fp_n": F.lead("fp_a").over(order)})
     return out.filter("copy = 0").select("doc_id", "text", "fp_a", "next_text", "fp_n")
 
@@ -177,10 +212,10 @@ def with_next(ws: Workspace, docs: DataFrame, bin_chars: int = BIN_CHARS) -> Dat
 def fingerprint_pairs(spark: SparkSession, docs: DataFrame, bin_chars: int = BIN_CHARS) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
-    The likeness of two texts is the number of paragraphs (lines, and runs of sentences) they share over that of both together, repeats counted, from what
+    The likeness of two texts is the number of paragraphs (lines, runs of sentences, stretches) they share over that of both together, repeats counted, from what
     their fingerprints tell. Null texts are empty: one empty paragraph. Rows may share an id (a hash of the text
-    orders them) and null ids come last; a single row is its own next document. Empty tables give no rows; other columns are not read. A text may hold
-    one paragraph up to 2**22 times.
+    orders them, falling) and null ids come last; a single row is its own next document. Empty tables give no rows; other columns are not read. Of long texts without line
+    ends or sentences, in any script, stretches are paragraphs (LONG). Any number of repeats of a paragraph is counted.
     """
     ws = Workspace(spark, "fingerprints")
     rows = with_next(ws, docs, bin_chars)

@@ -210,9 +210,18 @@ def _count_bucket(window: int):
     return run
 
 
-def later_copies(ws: Workspace, docs: DataFrame) -> DataFrame:
-    """(doc_id, th) of the documents whose whole text another document before them has."""
-    texts = ws.save(docs.select("doc_id", "th", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest")), "texts")
+def distinct_rows(ws: Workspace, docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``docs`` with rows of equal doc_id and text once. texts: (doc_id, th, digest) of every row; only rows that repeat are moved."""
+    again = ws.save(texts.groupBy("doc_id", "th").count().filter("count > 1").select("doc_id", "th"), "repeated-rows")
+    if again.isEmpty():
+        return docs
+    match = null_safe(docs, again, _KEY)
+    once = ws.save(docs.join(again, match, "left_semi").dropDuplicates(_KEY), "once")
+    return docs.join(again, match, "left_anti").unionByName(once)
+
+
+def later_copies(ws: Workspace, texts: DataFrame) -> DataFrame:
+    """(doc_id, th) of the documents (doc_id, th, digest) whose whole text another document before them has."""
     first = texts.groupBy("digest").agg(F.min(F.struct("doc_id")).alias("f"), F.count("*").alias("c")).filter("c > 1")
     first = ws.save(first.select("digest", F.col("f.doc_id").alias("first_id")), "first-texts")
     return ws.save(texts.join(first, "digest").filter(~F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "th").distinct(), "copies")
@@ -221,9 +230,11 @@ def later_copies(ws: Workspace, docs: DataFrame) -> DataFrame:
 def repeated_spans(ws: Workspace, docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, th, spans) per document with repeated windows; ``docs``: doc_id long, th long, text. Spans may overlap.
 
-    Later copies of whole texts are marked at once, from their digests, and their runs are left out of the rest.
+    Rows of equal doc_id and text are one document. Later copies of whole texts are marked at once, from their digests, and their runs are left out of the rest.
     """
-    copies = later_copies(ws, docs)
+    texts = ws.save(docs.select("doc_id", "th", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest")), "texts")
+    docs = distinct_rows(ws, docs, texts)
+    copies = later_copies(ws, texts)
     runs = ws.save(docs.mapInArrow(_find_runs(window, gram), "doc_id long, th long, key long, run long"), "runs")
     often = ws.save(runs.groupBy("key").count().filter("count > 1").select("key"), "often")
     left = runs.join(often, "key")

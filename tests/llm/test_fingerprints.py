@@ -4,13 +4,25 @@ import re
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from caseflow.llm import fingerprints as fp
 
 
+def paragraphs(text):
+    for p in re.split(fp.ENDS, text):
+        start = 0
+        if len(p) > fp.LONG:
+            for i in range(4, len(p)):
+                if xxhash.xxh64_intdigest(p[i - 4 : i].encode(), 42) % fp.STRETCH == 0:
+                    yield p[start:i]
+                    start = i
+        yield p[start:]
+
+
 def likeness(a, b):
-    a, b = (Counter(re.split(fp.ENDS, x)) for x in (a, b))
+    a, b = (Counter(paragraphs(x)) for x in (a, b))
     return (a & b).total() / (a | b).total()
 
 
@@ -60,10 +72,49 @@ def test_many_paragraphs_repeats_and_sparse_ids(spark):
 def test_bins_number_the_cuts(spark):
     for n in (0, 1, 127, 128, 129, 256, 300):
         cuts = list(range(10, 10 + 2 * n, 2))
-        got = spark.range(0, 640, 7).withColumn("b", fp._bin("id", cuts)).collect()
+        got = spark.range(0, 640, 7).withColumn("b", fp._range_of("id", cuts)).collect()
         assert all(r.b == sum(c <= r.id for c in cuts) for r in got), n
 
 
+@pytest.mark.parametrize("script", ["абвгдежзийклмнопрстуфхцчшщыэюя", "的一是不了人我在有他这中大来上国个到说们为子和你地出道也时年得就那要下以生会自着去之过家学对可"])
+def test_long_texts_of_any_script_without_line_ends(spark, script):
+    """Half of each text stays, so about a third of the paragraphs of both together is shared where the next text is as long."""
+    rng = random.Random(8)
+    blank = "" if script[0] == "的" else " "
+    rows = [(i, "".join("".join(rng.choices(script, k=rng.randint(2, 9))) + blank for _ in range(n))) for i, n in enumerate((9000, 9000, 60, 3000, 2000))]
+    got = {r.doc_id: r for r in fp.fingerprint_pairs(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    compare(list(got.values()), brute(rows))
+    assert all(0.25 < got[i].near_edited < 0.42 for i in (1, 4)) and all(got[i].near_next < 0.02 for i in range(5))
+
+
+def test_millions_of_equal_lines(spark):
+    rows = [(1, "\n" * 2_000_000), (2, "\n" * 1_500_000 + "x"), (3, "a\nb")]
+    got = {r.doc_id: r for r in fp.fingerprint_pairs(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2].near_next == pytest.approx(1_500_000 / 2_000_002) and got[3].near_next == 0.0 and got[2].fingerprint.startswith("!")
+    assert got[1].near_edited == pytest.approx(1_000_001 / 2_000_003)
+
+
+@pytest.mark.parametrize("hot", [7, None])
+def test_one_id_many_times_is_split(spark, hot):
+    rows = [(hot if i % 3 else i, f"text {i}\nsame\n" * 9) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bins = fp.with_next(fp.Workspace(spark, "t"), docs, bin_chars=1500).select("doc_id", "text", "next_text").collect()
+    assert sorted((str(r.doc_id), r.text) for r in bins) == sorted((str(i), x) for i, x in rows)
+    # the order is one circle through all rows, by falling id and then falling hash
+    after = {r.text: r for r in bins}
+    at, seen = bins[0].text, []
+    while at not in seen:
+        seen.append(at)
+        at = after[at].next_text
+    assert len(seen) == 300
+    keys = [after[t].doc_id for t in seen]
+    start = keys.index(max(k for k in keys if k is not None))
+    keys = [k if k is not None else -1 for k in keys[start:] + keys[:start]]
+    assert keys == sorted(keys, reverse=True)
+    cuts = fp.range_cuts(docs.withColumn("n", F.length("text")), "doc_id", "n", 1500)
+    assert cuts.null_parts > 3 if hot is None else max(cuts.parts) > 3
+
+
 def test_nulls_ties_single_rows_and_clashing_columns(spark):
     rows = [(None, None, "x"), (None, "a\nb", "y"), (4, "same", "z"), (4, "same", "z"), (4, "other", "z"), (9, "", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, pos string")

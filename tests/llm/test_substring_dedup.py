@@ -54,3 +54,25 @@ def test_nulls_repeats_long_and_clashing_columns(spark):
     got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in sd.remove_repeats(spark, docs).collect()), key=str)
     assert got == sorted([(None, 60000, 0), (7, 60000, 59999), (7, 0, 0), (8, 0, 0), (9, 2, 0), (9, 2, 0), (10, 30, 29)], key=str)
     assert sd.remove_repeats(spark, docs.limit(0)).count() == 0
+
+
+def test_repeated_rows_cost_a_row_each(spark, monkeypatch):
+    """Rows of one id and one text: what is packed for the buckets does not grow with their number, and every row has its result."""
+    rng = random.Random(4)
+    text = " ".join(rng.choice("abcdefgh") for _ in range(600))
+    other = " ".join(rng.choice("abcdefgh") for _ in range(300)) + " " + text[:200]
+    packed, save = [], sd.Workspace.save
+
+    def counting(self, df, name):
+        out = save(self, df, name)
+        if name == "packed":
+            packed.append(out.count())
+        return out
+
+    monkeypatch.setattr(sd.Workspace, "save", counting)
+    for doc in (None, 3):
+        for n in (1, 20, 200):
+            docs = spark.createDataFrame([(doc, text)] * n + [(9, other)], "doc_id long, text string")
+            got = rows_of(sd.remove_repeats(spark, docs.repartition(4), window=8, gram=3).fillna(-1, ["doc_id"]))
+            assert got == sorted(brute([(-1 if doc is None else doc, text), (9, other)], 8) + brute([(-1 if doc is None else doc, text)], 8) * (n - 1))
+    assert len(set(packed)) == 1
