@@ -5,7 +5,7 @@ byte fallback for characters without a piece. An input is composed with the norm
 is a lattice of (position, last piece), made as far as the search goes. Its shortest path in the tropical semiring (least sum of weights) is the encoding.
 
 A piece weighs its negated score in unigram models (of paths of equal weight the library's single precision may take another one). In merge models a piece weighs by the piece before it: nothing if the model's merges over both leave
-just these two, and BREAK if they don't. A sequence of pieces is the model's own segmentation if and only if all its neighbours are such
+just these two, and BREAK if they don't (how each piece is merged is compiled once, and two of them are compared step by step). A sequence of pieces is the model's own segmentation if and only if all its neighbours are such
 pairs, so that one path, and no other, weighs nothing but its fallbacks.
 """
 
@@ -31,9 +31,10 @@ SPACE = "▁"
 BREAK, FALLBACK = 1e9, 1.0
 #: In unigram models a fallback character weighs so much more than the lightest score (a fixed value of the library).
 UNKNOWN = 10.0
-#: Bytes of words and ids that each of a table's two generations keeps, about; weights that are kept.
-KNOWN_BYTES = 96 << 20
+#: Bytes of words and ids that each of a table's two generations keeps, about; weights and parts of words that are kept.
+KNOWN_BYTES = 64 << 20
 ARCS = 600_000
+PARTS = 300_000
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -81,6 +82,8 @@ class Normaliser:
     def compose(self, text: str, state: int = 0) -> str:
         """The output side of the composition with an input; a mark for a space in the text counts as a space where spaces are squeezed."""
         out, arcs = [], self.arcs
+        if text and " " not in text and SPACE not in text:
+            return arcs[state][0][0] + text  # every arc but the first writes its character alone
         held = len(arcs) == 3
         for c in text:
             before, own, state = arcs[state][c == " " or (held and c == SPACE)]
@@ -127,6 +130,10 @@ class Transducer:
         self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.id)
         self.fallback = FALLBACK if self.merges else UNKNOWN - min(self.score.values(), default=0.0)
         self.arcs: dict[tuple[str, str], float] = {}
+        #: neighbours that stand together in some piece (any piece: those that merges pass through as well); ids of parts
+        self.inside = {p[i : i + 2] for p in (*self.score, *self.id) for i in range(len(p) - 1)}
+        self.parts: dict[str, bytes] = {}
+        self.lines: dict[str, tuple[list[float], list[str], list[str]]] = {}
         self.known = Recent(KNOWN_BYTES)
 
     def merge(self, s: str) -> list[str]:
@@ -139,6 +146,46 @@ class Transducer:
             i = min(found)[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
+    def _line(self, piece: str) -> tuple[list[float], list[str], list[str]]:
+        """How the model's merges make a piece: the score of each merge in order (and -BIG for the end), and its last and first part before each."""
+        line = self.lines.get(piece)
+        if line is None:
+            parts, score = list(piece), self.score
+            scores, last, first = [], [parts[-1]], [parts[0]]
+            while True:
+                found = [(-score[m], i) for i in range(len(parts) - 1) if (m := parts[i] + parts[i + 1]) in score]
+                if not found:
+                    break
+                best, i = min(found)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                scores.append(-best)
+                last.append(parts[-1])
+                first.append(parts[0])
+            line = self.lines[piece] = ([*scores, -BIG], last, first)
+        return line
+
+    def breaks(self, before: str, piece: str) -> bool:
+        """Whether the model's merges over two neighbours join parts of both.
+
+        Until they do, the merges inside each go on as if it stood alone, the better one next; so their compiled orders are run side by side.
+        """
+        a, last, _ = self._line(before)
+        b, _, first = self._line(piece)
+        get, i, j = self.score.get, 0, 0
+        across = get(last[0] + first[0], -BIG)
+        while True:
+            x, y = a[i], b[j]
+            # of equal scores the leftmost is merged
+            if across > x and across >= y and across > -BIG:
+                return True
+            if x == y == -BIG:
+                return False
+            if x >= y:
+                i += 1
+            else:
+                j += 1
+            across = get(last[i] + first[j], -BIG)
+
     def weight(self, before: str | None, piece: str) -> float:
         """The tropical weight of the arc that writes ``piece`` (a piece, or a character without one) after ``before``."""
         known = self.arcs.get((before, piece))
@@ -148,21 +195,21 @@ class Transducer:
             known = 0.0 if piece in self.id else self.fallback
             if not self.merges:
                 known -= self.score.get(piece, 0.0) if piece in self.id else 0.0
-            elif before is not None and self.merge(before + piece) != [before, piece]:
+            elif before is not None and self.breaks(before, piece):
                 known += BREAK
             self.arcs[before, piece] = known
         return known
 
     def shortest_path(self, s: str) -> list[str]:
         """Pieces (and characters without one) on the path of the least weight through the lattice of a normalised string; the lattice grows by its lightest state, the farthest among equals."""
-        n, ids, heads, arcs = len(s), self.id, self.heads, self.arcs
+        n, ids, heads, arcs, merges = len(s), self.id, self.heads, self.arcs, self.merges
         best: dict[tuple[int, str | None], float] = {(0, None): 0.0}
         back: dict[tuple[int, str | None], tuple[int, str | None]] = {}
         heap: list[tuple[float, int, str | None]] = [(0.0, 0, None)]
         while True:
             d, left, last = heapq.heappop(heap)
             i = -left
-            state = (i, last if self.merges or i == 0 else "")
+            state = (i, last)
             if d > best[state]:
                 continue
             if i == n:
@@ -175,9 +222,12 @@ class Transducer:
                 elif p not in ids and j > i + 1:
                     continue
                 # a single character without a piece is written as bytes
-                w = arcs.get((state[1], p))
-                w = d + (self.weight(state[1], p) if w is None else w)
-                to = (j, p if self.merges else "")
+                w = arcs.get((last, p))
+                w = d + (self.weight(last, p) if w is None else w)
+                # the model's own segmentation has no break, so arcs with one lie on no shortest path
+                if merges and w >= BREAK:
+                    continue
+                to = (j, p if merges else "")
                 if w < best.get(to, BIG):
                     best[to] = w
                     back[to] = (*state, p)
@@ -188,14 +238,70 @@ class Transducer:
             out.append(p)
         return out[::-1]
 
+    def _starts(self, s: str, i: int) -> list[str]:
+        """The pieces (or the character without one) that begin at position i, shortest first."""
+        heads, ids, out = self.heads, self.id, [s[i]]
+        for j in range(i + 2, len(s) + 1):
+            p = s[i:j]
+            if p not in heads:
+                break
+            if p in ids:
+                out.append(p)
+        return out
+
+    def whole_path(self, s: str) -> list[str]:
+        """``shortest_path`` of a merge model: one path has no break, so the first that is found without one is it. Arcs are made as the search goes, the farthest first; no state is entered twice."""
+        if not s:
+            return []
+        n, arcs, path, entered = len(s), self.arcs, [], set()
+        frames = [self._starts(s, 0)]
+        ends = [0]
+        while frames:
+            if not frames[-1]:
+                frames.pop()
+                ends.pop()
+                if path:
+                    path.pop()
+                continue
+            p = frames[-1].pop()
+            last = path[-1] if path else None
+            w = arcs.get((last, p))
+            if (self.weight(last, p) if w is None else w) >= BREAK:
+                continue
+            j = ends[-1] + len(p)
+            if (j, p) in entered:
+                continue
+            path.append(p)
+            if j == n:
+                return path
+            entered.add((j, p))
+            frames.append(self._starts(s, j))
+            ends.append(j)
+        raise ValueError("the lattice of a merge model has no path without a break")
+
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            out = array("I")
+            for p in self.whole_path(part) if self.merges else self.shortest_path(part):
+                if p in self.id:
+                    out.append(self.id[p])
+                else:
+                    out.extend(self.byte[c] for c in p.encode("utf-8", "surrogatepass"))
+            found = out.tobytes()
+            if len(self.parts) >= PARTS:
+                self.parts.clear()
+            if len(part) <= 64:
+                self.parts[part] = found
+        return found
+
     def _ids(self, run: str) -> bytes:
-        out = array("I")
-        for p in self.shortest_path(run):
-            if p in self.id:
-                out.append(self.id[p])
-            else:
-                out.extend(self.byte[c] for c in p.encode("utf-8", "surrogatepass"))
-        return out.tobytes()
+        """The ids of a normalised string. Where two neighbouring characters stand together in no piece, no arc crosses, and the parts have paths of their own."""
+        inside = self.inside
+        cuts = [i for i in range(1, len(run)) if run[i - 1 : i + 1] not in inside]
+        if not cuts:
+            return self._part(run) if run else b""
+        return b"".join([self._part(run[a:z]) for a, z in zip([0, *cuts], [*cuts, len(run)], strict=True)])
 
     def _runs(self, text: str) -> list[str]:
         """The normalised text in parts that no piece crosses."""
