@@ -140,6 +140,22 @@ def scope_check(requests: DataFrame, documents: DataFrame) -> DataFrame:
     return requests.join(d, "document_id", "left").select("request_id", verdict.alias("verdict"))
 
 
+def denied_actions(actions: DataFrame) -> DataFrame:
+    """Security events of the denied rows of ``actions`` (id, role, permission, and what else ``authorize`` passes on): (id, event_type, severity, resource, detail)."""
+    role = F.coalesce(F.nullif("role", F.lit("")), F.lit("unknown"))
+    detail = F.concat(F.lit("role="), role, F.lit("; required="), F.coalesce("permission", F.lit("")))
+    return authorize(actions).filter("verdict = 'DENIED'").select("id", F.lit("AUTHORIZATION_DENIED").alias("event_type"), F.lit("WARNING").alias("severity"), F.coalesce("permission", F.lit("")).alias("resource"), detail.alias("detail"))
+
+
+def denied_requests(requests: DataFrame, documents: DataFrame) -> DataFrame:
+    """Security events of the requests (request_id, document_id, case_id) for another case's documents: (id, event_type, severity, resource, detail)."""
+    denied = scope_check(requests, documents).filter("verdict = 'DENIED'").select("request_id")
+    rows = requests.join(denied, "request_id", "left_semi").join(documents.select("document_id", F.col("case_id").alias("owner")), "document_id")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    detail = F.concat(F.lit("requested case_id="), text("case_id"), F.lit("; document case_id="), text("owner"))
+    return rows.select(F.col("request_id").alias("id"), F.lit("EVIDENCE_ACCESS_DENIED").alias("event_type"), F.lit("WARNING").alias("severity"), F.col("document_id").cast("string").alias("resource"), detail.alias("detail"))
+
+
 def rate_limited(failures: DataFrame, limit: int = 5, seconds: int = 300) -> DataFrame:
     """Failures (ip, ts, id) that are the ``limit``-th or a later one of their ip in less than ``seconds``."""
     w = Window.partitionBy("ip").orderBy(F.unix_micros("ts")).rangeBetween(-(seconds * 1_000_000 - 1), 0)

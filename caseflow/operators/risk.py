@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from caseflow.functions import text as t
 from caseflow.operators import graph
+from caseflow.operators.work import cut
 
 
 @dataclass(frozen=True)
@@ -46,6 +47,8 @@ def total(factors: Column) -> Column:
 
 def measures(rels: DataFrame, peers: DataFrame, hops: int = 3) -> DataFrame:
     """All measures of every peer (case_id, key), connected or not."""
+    # read by several jobs: made once
+    rels = cut(rels.select("case_id", "source", "target", "relation", "amount", "id"))
     adj = graph.adjacency(rels)
     peers = peers.filter(~t.is_case_node(F.col("key"))).select("case_id", "key").distinct()
     counts = peers.groupBy("case_id").agg(F.count("*").alias("peers"))

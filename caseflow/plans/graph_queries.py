@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from caseflow.functions import text as t
-from caseflow.operators import cascade, extract, graph, portfolio, retrieval, risk
+from caseflow.operators import cascade, extract, graph, portfolio, registers, retrieval, risk
+from caseflow.operators.work import cut
 from caseflow.plans import adapters as a
 from caseflow.plans.adapters import CASES_SQL, CHUNKS_SQL, DOCUMENTS_SQL, ENTITIES_SQL, RELATIONSHIPS_SQL
 
@@ -249,7 +252,10 @@ def key_union(spark, sf):
 
 
 def orphan_entities(spark, sf):
-    return a.entities(spark, sf).select("key").exceptAll(key_union(spark, sf))
+    """Entities and case nodes, once the edges of every ninth customer are gone."""
+    rels = a.relationships(spark, sf).filter("CAST(substring(source, 10) AS BIGINT) % 9 <> 0")
+    nodes = a.cases(spark, sf).select(F.concat(F.lit("CASE:"), "reference_id").alias("key"))
+    return registers.orphans(a.entities(spark, sf).select("key").unionByName(nodes), rels)
 
 
 def key_intersection(spark, sf):
@@ -295,8 +301,34 @@ def risk_bands(spark, sf):
 
 def entity_sort(spark, sf):
     """Each case's entities by name in base-letter collation."""
-    w = Window.partitionBy("case_id").orderBy(F.collate("name", "UNICODE_CI_AI"), "id")
-    return a.entities(spark, sf).withColumn("place", F.row_number().over(w)).select("case_id", "place", "key")
+    return registers.sorted_entities(a.entities(spark, sf), "name").select("case_id", F.col("place").cast("int").alias("place"), "key")
+
+
+def _table(spark, sf):
+    """The entity table: risk of a case's members, number of edges, and a resolution status."""
+    e = a.entities(spark, sf).join(scored(spark, sf).select("case_id", "key", F.col("score").alias("risk")), ["case_id", "key"], "left")
+    e = e.join(graph.degrees(a.relationships(spark, sf)).withColumnRenamed("degree", "relationships"), ["case_id", "key"], "left")
+    status = F.element_at(F.array(*[F.lit(x) for x in ("NEW_ENTITY", "EXACT_MATCH", "AMBIGUOUS")]), (F.col("id") % 3 + 1).cast("int"))
+    return cut(e.withColumn("resolution_status", F.when(F.col("id") % 7 > 0, status)))
+
+
+def entity_table_sorts(spark, sf):
+    """The five sorts of the entity table, both ways: the first three places of each case."""
+    e = _table(spark, sf)
+    out = [registers.sorted_entities(e, sort, down).filter("place <= 3").select(F.lit(sort).alias("sort"), F.lit(down).alias("descending"), "case_id", F.col("place").cast("int").alias("place"), "key") for sort in registers.SORTS for down in (False, True)]
+    return reduce(lambda x, y: x.unionByName(y), out)
+
+
+def register_filters(spark, sf):
+    """Rows of four registers that a text and a category leave."""
+    cases, e, rels = a.cases(spark, sf), a.entities(spark, sf), a.relationships(spark, sf)
+    d = a.documents(spark, sf).join(cases.select("case_id", F.col("reference_id").alias("case_reference")), "case_id", "left")
+    d = d.withColumns({"file_extension": F.lit(".txt"), "data_category": F.lit("UNSTRUCTURED"), "doc_type": F.upper("source")})
+    found = {
+        "cases": registers.shown(cases, "cases", " IN", "open").select(F.col("case_id").cast("string").alias("row")), "entities": registers.shown(e, "entities", "#00000001", "PERSON").select(F.col("key").alias("row")),
+        "relationships": registers.shown(graph.with_endpoints(rels, e), "relationships", "supplier#000000007").select(F.col("id").alias("row")), "documents": registers.shown(d, "documents", "cl-01", "TXT").select(F.col("document_id").cast("string").alias("row")),
+    }
+    return reduce(lambda x, y: x.unionByName(y), [df.select(F.lit(name).alias("register"), "row") for name, df in found.items()])
 
 
 def graph_payload(spark, sf):
@@ -314,7 +346,7 @@ def case_tables(spark, sf):
     return a.cases(spark, sf).orderBy("case_id")
 
 
-QUERIES = {f.__name__: f for f in (leaderboard_sorts, risk_report, case_nodes, deleted_entities, graph_payload_edges, case_membership, entity_degree, connectivity, adjacency, exposure, reach_3hop, entity_risk, risk_leaderboard, case_risk, stored_risk, high_risk_count, relationship_endpoints, dangling_edges, top_connected, graph_filter, subgraph_by_relation, property_graph_export, current_case, entity_dossier, connection_sort, label_counts, shortest_path, portfolio_rollup, portfolio_statistics, case_counts, entity_list, backbone_edges, relationship_dedup, endpoint_remap, key_union, orphan_entities, key_intersection, delete_case, risk_bands, entity_sort, graph_payload, case_tables)}
+QUERIES = {f.__name__: f for f in (entity_table_sorts, register_filters, leaderboard_sorts, risk_report, case_nodes, deleted_entities, graph_payload_edges, case_membership, entity_degree, connectivity, adjacency, exposure, reach_3hop, entity_risk, risk_leaderboard, case_risk, stored_risk, high_risk_count, relationship_endpoints, dangling_edges, top_connected, graph_filter, subgraph_by_relation, property_graph_export, current_case, entity_dossier, connection_sort, label_counts, shortest_path, portfolio_rollup, portfolio_statistics, case_counts, entity_list, backbone_edges, relationship_dedup, endpoint_remap, key_union, orphan_entities, key_intersection, delete_case, risk_bands, entity_sort, graph_payload, case_tables)}
 
 ORACLE_SQL = {
     "case_membership": f"WITH {RELATIONSHIPS_SQL}, {_MEMBERS} SELECT * FROM members",
@@ -365,7 +397,17 @@ SELECT e.case_id AS pair_id, min(hops)::BIGINT AS hops FROM ends e JOIN w ON e.c
     "relationship_dedup": f"WITH {RELATIONSHIPS_SQL} SELECT case_id, relation, count(*) AS edges, min(id) AS first_id FROM (SELECT case_id, source, target, relation, timestamp, min(id) AS id FROM rel WHERE NOT (amount % 10 < 1) GROUP BY ALL) GROUP BY ALL",
     "endpoint_remap": f"WITH {RELATIONSHIPS_SQL}, {ENTITIES_SQL}, m AS (SELECT key, 'E:' || (id % 50) AS t FROM entities WHERE id % 3 = 0), x AS (SELECT case_id, coalesce(s.t, source) AS source, coalesce(d.t, target) AS target, relation, timestamp FROM rel LEFT JOIN m s ON source = s.key LEFT JOIN m d ON target = d.key) SELECT DISTINCT * FROM x WHERE source <> target",
     "key_union": f"WITH {RELATIONSHIPS_SQL} SELECT source AS key FROM rel UNION SELECT target FROM rel",
-    "orphan_entities": f"WITH {RELATIONSHIPS_SQL}, {ENTITIES_SQL} SELECT key FROM entities EXCEPT (SELECT source FROM rel UNION SELECT target FROM rel)",
+    "orphan_entities": f"WITH {RELATIONSHIPS_SQL}, {ENTITIES_SQL}, left_ AS (SELECT * FROM rel WHERE substr(source, 10)::BIGINT % 9 <> 0) SELECT key FROM entities EXCEPT (SELECT source FROM left_ UNION SELECT target FROM left_)",
+    "entity_table_sorts": f"""WITH {RELATIONSHIPS_SQL}, {_SCORED}, {ENTITIES_SQL}, deg AS (SELECT case_id, key, count(*) AS n FROM (SELECT case_id, unnest([source, target]) AS key FROM rel) GROUP BY ALL),
+t AS (SELECT e.case_id, e.id, e.key, coalesce(score, 0) AS risk, coalesce(n, 0) AS relationships, lower(name) AS name, lower(label) AS type, CASE WHEN id % 7 > 0 THEN (['new_entity', 'exact_match', 'ambiguous'])[id % 3 + 1] ELSE '' END AS resolution FROM entities e LEFT JOIN scored s ON s.case_id = e.case_id AND s.key = e.key LEFT JOIN deg d ON d.case_id = e.case_id AND d.key = e.key),
+p AS ("""
+    + " UNION ALL ".join(f"SELECT '{c}' AS sort, {down} AS descending, case_id, row_number() OVER (PARTITION BY case_id ORDER BY {c} {'DESC' if down == 'true' else 'ASC'}, id) AS place, key FROM t" for c in ("risk", "relationships", "name", "type", "resolution") for down in ("false", "true"))
+    + """) SELECT sort, descending, case_id, place::INTEGER AS place, key FROM p WHERE place <= 3""",
+    "register_filters": f"""WITH {RELATIONSHIPS_SQL}, {CASES_SQL}, {ENTITIES_SQL}, {DOCUMENTS_SQL}
+SELECT 'cases' AS register, case_id::VARCHAR AS row FROM cases WHERE (contains(lower(title), 'in') OR contains(lower(reference_id), 'in')) AND status = 'Open'
+UNION ALL SELECT 'entities', key FROM entities WHERE contains(lower(name), '#00000001') AND label = 'Person'
+UNION ALL SELECT 'relationships', r.id FROM rel r LEFT JOIN entities s ON s.key = r.source LEFT JOIN entities d ON d.key = r.target WHERE contains(lower(coalesce(s.name, r.source)), 'supplier#000000007') OR contains(lower(coalesce(d.name, r.target)), 'supplier#000000007')
+UNION ALL SELECT 'documents', document_id::VARCHAR FROM docs LEFT JOIN cases USING (case_id) WHERE contains(lower(reference_id), 'cl-01')""",
     "key_intersection": f"WITH {RELATIONSHIPS_SQL}, {ENTITIES_SQL} SELECT key FROM entities INTERSECT SELECT target FROM rel",
     "delete_case": f"""WITH {RELATIONSHIPS_SQL}, {CASES_SQL}, {DOCUMENTS_SQL}, {CHUNKS_SQL}, {_DELETED}, k AS (SELECT case_id FROM cases WHERE status <> 'Solved')
 SELECT 'cases' AS table, case_id, count(*) AS rows FROM k GROUP BY ALL UNION ALL SELECT 'documents', case_id, count(*) FROM docs JOIN k USING (case_id) GROUP BY ALL UNION ALL SELECT 'integrity', case_id, count(*) FROM docs JOIN k USING (case_id) GROUP BY ALL

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseflow.functions import text as t
 from caseflow.functions import roles
-from caseflow.operators import cascade, extract, ledger, portfolio, resolve, retrieval
+from caseflow.operators import cascade, extract, ledger, portfolio, registers, resolve, retrieval
 from caseflow.plans import adapters as a
 from caseflow.plans.adapters import CHUNKS_SQL, DOCUMENTS_SQL, LOG_SQL, RELATIONSHIPS_SQL
 from caseflow.sources import files
@@ -235,6 +235,41 @@ def scope_check(spark, sf):
     return ledger.scope_check(req, a.documents(spark, sf).filter("document_id % 3 <> 0"))
 
 
+def denied_events(spark, sf):
+    """Security events of denied actions and of requests for other cases' documents."""
+    e = a.table(spark, sf, "events")
+    role = F.element_at(F.array(*[F.lit(x) for x in ("Admin", " investigator", "AUDITOR", "guest", "")]), (F.col("user_id") % 5 + 1).cast("int"))
+    perm = F.when(F.col("event_type") == "view", "ledger:view").when(F.col("event_type") == "purchase", "case:delete").when(F.col("event_type") == "error", "no:such").otherwise("case:view")
+    acts = ledger.denied_actions(e.select(F.col("event_id").alias("id"), role.alias("role"), perm.alias("permission")))
+    req = e.select(F.col("event_id").alias("request_id"), F.col("user_id").alias("document_id"), F.when(F.col("event_id") % 4 == 0, F.lit(None)).otherwise(F.col("event_id") % 25).alias("case_id"))
+    return acts.unionByName(ledger.denied_requests(req, a.documents(spark, sf).filter("document_id % 3 <> 0")))
+
+
+def newest_security(spark, sf):
+    e = a.log_events(spark, sf).filter("action = 'error'")
+    return registers.newest(e).select("id", "username", "action", "ip")
+
+
+def newest_blocks(spark, sf):
+    return registers.newest(_blocks(spark, sf).select("chain_id", F.col("block_index").cast("long").alias("block_index"), "id", "block_hash")).select("id", "chain_id", "block_index", "block_hash")
+
+
+def trailing_alerts(spark, sf):
+    """Failed events as they arrive, a third of them hours late, against the same window over the table; a last event of another ip moves the watermark past all."""
+    src = files.work_dir(spark, "trailing")
+    log = a.log_events(spark, sf).filter("action = 'error'").select("ip", "ts", "id")
+    late = log.withColumn("batch", F.floor(F.unix_micros("ts") / 3_600_000_000) + F.when(F.col("id") % 3 == 0, F.col("id") % 12).otherwise(0))
+    last = log.agg(F.max("ts").alias("ts")).select(F.lit("end").alias("ip"), (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(-1).cast("long").alias("id"))
+    # files in order of arrival
+    late.repartitionByRange(6, "batch").sortWithinPartitions("batch").drop("batch").write.parquet(f"{src}/in")
+    schema = log.schema
+    run = lambda: streams.ingest(streams.trailing_alerts(streams.read_stream(spark, f"{src}/in", schema), 3, 6 * 3600, "60 days"), lambda b, n: b.write.mode("overwrite").parquet(f"{src}/out/batch={n}"), f"{src}/checkpoint")
+    run()
+    last.withColumn("ts", F.col("ts") + F.expr("INTERVAL 60 DAYS")).coalesce(1).write.mode("append").parquet(f"{src}/in")
+    run()
+    return spark.read.schema("id long, ip string, recent long, batch long").parquet(f"{src}/out").select("id", "ip", "recent")
+
+
 def rate_limit(spark, sf):
     e = a.log_events(spark, sf)
     return ledger.rate_limited(e, 3, 6 * 3600).select("id", "ip", "recent")
@@ -419,7 +454,7 @@ def failure_alerts(spark, sf):
     return found.groupBy(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "ip").agg(F.max("failures").alias("failures"))
 
 
-QUERIES = {f.__name__: f for f in (field_union, text_metadata, delete_document_rest, failure_alerts, resolve_entities, resolve_verdicts, resolve_arrivals, arrived_entities, merge_attributes, scoped_keys, edge_upsert, batch_groups, chain_append, chain_verify, ledger_lag, ledger_anchor, audit_to_ledger, audit_trail, evidence_hash, verify_evidence, missing_fingerprints, provenance_steps, document_register, delete_document, authorize_actions, scope_check, rate_limit, security_overview, top_logs, newest_documents, csv_records, document_metadata, json_records, ingest_report, json_flatten, json_envelope, text_scan, size_limit, file_classify, table_sinks, scoped_scan, file_counts, tumbling_activity, session_activity, stream_dedup, stream_ingest)}
+QUERIES = {f.__name__: f for f in (denied_events, newest_security, newest_blocks, trailing_alerts, field_union, text_metadata, delete_document_rest, failure_alerts, resolve_entities, resolve_verdicts, resolve_arrivals, arrived_entities, merge_attributes, scoped_keys, edge_upsert, batch_groups, chain_append, chain_verify, ledger_lag, ledger_anchor, audit_to_ledger, audit_trail, evidence_hash, verify_evidence, missing_fingerprints, provenance_steps, document_register, delete_document, authorize_actions, scope_check, rate_limit, security_overview, top_logs, newest_documents, csv_records, document_metadata, json_records, ingest_report, json_flatten, json_envelope, text_scan, size_limit, file_classify, table_sinks, scoped_scan, file_counts, tumbling_activity, session_activity, stream_dedup, stream_ingest)}
 
 _INTEGRITY = "integ AS (SELECT doc_id AS document_id, CASE WHEN doc_id % 6 = 4 THEN sha256('other') ELSE sha256(text) END AS sha256, CASE WHEN doc_id % 6 = 3 THEN NULL ELSE 'store/' || doc_id END AS stored_path FROM documents WHERE doc_id % 6 <> 5)"
 
@@ -452,6 +487,12 @@ r AS (SELECT id AS a, id AS b FROM p WHERE label = 'person' UNION SELECT r.a, l.
     "failure_alerts": f"WITH {LOG_SQL}, w AS (SELECT ip, date_trunc('hour', ts) - to_hours(j::INTEGER) AS start FROM log, (SELECT unnest(range(0, 12)) AS j) WHERE action = 'error') SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, ip, count(*) AS failures FROM w GROUP BY ALL HAVING count(*) >= 3",
     "authorize_actions": "SELECT event_id, CASE WHEN event_type = 'error' THEN 'DENIED' WHEN user_id % 5 = 0 THEN 'ALLOWED' WHEN user_id % 5 = 1 THEN CASE WHEN event_type = 'view' THEN 'DENIED' ELSE 'ALLOWED' END WHEN user_id % 5 = 2 THEN CASE WHEN event_type = 'purchase' THEN 'DENIED' ELSE 'ALLOWED' END ELSE 'DENIED' END AS verdict FROM events",
     "scope_check": f"WITH {DOCUMENTS_SQL} SELECT event_id AS request_id, CASE WHEN d.document_id IS NULL THEN 'NOT_FOUND' WHEN event_id % 4 = 0 OR event_id % 25 = d.case_id THEN 'OK' ELSE 'DENIED' END AS verdict FROM events LEFT JOIN (FROM docs WHERE document_id % 3 <> 0) d ON user_id = d.document_id",
+    "denied_events": f"""WITH {DOCUMENTS_SQL}, e AS (SELECT event_id AS id, user_id % 5 AS r, (['Admin', ' investigator', 'AUDITOR', 'guest', 'unknown'])[user_id % 5 + 1] AS role, CASE event_type WHEN 'view' THEN 'ledger:view' WHEN 'purchase' THEN 'case:delete' WHEN 'error' THEN 'no:such' ELSE 'case:view' END AS p FROM events)
+SELECT id, 'AUTHORIZATION_DENIED' AS event_type, 'WARNING' AS severity, p AS resource, 'role=' || role || '; required=' || p AS detail FROM e WHERE p = 'no:such' OR r > 2 OR (r = 1 AND p = 'ledger:view') OR (r = 2 AND p = 'case:delete')
+UNION ALL SELECT event_id, 'EVIDENCE_ACCESS_DENIED', 'WARNING', user_id::VARCHAR, 'requested case_id=' || (event_id % 25) || '; document case_id=' || d.case_id FROM events JOIN docs d ON user_id = document_id AND document_id % 3 <> 0 WHERE event_id % 4 <> 0 AND event_id % 25 <> d.case_id""",
+    "newest_security": f"WITH {LOG_SQL} SELECT id, username, action, ip FROM log WHERE action = 'error' ORDER BY id DESC LIMIT 100",
+    "newest_blocks": f"WITH RECURSIVE {_CHAIN} SELECT id, chain_id, i::BIGINT AS block_index, block_hash FROM b ORDER BY id DESC LIMIT 100",
+    "trailing_alerts": f"WITH {LOG_SQL}, c AS (SELECT id, ip, count(*) OVER (PARTITION BY ip ORDER BY epoch_us(ts) RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW) AS recent FROM log WHERE action = 'error') SELECT * FROM c WHERE recent >= 3",
     "rate_limit": f"WITH {LOG_SQL}, c AS (SELECT id, ip, count(*) OVER (PARTITION BY ip ORDER BY epoch_us(ts) RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW) AS recent FROM log) SELECT * FROM c WHERE recent >= 3",
     "security_overview": f"WITH {_INTEGRITY} SELECT count(*) AS integrity_total, count(*) FILTER (document_id % 6 < 2) AS verified, CASE WHEN count(*) = count(*) FILTER (document_id % 6 < 2) THEN 'SECURE' ELSE 'REVIEW' END AS state, (SELECT count(*) FROM events WHERE event_type = 'error') AS failed_logins, (SELECT count(*) FROM part WHERE p_partkey % 6 IN (2, 5)) AS blocked_files FROM integ",
     "top_logs": f"WITH {LOG_SQL} SELECT id, username, action FROM log ORDER BY id DESC LIMIT 100",

@@ -22,8 +22,9 @@ def sliding_chunks(spark, sf):
 
 
 def paragraph_chunks(spark, sf):
-    c = r.paragraph_chunks(a.documents(spark, sf), 400, "\n")
-    return c.groupBy("document_id").agg(F.count("*").alias("chunks"), F.sum(F.length(F.regexp_replace("chunk", "\n", ""))).alias("chars"))
+    """Chunks of 500 characters of the documents' lines, with blank lines between them."""
+    d = a.documents(spark, sf).withColumn("content", F.replace("content", F.lit("\n"), F.lit("\n\n")))
+    return r.paragraph_chunks(d).select("document_id", "chunk_index", F.length("chunk").alias("chars"), F.md5(F.col("chunk").cast("binary")).alias("digest"))
 
 
 def structured_chunks(spark, sf):
@@ -221,6 +222,10 @@ UNION ALL SELECT question_id, 'DOCUMENT', row_number() OVER (PARTITION BY questi
 UNION ALL SELECT question_id, 'SEARCH', row_number() OVER (PARTITION BY question_id ORDER BY score DESC, document_id), filename, score::VARCHAR FROM s WHERE score > 0)
 SELECT question_id, intent, place::INTEGER AS place, item, value FROM o WHERE place <= 5""".replace("{{", "{"),
     "sliding_chunks": f"WITH {DOCUMENTS_SQL}, t AS (SELECT document_id, trim(content, {_WS}) AS t FROM docs), c AS (SELECT document_id, trim(substr(t, i, 500), {_WS}) AS chunk FROM (SELECT *, unnest(range(1, greatest(length(t), 1) + 1, 400)) AS i FROM t)) SELECT document_id, count(*) AS chunks, sum(length(chunk))::BIGINT AS chars, max(md5(chunk)) AS digest FROM c WHERE chunk <> '' GROUP BY ALL",
+    "paragraph_chunks": f"""WITH RECURSIVE {DOCUMENTS_SQL}, p AS (SELECT document_id, list_filter(list_transform(string_split(trim(replace(content, chr(10), chr(10) || chr(10)), {_WS}), chr(10) || chr(10)), lambda x: trim(x, {_WS})), lambda x: x <> '') AS ps FROM docs),
+st AS (SELECT document_id, ps, 1::BIGINT AS i, 0 AS c, length(ps[1])::BIGINT + 2 AS n FROM p WHERE len(ps) > 0
+UNION ALL SELECT document_id, ps, i + 1, CASE WHEN n + length(ps[i + 1]) > 500 THEN c + 1 ELSE c END, CASE WHEN n + length(ps[i + 1]) > 500 THEN length(ps[i + 1]) ELSE n + length(ps[i + 1]) + 2 END FROM st WHERE i < len(ps)),
+o AS (SELECT document_id, c AS chunk_index, string_agg(ps[i], chr(10) || chr(10) ORDER BY i) AS chunk FROM st GROUP BY ALL) SELECT document_id, chunk_index, length(chunk)::INTEGER AS chars, md5(chunk) AS digest FROM o""",
     "structured_chunks": "SELECT event_id, '[Evidence: events.csv | Row ' || (event_id + 1) || '] ' || concat_ws(' | ', 'event_id: ' || event_id, 'user_id: ' || user_id, 'event_type: ' || event_type, 'props: ' || props) AS chunk FROM events",
     "hash_embedding": f"WITH {QUESTIONS_SQL}, {_vec('q', 'questions', 'question_id', 'question')} SELECT question_id, idx, u FROM q_v",
     "hybrid_retrieval": f"WITH {_HYBRID} SELECT question_id, rank, chunk_id, hits, score FROM hy",

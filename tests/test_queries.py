@@ -50,10 +50,7 @@ def test_query(spark, duck, name):
     assert sorted(df.columns) == sorted(names)
     want = rows(names, cur.fetchall())
     assert got == want
-    assert want or name in ALLOWED_EMPTY
-
-
-ALLOWED_EMPTY = {"orphan_entities"}
+    assert want
 
 
 def test_resolution_has_something_to_decide(spark):
