@@ -67,7 +67,8 @@ class Page:
         def flush():
             nonlocal run, links
             if run:
-                joined = " ".join(htmllib.unescape("".join(run)).split())
+                # piece by piece: markup between two pieces never makes a character reference of them
+                joined = " ".join("".join(map(htmllib.unescape, run)).split())
                 if joined:
                     self._add(stack[-1][1], None, joined, links)
                 run = []

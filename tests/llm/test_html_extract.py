@@ -135,3 +135,9 @@ def test_held_out_pages_without_article_elements(model):
             if text is not None:
                 got, want, hit = got + len(text) * (x > 0.5), want + len(text) * label, hit + len(text) * (label and x > 0.5)
     assert hit / got > 0.97 and hit / want > 0.97
+
+
+@pytest.mark.parametrize("source,text", [("AT&<b>amp;</b>T and &l<i>t;</i>x", "AT&amp;T and &lt;x"), ("&am<!-- x -->p;", "&amp;"), ("a &lt; b &amp;amp; c &eacute;<b>&nbsp;</b>&#x41;", "a < b &amp; c é A"), ("1 < 2 &lt 3", "1 < 2 < 3")])
+def test_references_are_decoded_within_a_piece_of_text(source, text):
+    page = he.Page(f"<p>{source}</p>")
+    assert [t for t in page.text if t is not None] == [text]
