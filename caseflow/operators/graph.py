@@ -5,6 +5,8 @@ Relationships: (case_id, source, target, relation, timestamp, amount, id). Every
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,58 +60,142 @@ def reach_pairs(adj: DataFrame, hops: int = 3) -> DataFrame:
     return seen.select("case_id", F.col("a").alias("key"), F.col("b").alias("reached"))
 
 
-def reach_counts(adj: DataFrame, hops: int = 3, peers: DataFrame | None = None) -> DataFrame:
-    """(case_id, key, reach): how many other keys (of ``peers``, if given) are reached within ``hops``.
-
-    The pairs of ``reach_pairs`` are never made: keys are numbered so that those of a case are neighbours, what a key reaches is a
-    set of 64-bit words, and a hop is one join and one OR by (key, word), combined before the shuffle. Only new bits go on.
-    """
-    word, bit = (lambda c: F.expr(f"shiftright({c}, 6)")), (lambda c: F.expr(f"shiftleft(1L, int({c} & 63))"))
+def numbered(adj: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, step): keys (case_id, key) with a number n, those of a case one after the other, and the distinct links (a, b) of numbers."""
     nodes = adj.select("case_id", "key").distinct().repartitionByRange("case_id", "key").sortWithinPartitions("case_id", "key")
     nodes = cut(nodes.withColumn("n", F.monotonically_increasing_id()))
     ends = adj.select("case_id", "key", "other").distinct()
     ends = ends.join(nodes.withColumnRenamed("n", "a"), ["case_id", "key"]).join(nodes.select("case_id", F.col("key").alias("other"), F.col("n").alias("b")), ["case_id", "other"])
-    step = cut(ends.select("a", "b"))
-    frontier = cut(step.groupBy("a", word("b").alias("w")).agg(F.bit_or(bit("b")).alias("bits")))
-    seen = frontier
-    for _ in range(hops - 1):
-        onward = step.join(frontier.withColumnRenamed("a", "b"), "b").groupBy("a", "w").agg(F.bit_or("bits").alias("bits"))
-        new = onward.join(seen.withColumnRenamed("bits", "old"), ["a", "w"], "left").select("a", "w", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long")))).alias("bits"))
-        frontier = cut(new.filter("bits <> 0"))
-        seen = cut(seen.unionByName(frontier).groupBy("a", "w").agg(F.bit_or("bits").alias("bits")))
-    own = F.when(F.col("w") == word("a"), F.bitwise_not(bit("a"))).otherwise(F.lit(-1).cast("long"))
-    bits = F.col("bits").bitwiseAND(own)
-    if peers is not None:
-        known = nodes.join(peers.select("case_id", "key").distinct(), ["case_id", "key"]).groupBy(word("n").alias("w")).agg(F.bit_or(bit("n")).alias("mask"))
-        seen, bits = seen.join(known, "w"), bits.bitwiseAND(F.col("mask"))
-    counts = seen.groupBy("a").agg(F.sum(F.bit_count(bits)).alias("reach"))
-    return nodes.join(counts, nodes.n == counts.a).select("case_id", "key", "reach")
+    return nodes, cut(ends.select("a", "b"))
+
+
+def merge_twins(step: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes (n, twin), links (a, b)): nodes with equal neighbours, and nodes that are linked with each other and have all others in common, become one class.
+
+    Such nodes reach the same nodes, so one of them stands for its class: ``links`` holds the links between classes, numbered anew so that classes with a common
+    least neighbour lie side by side, and of a class whose members are linked with each other a link to itself. Neighbour lists are compared by two XORs
+    of 64-bit hashes and their length; no list is gathered.
+    """
+    mark = lambda seed, c: F.xxhash64(F.lit(seed), c)
+    sets = step.groupBy("a").agg(F.bit_xor(mark(1, "b")).alias("s"), F.bit_xor(mark(2, "b")).alias("t"), F.count("*").alias("d"), F.min("b").alias("near"))
+    sets = cut(sets.withColumns({"s_own": F.col("s").bitwiseXOR(mark(1, "a")), "t_own": F.col("t").bitwiseXOR(mark(2, "a"))}))
+    # a node has twins of one kind at most
+    apart = sets.groupBy("s", "t", "d").agg(F.min("a").alias("first"))
+    linked = sets.groupBy("s_own", "t_own", "d").agg(F.min("a").alias("first_linked"), F.count("*").alias("size_linked"))
+    found = sets.join(apart, ["s", "t", "d"]).join(linked, ["s_own", "t_own", "d"])
+    found = cut(found.select("a", "near", F.least("first", "first_linked").alias("head"), (F.col("size_linked") > 1).alias("closed")))
+    heads = found.filter("a = head").repartitionByRange("near", "a").sortWithinPartitions("near", "a")
+    heads = cut(heads.select("head", "closed", F.monotonically_increasing_id().alias("twin")))
+    classes = found.join(heads, "head").select(F.col("a").alias("n"), "twin")
+    one, two = heads.select(F.col("head").alias("a"), F.col("twin").alias("ta")), heads.select(F.col("head").alias("b"), F.col("twin").alias("tb"))
+    links = step.join(one, "a").join(two, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
+    return classes, cut(links.unionByName(heads.filter("closed").select(F.col("twin").alias("a"), F.col("twin").alias("b"))))
+
+
+#: 64-bit words of a block of a bit set, and rows that the joins of one tile may make.
+WORDS, TILE_ROWS = 4, 2**32
+_W = [f"w{k}" for k in range(WORDS)]
+
+
+def _bits(c: str) -> list:
+    """The block of number ``c`` and its words, of which one has the number's bit."""
+    word = F.expr(f"shiftright({c}, 6)")
+    of = [F.when(F.pmod(word, F.lit(WORDS)) == k, F.expr(f"shiftleft(1L, int({c} & 63))")).otherwise(F.lit(0).cast("long")).alias(w) for k, w in enumerate(_W)]
+    return [F.floor(word / WORDS).alias("block"), *of]
+
+
+def _or(*more) -> list:
+    return [F.bit_or(w).alias(w) for w in _W] + list(more)
+
+
+def reached_bits(links: DataFrame, hops: int, rows: int = TILE_ROWS):
+    """Tiles (a, block, w0, w1, ...) of what every node of ``links`` (a, b) reaches by 1 to ``hops`` links, as bit sets in blocks of words; a block may come in several rows.
+
+    A tile holds all rows of a share of the blocks; tiles need nothing of each other, so what is stored at a time has a bound however large a case is. The number of
+    tiles comes from the rows that the join of the second hop makes. A hop joins only bits that the hop before found, and the last hop's bits are not stored.
+    """
+    first = cut(links.select("a", *_bits("b")).groupBy("a", "block").agg(*_or()))
+    tiles = 1
+    if hops > 1:
+        made = links.join(first.groupBy("a").agg(F.count("*").alias("m")).withColumnRenamed("a", "b"), "b").agg(F.sum("m")).first()[0] or 0
+        tiles = max(1, -(-made // rows))
+    for tile in range(tiles):
+        seen = frontier = first if tiles == 1 else first.filter(F.pmod("block", F.lit(tiles)) == tile)
+        for hop in range(2, hops + 1):
+            onward = links.join(frontier.withColumnRenamed("a", "b"), "b").select("a", "block", *_W)
+            if hop < hops:
+                none = F.lit(0).cast("long")
+                both = onward.select("a", "block", *_W, *[none.alias(f"old_{w}") for w in _W]).unionByName(seen.select("a", "block", *[none.alias(w) for w in _W], *[F.col(w).alias(f"old_{w}") for w in _W]))
+                new = both.groupBy("a", "block").agg(*[F.bit_or(w).bitwiseAND(F.bitwise_not(F.bit_or(f"old_{w}"))).alias(w) for w in _W])
+                onward = frontier = cut(new.filter(" OR ".join(f"{w} <> 0" for w in _W)))
+            seen = seen.unionByName(onward)
+        yield seen
+
+
+def reach_counts(adj: DataFrame, hops: int = 3, peers: DataFrame | None = None, rows: int = TILE_ROWS) -> DataFrame:
+    """(case_id, key, reach): how many other keys (of ``peers``, if given) are reached within ``hops``; keys without a link have no row.
+
+    The pairs of ``reach_pairs`` are never made. Keys with the same neighbours are merged to classes (``merge_twins``), and bit sets of classes are joined tile by tile
+    (``reached_bits``). A class counts as often as it has peers: weights are kept as bit planes beside each block, so a count is a sum of ``bit_count``.
+    """
+    nodes, step = numbered(adj)
+    classes, links = merge_twins(step)
+    known = F.lit(True) if peers is None else F.coalesce("peer", F.lit(False))
+    people = nodes if peers is None else nodes.join(peers.select("case_id", "key").distinct().withColumn("peer", F.lit(True)), ["case_id", "key"], "left")
+    people = cut(people.select("n", "case_id", "key", known.alias("peer")).join(classes, "n"))
+    planes = people.groupBy("twin").agg(F.count_if("peer").alias("weight"))
+    planes = planes.select("twin", "weight", F.explode(F.sequence(F.lit(0), F.lit(62))).alias("plane")).filter(F.expr("shiftright(weight, plane) & 1") == 1)
+    planes = planes.select("plane", *_bits("twin")).groupBy("block", "plane").agg(*_or())
+    planes = cut(planes.groupBy("block").agg(F.collect_list(F.struct("plane", *[F.col(w).alias(f"p_{w}") for w in _W])).alias("planes")))
+    ones = lambda p: sum((F.bit_count(F.col(w).bitwiseAND(p[f"p_{w}"])) for w in _W[1:]), F.bit_count(F.col(_W[0]).bitwiseAND(p[f"p_{_W[0]}"])))
+    weight = F.aggregate("planes", F.lit(0).cast("long"), lambda total, p: total + F.call_function("shiftleft", ones(p).cast("long"), p["plane"]))
+    block, *own = _bits("a")
+    itself = sum((F.bit_count(F.col(w).bitwiseAND(o)) for w, o in zip(_W[1:], own[1:], strict=True)), F.bit_count(F.col(_W[0]).bitwiseAND(own[0])))
+    itself = F.when(F.col("block") == block, itself).otherwise(0)
+    counts = []
+    for seen in reached_bits(links, hops, rows):
+        whole = seen.groupBy("a", "block").agg(*_or())
+        counts.append(cut(whole.join(planes, "block").groupBy("a").agg(F.sum(weight).alias("reach"), F.max(itself).alias("itself"))))
+    counts = reduce(DataFrame.unionByName, counts).groupBy("a").agg(F.sum("reach").alias("reach"), F.max("itself").alias("itself"))
+    # a class that reaches itself counts the key itself, if that is a peer
+    out = people.join(counts, people.twin == counts.a, "left")
+    return out.select("case_id", "key", (F.coalesce("reach", F.lit(0)) - F.when(F.col("peer"), F.coalesce("itself", F.lit(0))).otherwise(0)).cast("long").alias("reach"))
 
 
 def shortest_paths(pairs: DataFrame, rels: DataFrame, max_hops: int = 5, exclude=()) -> DataFrame:
     """(pair_id, hops, path, relations) for pairs (pair_id, case_id, source, target) that are connected within ``max_hops``.
 
     Edges of all relations (but ``exclude``) count both ways. Among shortest paths that with the least sequence of keys is
-    taken, and of parallel edges that with the least id. Each hop keeps one row for each pair and node.
+    taken, and of parallel edges that with the least id. Each pair is searched from both ends; a hop moves on the side that has fewer nodes
+    at its front, and a pair is done when the fronts have a node in common. Each side keeps one row for each pair and node.
     """
     e = rels.filter("source <> target").filter(~F.col("relation").isin(*exclude)) if exclude else rels.filter("source <> target")
     ends = F.explode(F.array(F.struct(F.col("source").alias("node"), F.col("target").alias("next")), F.struct(F.col("target").alias("node"), F.col("source").alias("next"))))
     both = e.select("case_id", ends.alias("e"), "id", "relation").select("case_id", "e.node", "e.next", "id", "relation")
     both = cut(both.groupBy("case_id", "node", "next").agg(F.min_by("relation", "id").alias("relation")))
-    start = F.array("source")
-    cur = cut(pairs.select("pair_id", "case_id", "target", F.col("source").alias("node"), start.alias("path"), F.array().cast("array<string>").alias("relations")))
-    done = cur.filter("node = target")
-    seen = cur.select("pair_id", "node")
+    none = F.array().cast("array<string>")
+    start = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("source").alias("node")), F.struct(F.lit(1).alias("side"), F.col("target").alias("node"))))
+    front = cut(pairs.filter("source <> target").select("pair_id", "case_id", start.alias("e")).select("pair_id", "case_id", "e.side", "e.node", F.array("e.node").alias("path"), none.alias("relations")))
+    done = pairs.filter("source = target").select("pair_id", F.array("source").alias("path"), none.alias("relations"))
+    seen = front.select("pair_id", "side", "node")
+    ahead = F.col("side") == 0
     for _ in range(max_hops):
-        open_ = cur.join(done.select("pair_id"), "pair_id", "left_anti")
-        step = open_.join(both, ["case_id", "node"])
-        step = step.select("pair_id", "case_id", "target", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"), F.concat("relations", F.array("relation")).alias("relations"))
-        step = step.groupBy("pair_id", "case_id", "target", "node").agg(F.min(F.struct("path", "relations")).alias("p")).select("pair_id", "case_id", "target", "node", "p.path", "p.relations")
-        cur = cut(step.join(seen, ["pair_id", "node"], "left_anti").select(cur.columns))
-        if cur.isEmpty():
+        if front.isEmpty():
             break
-        seen = seen.unionByName(cur.select("pair_id", "node"))
-        done = done.unionByName(cur.filter("node = target"))
+        sizes = front.groupBy("pair_id").agg(F.count_if(ahead).alias("f"), F.count_if(~ahead).alias("b")).filter("f > 0 AND b > 0")
+        turn = front.join(sizes.select("pair_id", F.when(F.col("f") <= F.col("b"), 0).otherwise(1).alias("turn")), "pair_id")
+        grown = turn.filter("side = turn").join(both.withColumnRenamed("relation", "by"), ["case_id", "node"])
+        path = F.when(ahead, F.concat("path", F.array("next"))).otherwise(F.concat(F.array("next"), "path"))
+        by = F.when(ahead, F.concat("relations", F.array("by"))).otherwise(F.concat(F.array("by"), "relations"))
+        grown = grown.groupBy("pair_id", "case_id", "side", F.col("next").alias("node")).agg(F.min(F.struct(path.alias("path"), by.alias("relations"))).alias("p"))
+        grown = grown.join(seen, ["pair_id", "side", "node"], "left_anti").select("pair_id", "case_id", "side", "node", "p.path", "p.relations")
+        now = cut(grown.withColumn("new", F.lit(True)).unionByName(turn.filter("side <> turn").drop("turn").withColumn("new", F.lit(False))))
+        there = now.filter(~ahead).select("pair_id", "node", F.col("path").alias("rest"), F.col("relations").alias("rest_by"))
+        joined = F.struct(F.concat("path", F.slice("rest", 2, F.greatest(F.size("rest") - 1, F.lit(0)))).alias("path"), F.concat("relations", "rest_by").alias("relations"))
+        met = cut(now.filter(ahead).join(there, ["pair_id", "node"]).groupBy("pair_id").agg(F.min(joined).alias("p")).select("pair_id", "p.path", "p.relations"))
+        done = done.unionByName(met)
+        seen = seen.unionByName(now.filter("new").select("pair_id", "side", "node"))
+        front = cut(now.drop("new").join(met, "pair_id", "left_anti"))
     return done.select("pair_id", F.size("relations").cast("long").alias("hops"), "path", "relations")
 
 

@@ -194,7 +194,7 @@ def shortest_path(spark, sf):
     rels = a.relationships(spark, sf)
     ends = rels.groupBy("case_id").agg(F.min("source").alias("source"), F.max("source").alias("target"))
     pairs = ends.select(F.col("case_id").alias("pair_id"), "case_id", "source", "target")
-    return graph.shortest_paths(pairs, rels, 5).select("pair_id", "hops")
+    return graph.shortest_paths(pairs, rels, 5).select("pair_id", "hops", F.array_join("path", ">").alias("path"), F.array_join("relations", ">").alias("relations"))
 
 
 def portfolio_rollup(spark, sf):
@@ -386,9 +386,15 @@ r AS (SELECT *, floor(sum * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS scor
     "entity_dossier": f"WITH {RELATIONSHIPS_SQL}, {_SCORED}, {ENTITIES_SQL}, m AS (SELECT case_id, key FROM members UNION SELECT case_id, key FROM entities), h AS (SELECT key, string_agg(case_id::VARCHAR, ',' ORDER BY case_id) AS cases FROM m GROUP BY key), o AS (SELECT case_id, key, count(*) AS connections, count(*) FILTER (o = 1) AS outgoing FROM (SELECT case_id, source AS key, 1 AS o FROM rel UNION ALL SELECT case_id, target, 0 FROM rel) GROUP BY ALL) SELECT m.case_id, m.key, e.name, cases, coalesce(connections, 0)::BIGINT AS connections, coalesce(outgoing, 0)::BIGINT AS outgoing, coalesce(degree, 0)::BIGINT AS degree, score, CASE WHEN score IS NOT NULL THEN {_BAND} END AS band, CASE WHEN score IS NULL THEN NULL ELSE 6 END::BIGINT AS factors FROM m JOIN entities e USING (key) JOIN h USING (key) LEFT JOIN o ON o.case_id = m.case_id AND o.key = m.key LEFT JOIN scored s ON s.case_id = m.case_id AND s.key = m.key",
     "connection_sort": f"WITH {RELATIONSHIPS_SQL}, {ENTITIES_SQL}, b AS (SELECT case_id, source AS key, target AS other, relation, timestamp, 'OUTGOING' AS direction, amount FROM rel UNION ALL SELECT case_id, target, source, relation, timestamp, 'INCOMING', amount FROM rel) SELECT b.case_id, b.key, row_number() OVER (PARTITION BY b.case_id, b.key ORDER BY lower(name), relation, other, timestamp, direction, amount)::INTEGER AS place, lower(name) AS name, relation, timestamp, direction, amount FROM b JOIN entities e ON other = e.key",
     "label_counts": f"WITH {RELATIONSHIPS_SQL}, {_MEMBERS}, {ENTITIES_SQL} SELECT m.case_id, label, count(*) AS entities FROM members m JOIN entities e USING (key) GROUP BY ALL",
-    "shortest_path": f"""WITH RECURSIVE {RELATIONSHIPS_SQL}, {_ADJ}, step AS (SELECT DISTINCT case_id, key AS a, other AS b FROM adj), ends AS (SELECT case_id, min(source) AS source, max(source) AS target FROM rel GROUP BY case_id),
-w AS (SELECT case_id, source AS node, 0 AS hops FROM ends UNION SELECT w.case_id, b, hops + 1 FROM w JOIN step s ON w.case_id = s.case_id AND w.node = s.a WHERE hops < 5)
-SELECT e.case_id AS pair_id, min(hops)::BIGINT AS hops FROM ends e JOIN w ON e.case_id = w.case_id AND w.node = e.target GROUP BY e.case_id""",
+    "shortest_path": f"""WITH {RELATIONSHIPS_SQL}, {_ADJ}, step AS (SELECT case_id, key AS a, other AS b, arg_min(relation, id) AS via FROM adj GROUP BY ALL), ends AS (SELECT case_id, min(source) AS source, max(source) AS target FROM rel GROUP BY case_id),
+h0 AS (SELECT case_id, source AS node, [source] AS path, []::VARCHAR[] AS bys FROM ends),
+"""
+    + ",\n".join(f"h{i} AS (SELECT h.case_id, b AS node, min(list_append(path, b)) AS path, arg_min(list_append(bys, via), list_append(path, b)) AS bys FROM h{i - 1} h JOIN step s ON h.case_id = s.case_id AND h.node = s.a GROUP BY ALL)" for i in range(1, 6))
+    + """, found AS ("""
+    + " UNION ALL ".join(f"SELECT {i} AS hops, case_id, node, path, bys FROM h{i}" for i in range(6))
+    + """)
+SELECT e.case_id AS pair_id, hops::BIGINT AS hops, array_to_string(path, '>') AS path, array_to_string(bys, '>') AS relations FROM ends e JOIN found f ON e.case_id = f.case_id AND f.node = e.target
+QUALIFY row_number() OVER (PARTITION BY e.case_id ORDER BY hops) = 1""",
     "portfolio_rollup": f"WITH {RELATIONSHIPS_SQL} SELECT case_id, count(*) AS edges, count(DISTINCT source) AS customers, count(DISTINCT target) AS suppliers, sum(amount::DECIMAL(28,2))::DOUBLE AS total FROM rel GROUP BY ROLLUP (case_id)",
     "portfolio_statistics": f"WITH {RELATIONSHIPS_SQL}, {_SCORED}, {CASES_SQL} SELECT count(*) AS cases, count(*) FILTER (lower(status) IN ('open', 'active', 'pending')) AS active, count(*) FILTER (status = 'Solved') AS solved, count(*) FILTER (status = 'Pending') AS pending, (SELECT count(*) FROM (SELECT key FROM scored GROUP BY key HAVING max(score) >= 70)) AS high_risk, (SELECT count(*) FROM rel) AS leads, (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM labels WHERE quality = 1) AS verified, (SELECT count(*) FROM labels WHERE quality <> 1 OR quality IS NULL) AS unverified, (SELECT count(*) FROM events WHERE event_type <> 'view') AS ledger_blocks, (SELECT count(*) FROM events WHERE event_type = 'error') AS security_events, (SELECT count(*) FROM events WHERE event_type = 'error') AS failed_logins FROM cases",
     "case_counts": f"WITH {RELATIONSHIPS_SQL}, {_MEMBERS}, {ENTITIES_SQL}, {CASES_SQL} SELECT case_id, reference_id, (SELECT count(*) FROM documents WHERE doc_id % 25 = c.case_id) AS documents, (SELECT count(*) FROM rel r WHERE r.case_id = c.case_id) AS relationships, (SELECT count(*) FROM members m WHERE m.case_id = c.case_id) AS member_entities, (SELECT count(*) FROM entities e WHERE e.case_id = c.case_id) AS own_entities FROM cases c",
