@@ -61,12 +61,13 @@ def reach_pairs(adj: DataFrame, hops: int = 3) -> DataFrame:
 
 
 def numbered(adj: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, step): keys (case_id, key) with a number n, those of a case one after the other, and the distinct links (a, b) of numbers."""
+    """(nodes, step): keys (case_id, key) with a number n, those of a case one after the other, and the distinct links (a, b) of numbers, both ways as in ``adj``."""
     nodes = adj.select("case_id", "key").distinct().repartitionByRange("case_id", "key").sortWithinPartitions("case_id", "key")
     nodes = cut(nodes.withColumn("n", F.monotonically_increasing_id()))
-    ends = adj.select("case_id", "key", "other").distinct()
+    # each link once until it has numbers
+    ends = adj.filter("key < other").select("case_id", "key", "other").distinct()
     ends = ends.join(nodes.withColumnRenamed("n", "a"), ["case_id", "key"]).join(nodes.select("case_id", F.col("key").alias("other"), F.col("n").alias("b")), ["case_id", "other"])
-    return nodes, cut(ends.select("a", "b"))
+    return nodes, cut(ends.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b"))
 
 
 def merge_twins(step: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.operators import registers
+from caseflow.operators.work import cut
+
 # fixed values: permissions of each role, role aliases, and audit actions of documents
 PERMISSIONS = {
     "Admin": ("case:view", "case:create", "case:delete", "evidence:view", "evidence:ingest", "evidence:verify", "entity:view", "entity:photo", "graph:view", "assistant:query", "security:view", "ledger:view", "ledger:verify"),
@@ -83,6 +86,66 @@ def verify_chains(blocks: DataFrame) -> DataFrame:
     return marked.groupBy("chain_id").agg(F.min("bad").alias("first_bad"), F.count("*").alias("n")).select("chain_id", F.col("first_bad").isNull().alias("valid"), F.when(F.col("first_bad").isNull(), F.col("n")).otherwise(F.col("first_bad") + 1).cast("long").alias("checked_blocks"), "first_bad")
 
 
+def chain_heads(blocks: DataFrame) -> DataFrame:
+    """(chain_id, block_index, block_hash) of each chain's last block."""
+    return blocks.groupBy("chain_id").agg(F.max(F.struct("block_index", "block_hash")).alias("h")).select("chain_id", "h.block_index", "h.block_hash")
+
+
+#: Children of a node of the tree over chain heads.
+FAN = 16
+
+
+def head_hash() -> Column:
+    """A leaf: the hash of a chain's name, length and head, null where one of them is null."""
+    named = F.to_json(F.struct(F.col("block_hash"), F.col("block_index"), F.col("chain_id")), {"ignoreNullFields": "false"})
+    return F.when(F.col("chain_id").isNotNull() & F.col("block_index").isNotNull() & F.col("block_hash").isNotNull(), F.sha2(named, 256))
+
+
+def seal(heads: DataFrame, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
+    """(root, proofs) of a hash tree over chain heads (chain_id, block_index, block_hash) in order of chain_id, one row a chain.
+
+    root: one row (chains, levels, root), none without heads; proofs: (chain_id, place from 0, leaf, path), where path holds for each level, from the leaves up, the
+    hashes under the common parent (``fan`` at most). A parent is the hash of its children's hashes, one after the other. Heads without a name, a length or a hash have no
+    leaf and take no part. Places come from sampled ranges, a level is one grouping by place and a ``fan``-th of the size of the level below.
+    """
+    leaves = heads.withColumn("leaf", head_hash()).filter("leaf IS NOT NULL").select(F.lit(0).alias("tree"), "chain_id", "leaf")
+    leaves = cut(registers.places(leaves, "tree", F.asc("chain_id")).select("chain_id", "leaf", (F.col("place") - 1).cast("long").alias("place")))
+    n = leaves.count()
+    level, size, levels = leaves.select("place", F.col("leaf").alias("hash")), n, 0
+    proofs = leaves.select("chain_id", "place", "leaf", F.col("place").alias("at"), F.array().cast("array<array<string>>").alias("path"))
+    while size > 1:
+        above = F.floor(F.col("place") / fan)
+        groups = level.groupBy(above.alias("up")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "hash"))), lambda x: x["hash"]).alias("hashes"))
+        groups = cut(groups)
+        proofs = cut(proofs.withColumn("at", F.floor(F.col("at") / fan)).join(groups, F.col("at") == F.col("up")).withColumn("path", F.concat("path", F.array("hashes"))).drop("up", "hashes"))
+        level = groups.select(F.col("up").alias("place"), F.sha2(F.array_join("hashes", ""), 256).alias("hash"))
+        size, levels = -(-size // fan), levels + 1
+    root = level.select(F.lit(n).cast("long").alias("chains"), F.lit(levels).alias("levels"), F.col("hash").alias("root"))
+    return root, proofs.drop("at")
+
+
+def check_seal(heads: DataFrame, proofs: DataFrame, root: DataFrame, fan: int = FAN) -> DataFrame:
+    """(chain_id, sealed): is the head of a chain, as it is now, the one under the root? Each chain is checked alone, from its head, its proof and the root's row.
+
+    A chain without a proof, with a head that has no leaf, with a proof that does not lead to the root, or whose proof names another place or number of levels is not
+    sealed; neither is a chain with a proof but without a head any more, nor any chain under an empty root. Unlike ``verify_chains`` this finds a chain that was written anew as a whole.
+    """
+    now = heads.select("chain_id", head_hash().alias("now"))
+    both = now.join(proofs.select("chain_id", "place", "path"), "chain_id", "full")
+    top = root.select("chains", "levels", "root").first() or (0, 0, None)
+    chains, levels, top = (F.lit(x) for x in top)
+
+    def climb(state, hashes):
+        slot = F.get(hashes, F.pmod(state["at"], F.lit(fan)).cast("int"))
+        ok = state["ok"] & F.coalesce(slot == state["hash"], F.lit(False))
+        return F.struct(ok.alias("ok"), F.floor(state["at"] / fan).alias("at"), F.sha2(F.array_join(hashes, ""), 256).alias("hash"))
+
+    start = F.struct(F.lit(True).alias("ok"), F.col("place").alias("at"), F.col("now").alias("hash"))
+    end = F.aggregate("path", start, climb)
+    led = end["ok"] & (end["at"] == 0) & (end["hash"] == top) & (F.size("path") == levels) & (F.col("place") < chains)
+    return both.select("chain_id", F.coalesce(led, F.lit(False)).alias("sealed"))
+
+
 def fingerprints(files: DataFrame) -> DataFrame:
     """(path, sha256, size) of binary files (path, content)."""
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size"))

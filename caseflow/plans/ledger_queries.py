@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caseflow.functions import text as t
 from caseflow.functions import roles
 from caseflow.operators import cascade, extract, ledger, portfolio, registers, resolve, retrieval
+from caseflow.operators.work import cut
 from caseflow.plans import adapters as a
 from caseflow.plans.adapters import CHUNKS_SQL, DOCUMENTS_SQL, LOG_SQL, RELATIONSHIPS_SQL
 from caseflow.sources import files
@@ -124,6 +125,15 @@ b AS (SELECT chain_id, i, id, event_type, 'GENESIS' AS previous_hash, sha256({_b
 UNION ALL SELECT e.chain_id, e.i, e.id, e.event_type, b.block_hash, sha256({_body('e', 'b.block_hash')}) FROM e JOIN b ON e.chain_id = b.chain_id AND e.i = b.i + 1)"""
 
 
+# the tree over chain heads: five levels of sixteen are enough for a million chains
+_LEVELS = 5
+_TREE = f"""heads AS (SELECT chain_id, max(i) AS i, arg_max(block_hash, i) AS h FROM b GROUP BY chain_id),
+t0 AS (SELECT chain_id, row_number() OVER (ORDER BY chain_id) - 1 AS place, sha256('{{"block_hash":"' || h || '","block_index":' || i || ',"chain_id":"' || chain_id || '"}}') AS hash FROM heads), """ + ", ".join(
+    f"t{k} AS (SELECT place // {ledger.FAN} AS place, sha256(string_agg(hash, '' ORDER BY place)) AS hash FROM t{k - 1} GROUP BY place // {ledger.FAN})" for k in range(1, _LEVELS + 1)
+)
+_ROOT = "CASE 1 " + " ".join(f"WHEN (SELECT count(*) FROM t{k}) THEN (SELECT min(hash) FROM t{k})" for k in range(_LEVELS + 1)) + " END"
+
+
 def chain_append(spark, sf):
     return _blocks(spark, sf).select("chain_id", F.col("block_index").cast("long").alias("block_index"), "id", "previous_hash", "block_hash")
 
@@ -135,6 +145,33 @@ def chain_verify(spark, sf):
     return ledger.verify_chains(broken).select("chain_id", "valid", "checked_blocks")
 
 
+def _events_with(spark, sf, changed: bool):
+    """The chains of the log; with ``changed`` as if every eleventh user's first event had said something else, and all later blocks were written anew."""
+    e = a.log_events(spark, sf)
+    payload = F.concat(F.lit('{"audit_id":'), F.col("id").cast("string"), F.lit(',"props":'), F.coalesce("props", F.lit("null")), F.lit("}"))
+    if changed:
+        # a user's first event: no event of the user is before it
+        first = e.groupBy("username").agg(F.min("id").alias("id")).filter(F.regexp_extract("username", r"(\d+)", 1).cast("int") % 11 == 0).withColumn("hit", F.lit(True))
+        e = e.join(first, ["username", "id"], "left")
+        payload = F.when(F.col("hit"), F.lit('{"audit_id":0}')).otherwise(payload)
+    rows = e.select(F.col("username").alias("chain_id"), "id", "ts", F.when(F.col("action") == "error", "SECURITY_EVENT").otherwise("AUDIT_EVENT").alias("event_type"), payload.alias("payload"))
+    return ledger.append_blocks(rows)
+
+
+def ledger_seal(spark, sf):
+    """The sealed root over all chains, and each chain's leaf and place."""
+    root, proofs = ledger.seal(ledger.chain_heads(_blocks(spark, sf)))
+    top = root.first() or (0, 0, None)
+    return proofs.select("chain_id", "place", "leaf", F.lit(top[0]).cast("long").alias("chains"), F.lit(top[2]).cast("string").alias("root"))
+
+
+def sealed_chains(spark, sf):
+    """Chains after some were written anew: each is whole in itself, but the root tells which are not the ones that were sealed."""
+    root, proofs = ledger.seal(ledger.chain_heads(_blocks(spark, sf)))
+    now = cut(_events_with(spark, sf, changed=True))
+    return ledger.check_seal(ledger.chain_heads(now), proofs, root).join(ledger.verify_chains(now).select("chain_id", "valid"), "chain_id")
+
+
 def ledger_lag(spark, sf):
     w = Window.partitionBy("username").orderBy("id")
     return a.log_events(spark, sf).select("id", "username", F.lag("action", 1, ledger.GENESIS).over(w).alias("previous"))
@@ -454,7 +491,7 @@ def failure_alerts(spark, sf):
     return found.groupBy(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "ip").agg(F.max("failures").alias("failures"))
 
 
-QUERIES = {f.__name__: f for f in (denied_events, newest_security, newest_blocks, trailing_alerts, field_union, text_metadata, delete_document_rest, failure_alerts, resolve_entities, resolve_verdicts, resolve_arrivals, arrived_entities, merge_attributes, scoped_keys, edge_upsert, batch_groups, chain_append, chain_verify, ledger_lag, ledger_anchor, audit_to_ledger, audit_trail, evidence_hash, verify_evidence, missing_fingerprints, provenance_steps, document_register, delete_document, authorize_actions, scope_check, rate_limit, security_overview, top_logs, newest_documents, csv_records, document_metadata, json_records, ingest_report, json_flatten, json_envelope, text_scan, size_limit, file_classify, table_sinks, scoped_scan, file_counts, tumbling_activity, session_activity, stream_dedup, stream_ingest)}
+QUERIES = {f.__name__: f for f in (ledger_seal, sealed_chains, denied_events, newest_security, newest_blocks, trailing_alerts, field_union, text_metadata, delete_document_rest, failure_alerts, resolve_entities, resolve_verdicts, resolve_arrivals, arrived_entities, merge_attributes, scoped_keys, edge_upsert, batch_groups, chain_append, chain_verify, ledger_lag, ledger_anchor, audit_to_ledger, audit_trail, evidence_hash, verify_evidence, missing_fingerprints, provenance_steps, document_register, delete_document, authorize_actions, scope_check, rate_limit, security_overview, top_logs, newest_documents, csv_records, document_metadata, json_records, ingest_report, json_flatten, json_envelope, text_scan, size_limit, file_classify, table_sinks, scoped_scan, file_counts, tumbling_activity, session_activity, stream_dedup, stream_ingest)}
 
 _INTEGRITY = "integ AS (SELECT doc_id AS document_id, CASE WHEN doc_id % 6 = 4 THEN sha256('other') ELSE sha256(text) END AS sha256, CASE WHEN doc_id % 6 = 3 THEN NULL ELSE 'store/' || doc_id END AS stored_path FROM documents WHERE doc_id % 6 <> 5)"
 
@@ -469,6 +506,8 @@ SELECT id, CASE WHEN key IN (SELECT key FROM t) OR id > min(id) OVER (PARTITION
     "edge_upsert": f"WITH {RELATIONSHIPS_SQL}, r AS (SELECT case_id, source, target, relation, CASE WHEN amount > 1000 THEN timestamp END AS timestamp, amount FROM rel) SELECT case_id, relation, count(*) AS edges FROM (SELECT case_id, source, target, relation, timestamp FROM r WHERE amount >= 20000 EXCEPT SELECT case_id, source, target, relation, timestamp FROM r WHERE amount < 30000) GROUP BY ALL",
     "batch_groups": f"""WITH RECURSIVE {_PEOPLE}, n AS (SELECT case_id, id, unnest(['p' || phone, 'e' || email, 'i' || identifier]) AS v FROM p WHERE label = 'person'), l AS (SELECT DISTINCT x.id AS a, y.id AS b FROM n x JOIN n y ON x.case_id = y.case_id AND x.v = y.v),
 r AS (SELECT id AS a, id AS b FROM p WHERE label = 'person' UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a AS id, min(b) AS group_id FROM r GROUP BY a""",
+    "ledger_seal": f"WITH RECURSIVE {_CHAIN}, {_TREE} SELECT chain_id, place, hash AS leaf, (SELECT count(*) FROM t0) AS chains, {_ROOT} AS root FROM t0",
+    "sealed_chains": f"WITH {LOG_SQL} SELECT DISTINCT username AS chain_id, regexp_extract(username, '\\d+')::INTEGER % 11 <> 0 AS sealed, true AS valid FROM log",
     "chain_append": f"WITH RECURSIVE {_CHAIN} SELECT chain_id, i AS block_index, id, previous_hash, block_hash FROM b",
     "chain_verify": f"WITH RECURSIVE {_CHAIN}, c AS (SELECT chain_id, count(*) AS n, regexp_extract(chain_id, '\\d+')::INTEGER AS k FROM b GROUP BY ALL) SELECT chain_id, NOT (k % 3 = 0 AND k % 5 < n) AS valid, CASE WHEN k % 3 = 0 AND k % 5 < n THEN k % 5 + 1 ELSE n END::BIGINT AS checked_blocks FROM c",
     "ledger_lag": f"WITH {LOG_SQL} SELECT id, username, lag(action, 1, 'GENESIS') OVER (PARTITION BY username ORDER BY id) AS previous FROM log",
