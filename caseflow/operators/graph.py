@@ -70,6 +70,17 @@ def numbered(adj: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, cut(ends.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b"))
 
 
+def near(adj: DataFrame, keys: DataFrame, hops: int) -> DataFrame:
+    """(case_id, key) of ``keys`` and of all keys within ``hops`` links of one of them."""
+    step = cut(adj.select("case_id", "key", "other").distinct())
+    seen = front = cut(keys.select("case_id", "key").distinct())
+    for _ in range(hops):
+        onward = step.join(front, ["case_id", "key"], "left_semi").select("case_id", F.col("other").alias("key")).distinct()
+        front = cut(onward.join(seen, ["case_id", "key"], "left_anti"))
+        seen = seen.unionByName(front)
+    return seen
+
+
 def merge_twins(step: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes (n, twin), links (a, b)): nodes with equal neighbours, and nodes that are linked with each other and have all others in common, become one class.
 
@@ -109,32 +120,41 @@ def _or(*more) -> list:
     return [F.bit_or(w).alias(w) for w in _W] + list(more)
 
 
-def reached_bits(links: DataFrame, hops: int, rows: int = TILE_ROWS):
+def reached_bits(links: DataFrame, hops: int, rows: int = TILE_ROWS, of: DataFrame | None = None):
     """Tiles (a, block, w0, w1, ...) of what every node of ``links`` (a, b) reaches by 1 to ``hops`` links, as bit sets in blocks of words; a block may come in several rows.
 
     A tile holds all rows of a share of the blocks; tiles need nothing of each other, so what is stored at a time has a bound however large a case is. The number of
     tiles comes from the rows that the join of the second hop makes. A hop joins only bits that the hop before found, and the last hop's bits are not stored.
+    ``of`` (a): only the sets of these nodes are wanted; sets of others are made only as far as these need them.
     """
-    first = cut(links.select("a", *_bits("b")).groupBy("a", "block").agg(*_or()))
+    # by the hops that are still to come: the links from nodes whose sets these hops need
+    by_hop = [links] * hops
+    if of is not None:
+        need = cut(of.select("a").distinct())
+        for k in range(hops):
+            by_hop[hops - 1 - k] = links.join(need, "a", "left_semi")
+            if k < hops - 1:
+                need = cut(need.unionByName(by_hop[hops - 1 - k].select(F.col("b").alias("a"))).distinct())
+    first = cut(by_hop[0].select("a", *_bits("b")).groupBy("a", "block").agg(*_or()))
     tiles = 1
     if hops > 1:
-        made = links.join(first.groupBy("a").agg(F.count("*").alias("m")).withColumnRenamed("a", "b"), "b").agg(F.sum("m")).first()[0] or 0
+        made = by_hop[1].join(first.groupBy("a").agg(F.count("*").alias("m")).withColumnRenamed("a", "b"), "b").agg(F.sum("m")).first()[0] or 0
         tiles = max(1, -(-made // rows))
     for tile in range(tiles):
         seen = frontier = first if tiles == 1 else first.filter(F.pmod("block", F.lit(tiles)) == tile)
         for hop in range(2, hops + 1):
-            onward = links.join(frontier.withColumnRenamed("a", "b"), "b").select("a", "block", *_W)
+            onward = by_hop[hop - 1].join(frontier.withColumnRenamed("a", "b"), "b").select("a", "block", *_W)
             if hop < hops:
                 none = F.lit(0).cast("long")
                 both = onward.select("a", "block", *_W, *[none.alias(f"old_{w}") for w in _W]).unionByName(seen.select("a", "block", *[none.alias(w) for w in _W], *[F.col(w).alias(f"old_{w}") for w in _W]))
                 new = both.groupBy("a", "block").agg(*[F.bit_or(w).bitwiseAND(F.bitwise_not(F.bit_or(f"old_{w}"))).alias(w) for w in _W])
                 onward = frontier = cut(new.filter(" OR ".join(f"{w} <> 0" for w in _W)))
             seen = seen.unionByName(onward)
-        yield seen
+        yield seen if of is None else seen.join(of.select("a").distinct(), "a", "left_semi")
 
 
-def reach_counts(adj: DataFrame, hops: int = 3, peers: DataFrame | None = None, rows: int = TILE_ROWS) -> DataFrame:
-    """(case_id, key, reach): how many other keys (of ``peers``, if given) are reached within ``hops``; keys without a link have no row.
+def reach_counts(adj: DataFrame, hops: int = 3, peers: DataFrame | None = None, rows: int = TILE_ROWS, of: DataFrame | None = None) -> DataFrame:
+    """(case_id, key, reach): how many other keys (of ``peers``, if given) are reached within ``hops``; keys without a link have no row. ``of``: only for these (case_id, key).
 
     The pairs of ``reach_pairs`` are never made. Keys with the same neighbours are merged to classes (``merge_twins``), and bit sets of classes are joined tile by tile
     (``reached_bits``). A class counts as often as it has peers: weights are kept as bit planes beside each block, so a count is a sum of ``bit_count``.
@@ -153,8 +173,10 @@ def reach_counts(adj: DataFrame, hops: int = 3, peers: DataFrame | None = None,
     block, *own = _bits("a")
     itself = sum((F.bit_count(F.col(w).bitwiseAND(o)) for w, o in zip(_W[1:], own[1:], strict=True)), F.bit_count(F.col(_W[0]).bitwiseAND(own[0])))
     itself = F.when(F.col("block") == block, itself).otherwise(0)
+    if of is not None:
+        people = cut(people.join(of.select("case_id", "key").distinct(), ["case_id", "key"], "left_semi"))
     counts = []
-    for seen in reached_bits(links, hops, rows):
+    for seen in reached_bits(links, hops, rows, None if of is None else people.select(F.col("twin").alias("a"))):
         whole = seen.groupBy("a", "block").agg(*_or())
         counts.append(cut(whole.join(planes, "block").groupBy("a").agg(F.sum(weight).alias("reach"), F.max(itself).alias("itself"))))
     counts = reduce(DataFrame.unionByName, counts).groupBy("a").agg(F.sum("reach").alias("reach"), F.max("itself").alias("itself"))

@@ -45,14 +45,14 @@ def total(factors: Column) -> Column:
     return t.rounded(F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.aggregate(factors, F.lit(0.0), lambda a, f: a + f.points))), 2)
 
 
-def measures(rels: DataFrame, peers: DataFrame, hops: int = 3) -> DataFrame:
-    """All measures of every peer (case_id, key), connected or not."""
+def measures(rels: DataFrame, peers: DataFrame, hops: int = 3, reached: DataFrame | None = None) -> DataFrame:
+    """All measures of every peer (case_id, key), connected or not. ``reached`` (case_id, key, reach): the reach of all peers, if known already."""
     # read by several jobs: made once
     rels = cut(rels.select("case_id", "source", "target", "relation", "amount", "id"))
     adj = graph.adjacency(rels)
     peers = peers.filter(~t.is_case_node(F.col("key"))).select("case_id", "key").distinct()
     counts = peers.groupBy("case_id").agg(F.count("*").alias("peers"))
-    reached = graph.reach_counts(adj, hops, peers)
+    reached = graph.reach_counts(adj, hops, peers) if reached is None else reached
     out = peers.join(counts, "case_id").join(graph.connectivity(adj), ["case_id", "key"], "left").join(exposure(rels), ["case_id", "key"], "left").join(reached, ["case_id", "key"], "left")
     return out.fillna(0, ["degree", "counterparties", "relation_types", "repeats", "reach"]).fillna(0.0, ["exposure"])
 
@@ -60,14 +60,43 @@ def measures(rels: DataFrame, peers: DataFrame, hops: int = 3) -> DataFrame:
 def entity_risk(rels: DataFrame, peers: DataFrame, config: RiskConfig | None = None) -> DataFrame:
     """Every peer's measures, factors, score and band."""
     config = config or RiskConfig()
+    return scored(measures(rels, peers, config.hops), config)
+
+
+def scored(measured: DataFrame, config: RiskConfig) -> DataFrame:
+    """``measured`` with factors, score and band."""
     c = F.col
     reach = F.when(c("peers") > 1, c("reach") / (c("peers") - 1)).otherwise(0.0)
     share = F.when(c("peak") > 0, c("exposure") / c("peak")).otherwise(0.0)
     values = {"connectivity": c("degree"), "counterparties": c("counterparties"), "repeats": c("repeats"), "reach": reach, "relation_types": c("relation_types"), "exposure": share}
-    out = measures(rels, peers, config.hops).withColumn("factors", F.array(*[factor(n, v.cast("double"), config.entity) for n, v in values.items()]))
+    out = measured.withColumn("factors", F.array(*[factor(n, v.cast("double"), config.entity) for n, v in values.items()]))
     return out.withColumn("score", total(c("factors"))).withColumn("band", t.risk_band(c("score")))
 
 
+def refresh(before: DataFrame, rels: DataFrame, peers: DataFrame, changed: DataFrame, config: RiskConfig | None = None) -> DataFrame:
+    """What ``entity_risk(rels, peers)`` returns, from its result ``before`` some edges ``changed`` (added to or taken from ``rels``, columns as there) and peers came or went.
+
+    Cases without a changed edge or peer keep their rows. In the others, measures of single edges and the peaks are made anew, which is one pass over the case, and the reach
+    only of keys within ``hops`` of a changed edge or peer; all other keys keep their reach.
+    """
+    config = config or RiskConfig()
+    columns = before.columns
+    before = cut(before)
+    edges = changed.select("case_id", "source", "target", "relation", "id")
+    people = cut(peers.filter(~t.is_case_node(F.col("key"))).select("case_id", "key").distinct())
+    old = before.select("case_id", "key")
+    keys = people.join(old, ["case_id", "key"], "left_anti").unionByName(old.join(people, ["case_id", "key"], "left_anti"))
+    keys = cut(keys.unionByName(edges.select("case_id", F.explode(F.array("source", "target")).alias("key"))).distinct())
+    touched = cut(keys.select("case_id").distinct())
+    mine = cut(rels.join(touched, "case_id", "left_semi").select("case_id", "source", "target", "relation", "amount", "id"))
+    around = cut(graph.near(graph.adjacency(mine.select(edges.columns).unionByName(edges)), keys, config.hops))
+    people = people.join(touched, "case_id", "left_semi")
+    known = before.join(touched, "case_id", "left_semi").select("case_id", "key", "reach").join(around, ["case_id", "key"], "left_anti")
+    reached = graph.reach_counts(graph.adjacency(mine), config.hops, people, of=around).unionByName(known)
+    new = scored(measures(mine, people, config.hops, reached), config)
+    return before.join(touched, "case_id", "left_anti").unionByName(new.select(columns))
+
+
 def leaderboard(scored: DataFrame, sort: str = "riskDesc", bucket: str | None = None, k: int | None = None) -> DataFrame:
     """Scored entities of a case in order, with their rank: by risk either way, by degree, or by name or key; ``bucket`` keeps HIGH, MODERATE or LOW risks."""
     c = F.col

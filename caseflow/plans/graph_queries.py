@@ -83,6 +83,19 @@ def entity_risk(spark, sf):
     return scored(spark, sf).select("case_id", "key", "degree", "counterparties", "repeats", "relation_types", "reach", "score", "band")
 
 
+def refreshed_risk(spark, sf):
+    """Risk kept up to date while edges arrive: scores of most edges, then two batches of later ones, a case in three at a time."""
+    rels = cut(a.relationships(spark, sf))
+    batch = F.when(F.pmod(F.xxhash64("source"), F.lit(40)) == 0, F.col("case_id") % 3).otherwise(0)
+    have = rels.filter(batch == 0)
+    out = risk.entity_risk(have, graph.members(have))
+    for k in (1, 2):
+        new = rels.filter(batch == k)
+        have = have.unionByName(new)
+        out = risk.refresh(out, have, graph.members(have), new)
+    return out.select("case_id", "key", "degree", "counterparties", "repeats", "relation_types", "reach", "score", "band")
+
+
 def risk_leaderboard(spark, sf):
     return risk.leaderboard(scored(spark, sf), k=10).select("case_id", "rank", "key", "score", "band")
 
@@ -346,7 +359,7 @@ def case_tables(spark, sf):
     return a.cases(spark, sf).orderBy("case_id")
 
 
-QUERIES = {f.__name__: f for f in (entity_table_sorts, register_filters, leaderboard_sorts, risk_report, case_nodes, deleted_entities, graph_payload_edges, case_membership, entity_degree, connectivity, adjacency, exposure, reach_3hop, entity_risk, risk_leaderboard, case_risk, stored_risk, high_risk_count, relationship_endpoints, dangling_edges, top_connected, graph_filter, subgraph_by_relation, property_graph_export, current_case, entity_dossier, connection_sort, label_counts, shortest_path, portfolio_rollup, portfolio_statistics, case_counts, entity_list, backbone_edges, relationship_dedup, endpoint_remap, key_union, orphan_entities, key_intersection, delete_case, risk_bands, entity_sort, graph_payload, case_tables)}
+QUERIES = {f.__name__: f for f in (refreshed_risk, entity_table_sorts, register_filters, leaderboard_sorts, risk_report, case_nodes, deleted_entities, graph_payload_edges, case_membership, entity_degree, connectivity, adjacency, exposure, reach_3hop, entity_risk, risk_leaderboard, case_risk, stored_risk, high_risk_count, relationship_endpoints, dangling_edges, top_connected, graph_filter, subgraph_by_relation, property_graph_export, current_case, entity_dossier, connection_sort, label_counts, shortest_path, portfolio_rollup, portfolio_statistics, case_counts, entity_list, backbone_edges, relationship_dedup, endpoint_remap, key_union, orphan_entities, key_intersection, delete_case, risk_bands, entity_sort, graph_payload, case_tables)}
 
 ORACLE_SQL = {
     "case_membership": f"WITH {RELATIONSHIPS_SQL}, {_MEMBERS} SELECT * FROM members",
@@ -355,6 +368,7 @@ ORACLE_SQL = {
     "adjacency": f"WITH {RELATIONSHIPS_SQL}, {_ADJ} SELECT case_id, key, other, id FROM adj",
     "exposure": f"WITH {RELATIONSHIPS_SQL}, s AS (SELECT case_id, key, sum(abs(amount)::DECIMAL(28,2)) AS e FROM (SELECT case_id, unnest([source, target]) AS key, amount FROM rel) GROUP BY ALL) SELECT case_id, key, e::DOUBLE AS exposure, (max(e) OVER (PARTITION BY case_id))::DOUBLE AS peak FROM s",
     "reach_3hop": f"WITH {RELATIONSHIPS_SQL}, {_REACH} SELECT case_id, key, count(*) AS reach FROM reach GROUP BY ALL",
+    "refreshed_risk": f"WITH {RELATIONSHIPS_SQL}, {_SCORED} SELECT case_id, key, degree, counterparties, repeats::BIGINT AS repeats, relation_types, reach, score, {_BAND} AS band FROM scored",
     "entity_risk": f"WITH {RELATIONSHIPS_SQL}, {_SCORED} SELECT case_id, key, degree, counterparties, repeats::BIGINT AS repeats, relation_types, reach, score, {_BAND} AS band FROM scored",
     "risk_leaderboard": f"WITH {RELATIONSHIPS_SQL}, {_SCORED} SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, key)::INTEGER AS rank, key, score, {_BAND} AS band FROM scored QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY score DESC, key) <= 10",
     "case_risk": f"""WITH {RELATIONSHIPS_SQL}, {_SCORED}, g AS (SELECT case_id, count(*) AS entities, count(*) FILTER (degree > 0) AS linked_entities, max(score) AS top, sum(score::DECIMAL(28,2))::DOUBLE AS s FROM scored GROUP BY case_id),
