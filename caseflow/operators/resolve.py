@@ -17,19 +17,24 @@ from caseflow.operators.work import cut
 
 # fixed values: identifiers in the order in which conflicts are reported
 KINDS = ("phone", "email", "account", "vehicle", "identifier")
-_PREFIX = {"PHONE": "phone", "ACCOUNT": "account", "VEHICLE": "vehicle"}
 
 
 def _normal(kind: str, x: Column) -> Column:
     return {"phone": t.phone, "email": t.email, "account": t.account, "vehicle": t.vehicle, "identifier": lambda v: F.upper(t.strip(F.coalesce(v, F.lit(""))))}[kind](x)
 
 
+def identifier_of(node: Column) -> tuple[Column, Column]:
+    """Kind and normalised value of a PHONE:, ACCOUNT: or VEHICLE: key; the kind of any other key is null."""
+    prefix, raw = F.split_part(node, F.lit(":"), F.lit(1)), F.substring(node, F.instr(node, ":") + 1, F.length(node))
+    kind = F.when(prefix == "PHONE", "phone").when(prefix == "ACCOUNT", "account").when(prefix == "VEHICLE", "vehicle")
+    return kind, F.when(kind == "phone", t.phone(raw)).otherwise(t.account(raw))
+
+
 def _linked(rels: DataFrame) -> DataFrame:
     """(case_id, key, kind, value, edge): identifiers that edges to PHONE:, ACCOUNT: and VEHICLE: nodes give to the other end."""
     ends = F.explode(F.array(F.struct(F.col("source").alias("key"), F.col("target").alias("other")), F.struct(F.col("target").alias("key"), F.col("source").alias("other"))))
-    e = rels.select("case_id", "id", ends.alias("e")).select("case_id", F.col("id").alias("edge"), "e.key", F.split_part("e.other", F.lit(":"), F.lit(1)).alias("prefix"), F.expr("substring(e.other, instr(e.other, ':') + 1)").alias("raw"))
-    kind = F.when(F.col("prefix") == "PHONE", "phone").when(F.col("prefix") == "ACCOUNT", "account").when(F.col("prefix") == "VEHICLE", "vehicle")
-    value = F.when(kind == "phone", t.phone(F.col("raw"))).otherwise(t.account(F.col("raw")))
+    e = rels.select("case_id", "id", ends.alias("e")).select("case_id", F.col("id").alias("edge"), "e.key", "e.other")
+    kind, value = identifier_of(F.col("other"))
     return e.select("case_id", "key", kind.alias("kind"), value.alias("value"), "edge").filter("kind IS NOT NULL AND value <> ''")
 
 
@@ -58,11 +63,11 @@ def _kind_of(mask: Column) -> Column:
     return out
 
 
-def _person(df: DataFrame) -> DataFrame:
+def persons(df: DataFrame) -> DataFrame:
     return df.filter(F.coalesce(F.lower("label").contains("person"), F.lit(False)))
 
 
-def _other(df: DataFrame) -> DataFrame:
+def known_by(df: DataFrame) -> DataFrame:
     """(case_id, label, v, id) of entities that are no persons; v: what they are known by."""
     rest = df.filter(~F.coalesce(F.lower("label").contains("person"), F.lit(False)))
     return rest.select("case_id", F.lower("label").alias("label"), t.identity(F.col("label"), F.coalesce(F.nullif("name", F.lit("")), F.col("key"))).alias("v"), "id").filter("v <> ''")
@@ -71,7 +76,7 @@ def _other(df: DataFrame) -> DataFrame:
 def _named(df: DataFrame, found: DataFrame) -> DataFrame:
     """(case_id, label, n, id, mask): persons with a name, and the kinds of identifiers that ``found`` has for them."""
     masks = found.groupBy("id").agg(_bits(F.col("kind")).alias("mask"))
-    out = _person(df).select("case_id", F.lower("label").alias("label"), t.name(F.col("name")).alias("n"), "id").filter("n <> ''")
+    out = persons(df).select("case_id", F.lower("label").alias("label"), t.name(F.col("name")).alias("n"), "id").filter("n <> ''")
     return out.join(masks, "id", "left").select("case_id", "label", "n", "id", F.coalesce("mask", F.lit(0)).alias("mask"))
 
 
@@ -85,20 +90,20 @@ def resolve(existing: DataFrame, incoming: DataFrame, existing_rels: DataFrame |
     a value or name that many rows share on both sides costs a row for each of them and no pairs.
     """
     c = F.col
-    inc_s, old_s = signals(_person(incoming), incoming_rels, fill_only=True), signals(_person(existing), existing_rels)
+    inc_s, old_s = signals(persons(incoming), incoming_rels, fill_only=True), signals(persons(existing), existing_rels)
     least = old_s.groupBy("case_id", "label", "kind", "value").agg(F.min("id").alias("cand"))
     chosen = inc_s.join(least, ["case_id", "label", "kind", "value"]).groupBy("id").agg(F.min("cand").alias("cand"))
     # all kinds in which the chosen one agrees
     asked = inc_s.join(chosen, "id").select("id", "cand", "kind", "value")
     agreed = asked.join(old_s.select(c("id").alias("cand"), "kind", "value"), ["cand", "kind", "value"]).groupBy("id", "cand").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("detail"))
-    named = lambda df, i: _person(df).select(c("id").alias(i), t.name(c("name")).alias(f"{i}_name"))
+    named = lambda df, i: persons(df).select(c("id").alias(i), t.name(c("name")).alias(f"{i}_name"))
     strong = agreed.join(named(incoming, "id"), "id").join(named(existing, "cand"), "cand")
     agrees = F.coalesce((c("id_name") == c("cand_name")) & (c("id_name") != ""), F.lit(False))
     none = F.lit(None).cast("boolean").alias("agrees")
     found = strong.select("id", "cand", F.lit(1).alias("rank"), "detail", agrees.alias("agrees"))
 
-    same = _other(existing).groupBy("case_id", "label", "v").agg(F.min("id").alias("cand"))
-    other = _other(incoming).join(same, ["case_id", "label", "v"])
+    same = known_by(existing).groupBy("case_id", "label", "v").agg(F.min("id").alias("cand"))
+    other = known_by(incoming).join(same, ["case_id", "label", "v"])
     found = found.unionByName(other.select("id", "cand", F.lit(1).alias("rank"), F.lit("identity").alias("detail"), none))
 
     folded = _named(existing, old_s).groupBy("case_id", "label", "n", "mask").agg(F.min("id").alias("cand")).withColumnRenamed("mask", "cand_mask")
@@ -211,7 +216,7 @@ def arrive(existing: DataFrame, incoming: DataFrame, existing_rels: DataFrame |
     as they stood at the time. Identifiers that existing edges give to a new row's key count unless an existing entity has the key or an earlier row of its component took it. Null and blank names and identifiers are never equal.
     """
     c = F.col
-    old, new = _person(existing), _person(incoming)
+    old, new = persons(existing), persons(incoming)
     old_s, own_s = cut(signals(old, existing_rels)), signals(new)
     inc_s = cut(signals(new, incoming_rels, fill_only=True))
     value = ["case_id", "label", "kind", "value"]
@@ -242,7 +247,7 @@ def arrive(existing: DataFrame, incoming: DataFrame, existing_rels: DataFrame |
     done = cut(_replay(rows.withColumn("node", c("id") * 2 + c("side")).join(comp, "node")))
     matched, changed = done.filter("kinds IS NOT NULL"), done.filter("kinds IS NULL")
 
-    names = lambda df, n: _person(df).select(F.lit(n).alias("cand_side"), c("id").alias("cand"), "case_id", F.lower("label").alias("label"), t.name(c("name")).alias("n"))
+    names = lambda df, n: persons(df).select(F.lit(n).alias("cand_side"), c("id").alias("cand"), "case_id", F.lower("label").alias("label"), t.name(c("name")).alias("n"))
     people = names(existing, 0).unionByName(names(incoming, 1))
     # candidates that never changed count once for each set of kinds, all others one by one
     born = changed.filter("cand_side = 1 AND id = cand").select("cand_side", "cand", c("id").alias("time"), "mask")
@@ -259,9 +264,9 @@ def arrive(existing: DataFrame, incoming: DataFrame, existing_rels: DataFrame |
     both = matched.join(people.select("cand_side", "cand", c("n").alias("cand_n")), ["cand_side", "cand"]).join(people.filter("cand_side = 1").select(c("cand").alias("id"), "n"), "id")
     found = both.select("id", F.lit(1).alias("rank"), "cand_side", "cand", c("kinds").alias("detail"), ((c("n") == c("cand_n")) & (c("n") != "")).alias("agrees"))
     found = found.unionByName(weak.select("id", F.when(c("kind").isNotNull(), 2).otherwise(3).alias("rank"), "cand_side", "cand", F.coalesce("kind", F.lit("name")).alias("detail"), none))
-    alike = _other(existing).select("case_id", "label", "v", F.lit(0).alias("cand_side"), c("id").alias("cand")).unionByName(_other(incoming).select("case_id", "label", "v", F.lit(1).alias("cand_side"), c("id").alias("cand")))
+    alike = known_by(existing).select("case_id", "label", "v", F.lit(0).alias("cand_side"), c("id").alias("cand")).unionByName(known_by(incoming).select("case_id", "label", "v", F.lit(1).alias("cand_side"), c("id").alias("cand")))
     alike = alike.groupBy("case_id", "label", "v").agg(F.min(F.struct("cand_side", "cand")).alias("f"))
-    other = _other(incoming).join(alike, ["case_id", "label", "v"]).filter("f.cand_side = 0 OR f.cand <> id")
+    other = known_by(incoming).join(alike, ["case_id", "label", "v"]).filter("f.cand_side = 0 OR f.cand <> id")
     found = found.unionByName(other.select("id", F.lit(1).alias("rank"), "f.cand_side", "f.cand", F.lit("identity").alias("detail"), none))
     verdict = F.when(c("rank") == 1, "EXACT_MATCH").when(c("rank") == 3, "AMBIGUOUS").otherwise("NEW_ENTITY")
     hit = c("rank") == 1
@@ -282,7 +287,7 @@ def after_arrival(existing: DataFrame, incoming: DataFrame, verdicts: DataFrame)
     table = existing.select((c("id") * 2).alias("id"), *cols).unionByName(new.select((c("id") * 2 + 1).alias("id"), *cols))
     to = verdicts.withColumn("candidate_id", c("candidate_id") * 2 + c("candidate_new").cast("int"))
     out = merge(table, incoming, to)
-    return out.withColumns({"side": F.pmod("id", F.lit(2)).cast("int"), "id": F.floor(c("id") / 2).cast("long")})
+    return out.withColumns({"side": F.pmod("id", F.lit(2)).cast("int"), "id": F.shiftright("id", 1)})
 
 
 def _stars(holders: DataFrame, value: list[str], node: str) -> DataFrame:
