@@ -12,7 +12,7 @@ from caseflow.operators.work import cut
 from caseflow.plans import adapters as a
 from caseflow.plans.adapters import CHUNKS_SQL, DOCUMENTS_SQL, LOG_SQL, RELATIONSHIPS_SQL
 from caseflow.sources import files
-from caseflow.streaming import streams
+from caseflow.streaming import arrivals, streams
 
 
 def _people(spark, sf):
@@ -468,15 +468,34 @@ def stream_dedup(spark, sf):
     return _streamed(spark, r, "dedup", streams.dedup_edges).groupBy("case_id", "relation").agg(F.count("*").alias("edges"))
 
 
+def _arrived(spark, rows, name, extracted):
+    """(case_id, entities, edges) after the files of a table came as two batches."""
+    src = files.work_dir(spark, name)
+    rows.repartition(4).write.parquet(f"{src}/in")
+    ev, batches = arrivals.Evidence(spark, src), []
+    handle = ev.handler(extracted)
+
+    def one(batch, batch_id):
+        handle(batch, batch_id)
+        batches.append(batch_id)
+
+    streams.ingest(streams.read_stream(spark, f"{src}/in", rows.schema, 2), one, f"{src}/state")
+    count = lambda df, n: df.groupBy("case_id").agg(F.count("*").alias(n))
+    return count(ev.entities(max(batches) + 1), "entities").join(count(ev.edges(max(batches) + 1), "edges"), "case_id")
+
+
 def stream_ingest(spark, sf):
     """Arriving call records, batch by batch: extracted, resolved against what is known, and added."""
-    src = files.work_dir(spark, "ingest")
     r = _call_records(spark, sf)
-    r.repartition(4).write.parquet(f"{src}/in")
-    handle = streams.call_evidence(spark, src, roles.call_roles(r.columns), "Date")
-    streams.ingest(streams.read_stream(spark, f"{src}/in", r.schema, 2), handle, f"{src}/state")
-    entities, edges = (spark.read.parquet(f"{src}/{n}").groupBy("case_id").agg(F.count("*").alias(n)) for n in ("entities", "edges"))
-    return entities.join(edges, "case_id")
+    return _arrived(spark, r, "ingest", arrivals.call_batch(roles.call_roles(r.columns), "Date"))
+
+
+def stream_transfers(spark, sf):
+    """Arriving transfers, batch by batch; the file is the case."""
+    li = a.table(spark, sf, "lineitem")
+    account = lambda c: F.concat(F.lit("ACC"), F.col(c).cast("string"))
+    r = li.select((F.col("l_orderkey") % 6).alias("case_id"), (F.col("l_orderkey") % 6).alias("file"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ordinal"), account("l_suppkey").alias("Sender_Account"), account("l_partkey").alias("Receiver_Account"), F.col("l_quantity").cast("string").alias("Amount"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("Date"))
+    return _arrived(spark, r, "transfers", arrivals.transfer_batch(roles.transfer_roles(r.columns[3:])))
 
 
 def failure_alerts(spark, sf):
@@ -491,7 +510,7 @@ def failure_alerts(spark, sf):
     return found.groupBy(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "ip").agg(F.max("failures").alias("failures"))
 
 
-QUERIES = {f.__name__: f for f in (ledger_seal, sealed_chains, denied_events, newest_security, newest_blocks, trailing_alerts, field_union, text_metadata, delete_document_rest, failure_alerts, resolve_entities, resolve_verdicts, resolve_arrivals, arrived_entities, merge_attributes, scoped_keys, edge_upsert, batch_groups, chain_append, chain_verify, ledger_lag, ledger_anchor, audit_to_ledger, audit_trail, evidence_hash, verify_evidence, missing_fingerprints, provenance_steps, document_register, delete_document, authorize_actions, scope_check, rate_limit, security_overview, top_logs, newest_documents, csv_records, document_metadata, json_records, ingest_report, json_flatten, json_envelope, text_scan, size_limit, file_classify, table_sinks, scoped_scan, file_counts, tumbling_activity, session_activity, stream_dedup, stream_ingest)}
+QUERIES = {f.__name__: f for f in (ledger_seal, sealed_chains, denied_events, newest_security, newest_blocks, trailing_alerts, field_union, text_metadata, delete_document_rest, failure_alerts, resolve_entities, resolve_verdicts, resolve_arrivals, arrived_entities, merge_attributes, scoped_keys, edge_upsert, batch_groups, chain_append, chain_verify, ledger_lag, ledger_anchor, audit_to_ledger, audit_trail, evidence_hash, verify_evidence, missing_fingerprints, provenance_steps, document_register, delete_document, authorize_actions, scope_check, rate_limit, security_overview, top_logs, newest_documents, csv_records, document_metadata, json_records, ingest_report, json_flatten, json_envelope, text_scan, size_limit, file_classify, table_sinks, scoped_scan, file_counts, tumbling_activity, session_activity, stream_dedup, stream_ingest, stream_transfers)}
 
 _INTEGRITY = "integ AS (SELECT doc_id AS document_id, CASE WHEN doc_id % 6 = 4 THEN sha256('other') ELSE sha256(text) END AS sha256, CASE WHEN doc_id % 6 = 3 THEN NULL ELSE 'store/' || doc_id END AS stored_path FROM documents WHERE doc_id % 6 <> 5)"
 
@@ -552,5 +571,6 @@ SELECT file, any_value(rows) AS rows, '[' || string_agg(r, ',' ORDER BY i) || ']
     "tumbling_activity": f"WITH {LOG_SQL} SELECT strftime(ts, '%Y-%m-%d') AS start, action, count(*) AS events FROM log GROUP BY ALL",
     "session_activity": f"WITH {LOG_SQL}, g AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 6 HOUR, true) AS new FROM log WINDOW w AS (PARTITION BY username ORDER BY ts)), s AS (SELECT *, sum(new::INTEGER) OVER (PARTITION BY username ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, username, count(*) AS events FROM s GROUP BY username, k",
     "stream_dedup": f"WITH {RELATIONSHIPS_SQL} SELECT case_id, relation, count(*) AS edges FROM (SELECT DISTINCT case_id, source, target, relation, timestamp FROM rel) GROUP BY ALL",
+    "stream_transfers": "WITH r AS (SELECT l_orderkey % 6 AS case_id, 'ACC' || l_suppkey AS a, 'ACC' || l_partkey AS b, l_shipdate AS t FROM lineitem), e AS (SELECT case_id, count(DISTINCT k) AS entities FROM (SELECT case_id, unnest([a, b]) AS k FROM r) GROUP BY case_id), x AS (SELECT case_id, count(*) AS edges FROM (SELECT DISTINCT case_id, a, b, t FROM r WHERE a <> b) GROUP BY case_id) SELECT * FROM e JOIN x USING (case_id)",
     "stream_ingest": "WITH c AS (SELECT o_orderkey % 25 AS case_id, o_orderkey % 100 AS file, 'PHONE:' || (9000000000 + o_custkey % 200) AS a, 'PHONE:' || (9000000000 + (o_orderkey * 31) % 1000) AS b, strftime(o_orderdate, '%Y-%m-%d') || ' 20:40:00' AS ts FROM orders WHERE (o_custkey % 200) % 11 <> 0 AND ((o_orderkey * 31) % 1000) % 11 <> 0), e AS (SELECT case_id, count(DISTINCT k) AS entities FROM (SELECT case_id, unnest([a, b]) AS k FROM c) GROUP BY case_id), r AS (SELECT case_id, count(*) AS edges FROM (SELECT DISTINCT case_id, a, b, ts FROM c WHERE a <> b) GROUP BY case_id) SELECT * FROM e JOIN r USING (case_id)",
 }

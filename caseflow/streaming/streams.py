@@ -1,4 +1,4 @@
-"""Arrival-driven forms: ingest of new files, deduplication, failure alerts and activity windows."""
+"""Arrival-driven forms: ingest of new files, deduplication, failure alerts and activity windows; what evidence adds is in ``arrivals``."""
 
 from __future__ import annotations
 
@@ -10,10 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from caseflow.functions import text as t
-from caseflow.functions.roles import Roles
-from caseflow.operators import extract, resolve
-
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -86,31 +82,3 @@ def ingest(stream: DataFrame, handle, checkpoint: str, mode: str = "append") ->
     """Hand every micro-batch to ``handle(frame, batch_id)``: batch operators on what arrived. Handlers must be idempotent for a batch id."""
     q = stream.writeStream.foreachBatch(handle).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-
-
-def call_evidence(spark: SparkSession, root: str, roles: Roles, date: str | None = None):
-    """A handler for ``ingest`` of arriving call records (case_id, file, ordinal, ...): extract, resolve against what is known, and add what is new.
-
-    Tables entities (case_id, key, label, name) and edges are kept under ``root``, a folder a batch. A batch reads those of the batches
-    before it and writes its own folders anew, so a repeated batch changes nothing.
-    """
-
-    def known(name: str, schema: str, batch_id: int) -> DataFrame:
-        if batch_id == 0:
-            return spark.createDataFrame([], schema)
-        return spark.read.schema(f"{schema}, batch long").parquet(f"{root}/{name}").filter(F.col("batch") < batch_id).drop("batch")
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        cases = batch.select("file", "case_id").distinct()
-        entities, edges = (df.join(cases, "file") for df in extract.calls(batch, roles, date))
-        old = known("entities", "case_id long, key string, label string, name string", batch_id)
-        new = extract.first_wins(entities.select("case_id", "key", "label", "name", "ordinal"), ("case_id", "key")).drop("ordinal")
-        frame = lambda df: df.select("case_id", F.xxhash64("case_id", "key").alias("id"), "key", "label", "name", *[F.when(F.lit(k == "phone"), t.phone(F.col("name"))).otherwise(F.lit("")).alias(k) for k in resolve.KINDS])
-        verdicts = resolve.resolve(frame(old), frame(new)).filter("verdict <> 'EXACT_MATCH'").select("id")
-        added = new.withColumn("id", F.xxhash64("case_id", "key")).join(verdicts, "id", "left_semi").drop("id")
-        added.write.mode("overwrite").parquet(f"{root}/entities/batch={batch_id}")
-        before = known("edges", "case_id long, source string, target string, relation string, timestamp string", batch_id)
-        fresh = edges.select("case_id", "source", "target", "relation", "timestamp").filter("source <> target")
-        resolve.upsert_edges(before, fresh).write.mode("overwrite").parquet(f"{root}/edges/batch={batch_id}")
-
-    return handle

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from caseflow.functions import roles
 from caseflow.operators import cascade, graph, ledger, portfolio, retrieval, risk
 from caseflow.sources import files
-from caseflow.streaming import streams
 
 
 def test_columns_by_rank():
@@ -90,15 +89,3 @@ def test_fingerprints_are_filled_and_traced(spark):
     steps = {r.document_id: [(s.step, s.status) for s in r.steps] for r in ledger.provenance(docs, integ, trail).collect()}
     assert steps[1] == [(n, "VERIFIED" if n == "INTEGRITY" else "OK") for n in ("CASE", "DOCUMENT", "STORAGE", "HASH", "INTEGRITY", "AUDIT")]
     assert dict(steps[2]) == {"CASE": "MISSING", "DOCUMENT": "OK", "STORAGE": "MISSING", "HASH": "MISSING", "INTEGRITY": "NOT_CHECKED", "AUDIT": "MISSING"}
-
-
-def test_a_repeated_batch_adds_nothing(spark, tmp_path):
-    rows = [(1, 1, 0, "9000000001", "9000000002", "2024-01-01", "10:00"), (1, 1, 1, "9000000001", "9000000002", "2024-01-01", "10:00"), (2, 2, 0, "9000000001", "9000000003", "2024-01-01", "11:00")]
-    df = spark.createDataFrame(rows, "case_id long, file long, ordinal long, Caller string, Receiver string, Date string, Time string")
-    handle = streams.call_evidence(spark, str(tmp_path), roles.call_roles(df.columns), "Date")
-    handle(df.filter("case_id = 1"), 0)
-    handle(df, 1)
-    handle(df, 1)
-    e, r = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("entities", "edges"))
-    assert sorted((x.case_id, x.key) for x in e.collect()) == [(1, "PHONE:9000000001"), (1, "PHONE:9000000002"), (2, "PHONE:9000000001"), (2, "PHONE:9000000003")]
-    assert sorted((x.case_id, x.target) for x in r.collect()) == [(1, "PHONE:9000000002"), (2, "PHONE:9000000003")]
