@@ -63,6 +63,45 @@ def test_reach_of_peers(spark):
     assert got == plain_reach(made, 3, peers)
 
 
+@pytest.mark.parametrize("part_nodes", [0, 40, 320, 2**16])
+def test_reach_of_parts_and_of_the_rest(spark, part_nodes):
+    """Whatever part of the keys is counted by parts, the others by joins in tiles: the same counts; a chain has parts that do not come to rest."""
+    made = made_edges(9, 400, 330) + [(2, f"L{i:03d}", f"L{i + 1:03d}") for i in range(150)]
+    rng = random.Random(2)
+    peers = {(c, k) for c, k in neighbours(made) if rng.random() < 0.7}
+    want = {(c, k): rng.random() < 0.3 for c, k in sorted(neighbours(made))}
+    adj, some = frame(spark, made), spark.createDataFrame([p for p, x in want.items() if x], "case_id long, key string")
+    got = graph.reach_counts(adj, 3, spark.createDataFrame([*peers], "case_id long, key string"), rows=3000, part_nodes=part_nodes).collect()
+    plain = plain_reach(made, 3, peers)
+    assert len(got) == len(plain) and {(r.case_id, r.key): r.reach for r in got} == plain
+    few = graph.reach_counts(adj, 3, spark.createDataFrame([*peers], "case_id long, key string"), of=some, part_nodes=part_nodes).collect()
+    assert {(r.case_id, r.key): r.reach for r in few} == {p: plain[p] for p, x in want.items() if x}
+
+
+def test_parts_are_closed(spark):
+    made = made_edges(4, 900, 500)
+    _, step = graph.numbered(frame(spark, made))
+    part = {r.n: r.part for r in graph.closed_parts(step.filter("a < b"), 200).collect()}
+    links = [(r.a, r.b) for r in step.collect()]
+    assert part and len(part) < len({a for a, _ in links})
+    assert all(part.get(a) == part.get(b) for a, b in links)
+
+
+def test_many_words_and_gathered_links(monkeypatch):
+    """A part over several tiles of columns, its links gathered in pieces."""
+    import numpy as np
+
+    monkeypatch.setattr(graph, "PART_WORDS", 2)
+    monkeypatch.setattr(graph, "GATHERED", 50)
+    rng = random.Random(3)
+    edges = sorted({(min(p), max(p)) for p in ((rng.randrange(700), rng.randrange(700)) for _ in range(500)) if p[0] != p[1]} | {(i, 700) for i in range(120)})
+    ids = sorted({k for e in edges for k in e})
+    a, b = (np.array([ids.index(e[i]) for e in edges]) for i in (0, 1))
+    peers = np.array([rng.random() < 0.5 for _ in ids])
+    want = plain_reach([(0, x, y) for x, y in edges], 3, {(0, k) for k, p in zip(ids, peers) if p})
+    assert graph._reach_of_part(a, b, peers, 3).tolist() == [want[0, k] for k in ids]
+
+
 def test_reach_of_nothing(spark):
     assert graph.reach_counts(spark.createDataFrame([], ADJ)).count() == 0
 
