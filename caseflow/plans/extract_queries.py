@@ -134,7 +134,7 @@ def header_roles(spark, sf):
     out = None
     for kind, df, find in (("CDR", _calls(spark, sf), roles.call_roles), ("FINANCIAL", _transfers(spark, sf), roles.transfer_roles)):
         path = files.work_dir(spark, "headers")
-        df.drop("file", "ordinal").repartition(4).write.csv(path, header=True)
+        df.drop("file", "ordinal").write.csv(path, header=True)
         read = files.read_csv(spark, path)
         columns = [c for c in read.columns if c != "file"]
         if roles.record_kind(columns) != kind:

@@ -1,11 +1,16 @@
 """Steps that many queries share: cutting of lineage, trades, connectivity."""
 
+import glob
+
+import pytest
 from pyspark.sql import functions as F
 
 from caseflow.functions import text as t
 from caseflow.operators import graph
 from caseflow.operators.work import cut, once
 from caseflow.plans import adapters as a
+from caseflow.plans import extract_queries, ledger_queries
+from caseflow.sources import files
 
 
 def test_a_cut_computes_its_rows_once(spark):
@@ -46,3 +51,24 @@ def test_connectivity_with_parallel_edges_loops_and_spellings(spark):
     reach, both = graph.reach_and_connectivity(adj, 3, graph.members(rels))
     assert {(r.case_id, r.key): (r.degree, r.counterparties, r.relation_types, r.repeats) for r in both.collect()} == want
     assert sorted(map(tuple, reach.collect())) == sorted(map(tuple, graph.reach_counts(adj, 3, graph.members(rels)).collect()))
+
+
+@pytest.fixture
+def folders(monkeypatch):
+    """The work folders that a query makes."""
+    made, make = [], files.work_dir
+    monkeypatch.setattr(files, "work_dir", lambda *args: made.append(make(*args)) or made[-1])
+    return made
+
+
+def test_a_table_that_is_streamed_is_written_by_all_its_tasks(spark, folders):
+    rows = spark.range(0, 1200, 1, 12)
+    assert ledger_queries._streamed(spark, rows, "few", lambda stream: stream).count() == 1200
+    assert len(glob.glob(f"{folders[0].removeprefix('file://')}/in/*.parquet")) == 12
+
+
+def test_records_are_written_where_they_are_read(spark, sf, folders, monkeypatch):
+    calls = extract_queries._calls
+    monkeypatch.setattr(extract_queries, "_calls", lambda *args: calls(*args).repartition(7))
+    assert extract_queries.header_roles(spark, sf).filter("kind = 'CDR'").count() == 3
+    assert len(glob.glob(f"{folders[0].removeprefix('file://')}/*.csv")) == 7
