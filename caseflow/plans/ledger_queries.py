@@ -398,10 +398,18 @@ def text_scan(spark, sf):
 
 
 def size_limit(spark, sf, max_bytes=files.MAX_BYTES):
-    """Parts of the documents, a document a file, and how many of them have a hash for every file; a file over the limit leaves its part without."""
+    """Parts of the documents, written as files, and how many of them have a hash for every file; a document over the limit leaves its part without.
+
+    A file holds as many documents as are sure to stay under the limit together: those of up to 16 KB, 1 MB and so on by themselves; a larger document is a file of its own.
+    """
     path = files.work_dir(spark, "binary")
     d = a.table(spark, sf, "documents").select((F.col("doc_id") % 8).alias("part"), F.col("text").alias("value"))
-    d.write.partitionBy("part").option("maxRecordsPerFile", 1).text(path)
+    # with its line end
+    size, least = F.coalesce(F.octet_length("value"), F.lit(0)) + 1, 0
+    for most in (1 << 14, 1 << 20, None):
+        some = d.filter((size > least) & (size <= most) if most else size > least)
+        some.write.mode("append").partitionBy("part").option("maxRecordsPerFile", max(1, max_bytes // most) if most else 1).text(path)
+        least = most
     part = F.regexp_extract("path", "part=([^/]+)", 1).alias("part")
     done = ledger.fingerprints(files.read_binary(spark, path, max_bytes)).select(part, (F.length("sha256") == 64).alias("hashed"))
     over = files.oversized(spark, path, max_bytes).select(part, F.lit(False).alias("hashed"))
