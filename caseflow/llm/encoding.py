@@ -17,8 +17,10 @@ from .common import keep_one
 KEEP_BYTES = 24 << 20
 #: What an entry costs besides its text and its ids, about.
 _ENTRY = 200
+#: Entries that are kept at a time.
+_SOME = 4096
 #: Characters of text that are encoded at a time, about.
-SLICE = 1 << 22
+SLICE = 1 << 20
 #: Begins a piece that no space comes before. Texts that hold it are cut at spaces only.
 GLUE = "\x01"
 # a Latin letter (but the one whose lower case has a mark of its own), then ASCII punctuation without apostrophes
@@ -38,29 +40,28 @@ class Recent(dict):
         super().__init__()
         self.limit, self.size, self.older = limit, 0, {}
 
-    def keep(self, key: str, value: bytes) -> None:
-        if self.size > self.limit:
-            self.older = dict(self)
-            self.clear()
-            self.size = 0
-        self[key] = value
-        self.size += len(key) + len(value) + _ENTRY
+    def keep(self, keys: list[str], values: list[bytes]) -> None:
+        for a in range(0, len(keys), _SOME):
+            some, own = keys[a : a + _SOME], values[a : a + _SOME]
+            if self.size > self.limit:
+                self.older = dict(self)
+                self.clear()
+                self.size = 0
+            self.update(zip(some, own, strict=True))
+            self.size += sum(map(len, some)) + sum(map(len, own)) + _ENTRY * len(some)
 
     def fill(self, keys: list[str], make) -> list[bytes]:
         """The values of all ``keys``; ``make`` gives those of a list of unknown ones."""
         out = list(map(self.get, keys))
         missing = [i for i, v in enumerate(out) if v is None]
-        older, new = self.older, []
-        for i in missing:
-            if (v := older.get(keys[i])) is not None:
-                out[i] = v
-            else:
-                new.append(i)
-        made = make([keys[i] for i in new]) if new else []
-        for i, v in zip(new, made, strict=True):
+        names = [keys[i] for i in missing]
+        found = list(map(self.older.get, names))
+        new = [k for k, v in zip(names, found, strict=True) if v is None]
+        made = iter(make(new) if new else ())
+        found = [next(made) if v is None else v for v in found]
+        for i, v in zip(missing, found, strict=True):
             out[i] = v
-        for i in missing:
-            self.keep(keys[i], out[i])
+        self.keep(names, found)
         return out
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from caseflow.llm import encoding, packing, sharding, token_store
+from caseflow.llm.common import slices_of
 from caseflow.llm.encoding import PieceEncoder
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -196,3 +197,11 @@ def test_packing_nulls_repeats_long_and_empty(spark):
     got = packing.pack(spark, docs, WORD, group=2).collect()
     check_packing(got, [[1], [1], [0] * 9001, [1], [0] * 3], 2048)
     assert packing.pack(spark, docs.limit(0), WORD).count() == 0
+
+
+def test_a_table_is_full_in_the_middle_of_many_new_pieces_and_texts_are_encoded_a_megabyte_at_a_time():
+    table, names = encoding.Recent(limit=1 << 20), [f"w{k}" for k in range(100_000)]
+    assert table.fill(names, lambda new: [p.encode() for p in new]) == [p.encode() for p in names]
+    assert len(table) + len(table.older) < 20_000
+    texts = pa.array(["a b " * 20_000] * 40)
+    assert max(80_000 * (z - a) for a, z in slices_of(texts, encoding.SLICE)) <= 1 << 20
