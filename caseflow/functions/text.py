@@ -53,9 +53,13 @@ def _lookup(table: dict[str, str], x: Column) -> Column:
     return F.coalesce(F.try_element_at(pairs, x), x)
 
 
+#: All white space of Unicode, as \\s has it in patterns with (?U).
+SPACES = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(x: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def doc_type(x: Column) -> Column:

@@ -170,3 +170,12 @@ def test_normalisers_are_idempotent(spark, values):
         once = df.select(f(F.col("v")).alias("v"))
         # an eight-digit rest of 91... can lose its prefix twice only if it had twelve digits again, which ten digits never have
         assert once.select(f(F.col("v")).alias("v")).collect() == once.collect()
+
+
+def test_strip_takes_all_white_space_of_unicode_and_nothing_else(spark):
+    """Every character at both ends and inside, against the pattern; no pattern is matched for it."""
+    points = spark.range(1, 0x10000).filter("id < 55296 OR id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    rows = points.select(F.explode(F.array("c", F.concat("c", F.lit("a"), "c", F.lit("b"), "c", "c"), F.concat(F.lit(" \n"), "c", F.lit("　x \r\n")))).alias("s"))
+    out = rows.select(t.strip(F.col("s")).alias("got"), F.regexp_replace("s", r"(?U)^\s+|\s+$", "").alias("want"))
+    assert out.filter("NOT got <=> want").count() == 0 and rows.count() > 190_000
+    assert "regexp" not in out.select("got")._jdf.queryExecution().executedPlan().toString()
