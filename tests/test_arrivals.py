@@ -84,3 +84,23 @@ def test_texts_and_transfers_share_accounts(spark, tmp_path):
     ev.handler(arrivals.text_batch())(texts, 1)
     entities, edges = tables(ev, 2)
     assert sorted(k for _, k, *_ in entities) == ["ACCOUNT:ACC12345", "ACCOUNT:ACC999", "PHONE:9876543210"] and len(edges) == 1
+
+
+def test_a_batch_of_few_files_is_dealt_and_asks_for_no_edges_of_accounts(spark, tmp_path):
+    """Batches without persons: rows of one file are extracted by all cores, and edges are looked for only to leave out those that are there."""
+    rows = [(1, 1, i, f"ACC{i % 7:03d}", f"ACC{i % 5:03d}", "10", "2024") for i in range(70)]
+    log = spark.createDataFrame(rows, "case_id long, file long, ordinal long, Sender_Account string, Receiver_Account string, Amount string, Date string").coalesce(1)
+    kind, tasks = arrivals.transfer_batch(roles.transfer_roles(log.columns)), []
+
+    def extracted(batch):
+        tasks.append(len(batch.inputFiles()))
+        return kind(batch)
+
+    ev = arrivals.Evidence(spark, str(tmp_path), buckets=2)
+    for n in (0, 1):
+        ev.handler(extracted)(log, n)
+    assert min(tasks) > 1
+    # values, edges that give them, edges of persons: nothing is asked; edges that are there: both buckets
+    assert ev._edges.files_read[-3:] == [0, 0, 2]
+    entities, edges = tables(ev, 2)
+    assert len(entities) == 7 and len(edges) == len({(r[3], r[4]) for r in rows if r[3] != r[4]})
