@@ -272,7 +272,8 @@ def orphan_entities(spark, sf):
 
 def key_intersection(spark, sf):
     rels = a.relationships(spark, sf)
-    return a.entities(spark, sf).select("key").intersect(rels.select(F.col("target").alias("key")))
+    # each key once before it travels: an intersection sorts all rows of both sides
+    return a.entities(spark, sf).select("key").intersect(rels.select(F.col("target").alias("key")).distinct())
 
 
 def delete_case(spark, sf):
