@@ -260,7 +260,8 @@ def endpoint_remap(spark, sf):
 
 def key_union(spark, sf):
     rels = a.relationships(spark, sf)
-    return rels.select(F.col("source").alias("key")).union(rels.select("target")).distinct()
+    # both ends in one pass, so the trades are joined once
+    return rels.select(F.explode(F.array("source", "target")).alias("key")).distinct()
 
 
 def orphan_entities(spark, sf):
