@@ -8,7 +8,8 @@ def plan(df):
 
 
 def test_keys_are_folded_before_they_are_intersected(spark, sf):
-    assert plan(graph_queries.key_intersection(spark, sf)).count("Aggregate [") == 2
+    # the result, and the keys of the lines for each of the two kinds of entities
+    assert plan(graph_queries.key_intersection(spark, sf)).count("Aggregate [") == 3
 
 
 def test_a_union_of_both_ends_joins_the_trades_once(spark, sf):
